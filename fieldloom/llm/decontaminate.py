@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, saved, small, without_rows
+from .common import ascii_lower, keyed, saved, small, table, without_rows
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -124,8 +124,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_id", "row_hash")
 
 
@@ -133,10 +131,10 @@ ORACLE = {
     "op10_decontamination": r"""
 with d as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as w from documents),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents),
 b as (
   select cast(item_id as varchar) as item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as w from benchmark),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark),
 bw as (
   select item_id, least(len(w), 13) as l, array_to_string(w[i + 1 : i + least(len(w), 13)], ' ') as span
   from (select item_id, w, unnest(range(0, len(w) - least(len(w), 13) + 1)) as i from b where len(w) > 0)),

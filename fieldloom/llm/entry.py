@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup
+from . import decontaminate, linededup, packing, shards, simhash
 
-MODULES = (linededup, decontaminate)
+MODULES = (linededup, shards, packing, simhash, decontaminate)
 
 
 def queries() -> dict:
