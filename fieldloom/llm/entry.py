@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, shards, simhash
+from . import decontaminate, linededup, packing, quality, shards, simhash, toxicity
 
-MODULES = (linededup, shards, packing, simhash, decontaminate)
+MODULES = (linededup, shards, toxicity, quality, packing, simhash, decontaminate)
 
 
 def queries() -> dict:
