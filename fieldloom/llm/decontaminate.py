@@ -1,13 +1,13 @@
 """Benchmark decontamination: a prefix-filtered set join of documents with item windows. DataFrame functions only.
 
 A window is ``window`` consecutive words of an item (a shorter item is one window). A document contains a window
-when the words stand there in order. Containment means that every word of the window is in the document, so one
-word is a sufficient prefix: the rarest one. The steps are
+when the words stand there in order. Containment means that every word of the window is in the document, so any of
+its words are a necessary prefix; the ``PREFIX`` rarest are taken. The steps are
 
 1. count how often each benchmark word occurs in all documents, which orders the words by rarity;
-2. index each window under its rarest word and that word's place in the window;
+2. index each window under its rarest words and their places in the window;
 3. join the words of all documents with the index; length and position bounds drop windows that would reach over
-   either end of the document;
+   either end of the document, and those whose prefix words do not all stand in their places;
 4. compare the remaining candidates with the document word by word, and merge their intervals.
 
 Nulls: a null text has no words; a null item text gives no window; a window of an item with null id marks words but
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, keyed, saved, small, table, without_rows
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW = 13
+WINDOW, PREFIX = 13, 2
 #: A document is contaminated if a 20th of its words or more are hit.
 SHARE = 20
 
@@ -32,7 +32,7 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """One row for each window and item: item_id, words (array), span (string of the words), length."""
+    """One row for each window and item: item_id, words (array), length, span (the words as one string) and its hash."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("w"))
     length = F.least(F.size("w"), F.lit(window))
     return (
@@ -40,20 +40,24 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
         .select("item_id", "w", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at"))
         .select("item_id", F.expr("slice(w, at + 1, length)").alias("words"), "length")
         .withColumn("span", F.array_join("words", " "))
+        .withColumn("span_id", F.xxhash64("span"))
     )
 
 
-def rarest_words(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The prefix index: word, place, length, span; one row a window, under its rarest word in the corpus."""
-    tokens = windows.dropDuplicates(["span"]).select("span", "length", F.posexplode("words").alias("place", "word"))
+def rarest_words(docs: DataFrame, windows: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """The prefix index: word, place, length, span_id, need; for each window a row for each of its rarest words.
+
+    need is the number of these rows. A window with a word that no document has is in no document and left out.
+    """
+    tokens = windows.dropDuplicates(["span"]).select("span_id", "length", F.posexplode("words").alias("place", "word"))
     vocabulary = small(saved(tokens.select("word").distinct(), "vocabulary"), 64)
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counts = small(saved(counted, "word-counts"), 64)
+    ordered = tokens.join(counts, "word", "left").groupBy("span_id", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place"))).alias("by_rarity"))
     return (
-        tokens.join(counts, "word", "left")
-        .groupBy("span", "length")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("least"))
-        .where("least.n > 0")  # else the window is in no document
-        .select("least.word", "least.place", "length", "span")
+        ordered.where("by_rarity[0].n > 0")
+        .select("span_id", "length", F.least(F.size("by_rarity"), F.lit(prefix)).alias("need"), F.explode(F.slice("by_rarity", 1, prefix)).alias("t"))
+        .select("t.word", "t.place", "length", "span_id", "need")
     )
 
 
@@ -61,13 +65,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """row_id, row_hash, doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row a document row."""
     rows = keyed(docs, F.col("doc_id"))
     windows = saved(item_windows(benchmark, window), "item-windows")
-    index = small(saved(rarest_words(rows, windows), "prefix-index"), 256)
+    index = small(saved(rarest_words(rows, windows), "prefix-index"), 128)
     placed = rows.select("row_id", "row_hash", words_of(F.col("text")).alias("words"))
+    spans = small(saved(windows.dropDuplicates(["span"]).select("span_id", "length", "span"), "spans"), 256)
     found = (
         placed.select("row_id", "row_hash", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
         .join(index, "word")
         .withColumn("start", F.col("pos") - F.col("place"))
         .where("start >= 0 and start + length <= n_words")
+        .groupBy("row_id", "row_hash", "start", "span_id", "need")
+        .agg(F.count_distinct("place").alias("places"))
+        .where("places = need")
+        .join(spans, "span_id")
         .groupBy("row_id", "row_hash")
         .agg(F.array_sort(F.collect_set(F.struct("start", "length", "span"))).alias("candidates"))
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, pii, quality, shards, simhash, toxicity
+from . import decontaminate, linededup, packing, pii, quality, secrets, shards, simhash, toxicity, warc
 
-MODULES = (linededup, shards, pii, toxicity, quality, packing, simhash, decontaminate)
+MODULES = (linededup, shards, pii, warc, toxicity, quality, secrets, packing, simhash, decontaminate)
 
 
 def queries() -> dict:
