@@ -1,2 +1,92 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Changeset replay: customers' graphs, edited by a log made of their orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import changes, exports
+from ..plans import drafts
+from .rendered import table
+
+
+def _graphs(spark, sf_dir: str) -> DataFrame:
+    """A graph a customer: an object with key, name, segment and, below home, nation."""
+    body = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("home")))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("json").alias("format"), body.alias("content"))
+    return drafts.drafts(docs).select(F.col("doc_id").alias("schema_id"), "graph")
+
+
+def _log(spark, sf_dir: str) -> DataFrame:
+    """Each order renames a property of its customer's graph; the n-th order of a customer expects revision n, but every
+    fifth expects s1, and every seventh repeats the mutation id of its customer."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("schema_id"), F.col("o_orderkey").alias("seq"))
+    n = F.row_number().over(Window.partitionBy("schema_id").orderBy("seq"))
+    o = o.withColumn("n", n)
+    return o.select(
+        "schema_id", "seq", F.concat(F.lit("m-"), F.when(F.col("seq") % 7 == 0, F.lit("again")).otherwise(F.col("seq").cast("string"))).alias("mutation_id"),
+        F.concat(F.lit("s"), F.when(F.col("seq") % 5 == 0, F.lit(1)).otherwise(F.col("n")).cast("string")).alias("base_revision"),
+        F.to_json(F.array(F.struct(F.lit("renameProperty").alias("kind"), F.lit("member-1").alias("memberId"), F.concat(F.lit("f"), (F.col("seq") % 4).cast("string")).alias("name")))).alias("operations"),
+    )
+
+
+def c4_receipts(spark, sf_dir: str) -> DataFrame:
+    receipts, _ = changes.replayed(_graphs(spark, sf_dir), _log(spark, sf_dir))
+    return receipts.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def c6_revisions(spark, sf_dir: str) -> DataFrame:
+    """Accepted changes and the last revision of each schema agree."""
+    receipts, after = changes.replayed(_graphs(spark, sf_dir), _log(spark, sf_dir))
+    accepted = receipts.where("outcome = 'accepted'").groupBy("schema_id").agg(F.count("*").alias("accepted"))
+    return after.join(accepted, "schema_id", "left").select("schema_id", "revision", F.coalesce("accepted", F.lit(0)).alias("accepted"))
+
+
+def c5_replays(spark, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir).withColumn("digest", F.sha2(F.concat("base_revision", "operations"), 256))
+    return changes.deduplicated(log).groupBy("schema_id", "outcome").agg(F.count("*").alias("n"))
+
+
+def _selections(spark, sf_dir: str) -> DataFrame:
+    """A selection a nation: an object with an attribute and scalar elements, some of which don't hold."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    row = lambda at, parent, name, kind, type_, low, high: F.struct(F.lit(at).alias("n"), F.lit(parent).cast("string").alias("parent"), name.alias("name"), F.lit(kind).alias("kind"), F.lit(type_).cast("string").alias("type"), low.cast("long").alias("min_occurs"), high.alias("max_occurs"))
+    one = F.lit(1)
+    rows = F.array(
+        row("0", None, F.lit("nation"), "object", None, one, F.lit("1")), row("1", "0", F.lit("key"), "attribute", "integer", one, F.lit("1")),
+        row("2", "0", F.when(k % 5 == 0, "2nd").otherwise("name"), "scalar", "string", one, F.lit("1")), row("3", "0", F.lit("region"), "scalar", "null", F.lit(0), F.when(k % 7 == 0, "-1").otherwise("unbounded")),
+    )
+    each = n.select(k.cast("long").alias("schema_id"), F.explode(rows).alias("r"))
+    at = lambda c: F.concat(F.col("schema_id").cast("string"), F.lit("/"), F.col(f"r.{c}"))
+    return each.select("schema_id", at("n").alias("id"), at("parent").alias("parent_id"), F.col("r.n").cast("int").alias("position"), "r.name", "r.kind", "r.type", "r.min_occurs", "r.max_occurs")
+
+
+def n11_violations(spark, sf_dir: str) -> DataFrame:
+    return scalars.selection_violations(_selections(spark, sf_dir))
+
+
+def e4_xsd(spark, sf_dir: str) -> DataFrame:
+    return exports.xsd(_selections(spark, sf_dir))
+
+
+QUERIES = {"c4_receipts": c4_receipts, "c5_replays": c5_replays, "c6_revisions": c6_revisions, "n11_violations": n11_violations, "e4_xsd": e4_xsd}
+
+_XS = "http://www.w3.org/2001/XMLSchema"
+ORACLE = {
+    "c5_replays": """
+with o as (select o_custkey as schema_id, o_orderkey as seq, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
+l as (select *, case when seq % 7 = 0 then 'again' else cast(seq as varchar) end as m, (case when seq % 5 = 0 then 1 else n end, seq % 4) as d from o),
+r as (select *, row_number() over w as i, first_value(d) over w as f from l window w as (partition by schema_id, m order by seq))
+select schema_id, case when i = 1 then 'first' when d = f then 'replayed' else 'idempotency_conflict' end as outcome, count(*) as n from r group by all
+""",
+    "n11_violations": "select 'bad_name' as \"check\", n_nationkey || '/2' as id from nation where n_nationkey % 5 = 0 union all select 'bad_max_occurs', n_nationkey || '/3' from nation where n_nationkey % 7 = 0",
+    "e4_xsd": f"""
+select cast(n_nationkey as bigint) as schema_id, '<xs:schema xmlns:xs="{_XS}"><xs:element name="nation"><xs:complexType><xs:sequence><xs:element name="' || case when n_nationkey % 5 = 0 then '2nd' else 'name' end
+  || '" minOccurs="1" maxOccurs="1" type="xs:string" /><xs:element name="region" minOccurs="0" maxOccurs="' || case when n_nationkey % 7 = 0 then '-1' else 'unbounded' end
+  || '" type="xs:string" nillable="true" /></xs:sequence><xs:attribute name="key" type="xs:integer" use="required" /></xs:complexType></xs:element></xs:schema>' as xsd from nation
+""",
+}

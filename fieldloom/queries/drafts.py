@@ -1,2 +1,111 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Drafts of conversations and orders: alternatives, manifest, tables, names, containment, pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import drafts, space
+from ..sources import documents as sources
+from .rendered import conversation_json, order_xml, table
+
+
+def _schemas(spark, sf_dir: str) -> dict[str, DataFrame]:
+    graphs = drafts.drafts(conversation_json(spark, sf_dir)).select(F.col("doc_id").alias("schema_id"), "graph")
+    return drafts.exploded(graphs)
+
+
+def d4_alternatives(spark, sf_dir: str) -> DataFrame:
+    return drafts.alternatives(drafts.drafts(conversation_json(spark, sf_dir))).select("count", "doc_id")
+
+
+def d5_manifest(spark, sf_dir: str) -> DataFrame:
+    made = drafts.drafts(order_xml(spark, sf_dir))
+    m = drafts.manifest(drafts.alternatives(made), made)
+    return m.select(F.array_join("formats", ",").alias("formats"), "syntax", "documents", "errors", "alternatives", "suggested_count")
+
+
+def d6_members(spark, sf_dir: str) -> DataFrame:
+    t = _schemas(spark, sf_dir)
+    kind = lambda c: F.get_json_object("data", f"$.{c}")
+    nodes = t["nodes"].groupBy("schema_id", kind("kind").alias("kind")).agg(F.count("*").alias("n"))
+    members = t["members"].groupBy("schema_id", kind("kind").alias("kind")).agg(F.count("*").alias("n"))
+    return nodes.unionByName(members)
+
+
+def d6_rebuilt(spark, sf_dir: str) -> DataFrame:
+    back = drafts.rebuilt(_schemas(spark, sf_dir))
+    return back.select("schema_id", F.size("items").cast("long").alias("n")).groupBy("schema_id").agg(F.count("*").alias("collections"), F.sum("n").alias("members"))
+
+
+def j7_contained(spark, sf_dir: str) -> DataFrame:
+    c = drafts.contained(drafts.edges(_schemas(spark, sf_dir)))
+    return c.where("ancestor = 'node-1'").groupBy("schema_id").agg(F.count("*").alias("nodes"))
+
+
+def j8_member_counts(spark, sf_dir: str) -> DataFrame:
+    return drafts.member_counts(_schemas(spark, sf_dir)).where("id = 'node-1'").select("schema_id", "members")
+
+
+def j9_repeated_names(spark, sf_dir: str) -> DataFrame:
+    """Turns in which role and turn are given one name."""
+    m = _schemas(spark, sf_dir)["members"]
+    cut = m.withColumn("data", F.regexp_replace("data", '"name":"(role|turn)"', '"name":"same"'))
+    return drafts.repeated_names(cut).groupBy("name").agg(F.count("*").alias("collections"))
+
+
+def k2_page(spark, sf_dir: str) -> DataFrame:
+    t = _schemas(spark, sf_dir)
+    p = drafts.page(t["members"], t["nodes"], "collection-1", 0, 1)
+    return p.select("schema_id", "position", "value_kind", "label", "total", F.get_json_object(F.unbase64("next").cast("string"), "$.offset").cast("long").alias("next_offset"))
+
+
+def k1_suggested(spark, sf_dir: str) -> DataFrame:
+    s = space.build(sources.summaries(order_xml(spark, sf_dir)))
+    return space.suggested(space.roots(s)).select("count", "total")
+
+
+def k3_listing(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("owner"), F.col("o_orderdate").alias("created"))
+    return drafts.newest(rows, "1-URGENT", 50)
+
+
+QUERIES = {
+    "d4_alternatives": d4_alternatives,
+    "d5_manifest": d5_manifest,
+    "d6_members": d6_members,
+    "d6_rebuilt": d6_rebuilt,
+    "j7_contained": j7_contained,
+    "j8_member_counts": j8_member_counts,
+    "j9_repeated_names": j9_repeated_names,
+    "k1_suggested": k1_suggested,
+    "k2_page": k2_page,
+    "k3_listing": k3_listing,
+}
+
+#: For each conversation, whether it has turns of users, of others, and whose turn comes first.
+_KINDS = "with c as (select conv_id, bool_or(role = 'user') as u, bool_or(role <> 'user') as o, arg_min(role = 'user', turn) as f from conversations group by 1)"
+
+ORACLE = {
+    "d4_alternatives": f"{_KINDS} select count(*) as count, min(conv_id) as doc_id from c group by u, o, f",
+    "d5_manifest": """
+with s as (select o_orderkey % 2 as a, case when o_orderkey % 5 < 3 then o_orderkey % 5 else 9 end as n, o_orderkey % 7 = 0 as p, o_orderstatus is null as z, count(*) as c from orders group by all)
+select 'xml' as formats, 'xml' as syntax, (select count(*) from orders) as documents, cast(0 as bigint) as errors, count(*) as alternatives, max(c) as suggested_count from s
+""",
+    "d6_members": f"""{_KINDS}, n as (
+  select conv_id, 'object' as kind, 1 + u::int + o::int as n from c union all select conv_id, 'array', 1 from c union all select conv_id, 'union', 1 from c where u and o
+  union all select conv_id, 'scalar', 1 + case when u then 3 else 0 end + case when o then 2 else 0 end from c
+  union all select conv_id, 'property', 2 + case when u then 3 else 0 end + case when o then 2 else 0 end from c union all select conv_id, 'option', 2 from c where u and o)
+select conv_id as schema_id, kind, cast(n as bigint) as n from n
+""",
+    "d6_rebuilt": f"""{_KINDS}
+select conv_id as schema_id, cast(1 + u::int + o::int + (u and o)::int as bigint) as collections,
+       cast(2 + case when u then 3 else 0 end + case when o then 2 else 0 end + case when u and o then 2 else 0 end as bigint) as members from c
+""",
+    "j7_contained": f"{_KINDS} select conv_id as schema_id, cast(3 + u::int + o::int + (u and o)::int + case when u then 3 else 0 end + case when o then 2 else 0 end as bigint) as nodes from c",
+    "j8_member_counts": "select distinct conv_id as schema_id, cast(2 as bigint) as members from conversations",
+    "j9_repeated_names": f"{_KINDS} select 'same' as name, cast(sum(u::int + o::int) as bigint) as collections from c",
+    "k1_suggested": "with s as (select o_orderkey % 5 < 3 as n, o_orderkey % 7 = 0 as p, count(*) as c from orders group by all) select max(c) as count, (select count(*) from orders) as total from s",
+    "k2_page": "select distinct conv_id as schema_id, cast(0 as bigint) as position, 'scalar' as value_kind, 'integer' as label, cast(2 as bigint) as total, cast(1 as bigint) as next_offset from conversations",
+    "k3_listing": "select o_orderkey as id, o_orderpriority as owner, o_orderdate as created from orders where o_orderpriority = '1-URGENT' order by o_orderdate desc, o_orderkey limit 50",
+}
