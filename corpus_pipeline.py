@@ -25,9 +25,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of documents whose five-word shingles resemble each other by 0.8 or more that with the smallest id stays."""
     ship(spark)
-    return simhash.first_of_each(docs)
+    return simhash.without_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

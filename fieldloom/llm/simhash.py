@@ -61,9 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in pdf.pop("body")], dtype=np.uint64)
             yield pdf.assign(fp=fp.view(np.int64))
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select(row_id.alias("row_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("body")).mapInPandas(batches, "row_id long, row_hash long, fp long")
+    return _text_rows(docs).mapInPandas(batches, "row_id long, row_hash long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -119,10 +117,9 @@ QUERY_ROWS = 2048
 
 
 def _search(max_bits: int):
-    """Rows sorted by part (block, bits, part), residents before visitors; yields spanning links."""
+    """Rows sorted by part (block, bits, part), residents before visitors; yields spanning links with their block."""
 
-    def links(part: pd.DataFrame, visitors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        own = part["fp"].to_numpy().view(np.uint64)
+    def links(own: np.ndarray, visitors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         queries = np.concatenate([own, visitors])
         for i in range(0, len(queries), QUERY_ROWS):
@@ -142,16 +139,17 @@ def _search(max_bits: int):
             key = rows[keys].to_numpy()
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             ends = np.r_[starts[1:], len(rows)]
-            a, b = [], []
+            a, b, blocks = [], [], []
+            fp, visits, block = rows["fp"].to_numpy().view(np.uint64), rows["visits"].to_numpy(), rows["block"].to_numpy()
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                one = rows.iloc[s:e]
-                visiting = one["visits"].to_numpy()
+                visiting = visits[s:e]
                 if not visiting.all():
-                    for x, y in links(one[~visiting], one["fp"].to_numpy().view(np.uint64)[visiting]):
+                    for x, y in links(fp[s:e][~visiting], fp[s:e][visiting]):
                         a.append(x)
                         b.append(y)
+                        blocks.append(np.full(len(x), block[s]))
             if a:
-                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+                yield pd.DataFrame({"block": np.concatenate(blocks), "a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
         for pdf in it:
             rows = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
@@ -176,11 +174,12 @@ def _blocks(max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that span the components; each has max_bits or fewer."""
-    fp = F.col("fp")
+    """space, a, b: links between distinct fingerprints (fp) of one space that span its components; each differs in
+    max_bits or fewer. distinct: space (a small number: fingerprints of different spaces never meet), fp."""
+    fp, per_space = F.col("fp"), max_bits + 1
     # bits: the block's value; rest: the fingerprint turned so that the bits after the block stand at the top
     choices = [
-        F.struct(F.lit(i).alias("block"), _bits(fp, low, width).alias("bits"), F.shiftleft(fp, (64 - low) % 64).bitwiseOR(F.shiftrightunsigned(fp, low) if low else F.lit(0).cast("long")).alias("turned"))
+        F.struct((F.col("space") * per_space + i).alias("block"), _bits(fp, low, width).alias("bits"), F.shiftleft(fp, (64 - low) % 64).bitwiseOR(F.shiftrightunsigned(fp, low) if low else F.lit(0).cast("long")).alias("turned"))
         for i, (low, width) in enumerate(_blocks(max_bits))
     ]
     rows = distinct.select("fp", F.explode(F.array(*choices)).alias("c")).select("fp", "c.*")
@@ -212,7 +211,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
     keys = ["block", "bits", "depth", "part"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = everything.repartition(n, *keys).sortWithinPartitions(*keys, "visits")
-    return dealt.mapInPandas(_search(max_bits), "a long, b long").distinct()
+    found = dealt.mapInPandas(_search(max_bits), "block long, a long, b long")
+    return found.select(F.floor(F.col("block") / per_space).alias("space"), "a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """row_id, row_hash, fp, first_id, first_hash: each row and the first row (by id, then hash) of its component."""
     rows = saved(fingerprints(docs, shingle), "fingerprints")
     distinct = saved(rows.groupBy("fp").agg(F.min(F.struct("row_id", "row_hash")).alias("first")), "distinct-fingerprints")
-    roots = saved(components(links(distinct.select("fp"), max_bits)), "roots")
+    roots = saved(components(links(distinct.select(F.lit(0).cast("long").alias("space"), "fp"), max_bits).select("a", "b")), "roots")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = saved(placed, "placed-fingerprints")
     linked = placed.where("fp != root").select("root").distinct()
@@ -253,12 +253,112 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     """The documents, with their columns, of which each is the first of its near-duplicate component."""
     found = saved(near_duplicates(docs, shingle, max_bits), "near-duplicates")
     later = saved(found.where("row_id != first_id or row_hash != first_hash").select("row_id", "row_hash"), "later-copies")
-    kept = without_rows(docs, later)
-    if found.groupBy("row_id", "row_hash").count().where("count > 1").isEmpty():
-        return kept
-    # rows that repeat both doc_id and text: one of them stays
+    return _one_each(without_rows(docs, later))
+
+
+# ---- near duplicates by similarity: fingerprints find candidates, word shingles decide
+
+SIMILARITY, SIMILAR_SHINGLE, VIEWS, VIEW_BITS = 0.8, 5, 12, 3
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def view_fingerprints(words: list[bytes], views: int) -> np.ndarray:
+    """SimHashes of the distinct words under several hash functions. A changed word changes one feature of a text, but
+    five of its shingles, so near copies differ in far fewer bits here."""
+    from xxhash import xxh64_digest
+
+    if not words:
+        return np.zeros(views, np.int64)
+    seeds = (np.arange(1, views + 1, dtype=np.uint64) * STEP)[:, None]
+    h = np.frombuffer(b"".join([xxh64_digest(w, SEED) for w in words]), "<u8")
+    ones = np.zeros((views, 64), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), 4096):
+            x = h[None, i : i + 4096] ^ seeds
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+            ones += np.unpackbits(x.view(np.uint8).reshape(views, -1, 8), axis=2).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; of fewer words, of the whole sequence."""
+    from xxhash import xxh64_digest
+
+    grams = {b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))} or {b" ".join(words)}
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(g, SEED) for g in grams]), "<i8"))
+
+
+def _text_rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(row_id.alias("row_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("body"))
+
+
+def similar_rows(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, views: int = VIEWS, max_bits: int = VIEW_BITS) -> DataFrame:
+    """row_id, row_hash of the rows that a kept, earlier row equals or resembles by similarity (Jaccard) or more.
+
+    Texts of equal words are one class. Classes whose fingerprints link in any view are candidates; within each
+    component of candidates the first row is compared with all others by its shingles, those that resemble it go, and
+    so on with the first of the rest, until each row is kept or has gone. No two rows of different components meet."""
+
+    def prints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_intdigest
+
+        for pdf in it:
+            words = [b.lower().split() for b in pdf.pop("body")]
+            whole = [xxh3_128_intdigest(b" ".join(w)) for w in words]
+            half = lambda x: x - (1 << 64) if x >> 63 else x
+            yield pdf.assign(n1=[half(x >> 64) for x in whole], n2=[half(x & (1 << 64) - 1) for x in whole], fps=[view_fingerprints(list(set(w)), views) for w in words])
+
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(shingles=[shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")])
+
+    row = F.struct("row_id", "row_hash")
+    rows = saved(_text_rows(docs).mapInPandas(prints, "row_id long, row_hash long, n1 long, n2 long, fps array<long>"), "views")
+    classes = saved(rows.groupBy("n1", "n2").agg(F.min(F.struct("row_id", "row_hash", "fps")).alias("f")).select("n1", "n2", F.xxhash64("n1", "n2").alias("id"), F.col("f.row_id").alias("row_id"), F.col("f.row_hash").alias("row_hash"), F.col("f.fps").alias("fps")), "classes")
+    flat = classes.select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp")
+    counted = saved(flat.groupBy("space", "fp").agg(F.count("*").alias("n")), "view-fingerprints")
+    found = saved(links(counted.select("space", "fp"), max_bits), "view-links")
+    node = lambda c: F.xxhash64("space", c)  # noqa: E731  two nodes of one hash only widen a component
+    linked = found.select("space", F.explode(F.array("a", "b")).alias("fp")).unionByName(counted.where("n > 1").select("space", "fp")).distinct()
+    edges = found.select(node("a").alias("a"), node("b").alias("b")).unionByName(flat.join(linked, ["space", "fp"]).select(F.col("id").alias("a"), node("fp").alias("b")))
+    roots = components(edges)
+    members = saved(classes.drop("fps", "n1", "n2").join(roots.withColumnRenamed("node", "id"), "id").select("root", "row_id", "row_hash"), "candidates")
+    crowded = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = small(saved(members.join(crowded, "root"), "crowded-candidates"), 32)
+    left = saved(_text_rows(docs).join(wanted, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"]).mapInPandas(sets, "row_id long, row_hash long, root long, shingles array<long>"), "shingle-sets")
+    gone = [rows.join(classes.select("n1", "n2", row.alias("first")), ["n1", "n2"]).where(row != F.col("first")).select("row_id", "row_hash")]
+    while True:
+        lead = left.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
+        leaders = left.join(lead, "root").where(row == F.col("first")).select("root", "first", F.col("shingles").alias("others"))
+        both = F.size(F.array_intersect("shingles", "others"))
+        near = both >= similarity * (F.size("shingles") + F.size("others") - both)
+        compared = saved(left.join(leaders, "root").where(row != F.col("first")).select("root", "row_id", "row_hash", "shingles", near.alias("near")), "compared")
+        if compared.isEmpty():
+            break
+        gone.append(compared.where("near").select("row_id", "row_hash"))
+        left = compared.where("not near").drop("near")
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def without_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, with their columns, that resemble no kept earlier one."""
+    return _one_each(without_rows(docs, saved(similar_rows(docs, shingle, similarity), "similar-rows")))
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """docs with one of the rows that repeat both doc_id and text."""
+    keys = _text_rows(docs).drop("body")
+    if saved(keys.groupBy("row_id", "row_hash").count().where("count > 1"), "repeated-rows").isEmpty():
+        return docs
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return kept.withColumn("__row_hash", text).dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
+    return docs.withColumn("__row_hash", text).dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
