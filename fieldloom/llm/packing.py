@@ -39,8 +39,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         end = np.array([end_id], tokens.kind).tobytes()
         for pdf in it:
             out: list[tuple] = []
-            for doc_id, known, body in zip(pdf["row_id"], pdf["known"], pdf["body"]):
-                ids = np.frombuffer(tokens(body) + end, tokens.kind).astype("<u4")
+            for doc_id, known, found in zip(pdf["row_id"], pdf["known"], tokens.many(pdf["body"].tolist())):
+                ids = np.frombuffer(found + end, tokens.kind).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     out.append((doc_id if known else None, k, start, len(part), zlib.crc32(part.tobytes())))

@@ -151,11 +151,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pd.DataFrame({"value": [pack_shard(k[:, 0], k[:, 1].astype(np.uint8), k[:, 2].astype(np.uint32), ids, tokens.kind, end_id)]})
 
         for pdf in it:
-            for known, doc_id, body in zip(pdf["known"], pdf["row_id"], pdf["body"]):
+            for known, doc_id, found in zip(pdf["known"], pdf["row_id"], tokens.many(pdf["body"].tolist())):
                 key = (int(doc_id) if known else 0, int(not known))
                 occurrence = occurrence + 1 if key == last else 0
                 last = key
-                ids.append(tokens(body) + end)
+                ids.append(found + end)
                 keys.append((*key, occurrence))
                 size += len(ids[-1])
                 if size >= shard_bytes:

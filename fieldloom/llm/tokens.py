@@ -1,18 +1,27 @@
-"""Encoding with a public tokenizer file, word by word.
+"""Encoding with a public tokenizer file, run by run.
 
-The tokenizers in use never merge over white space: their normalizers and splitting patterns treat each piece between
-ASCII white space alone. So the ids of a text are the ids of these pieces, one after the other, and a piece that was
-seen before is looked up. Every piece is still encoded by the tokenizers library itself.
+The tokenizers in use never merge over white space, nor (their splitting pattern) over the border between letters and
+ASCII characters that are neither letters nor apostrophes. So the ids of a plain text, of ASCII and Latin letters, are
+the ids of its runs of letters and of other characters, one after the other. Pieces and runs seen before are looked
+up; new runs of letters are encoded many at a time, and the end-of-word ids part them again. Any other text (apostrophes, special
+tokens, marks, other scripts) is parted at white space only. Every id comes from the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Pieces that a worker keeps, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_BYTES = 300_000, 48
+#: Runs and pieces (each) that a worker keeps, and the longest piece that it keeps.
+KEPT, KEPT_BYTES = 500_000, 48
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 128, 2000
+RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff ]+| ")
+#: Bytes of a plain text: ASCII without the apostrophe, and those of the letters U+00C0 to U+017F ...
+PLAIN = bytes(b for b in range(128) if b != 0x27) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
+#: ... less special tokens, the signs among these letters, and the capital whose lower case has a mark.
+NOT_PLAIN = (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 
 
 class Encoder:
@@ -21,30 +30,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 0xFF00 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # text may be lower-cased and parted early only for tokenizers that do the same
+        self.parts = self.ends.any() and self._encode([b"Aa"]) == self._encode([b"aa"])
+        self.border = b"\xff" * self.kind.itemsize  # no id, at whatever byte it is looked for
+        self.runs: dict[bytes, bytes] = {}
+        self.plain: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in pieces], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def __call__(self, text: bytes) -> bytes:
-        """The ids of a UTF-8 text, little-endian, of the type in kind."""
-        pieces = text.split()
-        kept = self.kept
-        try:
-            return b"".join([kept[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in kept]
-        long: dict[bytes, bytes] = {}
-        for p, ids in zip(new, self._encode(new)):
-            (kept if len(p) <= KEPT_BYTES else long)[p] = ids
-        out = b"".join([long[p] if p in long else kept[p] for p in pieces] if long else [kept[p] for p in pieces])
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Runs of letters: one end-of-word id each."""
+        out: list[bytes] = []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self._encode(some)
+        return out
+
+    def _learn_plain(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of plain texts, from those of their runs."""
+        runs, known = RUNS.findall(b" ".join(pieces)), self.runs
+        new = [r for r in set(runs) if r not in known]
+        words = [r for r in new if r[0] >= 128 or r.isalpha()]
+        known.update(zip(words, self._encode_words(words)))
+        rest = [r for r in new if r not in known]
+        known.update(zip(rest, self._encode(rest)))
+        known[b" "] = self.border
+        out = b"".join([known[r] for r in runs]).split(self.border)
+        if len(known) > KEPT:
+            known.clear()
+        return out
+
+    def _look_up(self, parted: list[list[bytes]], known: dict[bytes, bytes], learn) -> list[bytes]:
+        """The ids of texts that are parted into pieces."""
+        if new := [p for p in set().union(*parted) if p not in known]:
+            known.update(zip(new, learn(new)))
+        out = [b"".join([known[p] for p in pieces]) for pieces in parted]
+        for p in new:
+            if len(p) > KEPT_BYTES:
+                del known[p]
+        if len(known) > KEPT:
+            known.clear()
         return out
 
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of UTF-8 texts, little-endian, of the type in kind."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[i : i + TEXTS_AT_ONCE]
+            plain = [self.parts and not t.translate(None, PLAIN) and not any(x in t for x in NOT_PLAIN) for t in some]
+            first = iter(self._look_up([t.lower().split() for t, p in zip(some, plain) if p], self.plain, self._learn_plain))
+            other = iter(self._look_up([t.split() for t, p in zip(some, plain) if not p], self.pieces, self._encode))
+            out += [next(first if p else other) for p in plain]
+        return out
+
+    def __call__(self, text: bytes) -> bytes:
+        return self.many([text])[0]
+
 
 _encoders: dict[str, Encoder] = {}
 
