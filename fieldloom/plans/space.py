@@ -51,7 +51,7 @@ def resolve(summary: DataFrame, lexicon: Lexicon | None, max_names: int = 256) -
         return raw.select("raw_path", F.col("raw_path").alias("path"), F.lit("original").alias("relation")), spark.createDataFrame([], "warning string")
     raw = stored(raw, "raw-paths")
     sets = stored(summary.where("what = 'names' and size(items) > 1").select("path", "items"), "name-sets")
-    depth = raw.agg(F.max(F.size("raw_path"))).first()[0] or 0  # at most the depth limit
+    depth = raw.agg(F.max(F.size("raw_path"))).first()[0] or 1  # at most the depth limit
     known = spark.createDataFrame([([], [])], "raw_path array<string>, path array<string>")
     levels, overflow = [], []
     for size in range(1, depth + 1):
@@ -81,7 +81,7 @@ def canonical_shapes(summary: DataFrame, paths: DataFrame, identity: bool) -> Da
         children = F.transform("below", lambda c: F.struct(F.concat("raw_path", F.array(c["name"])).alias("path"), c["shape"].alias("variant_id")))
         return raw.select("raw_path", "raw_shape", F.col("raw_path").alias("path"), F.col("raw_shape").alias("variant_id"), "kind", children.alias("children"), "n")
     raw = stored(raw.join(paths.select("raw_path", "path"), "raw_path"), "raw-shapes")
-    deepest = raw.agg(F.max(F.size("raw_path"))).first()[0] or 0
+    deepest = raw.agg(F.max(F.size("raw_path"))).first()[0] or 1
     done: DataFrame | None = None
     levels = []
     for size in range(deepest, 0, -1):
