@@ -14,7 +14,8 @@ labelled rows, calibrates it. The evidence lists the nearest examples.
 Labels are learnt only from rows outside the held-out fold (crc32 of the id, modulo 5, is 0). Only the text is scored.
 
 Nulls: a null text is empty; an empty text (or one without any term) has no neighbour and gets the calibrated prior;
-a null doc_id is not held out. Repeated rows get equal scores. With no usable label the score is the prior 0.
+a null doc_id is not held out. Repeated rows get equal scores. Labels of one class only, or none, tell nothing: then
+every score is (nearly) 0.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ class Model:
             raw.append(self.vote(near))
             y.append(label)
             w.append(weights[1] if label > 0.5 else weights[0])
-        self.slope, self.shift = logistic(np.array(raw), np.array(y), np.array(w)) if len(set(y)) > 1 else (0.0, -30.0 if not self.prior else 30.0)
+        self.slope, self.shift = logistic(np.array(raw), np.array(y), np.array(w)) if len(set(y)) > 1 else (0.0, -30.0)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
