@@ -111,13 +111,13 @@ class Model:
         self.y = np.array([e[2] for e in examples])
         self.index = BlockMaxIndex([self.vector(e[1]) for e in examples], len(terms))
         self.prior = float(np.average(self.y, weights=np.where(self.y > 0.5, weights[1], weights[0]))) if len(self.y) else 0.0
-        raw, y, w = [], [], []
+        raw, y, w = [self.vote([])], [0.0], [1.0]  # one clean text without evidence, so that even labels don't condemn all
         for i, (_, counts, label) in enumerate(examples):
             near = [(j, s) for j, s in self.index.nearest(self.vector(counts), NEIGHBOURS + 1) if j != i][:NEIGHBOURS]
             raw.append(self.vote(near))
             y.append(label)
             w.append(weights[1] if label > 0.5 else weights[0])
-        self.slope, self.shift = logistic(np.array(raw), np.array(y), np.array(w)) if len(set(y)) > 1 else (0.0, -30.0)
+        self.slope, self.shift = logistic(np.array(raw), np.array(y), np.array(w)) if len({e[2] > 0.5 for e in examples}) > 1 else (0.0, -30.0)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         v = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
