@@ -39,7 +39,7 @@ def folder_of(spark, tmp, rows=ROWS, benchmark=((1, PASSAGE), (2, None), (None,
     docs = spark.createDataFrame([(i, t, g, "clash", 0, 1, "s", 7) for i, t, g in rows], "doc_id long, text string, lang string, word string, n long, pos int, spans string, n_chars long")
     docs.write.parquet(f"{tmp}/documents.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{tmp}/benchmark.parquet")
-    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (6, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (6, None, None), (99, 1, 1), (7, 1, 0), (4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
     spark.createDataFrame([(i, "u", t, "x") for i, t, _ in rows], "page_id long, url string, html string, payload string").write.parquet(f"{tmp}/pages.parquet")
     return str(tmp)
 
