@@ -7,6 +7,7 @@ import datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..sources.documents import XSI
 
@@ -16,7 +17,7 @@ DRAFT_TYPES = {"double": "number", "dateTime": "datetime"}
 SIMPLE_TYPES = ("null", "boolean", "integer", "decimal", "number", "date", "datetime", "string")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())  # an object, not a DDL string: that would need a session on import
 def _iso_time(text: pd.Series) -> pd.Series:
     def reads(t: str | None) -> bool:
         try:

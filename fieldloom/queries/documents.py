@@ -11,7 +11,9 @@ from ..plans import space
 from ..sources import documents as sources
 from .rendered import conversation_json, customer_yaml, event_json, order_json, order_xml, table
 
-PATH = F.array_join("path", "/").alias("path")
+
+def _path():
+    return F.array_join("path", "/").alias("path")
 
 
 def _space(docs: DataFrame) -> space.Space:
@@ -20,14 +22,14 @@ def _space(docs: DataFrame) -> space.Space:
 
 def fields(render):
     def query(spark, sf_dir: str) -> DataFrame:
-        return _space(render(spark, sf_dir)).fields.select(PATH, "name", "occurrences", "parent_occurrences", "presence_count", "presence_probability")
+        return _space(render(spark, sf_dir)).fields.select(_path(), "name", "occurrences", "parent_occurrences", "presence_count", "presence_probability")
 
     return query
 
 
 def distribution(render, dimension: str):
     def query(spark, sf_dir: str) -> DataFrame:
-        return _space(render(spark, sf_dir)).distributions.where(F.col("dimension") == dimension).select(PATH, "value", "count", "total", "probability")
+        return _space(render(spark, sf_dir)).distributions.where(F.col("dimension") == dimension).select(_path(), "value", "count", "total", "probability")
 
     return query
 
@@ -36,7 +38,7 @@ def a9_variants(spark, sf_dir: str) -> DataFrame:
     """Variants by the names that they hold (ids are hashes, so they are counted, not compared)."""
     v = _space(conversation_json(spark, sf_dir)).variants
     held = F.array_join(F.array_sort(F.array_distinct(F.transform("children", lambda c: F.element_at(c["path"], -1)))), ",")
-    return v.select(PATH, "kind", held.alias("held"), "count").groupBy("path", "kind", "held").agg(F.count("*").alias("variants"), F.sum("count").alias("count"))
+    return v.select(_path(), "kind", held.alias("held"), "count").groupBy("path", "kind", "held").agg(F.count("*").alias("variants"), F.sum("count").alias("count"))
 
 
 def a10_roots(spark, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def a10_roots(spark, sf_dir: str) -> DataFrame:
 def a11_sources(spark, sf_dir: str) -> DataFrame:
     docs = order_json(spark, sf_dir)
     observed = sources.errors(sources.observations(docs))[0]
-    return space.sources(observed, _space(docs)).select(PATH, "doc_id", F.array_join("position", ".").alias("position"), "name", "representation")
+    return space.sources(observed, _space(docs)).select(_path(), "doc_id", F.array_join("position", ".").alias("position"), "name", "representation")
 
 
 def a12_summary(spark, sf_dir: str) -> DataFrame:
