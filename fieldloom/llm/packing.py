@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
                     out.append((doc_id if known else None, k, start, len(part), zlib.crc32(part.tobytes())))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
+        tokens.forget()
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc_id = F.col("doc_id").cast("long")

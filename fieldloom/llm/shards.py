@@ -161,6 +161,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 if size >= shard_bytes:
                     yield shard()
                     ids, keys, size = [], [], 0
+        tokens.forget()
         if ids:
             yield shard()
 

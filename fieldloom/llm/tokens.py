@@ -3,8 +3,9 @@
 The tokenizers in use never merge over white space, nor (their splitting pattern) over the border between letters and
 ASCII characters that are neither letters nor apostrophes. So the ids of a plain text, of ASCII and Latin letters, are
 the ids of its runs of letters and of other characters, one after the other. Pieces and runs seen before are looked
-up; new runs of letters are encoded many at a time, and the end-of-word ids part them again. Any other text (apostrophes, special
-tokens, marks, other scripts) is parted at white space only. Every id comes from the tokenizers library itself.
+up; new runs of letters are encoded many at a time, and the end-of-word ids part them again. Any other text
+(apostrophes, special tokens, marks, other scripts) is parted at white space only. Every id comes from the tokenizers
+library itself.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import re
 
 import numpy as np
 
-#: Runs and pieces (each) that a worker keeps, and the longest piece that it keeps.
-KEPT, KEPT_BYTES = 500_000, 48
+#: Runs and pieces (each) that a task keeps, and the longest piece that it keeps.
+KEPT, KEPT_BYTES = 300_000, 48
 TEXTS_AT_ONCE, WORDS_AT_ONCE = 128, 2000
 RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff ]+| ")
 #: Bytes of a plain text: ASCII without the apostrophe, and those of the letters U+00C0 to U+017F ...
@@ -96,6 +97,10 @@ class Encoder:
             out += [next(first if p else other) for p in plain]
         return out
 
+    def forget(self) -> None:
+        """Give the memory of what was looked up back; workers live on after a task."""
+        self.runs, self.plain, self.pieces = {}, {}, {}
+
     def __call__(self, text: bytes) -> bytes:
         return self.many([text])[0]
 

@@ -36,7 +36,7 @@ PER_CLASS, MAX_TERMS, MAX_CHARS = 2500, 1024, 100_000
 NEIGHBOURS, BLOCK, PRIOR_VOTE = 15, 64, 0.3
 PREFIXES = range(4, 9)
 WORD = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 200_000
+KEPT_WORDS, HELD_TERMS = 60_000, 150_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -160,6 +160,9 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 def choose_terms(sample: DataFrame, max_terms: int) -> list[str]:
     """Terms with a larger share of toxic examples than all examples have, the surest first."""
 
+    def counted(total: Counter, toxic: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"term": list(total), "n": list(total.values()), "toxic": [toxic[t] for t in total]}).astype({"term": object, "n": "int64", "toxic": "int64"})
+
     def distinct(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             total: Counter = Counter()
@@ -169,7 +172,10 @@ def choose_terms(sample: DataFrame, max_terms: int) -> list[str]:
                 total.update(found)
                 if y > 0.5:
                     toxic.update(found)
-            yield pd.DataFrame({"term": list(total), "n": list(total.values()), "toxic": [toxic[t] for t in total]})
+                if len(total) > HELD_TERMS:
+                    yield counted(total, toxic)
+                    total, toxic = Counter(), Counter()
+            yield counted(total, toxic)
 
     size = sample.agg(F.count("*"), F.sum((F.col("y") > 0.5).cast("long"))).first()
     if not size[0] or not size[1]:
