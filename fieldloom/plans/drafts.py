@@ -154,7 +154,9 @@ def manifest(found: DataFrame, drafted: DataFrame) -> DataFrame:
     formats = drafted.agg(F.array_sort(F.collect_set("format")).alias("formats"), F.count("*").alias("documents"), F.count("error").alias("errors"))
     top = found.agg(F.min(F.struct((-F.col("count")).alias("n"), "id")).alias("top"), F.count("*").alias("alternatives"))
     syntax = F.when(F.array_contains("formats", "xml"), "xml").when(F.array_contains("formats", "json"), "json").otherwise("yaml")
-    return formats.join(top).select("formats", syntax.alias("syntax"), "documents", "errors", "alternatives", F.col("top.id").alias("suggested"), (-F.col("top.n")).alias("suggested_count"))
+    both = formats.unionByName(top, allowMissingColumns=True)
+    whole = both.agg(*[F.max(c).alias(c) for c in both.columns])  # each column is set in one of the two rows
+    return whole.select("formats", syntax.alias("syntax"), "documents", "errors", "alternatives", F.col("top.id").alias("suggested"), (-F.col("top.n")).alias("suggested_count"))
 
 
 def exploded(graphs: DataFrame) -> dict[str, DataFrame]:

@@ -130,13 +130,20 @@ def build(summary: DataFrame, lexicon: Lexicon | None = None, max_names: int = 2
     for p in parts[1:]:
         all_parts = all_parts.unionByName(p.select(*columns))
     variants = shapes.groupBy("path", "variant_id", "kind", "children").agg(F.sum("n").alias("count"))
-    totals = documents.crossJoin(fields.agg(F.count("*").alias("fields"))).crossJoin(warnings.agg(F.array_sort(F.collect_set("warning")).alias("warnings")))  # one row each
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    totals = (
+        documents.select("documents", zero.alias("fields"), none.alias("warning"))
+        .unionByName(fields.select(zero.alias("documents"), one.alias("fields"), none.alias("warning")))
+        .unionByName(warnings.select(zero.alias("documents"), zero.alias("fields"), "warning"))
+        .agg(F.sum("documents").alias("documents"), F.sum("fields").alias("fields"), F.array_sort(F.collect_set("warning")).alias("warnings"))
+    )
     return Space(totals, fields, with_share(all_parts, "path", "dimension"), with_share(variants, "path"), paths, shapes)
 
 
 def roots(space: Space) -> DataFrame:
     """Whole-document alternatives: path, variant_id, count, total (documents), probability."""
-    return space.variants.where(F.size("path") == 1).drop("total", "probability").withColumn("total", F.sum("count").over(Window.partitionBy())).withColumn("probability", F.col("count") / F.col("total"))
+    documents = F.lit(space.summary.first()["documents"])
+    return space.variants.where(F.size("path") == 1).withColumn("total", documents).withColumn("probability", F.col("count") / documents)
 
 
 def sources(observed: DataFrame, space: Space) -> DataFrame:
@@ -147,8 +154,10 @@ def sources(observed: DataFrame, space: Space) -> DataFrame:
 
 def suggested(variants: DataFrame, *keys: str) -> DataFrame:
     """The most frequent alternative of each group, ties by id."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "variant_id") if keys else Window.orderBy(F.desc("count"), "variant_id")
-    return variants.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    order = [F.desc("count"), F.col("variant_id")]
+    if not keys:
+        return variants.orderBy(*order).limit(1)
+    return variants.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rank = 1").drop("rank")
 
 
 def serialized(space: Space) -> DataFrame:

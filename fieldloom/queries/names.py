@@ -77,7 +77,9 @@ def j3_violations(spark, sf_dir: str) -> DataFrame:
     found = found.unionByName(checks.space_violations(s.fields, s.variants, docs.count(), src))
     lost = checks.unreachable_variants(s.variants).select(F.lit("unreachable").alias("check"), F.array_join("path", "/").alias("key"), F.col("variant_id").alias("detail"))
     every = found.unionByName(lost)
-    return every.groupBy().agg(F.count("*").alias("violations")).join(s.summary.select("documents"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = every.select(one.alias("violations"), zero.alias("documents")).unionByName(s.summary.select(zero.alias("violations"), "documents"))
+    return both.agg(F.sum("violations").alias("violations"), F.sum("documents").alias("documents"))
 
 
 def j1_annotations(spark, sf_dir: str) -> DataFrame:
