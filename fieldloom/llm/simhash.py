@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, discard, saved, small, table, without_rows
@@ -256,38 +256,46 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_B
     return _one_each(without_rows(docs, later))
 
 
-# ---- near duplicates by similarity: fingerprints find candidates, word shingles decide
+# ---- near duplicates by similarity: an exact prefix-filter join over word shingles
 
-SIMILARITY, SIMILAR_SHINGLE, VIEWS, VIEW_BITS = 0.8, 5, 12, 3
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+#: How much is worked out at once; these change the effort, never the result. One text of SAMPLE tells which shingles
+#: are frequent, at most FREQUENT of them are told apart, and pairs are listed once they are PAIRS_A_ROW for each row (or LEAST_PAIRS), or after LEADER_ROUNDS.
+SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS = 16, 1 << 19, 16, 100_000, 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
+ROW = ["row_id", "row_hash"]
 
 
-def view_fingerprints(words: list[bytes], views: int) -> np.ndarray:
-    """SimHashes of the distinct words under several hash functions. A changed word changes one feature of a text, but
-    five of its shingles, so near copies differ in far fewer bits here."""
-    from xxhash import xxh64_digest
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; of fewer words, of the whole sequence."""
+    from xxhash import xxh64_intdigest
 
-    if not words:
-        return np.zeros(views, np.int64)
-    seeds = (np.arange(1, views + 1, dtype=np.uint64) * STEP)[:, None]
-    h = np.frombuffer(b"".join([xxh64_digest(w, SEED) for w in words]), "<u8")
-    ones = np.zeros((views, 64), np.int64)
+    h = np.array([xxh64_intdigest(w, SEED) for w in words] or [0], np.uint64)
+    k = min(shingle, len(h))
+    n = len(h) - k + 1
+    x = np.full(n, len(words) and k, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(h), 4096):
-            x = h[None, i : i + 4096] ^ seeds
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-            ones += np.unpackbits(x.view(np.uint8).reshape(views, -1, 8), axis=2).sum(1, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+        for i in range(k):
+            x = (x ^ h[i : i + n]) * STEP
+            x ^= x >> np.uint64(29)
+    return np.unique(x.view(np.int64))
 
 
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles; of fewer words, of the whole sequence."""
-    from xxhash import xxh64_digest
+def _rest(n, similarity: float):
+    """How many of the n shingles of a text come after its prefix."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
 
-    grams = {b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))} or {b" ".join(words)}
-    return np.unique(np.frombuffer(b"".join([xxh64_digest(g, SEED) for g in grams]), "<i8"))
+
+def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the order (times, shingle). Two texts that share none of them share fewer than similarity
+    times the shingles of the one whose prefix ends first, so they don't resemble each other."""
+    n = len(shingles)
+    size = int(n - _rest(np.array(n), similarity))
+    if not len(known):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    often = np.where(known[at] == shingles, times[at], 0)
+    return shingles[np.argsort(often, kind="stable")[:size]]
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -296,51 +304,115 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row_id.alias("row_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("body"))
 
 
-def similar_rows(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, views: int = VIEWS, max_bits: int = VIEW_BITS) -> DataFrame:
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (sorted) that a sample of the texts repeats most, and how often."""
+
+    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = [shingle_set(b.lower().split(), shingle) for b in pdf["body"]]
+            if found:
+                yield pd.DataFrame({"shingle": np.concatenate(found)})
+
+    some = texts.where(F.pmod("row_hash", F.lit(SAMPLE)) == 0).mapInPandas(sets, "shingle long")
+    counted = saved(some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"), "frequent-shingles")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("shingles")).collect(), reverse=True):
+        total += r.shingles
+        if total > FREQUENT:
+            break
+        least = r.n
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counted.where(F.col("n") >= least).toPandas().sort_values("shingle")
+    return top["shingle"].to_numpy(), top["n"].to_numpy()
+
+
+def similar_rows(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """row_id, row_hash of the rows that a kept, earlier row equals or resembles by similarity (Jaccard) or more.
 
-    Texts of equal words are one class. Classes whose fingerprints link in any view are candidates; within each
-    component of candidates the first row is compared with all others by its shingles, those that resemble it go, and
-    so on with the first of the rest, until each row is kept or has gone. No two rows of different components meet."""
+    Texts of equal words are one class, met through its first row. The index holds the prefix of each class in one
+    global order of shingles, seldom ones first (see prefix), so every pair that resembles stands at some shingle
+    together. Lengths and the number of shared prefix shingles bound what a pair can share; pairs that pass are
+    compared by all their shingles.
 
-    def prints(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    As long as the index holds too many pairs to list (large groups of near copies), the rows that come first at all
+    their shingles are settled: no earlier row can resemble them, so they stay, and what resembles them goes. Then the
+    pairs that are left are listed, and of each the later row goes if the earlier one stays."""
+
+    def classes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_intdigest
 
         for pdf in it:
-            words = [b.lower().split() for b in pdf.pop("body")]
-            whole = [xxh3_128_intdigest(b" ".join(w)) for w in words]
+            whole = [xxh3_128_intdigest(b" ".join(b.lower().split())) for b in pdf.pop("body")]
             half = lambda x: x - (1 << 64) if x >> 63 else x
-            yield pdf.assign(n1=[half(x >> 64) for x in whole], n2=[half(x & (1 << 64) - 1) for x in whole], fps=[view_fingerprints(list(set(w)), views) for w in words])
+            yield pdf.assign(n1=[half(x >> 64) for x in whole], n2=[half(x & (1 << 64) - 1) for x in whole])
+
+    def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times = frequent.value
+        for pdf in it:
+            sets = [shingle_set(b.lower().split(), shingle) for b in pdf["body"]]
+            found = [prefix(s, known, times, similarity) for s in sets]
+            if found:
+                many = [len(p) for p in found]
+                yield pd.DataFrame({"shingle": np.concatenate(found), **{c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}, "n": np.repeat([len(s) for s in sets], many)})
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pdf.assign(shingles=[shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")])
 
-    row = F.struct("row_id", "row_hash")
-    rows = saved(_text_rows(docs).mapInPandas(prints, "row_id long, row_hash long, n1 long, n2 long, fps array<long>"), "views")
-    classes = saved(rows.groupBy("n1", "n2").agg(F.min(F.struct("row_id", "row_hash", "fps")).alias("f")).select("n1", "n2", F.xxhash64("n1", "n2").alias("id"), F.col("f.row_id").alias("row_id"), F.col("f.row_hash").alias("row_hash"), F.col("f.fps").alias("fps")), "classes")
-    flat = classes.select("id", F.posexplode("fps").alias("space", "fp")).select("id", F.col("space").cast("long").alias("space"), "fp")
-    counted = saved(flat.groupBy("space", "fp").agg(F.count("*").alias("n")), "view-fingerprints")
-    found = saved(links(counted.select("space", "fp"), max_bits), "view-links")
-    node = lambda c: F.xxhash64("space", c)  # noqa: E731  two nodes of one hash only widen a component
-    linked = found.select("space", F.explode(F.array("a", "b")).alias("fp")).unionByName(counted.where("n > 1").select("space", "fp")).distinct()
-    edges = found.select(node("a").alias("a"), node("b").alias("b")).unionByName(flat.join(linked, ["space", "fp"]).select(F.col("id").alias("a"), node("fp").alias("b")))
-    roots = components(edges)
-    members = saved(classes.drop("fps", "n1", "n2").join(roots.withColumnRenamed("node", "id"), "id").select("root", "row_id", "row_hash"), "candidates")
-    crowded = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    wanted = small(saved(members.join(crowded, "root"), "crowded-candidates"), 32)
-    left = saved(_text_rows(docs).join(wanted, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash"]).mapInPandas(sets, "row_id long, row_hash long, root long, shingles array<long>"), "shingle-sets")
-    gone = [rows.join(classes.select("n1", "n2", row.alias("first")), ["n1", "n2"]).where(row != F.col("first")).select("row_id", "row_hash")]
-    while True:
-        lead = left.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-        leaders = left.join(lead, "root").where(row == F.col("first")).select("root", "first", F.col("shingles").alias("others"))
+    row, other = F.struct(*ROW), ["first_id", "first_hash"]
+    texts = _text_rows(docs)
+    rows = saved(texts.mapInPandas(classes, "row_id long, row_hash long, n1 long, n2 long"), "text-classes")
+    firsts = small(saved(rows.groupBy("n1", "n2").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated-classes"), 48)
+    equal = saved(rows.join(firsts, ["n1", "n2"]).where(row != F.col("first")).select(*ROW).distinct(), "equal-rows")
+    texts = texts.join(small(equal, 24), ROW, "left_anti")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
+    rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+
+    def crowded(index: DataFrame) -> DataFrame:
+        """The index less shingles of one row, with the number of rows at each shingle and the first of them."""
+        here = Window.partitionBy("shingle")
+        return saved(index.select("shingle", *ROW, "n", F.count("*").over(here).alias("size"), F.min(F.struct(*ROW, "n")).over(here).alias("first")).where("size > 1"), "prefix-index")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (first_id, first_hash, first_n, row_id, row_hash, n; one row for each shared shingle) that resemble."""
+        shared = pairs.groupBy(*other, "first_n", *ROW, "n").agg(F.count("*").alias("common"))
+        enough = F.col("common") + F.greatest(rest("n"), rest("first_n")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first_n")) - 1e-6
+        chosen = saved(shared.where(enough).select(*other, *ROW), "candidates")
+        ids = saved(chosen.select(*ROW).unionByName(chosen.select(*[F.col(c).alias(r) for c, r in zip(other, ROW)])).distinct(), "candidate-rows")
+        known = saved(texts.join(small(ids, 24), ROW, "left_semi").dropDuplicates(ROW).mapInPandas(sets, "row_id long, row_hash long, shingles array<long>"), "shingle-sets")
+        met = chosen.join(known, ROW).join(known.select(*[F.col(r).alias(c) for c, r in zip(other, ROW)], F.col("shingles").alias("others")), other)
         both = F.size(F.array_intersect("shingles", "others"))
-        near = both >= similarity * (F.size("shingles") + F.size("others") - both)
-        compared = saved(left.join(leaders, "root").where(row != F.col("first")).select("root", "row_id", "row_hash", "shingles", near.alias("near")), "compared")
-        if compared.isEmpty():
+        return saved(met.where(both >= similarity * (F.size("shingles") + F.size("others") - both)).select(*other, *ROW), "similar-pairs")
+
+    def without(index: DataFrame, *settled: DataFrame) -> DataFrame:
+        for s in settled:
+            index = index.join(small(s, 24), ROW, "left_anti")
+        return index
+
+    long_enough = F.least("n", "first_n") >= F.lit(similarity) * F.greatest("n", "first_n") - 1e-6
+    index = crowded(texts.mapInPandas(prefixes, "shingle long, row_id long, row_hash long, n long"))
+    gone = [equal]
+    for _ in range(LEADER_ROUNDS):
+        held = index.agg(F.count("*").alias("rows"), F.sum((F.col("size") - 1) / 2).alias("pairs")).first()
+        if (held.pairs or 0) <= PAIRS_A_ROW * held.rows + LEAST_PAIRS:
             break
-        gone.append(compared.where("near").select("row_id", "row_hash"))
-        left = compared.where("not near").drop("near")
+        ahead = F.struct("first.row_id", "first.row_hash")
+        leaders = saved(index.groupBy(*ROW).agg(F.min(row == ahead).alias("leads")).where("leads").select(*ROW), "leaders")
+        met = index.where(row != ahead).select(F.col("first.row_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"), F.col("first.n").alias("first_n"), *ROW, "n")
+        led = met.join(small(leaders.select(*[F.col(r).alias(c) for c, r in zip(other, ROW)]), 24), other, "left_semi")
+        later = saved(near(led.where(long_enough)).select(*ROW).distinct(), "similar-rows")
+        gone.append(later)
+        index = crowded(without(index, leaders, later))
+    listed = index.select("shingle", *ROW, "n").join(index.select("shingle", F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash"), F.col("n").alias("first_n")), "shingle")
+    left = near(listed.where((F.struct(*other) < row) & long_enough))
+    while not left.isEmpty():
+        firsts = left.select(*[F.col(c).alias(r) for c, r in zip(other, ROW)]).distinct().join(left.select(*ROW).distinct(), ROW, "left_anti")
+        kept = small(saved(firsts, "kept-rows"), 24).withColumnsRenamed(dict(zip(ROW, other)))
+        later = saved(left.join(kept, other, "left_semi").select(*ROW).distinct(), "similar-rows")
+        gone.append(later)
+        dropped = small(later, 24)
+        left = saved(left.join(dropped, ROW, "left_anti").join(dropped.withColumnsRenamed(dict(zip(ROW, other))), other, "left_anti"), "similar-pairs")
     out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)

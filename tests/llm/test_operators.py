@@ -202,6 +202,33 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in simhash.without_similar(docs).collect()) == [1, 4, 5, 6]
 
 
+@pytest.mark.parametrize("by_leaders", [False, True])
+def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
+    """Truncated, extended and edited copies, copies of copies and common lines, against every pair."""
+    if by_leaders:
+        for name, value in (("PAIRS_A_ROW", 0), ("LEAST_PAIRS", 0), ("LEADER_ROUNDS", 3)):
+            monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    texts = [t.lower().split() for _, t in given if t and 60 <= len(t.split()) <= 400][:50]
+    common = [f"c{i}" for i in range(40)]
+    made = list(texts)
+    for i, words in enumerate(texts):
+        n = len(words)
+        edited = list(words)
+        edited[n // 3] = edited[n // 2] = "edited"
+        made += [words[: int(n * rng.uniform(0.8, 0.95))], words + texts[i - 1][: int(n * rng.uniform(0.02, 0.24))], edited, words[n // 10 :], common + texts[i - 2][:9]]
+    made += [common + [f"x{k}" for k in range(j)] for j in range(30)]
+    order = rng.permutation(len(made))
+    rows = [(int(k), " ".join(made[i])) for k, i in enumerate(order)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    kept = []
+    for k, s in enumerate(sets):
+        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in kept):
+            kept.append(k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_similar(docs).collect()) == kept
+
+
 def test_pii(spark, sf_dir, given):
     t = pii.Tagger()
     rng = np.random.default_rng(0)
