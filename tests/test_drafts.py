@@ -60,6 +60,25 @@ def test_replay(spark):
     assert final["nodes"][final["rootNodeId"]]["properties"]["totalItems"] == 3
 
 
+def test_replay_holds_no_whole_log(spark):
+    """Receipts come batch by batch, and graph, revision and accepted ids pass from one batch to the next."""
+    text = drafts.draft_json('{"a": 1}')
+    rows = [(s, i, f"m{i // 2}", f"s{i // 2 + 1}", json.dumps([rename("member-1", f"n{i // 2}")])) for s in (3, 5, 9) for i in reversed(range(40))]
+    log = spark.createDataFrame(rows, "schema_id long, seq long, mutation_id string, base_revision string, operations string")
+    graphs = spark.createDataFrame([(s, text) for s in (3, 9, 11)], "schema_id long, graph string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        receipts, after = changes.replayed(graphs, log)
+        got = sorted((r.schema_id, r.seq, r.outcome, r.revision) for r in receipts.collect())
+        ends = {r.schema_id: r.revision for r in after.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = lambda s: [(s, i, "replayed" if i % 2 else "accepted", f"s{i // 2 + 2}") for i in range(40)]
+    assert got == known(3) + [(5, i, "no_schema", None) for i in range(40)] + known(9)
+    assert ends == {3: "s21", 9: "s21", 11: "s1"}
+    assert "CoGroup" not in receipts._jdf.queryExecution().toString()
+
+
 def test_tables_round_trip(spark):
     text = drafts.draft_json('{"a": [1, {"z": 1}], "b": {"c": 2}}')
     tables = drafts.exploded(spark.createDataFrame([(1, text)], "schema_id long, graph string"))
