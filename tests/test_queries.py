@@ -51,3 +51,20 @@ def test_streams_add_up(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(incremental_summaries(stream)) == key(documents.summaries(spark.createDataFrame(rows, schema)))
+
+
+def test_streams_go_on_in_their_folder(spark, tmp_path):
+    """A second run over one folder adds to the first, and a run without new files gives the same again."""
+    from fieldloom.sources import documents
+    from fieldloom.streaming.jobs import incremental_summaries, latest
+
+    rows = [(i, "json", f'{{"a": {i}, "b": "x"}}') for i in range(6)]
+    schema = "doc_id long, format string, content string"
+    key = lambda df: sorted(map(str, df.collect()))
+    source, folder, counts = f"{tmp_path}/in", f"{tmp_path}/sums", f"{tmp_path}/counts"
+    for k, upto in enumerate((3, 6, 6)):
+        if k < 2:
+            spark.createDataFrame(rows[upto - 3 : upto], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert key(incremental_summaries(stream, folder)) == key(documents.summaries(spark.createDataFrame(rows[:upto], schema)))
+        assert [tuple(r) for r in latest(stream.groupBy("format").count(), counts).collect()] == [("json", upto)]
