@@ -8,7 +8,9 @@ dual-feasible functions give a lower bound of the sequences that any packing of
 - if a gap remains, its sequences with free places are opened again.
 
 The pieces of all opened sequences are exchanged (dealt anew, into fewer partitions) and packed again, until one
-partition is left or a round opens as many as it got.
+partition is left or a round opens as many as it got; the last packing stands even if it misses its bound. Every piece
+tells the bound and the number of sequences of the packing that closed its sequence, so bins - bound is known to be the
+most that a better packing of that partition could save.
 
 Nulls: a null text is empty, so the document is the end id alone; a null doc_id stays null. Repeated rows are packed
 each for itself. An empty table gives no rows.
@@ -46,7 +48,6 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
                     out.append((doc_id if known else None, k, start, len(part), zlib.crc32(part.tobytes())))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
-        tokens.forget()
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc_id = F.col("doc_id").cast("long")
@@ -98,22 +99,22 @@ def _pack(size: int, last: bool, round_no: int):
         lengths = pdf["length"].to_numpy()
         bin_of, offset = best_fit_decreasing(lengths, size)
         fill = np.bincount(bin_of, weights=lengths)
-        final = np.ones(len(fill), bool)
+        final, bound = np.ones(len(fill), bool), lower_bound(lengths, size)
         if not last:
-            if len(fill) > lower_bound(lengths, size):
+            if len(fill) > bound:
                 final = fill == size
             else:
                 final[np.argmin(fill)] = False
         sequence = (round_no << 56) + (int(pdf["group"].iloc[0]) << 20) + bin_of
-        return pdf.drop(columns=["group", "item"]).assign(sequence_id=sequence, offset=offset, final=final[bin_of])
+        return pdf.drop(columns=["group", "item"]).assign(sequence_id=sequence, offset=offset, bound=bound, bins=len(fill), final=final[bin_of])
 
     return pack
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound, bins for each piece."""
     every = saved(pieces(docs, tokenizer, length, end_id).withColumn("item", F.monotonically_increasing_id()), "pieces")
-    whole = every.where(F.col("length") == length).select(*every.drop("item").columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = every.where(F.col("length") == length).select(*every.drop("item").columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("bound"), F.lit(1).cast("long").alias("bins"))
     done = [whole]
     left = every.where(F.col("length") < length)
     count, round_no = left.count(), 0
@@ -121,7 +122,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         groups = -(-count // group_rows)
         last = groups == 1 or round_no == ROUNDS
         dealt = left.withColumn("group", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(groups)))
-        schema = f"{PIECE}, sequence_id long, offset long, final boolean"
+        schema = f"{PIECE}, sequence_id long, offset long, bound long, bins long, final boolean"
         result = saved(dealt.groupBy("group").applyInPandas(_pack(length, last, round_no), schema), "packed-round")
         done.append(result.where("final").drop("final"))
         left = result.where("not final").select(*every.drop("item").columns).withColumn("item", F.monotonically_increasing_id())

@@ -1,7 +1,7 @@
 """Token-ID output: raw ids in binary shards, each with a minimal perfect hash index for keyed access.
 
-Documents are dealt by ranges of doc_id and sorted, so shard files in order of their names hold ascending ids. A
-shard is closed when its payload passes ``shard_bytes``. It is written by Spark's own file writer (one row, one
+Documents are dealt by ranges of doc_id and sorted, and shards follow each other in the order of their first keys,
+whatever their files are called. A shard is closed when its payload passes ``shard_bytes``. It is written by Spark's own file writer (one row, one
 file), so it works on any file system that Spark writes to, and a lost task is simply run again.
 
 A shard: magic, counts, end id and seed (HEADER); displacements (int32, one for each bucket); for each slot the
@@ -137,7 +137,7 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode every text and write the shards under path; file names sort by doc_id."""
+    """Encode every text and write the shards under path."""
 
     def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = encoder(tokenizer)
@@ -161,7 +161,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 if size >= shard_bytes:
                     yield shard()
                     ids, keys, size = [], [], 0
-        tokens.forget()
         if ids:
             yield shard()
 
@@ -186,19 +185,33 @@ def read_shards(spark, path: str) -> DataFrame:
                     raise ValueError(f"{name}: the index is damaged")
                 rows = s.slots[slot]
                 ids = [s.ids[a : a + n] for a, n in zip(rows["start"].tolist(), rows["length"].tolist())]
-                out = {"shard": name.rpartition("/")[2], "doc_id": pd.array(rows["doc_id"], "Int64"), "local": rows["start"].astype(np.int64), "n_tokens": rows["length"].astype(np.int64)}
+                head = s.slots[np.flatnonzero((s.slots["start"] == 0) & (s.slots["length"] > 0))[0]]  # each holds the end id at least
+                out = {"shard": name.rpartition("/")[2], "null_key": bool(head["null"]), "first_key": int(head["doc_id"]), "copy": int(head["occurrence"])}
+                out |= {"doc_id": pd.array(rows["doc_id"], "Int64"), "local": rows["start"].astype(np.int64), "n_tokens": rows["length"].astype(np.int64)}
                 out["doc_id"][rows["null"] == 1] = pd.NA
                 yield pd.DataFrame(out | {"ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    found = saved(files.mapInPandas(look_up, "shard string, doc_id long, local long, n_tokens long, ids_crc32 long"), "shard-rows")
-    # one row a shard: at 8 MB each, the sizes of 1 TB of ids are 125,000 rows
-    shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    starts = small(saved(shards.select("shard", before.alias("before")), "shard-starts"), 120)
+    row = "shard string, null_key boolean, first_key long, copy long, doc_id long, local long, n_tokens long, ids_crc32 long"
+    found = saved(files.mapInPandas(look_up, row), "shard-rows")
+    starts = small(saved(shard_starts(found), "shard-starts"), 120)
     return found.join(starts, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def shard_starts(found: DataFrame) -> DataFrame:
+    """shard, before: the ids of all shards before it, in the order of their first keys.
+
+    Ranges of shards are summed side by side; only the sums of the ranges, one row each, meet in one window."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["null_key", "first_key", "copy"]
+    shards = found.groupBy("shard", *keys).agg(F.sum("n_tokens").alias("n"))
+    ranged = saved(shards.repartitionByRange(n, *keys).withColumn("range", F.spark_partition_id()), "shard-sizes")
+    within = F.sum("n").over(Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ranges = ranged.groupBy("range").agg(F.sum("n").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return ranged.withColumn("within", within).join(F.broadcast(ranges.select("range", earlier.alias("earlier"))), "range").select("shard", (F.col("within") + F.col("earlier")).alias("before"))
+
+
 def op2_token_ids(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path, default_path())

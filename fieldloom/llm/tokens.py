@@ -1,45 +1,131 @@
 """Encoding with a public tokenizer file, run by run.
 
-The tokenizers in use never merge over white space, nor (their splitting pattern) over the border between letters and
-ASCII characters that are neither letters nor apostrophes. So the ids of a plain text, of ASCII and Latin letters, are
-the ids of its runs of letters and of other characters, one after the other. Pieces and runs seen before are looked
-up; new runs of letters are encoded many at a time, and the end-of-word ids part them again. Any other text
-(apostrophes, special tokens, marks, other scripts) is parted at white space only. Every id comes from the tokenizers
-library itself.
+A tokenizer file whose normalizer and splitting pattern are the known ones (NORMALIZERS, PATTERN) lower-cases, drops
+white space, and never merges over the border between letters and other characters, unless an apostrophe stands there.
+So the ids of a plain text, of ASCII and Latin letters, are the ids of its runs of letters and of other characters, one
+after the other. A text is cut into runs by whole arrays of bytes, and runs of 24 bytes or fewer are looked up in a
+table of runs seen before, by all their bytes. New runs of letters are encoded many at a time, without the normalizer
+(they are lower-cased and composed already), and the end-of-word ids part them again. Any other text (special tokens,
+marks, other scripts) is parted at white space only. Texts for any other tokenizer file are encoded whole. Every id
+comes from the tokenizers library itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Runs and pieces (each) that a task keeps, and the longest piece that it keeps.
-KEPT, KEPT_BYTES = 300_000, 48
-TEXTS_AT_ONCE, WORDS_AT_ONCE = 128, 2000
-RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff ]+| ")
-#: Bytes of a plain text: ASCII without the apostrophe, and those of the letters U+00C0 to U+017F ...
-PLAIN = bytes(b for b in range(128) if b != 0x27) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
+#: Runs and pieces that a worker keeps from task to task (some 60 MB and 15 MB), and the bytes that are cut at once.
+KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 80_000, 1 << 20, 2000
+#: Bytes of a plain text: ASCII, and those of the letters U+00C0 to U+017F ...
+PLAIN = bytes(range(128)) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
 #: ... less special tokens, the signs among these letters, and the capital whose lower case has a mark.
 NOT_PLAIN = (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+#: The normalizer and the splitting pattern of the files whose texts may be parted early.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END_OF_WORD = "</w>"
+SPACE, LETTER, OTHER = 0, 1, 2
+KIND_OF_BYTE = np.full(256, OTHER, np.uint8)
+KIND_OF_BYTE[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND_OF_BYTE[[0x27, *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+#: The first n bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def parts_early(tokenizer) -> bool:
+    """Whether the file normalises and splits in the known way."""
+    said = json.loads(tokenizer.to_str())
+    steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
+    splits = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return steps == NORMALIZERS and splits[0].get("pattern") == {"Regex": PATTERN} and said["model"].get("end_of_word_suffix") == END_OF_WORD
+
+
+class RunTable:
+    """Runs of 24 bytes or fewer (as three words and a length) and their ids, in arrays with open addressing."""
+
+    def __init__(self, limit: int, kind: np.dtype):
+        self.limit, self.kind = limit, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.filled = 0, 0
+        self.keys, self.first, self.count = np.zeros((1024, 4), np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.again, self.ids = np.zeros(1024, bool), np.zeros(4096, self.kind)
+        self.slots = np.full(4096, -1, np.int32)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (keys * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)).sum(axis=1, dtype=np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(20)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each run, -1 if it isn't there."""
+        mask = len(self.slots) - 1
+        at = self._hash(keys) & mask
+        found = self.slots[at]
+        left = np.flatnonzero((found >= 0) & (self.keys[found] != keys).any(axis=1))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            found[left] = there = self.slots[at[left]]
+            left = left[(there >= 0) & (self.keys[there] != keys[left]).any(axis=1)]
+        return found
+
+    def _place(self, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = self._hash(self.keys[numbers]) & mask
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]  # of equal slots the last one wins
+            lost = self.slots[at] != numbers
+            numbers, at = numbers[lost], (at[lost] + 1) & mask
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Runs that differ from each other and aren't there yet."""
+        count = np.array([len(x) // self.kind.itemsize for x in ids], np.int32)
+        n, total = self.size + len(keys), self.filled + int(count.sum())
+        grown = lambda a, n: a if len(a) >= n else np.concatenate([a, np.zeros((max(n, 2 * len(a)) - len(a), *a.shape[1:]), a.dtype)])
+        self.keys, self.first, self.count, self.again, self.ids = grown(self.keys, n), grown(self.first, n), grown(self.count, n), grown(self.again, n), grown(self.ids, total)
+        numbers = np.arange(self.size, n, dtype=np.int32)
+        self.keys[numbers], self.count[numbers], self.again[numbers] = keys, count, False
+        self.first[numbers] = self.filled + np.cumsum(count) - count
+        self.ids[self.filled : total] = np.frombuffer(b"".join(ids), self.kind)
+        self.size, self.filled = n, total
+        if 2 * n > len(self.slots):
+            self.slots = np.full(4 << (n - 1).bit_length(), -1, np.int32)
+            numbers = np.arange(n, dtype=np.int32)
+        self._place(numbers)
+
+    def make_room(self) -> None:
+        """When the runs are too many, those that were met once only go."""
+        if self.size <= self.limit:
+            return
+        kept = np.flatnonzero(self.again[: self.size])
+        keys, ids = self.keys[kept], [self.ids[a : a + n].tobytes() for a, n in zip(self.first[kept].tolist(), self.count[kept].tolist())]
+        self.clear()
+        if len(kept) <= self.limit // 2:
+            self.add(keys, ids)
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 0xFF00 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # text may be lower-cased and parted early only for tokenizers that do the same
-        self.parts = self.ends.any() and self._encode([b"Aa"]) == self._encode([b"aa"])
-        self.border = b"\xff" * self.kind.itemsize  # no id, at whatever byte it is looked for
-        self.runs: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {}
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        self.parts = parts_early(self.tokenizer)
+        self.words = Tokenizer.from_file(path)  # for words that need no normalizer
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.runs = RunTable(KEPT_RUNS, self.kind)
         self.pieces: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
@@ -51,7 +137,7 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(words), WORDS_AT_ONCE):
             some = words[i : i + WORDS_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.words.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, self.kind)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
             if len(stops) == len(some):
                 raw = ids.tobytes()
@@ -60,51 +146,129 @@ class Encoder:
                 out += self._encode(some)
         return out
 
-    def _learn_plain(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces of plain texts, from those of their runs."""
-        runs, known = RUNS.findall(b" ".join(pieces)), self.runs
-        new = [r for r in set(runs) if r not in known]
-        words = [r for r in new if r[0] >= 128 or r.isalpha()]
-        known.update(zip(words, self._encode_words(words)))
-        rest = [r for r in new if r not in known]
-        known.update(zip(rest, self._encode(rest)))
-        known[b" "] = self.border
-        out = b"".join([known[r] for r in runs]).split(self.border)
-        if len(known) > KEPT:
-            known.clear()
-        return out
+    def _encode_runs(self, runs: list[bytes]) -> list[bytes]:
+        letters = [(97 <= r[0] <= 122 or r[0] >= 128) and b"'" not in r for r in runs]
+        words = iter(self._encode_words([r for r, a in zip(runs, letters) if a]))
+        rest = iter(self._encode([r for r, a in zip(runs, letters) if not a]))
+        return [next(words if a else rest) for a in letters]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts."""
+        whole = b" " + b" ".join(texts).lower() + b" " * 8
+        starts, ends = runs_of(whole)
+        length = ends - starts
+        short, long = np.flatnonzero(length <= 24), np.flatnonzero(length > 24)
+        self.runs.make_room()
+        keys = run_keys(whole, starts[short], ends[short])
+        found = self.runs.find(keys)
+        self.runs.again[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = {whole[a:b]: i for i, a, b in zip(new.tolist(), starts[short[new]].tolist(), ends[short[new]].tolist())}
+            self.runs.add(keys[list(at.values())], self._encode_runs(list(at)))
+            found[new] = self.runs.find(keys[new])
+        first, count = self.runs.first[found], self.runs.count[found].astype(np.int64)
+        before = np.cumsum(count) - count
+        ids = self.runs.ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
+        sizes = np.zeros(len(starts) + 1, np.int64)
+        sizes[short] = count
+        if len(long):
+            words = [whole[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            kinds = list(dict.fromkeys(words))
+            known = dict(zip(kinds, self._encode_runs(kinds)))
+            sizes[long] = [len(known[w]) // self.kind.itemsize for w in words]
+            after = np.searchsorted(short, long)
+            edge = np.append(before, len(ids))[after].tolist()
+            parts = [x for a, b, w in zip([0, *edge], edge, words) for x in (ids[a:b].tobytes(), known[w])]
+            raw = b"".join([*parts, ids[edge[-1] :].tobytes()])
+        else:
+            raw = ids.tobytes()
+        place = np.cumsum(sizes) - sizes
+        texts_at = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        cuts = (place[np.searchsorted(starts, texts_at)] * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _look_up(self, parted: list[list[bytes]], known: dict[bytes, bytes], learn) -> list[bytes]:
-        """The ids of texts that are parted into pieces."""
-        if new := [p for p in set().union(*parted) if p not in known]:
-            known.update(zip(new, learn(new)))
+    def _pieces(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of other texts, parted at white space."""
+        known = self.pieces
+        parted = [t.split() for t in texts]
+        new = [p for p in set().union(*parted) if p not in known]
+        known.update(zip(new, self._encode(new)))
         out = [b"".join([known[p] for p in pieces]) for pieces in parted]
-        for p in new:
-            if len(p) > KEPT_BYTES:
-                del known[p]
-        if len(known) > KEPT:
+        if len(known) > KEPT_PIECES:
             known.clear()
+        else:
+            for p in new:
+                if len(p) > 48:
+                    del known[p]
         return out
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         """The ids of UTF-8 texts, little-endian, of the type in kind."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), TEXTS_AT_ONCE):
-            some = texts[i : i + TEXTS_AT_ONCE]
-            plain = [self.parts and not t.translate(None, PLAIN) and not any(x in t for x in NOT_PLAIN) for t in some]
-            first = iter(self._look_up([t.lower().split() for t, p in zip(some, plain) if p], self.plain, self._learn_plain))
-            other = iter(self._look_up([t.split() for t, p in zip(some, plain) if not p], self.pieces, self._encode))
-            out += [next(first if p else other) for p in plain]
+        if not self.parts:
+            return self._encode(texts)
+        out: list[bytes] = [b""] * len(texts)
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            (plain if is_plain(t) else other).append(i)
+        for encode, which in ((self._plain, plain), (self._pieces, other)):
+            for some in bounded(which, texts):
+                for i, ids in zip(some, encode([texts[i] for i in some])):
+                    out[i] = ids
         return out
 
-    def forget(self) -> None:
-        """Give the memory of what was looked up back; workers live on after a task."""
-        self.runs, self.plain, self.pieces = {}, {}, {}
-
     def __call__(self, text: bytes) -> bytes:
         return self.many([text])[0]
 
 
+def is_plain(text: bytes) -> bool:
+    if text.translate(None, PLAIN) or any(x in text for x in NOT_PLAIN):
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def bounded(which: list[int], texts: list[bytes]) -> Iterator[list[int]]:
+    """Runs of the numbers of texts, each of about BYTES_AT_ONCE."""
+    some, size = [], 0
+    for i in which:
+        some.append(i)
+        size += len(texts[i])
+        if size >= BYTES_AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def runs_of(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of lower-cased text that begins and ends with white space."""
+    raw = np.frombuffer(whole, np.uint8)
+    kind = KIND_OF_BYTE[raw]
+    border = kind[1:] != kind[:-1]
+    quote = np.flatnonzero(raw == 0x27)
+    border[quote[kind[quote - 1] == OTHER] - 1] = False  # no border between an apostrophe and other signs
+    border[quote[kind[quote + 1] == OTHER]] = False
+    edges = np.flatnonzero(border) + 1
+    is_run = kind[edges[:-1]] != SPACE
+    return edges[:-1][is_run], edges[1:][is_run]
+
+
+def run_keys(whole: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All bytes of runs of 24 bytes or fewer, as three words, and the length."""
+    words = np.ndarray((len(whole) - 7,), "<u8", whole, 0, (1,))
+    n = ends - starts
+    keys = np.empty((len(starts), 4), np.uint64)
+    keys[:, 0] = words[starts] & FIRST[np.minimum(n, 8)]
+    keys[:, 1] = words[np.minimum(starts + 8, len(words) - 1)] & FIRST[np.clip(n - 8, 0, 8)]
+    keys[:, 2] = np.where(n > 16, words[np.maximum(ends - 8, 0)], np.uint64(0))
+    keys[:, 3] = n
+    return keys
+
+
 _encoders: dict[str, Encoder] = {}
 
 

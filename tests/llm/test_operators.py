@@ -111,6 +111,38 @@ def test_token_shards(spark, sf_dir, given):
     assert sorted(map(tuple, shards.op2_token_ids(spark, sf_dir).collect())) == want
 
 
+def test_many_shards_in_one_partition(spark):
+    """Over a thousand shards: the writer's file names no longer sort, the starts must."""
+    n = 1100
+    docs = spark.createDataFrame([(7 * i - 50, f"w{i} " * (i % 4)) for i in range(n)], "doc_id long, text string")
+    path = shards.new_path(spark, "many-shards")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        shards.write_shards(docs, path, tokens.default_path(), shard_bytes=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    start = 0
+    for r in sorted(shards.read_shards(spark, path).collect()):
+        assert r.start == start
+        start += r.n_tokens
+
+
+def test_packing_certificate(spark, sf_dir):
+    rows = packing.op8_packing(spark, sf_dir).collect()
+    assert all(r.bound <= r.bins for r in rows) and any(r.bins > 1 for r in rows)
+
+
+def test_table_of_runs_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_RUNS", 500)
+    e = tokens.Encoder(tokens.default_path())
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcdé'1,."), rng.integers(1, 30))) for _ in range(80)) for _ in range(4)]
+        want = [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert e.many([t.encode() for t in texts]) == want
+
+
 def test_shard_lookup():
     n = 997
     ids = [np.full(i % 5 + 1, i, "<u2").tobytes() for i in range(n)]
