@@ -79,6 +79,13 @@ def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def text_rows(docs: DataFrame) -> DataFrame:
+    """row_id, row_hash, body (the text in UTF-8; null: empty)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(row_id.alias("row_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("body"))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """docs with all its columns and the row key under names that tables don't use."""
     return docs.withColumns(

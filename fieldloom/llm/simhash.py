@@ -5,15 +5,18 @@ Fingerprints: words between ASCII white space, A-Z lower-cased; word shingles, r
 shingles' XXH64 (seed 42). Texts link if their fingerprints differ in ``max_bits`` bits or fewer.
 
 Search: only distinct fingerprints are searched. By the pigeonhole principle two that link agree in one of
-``max_bits + 1`` blocks of bits, so each fingerprint goes to one group for each block. In a group fingerprints are
-sorted by Gray rank, runs of 16 share an upper node that holds the bits in which all of them agree (a mask and a
-pattern), 16 nodes share a higher node, and so on. A query that differs from a node's masked pattern in more than
-``max_bits`` bits skips the whole node.
-
-A group may be hot (near copies of one page). Groups over ``group_limit`` are split by further bits until no part is
-larger; each fingerprint then also visits the parts whose bits differ from its own in max_bits at most. A
-fingerprint has a bounded number of neighbours (2,080 within two bits), so this stays in proportion to the input.
-From each part only links that span its local components are kept; large-star/small-star rounds join them.
+``max_bits + 1`` blocks of bits. For each block the whole set of fingerprints, turned so that the block stands on top,
+is sorted by Gray rank and dealt into ranges. In a range neighbours share an upper node that holds the bits in which
+both agree (a mask and a pattern), two nodes share a higher node, and so on. Nodes are joined with nodes from the
+top down: two nodes whose patterns differ in a bit of the block, or in more than ``max_bits`` bits that both have
+fixed, are pruned with all that is below them. So a range costs what its near nodes cost, not a comparison of each
+group of equal blocks.
+
+A block's value may be hot (near copies of one page). Where over ``group_limit`` fingerprints share it, they are split
+by further bits until no part is larger; each fingerprint then also visits the parts whose bits differ from its own in
+max_bits at most. A fingerprint has a bounded number of neighbours (2,080 within two bits), so this stays in
+proportion to the input. From each range only links that span its local components are kept; large-star/small-star
+rounds join them.
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other and is never a component_id. Equal and
 repeated rows share a component. An empty table gives no rows.
@@ -29,11 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, discard, saved, small, table, without_rows
+from .common import NULL_ID, discard, saved, small, table, text_rows
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 GROUP_LIMIT = 2048
-FAN_OUT = 16
+FAN_OUT = 2
+#: Fingerprints that share a tree, and pairs of nodes that are looked at at once.
+RANGE_ROWS, PAIRS_AT_ONCE = 1 << 16, 1 << 18
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -48,20 +53,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         digests = xxh64_digest(b" ".join(words), SEED)
     else:
         digests = b"".join([xxh64_digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)))])
+    return sum_of_bits(digests)
+
+
+def sum_of_bits(digests: bytes) -> int:
+    """The bits that are set in more than half of the big-endian 64-bit digests."""
     rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(rows[:, i], minlength=256) @ BITS_OF_BYTE for i in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row_id, row_hash, doc_id, fp (the fingerprint as a signed long)."""
+    """row_id, row_hash, fp (the fingerprint as a signed long)."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             fp = np.array([fingerprint(t, shingle) for t in pdf.pop("body")], dtype=np.uint64)
             yield pdf.assign(fp=fp.view(np.int64))
 
-    return _text_rows(docs).mapInPandas(batches, "row_id long, row_hash long, fp long")
+    return text_rows(docs).mapInPandas(batches, "row_id long, row_hash long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -72,29 +82,60 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(residents: np.ndarray, queries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, resident) within max_bits, by descent through the hierarchy over Gray-sorted residents."""
-    order = np.argsort(gray_rank(residents), kind="stable")
-    leaves = residents[order]
-    levels = [(np.full(len(leaves), ~np.uint64(0)), leaves)]
-    while len(levels[-1][0]) > FAN_OUT:
-        mask, pattern = levels[-1]
-        starts = np.arange(0, len(mask), FAN_OUT)
-        ones = np.bitwise_and.reduceat(pattern & mask, starts)  # bits that are fixed to one in all
-        zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
-        levels.append((ones | zeros, ones))
-    top = len(levels[-1][0])
-    q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, pattern = levels[depth]
-        near = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node]) <= max_bits
-        q, node = q[near], node[near]
-        if depth:
-            below = len(levels[depth - 1][0])
-            q = np.repeat(q, FAN_OUT)
-            node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            q, node = q[node < below], node[node < below]
-    return q, order[node]
+class GrayTree:
+    """Codes in Gray order, under nodes of FAN_OUT that hold the bits in which all codes below agree."""
+
+    def __init__(self, codes: np.ndarray):
+        self.order = np.argsort(gray_rank(codes), kind="stable")
+        leaves = codes[self.order]
+        self.levels = [(np.full(len(leaves), ~np.uint64(0)), leaves)]
+        while len(self.levels[-1][0]) > 1:
+            mask, pattern = self.levels[-1]
+            starts = np.arange(0, len(mask), FAN_OUT)
+            ones = np.bitwise_and.reduceat(pattern & mask, starts)  # bits that are fixed to one in all
+            zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
+            self.levels.append((ones | zeros, ones))
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each node its children one level below: (place in nodes, child)."""
+        below = len(self.levels[level - 1][0])
+        child = nodes[:, None] * FAN_OUT + np.arange(FAN_OUT)
+        place, column = np.nonzero(child < below)
+        return place, child[place, column]
+
+
+def near_pairs(a: GrayTree, b: GrayTree, max_bits: int, block: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index pairs (of a, of b) within max_bits that agree in the bits of block, by a join of the trees from the top
+    down; and how many pairs of nodes were looked at. For a tree with itself each pair comes once."""
+    found_a, found_b, looked = [], [], 0
+    if not len(a.order) or not len(b.order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        i, j, x, y = stack.pop()
+        (mask_a, pattern_a), (mask_b, pattern_b) = a.levels[i], b.levels[j]
+        differ = (pattern_a[x] ^ pattern_b[y]) & mask_a[x] & mask_b[y]
+        looked += len(x)
+        near = (np.bitwise_count(differ) <= max_bits) & (differ & block == 0)
+        x, y = x[near], y[near]
+        if not i and not j:
+            if a is b:
+                x, y = x[x < y], y[x < y]
+            found_a.append(a.order[x])
+            found_b.append(b.order[y])
+            continue
+        if i >= j:
+            place, x = a.children(i, x)
+            y, i = y[place], i - 1
+            if a is b and i < j:  # the other side comes next
+                place, y = b.children(j, y)
+                x, j = x[place], j - 1
+                x, y = x[x <= y], y[x <= y]
+        else:
+            place, y = b.children(j, y)
+            x, j = x[place], j - 1
+        stack += [(i, j, x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]) for k in range(0, len(x), PAIRS_AT_ONCE)]
+    return np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)]), looked
 
 
 def spanning(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,52 +154,44 @@ def spanning(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return values[far], root[far]
 
 
-QUERY_ROWS = 2048
-
-
 def _search(max_bits: int):
-    """Rows sorted by part (block, bits, part), residents before visitors; yields spanning links with their block."""
-
-    def links(own: np.ndarray, visitors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        queries = np.concatenate([own, visitors])
-        for i in range(0, len(queries), QUERY_ROWS):
-            some = queries[i : i + QUERY_ROWS]
-            q, r = near_pairs(own, some, max_bits)
-            values = np.concatenate([own, some])
-            out.append(spanning(values, r, q + len(own)))
-        return out
+    """Rows sorted by (block, depth, lead, part), residents and visitors; yields links that span, with their block."""
+    widths = [w for _, w in _blocks(max_bits)]
+
+    def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Of whole parts of one block and depth."""
+        block, visits = int(rows["block"].iloc[0]), rows["visits"].to_numpy()
+        top = ~np.uint64(0) << np.uint64(64 - widths[block % len(widths)])
+        codes, fp = rows["turned"].to_numpy().view(np.uint64), rows["fp"].to_numpy().view(np.uint64)
+        own, guests = np.flatnonzero(~visits), np.flatnonzero(visits)
+        tree = GrayTree(codes[own])
+        a, b, _ = near_pairs(tree, tree, max_bits, top)
+        c, d, _ = near_pairs(GrayTree(codes[guests]), tree, max_bits, top)
+        ends = np.concatenate([own[a], guests[c]]), np.concatenate([own[b], own[d]])
+        kinds, at = np.unique(fp[np.concatenate(ends)], return_inverse=True)
+        half = len(ends[0])
+        far, root = spanning(kinds, at[:half], at[half:])
+        if len(far):
+            yield pd.DataFrame({"block": np.full(len(far), block), "a": far.view(np.int64), "b": root.view(np.int64)})
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
-        keys = ["block", "bits", "depth", "part"]
-
-        def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if not len(rows):
-                return
-            key = rows[keys].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            ends = np.r_[starts[1:], len(rows)]
-            a, b, blocks = [], [], []
-            fp, visits, block = rows["fp"].to_numpy().view(np.uint64), rows["visits"].to_numpy(), rows["block"].to_numpy()
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                visiting = visits[s:e]
-                if not visiting.all():
-                    for x, y in links(fp[s:e][~visiting], fp[s:e][visiting]):
-                        a.append(x)
-                        b.append(y)
-                        blocks.append(np.full(len(x), block[s]))
-            if a:
-                yield pd.DataFrame({"block": np.concatenate(blocks), "a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+        section, part = ["block", "depth"], ["block", "depth", "lead", "part"]
+        changes = lambda rows, names: np.flatnonzero((rows[names].to_numpy()[1:] != rows[names].to_numpy()[:-1]).any(axis=1)) + 1
+
+        def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            edges = [0, *changes(rows, section).tolist(), len(rows)]
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    yield from links(rows.iloc[a:b])
 
         for pdf in it:
-            rows = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
-            last = rows[keys].iloc[-1]
-            same = (rows[keys] == last).all(axis=1).to_numpy()
-            cut = len(rows) - int(same.sum())
-            yield from done(rows.iloc[:cut])
-            held = rows.iloc[cut:]
-        yield from done(held)
+            held = pd.concat([held, pdf], ignore_index=True) if len(held) else pdf
+            if len(held) >= RANGE_ROWS and len(cuts := changes(held, part)):
+                yield from whole(held.iloc[: cuts[-1]])
+                held = held.iloc[cuts[-1] :]
+        if len(held):
+            yield from whole(held)
 
     return batches
 
@@ -195,22 +228,26 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
             if hot.isEmpty():
                 hot = None
         here = placed if hot is None else placed.join(small(hot, 24), ["block", "bits"], "left_anti")
-        here = here.select("block", "bits", F.lit(depth).alias("depth"), "part", F.lit(False).alias("visits"), "fp")
+        here = here.select("block", "bits", F.lit(depth).alias("depth"), "part", F.lit(False).alias("visits"), "fp", "turned")
         parts.append(here)
         if depth:
             masks = [sum(1 << i for i in c) for k in range(1, max_bits + 1) for c in combinations(range(depth), k)]
             there = F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")
-            visits = here.select("block", "bits", "depth", "part", "fp", there).withColumn("there", F.col("part").bitwiseXOR(F.col("m").cast("long")))
-            parts.append(visits.where("there < part").select("block", "bits", "depth", F.col("there").alias("part"), F.lit(True).alias("visits"), "fp"))
+            visits = here.select("block", "bits", "depth", "part", "fp", "turned", there).withColumn("there", F.col("part").bitwiseXOR(F.col("m").cast("long")))
+            parts.append(visits.where("there < part").select("block", "bits", "depth", F.col("there").alias("part"), F.lit(True).alias("visits"), "fp", "turned"))
         if hot is None:
             break
         left, depth = left.join(small(hot, 24), ["block", "bits"], "left_semi"), depth + 8
     everything = parts[0]
     for p in parts[1:]:
         everything = everything.unionByName(p)
-    keys = ["block", "bits", "depth", "part"]
+    # in Gray order of the block's bits; a hot value is parted by its further bits
+    keys = ["block", "depth", "lead", "part"]
+    lead = F.col("bits")
+    for shift in (1, 2, 4, 8, 16):
+        lead = lead.bitwiseXOR(F.shiftrightunsigned(lead, shift))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = everything.repartition(n, *keys).sortWithinPartitions(*keys, "visits")
+    dealt = everything.withColumn("lead", lead).drop("bits").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     found = dealt.mapInPandas(_search(max_bits), "block long, a long, b long")
     return found.select(F.floor(F.col("block") / per_space).alias("space"), "a", "b").distinct()
 
@@ -249,190 +286,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(final, "fp").select("row_id", "row_hash", "fp", F.col("first.row_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
 
 
-def first_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, with their columns, of which each is the first of its near-duplicate component."""
-    found = saved(near_duplicates(docs, shingle, max_bits), "near-duplicates")
-    later = saved(found.where("row_id != first_id or row_hash != first_hash").select("row_id", "row_hash"), "later-copies")
-    return _one_each(without_rows(docs, later))
-
-
-# ---- near duplicates by similarity: an exact prefix-filter join over word shingles
-
-SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-#: How much is worked out at once; these change the effort, never the result. One text of SAMPLE tells which shingles
-#: are frequent, at most FREQUENT of them are told apart, and pairs are listed once they are PAIRS_A_ROW for each row (or LEAST_PAIRS), or after LEADER_ROUNDS.
-SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS = 16, 1 << 19, 16, 100_000, 8
-STEP = np.uint64(0x9E3779B97F4A7C15)
-ROW = ["row_id", "row_hash"]
-
-
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles; of fewer words, of the whole sequence."""
-    from xxhash import xxh64_intdigest
-
-    h = np.array([xxh64_intdigest(w, SEED) for w in words] or [0], np.uint64)
-    k = min(shingle, len(h))
-    n = len(h) - k + 1
-    x = np.full(n, len(words) and k, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            x = (x ^ h[i : i + n]) * STEP
-            x ^= x >> np.uint64(29)
-    return np.unique(x.view(np.int64))
-
-
-def _rest(n, similarity: float):
-    """How many of the n shingles of a text come after its prefix."""
-    return np.ceil(similarity * n - 1e-9).astype(np.int64) - 1
-
-
-def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the order (times, shingle). Two texts that share none of them share fewer than similarity
-    times the shingles of the one whose prefix ends first, so they don't resemble each other."""
-    n = len(shingles)
-    size = int(n - _rest(np.array(n), similarity))
-    if not len(known):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    often = np.where(known[at] == shingles, times[at], 0)
-    return shingles[np.argsort(often, kind="stable")[:size]]
-
-
-def _text_rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select(row_id.alias("row_id"), F.xxhash64(text).alias("row_hash"), text.cast("binary").alias("body"))
-
-
-def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (sorted) that a sample of the texts repeats most, and how often."""
-
-    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            found = [shingle_set(b.lower().split(), shingle) for b in pdf["body"]]
-            if found:
-                yield pd.DataFrame({"shingle": np.concatenate(found)})
-
-    some = texts.where(F.pmod("row_hash", F.lit(SAMPLE)) == 0).mapInPandas(sets, "shingle long")
-    counted = saved(some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"), "frequent-shingles")
-    least, total = None, 0
-    for r in sorted(counted.groupBy("n").agg(F.count("*").alias("shingles")).collect(), reverse=True):
-        total += r.shingles
-        if total > FREQUENT:
-            break
-        least = r.n
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = counted.where(F.col("n") >= least).toPandas().sort_values("shingle")
-    return top["shingle"].to_numpy(), top["n"].to_numpy()
-
-
-def similar_rows(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """row_id, row_hash of the rows that a kept, earlier row equals or resembles by similarity (Jaccard) or more.
-
-    Texts of equal words are one class, met through its first row. The index holds the prefix of each class in one
-    global order of shingles, seldom ones first (see prefix), so every pair that resembles stands at some shingle
-    together. Lengths and the number of shared prefix shingles bound what a pair can share; pairs that pass are
-    compared by all their shingles.
-
-    As long as the index holds too many pairs to list (large groups of near copies), the rows that come first at all
-    their shingles are settled: no earlier row can resemble them, so they stay, and what resembles them goes. Then the
-    pairs that are left are listed, and of each the later row goes if the earlier one stays."""
-
-    def classes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_128_intdigest
-
-        for pdf in it:
-            whole = [xxh3_128_intdigest(b" ".join(b.lower().split())) for b in pdf.pop("body")]
-            half = lambda x: x - (1 << 64) if x >> 63 else x
-            yield pdf.assign(n1=[half(x >> 64) for x in whole], n2=[half(x & (1 << 64) - 1) for x in whole])
-
-    def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, times = frequent.value
-        for pdf in it:
-            sets = [shingle_set(b.lower().split(), shingle) for b in pdf["body"]]
-            found = [prefix(s, known, times, similarity) for s in sets]
-            if found:
-                many = [len(p) for p in found]
-                yield pd.DataFrame({"shingle": np.concatenate(found), **{c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}, "n": np.repeat([len(s) for s in sets], many)})
-
-    def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pdf.assign(shingles=[shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")])
-
-    row, other = F.struct(*ROW), ["first_id", "first_hash"]
-    texts = _text_rows(docs)
-    rows = saved(texts.mapInPandas(classes, "row_id long, row_hash long, n1 long, n2 long"), "text-classes")
-    firsts = small(saved(rows.groupBy("n1", "n2").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated-classes"), 48)
-    equal = saved(rows.join(firsts, ["n1", "n2"]).where(row != F.col("first")).select(*ROW).distinct(), "equal-rows")
-    texts = texts.join(small(equal, 24), ROW, "left_anti")
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))
-    rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
-
-    def crowded(index: DataFrame) -> DataFrame:
-        """The index less shingles of one row, with the number of rows at each shingle and the first of them."""
-        here = Window.partitionBy("shingle")
-        return saved(index.select("shingle", *ROW, "n", F.count("*").over(here).alias("size"), F.min(F.struct(*ROW, "n")).over(here).alias("first")).where("size > 1"), "prefix-index")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The pairs (first_id, first_hash, first_n, row_id, row_hash, n; one row for each shared shingle) that resemble."""
-        shared = pairs.groupBy(*other, "first_n", *ROW, "n").agg(F.count("*").alias("common"))
-        enough = F.col("common") + F.greatest(rest("n"), rest("first_n")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first_n")) - 1e-6
-        chosen = saved(shared.where(enough).select(*other, *ROW), "candidates")
-        ids = saved(chosen.select(*ROW).unionByName(chosen.select(*[F.col(c).alias(r) for c, r in zip(other, ROW)])).distinct(), "candidate-rows")
-        known = saved(texts.join(small(ids, 24), ROW, "left_semi").dropDuplicates(ROW).mapInPandas(sets, "row_id long, row_hash long, shingles array<long>"), "shingle-sets")
-        met = chosen.join(known, ROW).join(known.select(*[F.col(r).alias(c) for c, r in zip(other, ROW)], F.col("shingles").alias("others")), other)
-        both = F.size(F.array_intersect("shingles", "others"))
-        return saved(met.where(both >= similarity * (F.size("shingles") + F.size("others") - both)).select(*other, *ROW), "similar-pairs")
-
-    def without(index: DataFrame, *settled: DataFrame) -> DataFrame:
-        for s in settled:
-            index = index.join(small(s, 24), ROW, "left_anti")
-        return index
-
-    long_enough = F.least("n", "first_n") >= F.lit(similarity) * F.greatest("n", "first_n") - 1e-6
-    index = crowded(texts.mapInPandas(prefixes, "shingle long, row_id long, row_hash long, n long"))
-    gone = [equal]
-    for _ in range(LEADER_ROUNDS):
-        held = index.agg(F.count("*").alias("rows"), F.sum((F.col("size") - 1) / 2).alias("pairs")).first()
-        if (held.pairs or 0) <= PAIRS_A_ROW * held.rows + LEAST_PAIRS:
-            break
-        ahead = F.struct("first.row_id", "first.row_hash")
-        leaders = saved(index.groupBy(*ROW).agg(F.min(row == ahead).alias("leads")).where("leads").select(*ROW), "leaders")
-        met = index.where(row != ahead).select(F.col("first.row_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"), F.col("first.n").alias("first_n"), *ROW, "n")
-        led = met.join(small(leaders.select(*[F.col(r).alias(c) for c, r in zip(other, ROW)]), 24), other, "left_semi")
-        later = saved(near(led.where(long_enough)).select(*ROW).distinct(), "similar-rows")
-        gone.append(later)
-        index = crowded(without(index, leaders, later))
-    listed = index.select("shingle", *ROW, "n").join(index.select("shingle", F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash"), F.col("n").alias("first_n")), "shingle")
-    left = near(listed.where((F.struct(*other) < row) & long_enough))
-    while not left.isEmpty():
-        firsts = left.select(*[F.col(c).alias(r) for c, r in zip(other, ROW)]).distinct().join(left.select(*ROW).distinct(), ROW, "left_anti")
-        kept = small(saved(firsts, "kept-rows"), 24).withColumnsRenamed(dict(zip(ROW, other)))
-        later = saved(left.join(kept, other, "left_semi").select(*ROW).distinct(), "similar-rows")
-        gone.append(later)
-        dropped = small(later, 24)
-        left = saved(left.join(dropped, ROW, "left_anti").join(dropped.withColumnsRenamed(dict(zip(ROW, other))), other, "left_anti"), "similar-pairs")
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    return out
-
-
-def without_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, with their columns, that resemble no kept earlier one."""
-    return _one_each(without_rows(docs, saved(similar_rows(docs, shingle, similarity), "similar-rows")))
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    """docs with one of the rows that repeat both doc_id and text."""
-    keys = _text_rows(docs).drop("body")
-    if saved(keys.groupBy("row_id", "row_hash").count().where("count > 1"), "repeated-rows").isEmpty():
-        return docs
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("__row_hash", text).dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

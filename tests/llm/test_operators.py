@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fieldloom.llm import decontaminate, entry, linededup, packing, pii, quality, secrets, shards, simhash, tokens, toxicity, warc
+from fieldloom.llm import decontaminate, entry, linededup, packing, pii, quality, secrets, shards, similar, simhash, tokens, toxicity, warc
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 12
 PASSAGE = " ".join(f"w{i}" for i in range(60))
@@ -208,6 +208,25 @@ def test_simhash(spark, sf_dir, given):
     assert {tuple(r) for r in simhash.op9_simhash(spark, sf_dir).collect()} == {(d, f"{fp[d]:016x}", comp[d]) for d in ids}
 
 
+def test_gray_trees_prune_whole_groups():
+    """Every near pair is found, and far fewer pairs of nodes are looked at than there are pairs in groups of equal blocks."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.int64).astype(np.uint64)
+    near = base[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    codes = np.unique(np.concatenate([base, near]))
+    top = ~np.uint64(0) << np.uint64(58)
+    tree = simhash.GrayTree(codes)
+    a, b, looked = simhash.near_pairs(tree, tree, 2, top)
+    differ = codes[:, None] ^ codes[None]
+    agree = differ & top == 0
+    want = {tuple(sorted(p)) for p in np.argwhere((np.bitwise_count(differ) <= 2) & agree).tolist() if p[0] < p[1]}
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == want and len(a) == len(want)
+    assert looked < agree.sum() / 2
+    c, d, _ = simhash.near_pairs(simhash.GrayTree(near), simhash.GrayTree(base), 1)
+    assert {(int(i), int(j)) for i, j in zip(c, d)} >= {(i, i) for i in range(400)}
+    assert len(simhash.near_pairs(simhash.GrayTree(codes[:0]), tree, 2)[0]) == 0
+
+
 def test_hot_groups_lose_no_link(spark):
     """Many near fingerprints in one group, with a limit that splits it again and again."""
     rng = np.random.default_rng(5)
@@ -231,15 +250,15 @@ def test_similar_documents(spark):
     one[150] = "changed"
     rows = [(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(words)), (4, " ".join(words[::-1])), (5, "short text"), (6, None), (7, ""), (5, "short text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.without_similar(docs).collect()) == [1, 4, 5, 6]
+    assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == [1, 4, 5, 6]
 
 
 @pytest.mark.parametrize("by_leaders", [False, True])
 def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
     """Truncated, extended and edited copies, copies of copies and common lines, against every pair."""
     if by_leaders:
-        for name, value in (("PAIRS_A_ROW", 0), ("LEAST_PAIRS", 0), ("LEADER_ROUNDS", 3)):
-            monkeypatch.setattr(simhash, name, value, raising=False)
+        for name, value in (("PAIRS_A_ROW", 0), ("LEAST_PAIRS", 0), ("LEADER_ROUNDS", 3), ("MEETINGS", 3)):
+            monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(3)
     texts = [t.lower().split() for _, t in given if t and 60 <= len(t.split()) <= 400][:50]
     common = [f"c{i}" for i in range(40)]
@@ -253,12 +272,10 @@ def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
     order = rng.permutation(len(made))
     rows = [(int(k), " ".join(made[i])) for k, i in enumerate(order)]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
-    kept = []
-    for k, s in enumerate(sets):
-        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in kept):
-            kept.append(k)
+    alike = [(i, j) for i, s in enumerate(sets) for j in range(i) if len(s & sets[j]) >= 0.8 * len(s | sets[j])]
+    kept = sorted(set(groups(range(len(sets)), alike).values()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.without_similar(docs).collect()) == kept
+    assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == kept
 
 
 def test_pii(spark, sf_dir, given):
