@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, linededup, packing, simhash, toxicity
+from fieldloom.llm import decontaminate, linededup, packing, similar, toxicity
 from fieldloom.llm.common import saved, table
 from fieldloom.llm.tokens import default_path
 from fieldloom.session import ship
@@ -25,9 +25,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles resemble each other by 0.8 or more that with the smallest id stays."""
+    """SimHash near dedup: of each group of documents that five-word shingles link at 0.8 or more the first stays."""
     ship(spark)
-    return simhash.without_similar(docs)
+    return similar.without_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
