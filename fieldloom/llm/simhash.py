@@ -161,8 +161,11 @@ def _search(max_bits: int):
     def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Of whole parts of one block and depth."""
         block, visits = int(rows["block"].iloc[0]), rows["visits"].to_numpy()
-        top = ~np.uint64(0) << np.uint64(64 - widths[block % len(widths)])
-        codes, fp = rows["turned"].to_numpy().view(np.uint64), rows["fp"].to_numpy().view(np.uint64)
+        width = np.uint64(widths[block % len(widths)])
+        left = np.uint64(64) - width
+        top = ~np.uint64(0) << left
+        turned, fp = rows["turned"].to_numpy().view(np.uint64), rows["fp"].to_numpy().view(np.uint64)
+        codes = (turned >> width) | (turned << left)  # the block on top, then the bits by which hot values are parted
         own, guests = np.flatnonzero(~visits), np.flatnonzero(visits)
         tree = GrayTree(codes[own])
         a, b, _ = near_pairs(tree, tree, max_bits, top)
