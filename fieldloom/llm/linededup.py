@@ -1,18 +1,23 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
-For each line the *window* is the shortest run of lines that starts there and has ``min_words`` words or more
-(lines without a word don't count). Of each window the smallest line hash is selected as its fingerprint (the last
-one of equal hashes). What a window selects depends on its lines alone, so every passage of ``min_words`` words that
-is repeated, line by line, has a selected fingerprint in all its copies. Then
-
-1. positions with one fingerprint are joined; a fingerprint that stands at one position only is dropped;
-2. each joined position is extended both ways to the windows that selected it, and windows are matched by the
-   128-bit hash of all their lines with the earliest position of the same lines. Overlapping windows chain up to
-   the whole matched run, so no pairs of copies are made, however many there are;
-3. runs that are not the earliest are deleted.
-
-The order of positions is doc_id (null last), then text hash, then line number. Rows that repeat doc_id and text
-are one document: neither is the earlier copy. A null text is empty; an empty text is one line without words.
+A line goes if it lies in a run of lines with ``min_words`` words or more that also stands, line by line, at an earlier
+position. (Lines without a word don't count; the order of positions is doc_id, null last, then text hash, then line.)
+The shortest run that starts at a line and has ``min_words`` words is its *window ahead*, the shortest that ends at it
+its *window behind*. The steps are
+
+1. of each window the smallest line hash is selected as its fingerprint (the last one of equal hashes). What a window
+   selects depends on its lines alone, so copies of a run select the same lines;
+2. selected positions are joined by fingerprint. A window whose fingerprint stands at one position only has no copy,
+   and is not looked at again: its lines are neither gathered nor hashed;
+3. each joined position is extended both ways, ahead and behind, over all lines of the windows that selected it. Equal
+   windows meet through their earliest position, so no pairs of copies are made, however many there are. A repeated run
+   is covered, to its first and last line, by its windows ahead and behind;
+4. what is not the earliest is deleted, in maximal runs.
+
+Fingerprints of many positions are told apart first and matched without a shuffle by them, so that no task gets all
+positions of one. Rows that repeat doc_id and text are one document: neither is the earlier copy. A null text is empty
+and stays null; an empty text is one line without words; a very long line is a window by itself. An empty table gives
+no rows. Columns of any name pass untouched.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from .common import keyed, saved, small, table, with_row_key
 
 MIN_WORDS = 50
 KEY = ["row_id", "row_hash"]
+#: A fingerprint of more positions is matched by a broadcast of such fingerprints, if these are few enough.
+HOT_POSITIONS = 1000
 
 
-def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each full window: key, first and last line, its hash (g1, g2), the selected fingerprint and its line."""
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """A row for each line with a word: key, line number (pos), rank among such lines, words, two hashes."""
     spark = docs.sparkSession
     lines = (
         keyed(docs)
@@ -38,34 +45,53 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY)
         .dropDuplicates([*KEY, "pos"])
     )
+    in_doc = Window.partitionBy(*KEY).orderBy("pos")
+    so_far = F.sum("words").over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("after", so_far).withColumn("rank", F.row_number().over(in_doc) - 1)
+
+
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """A row for each window: key, whether it looks ahead, ranks of its first and last line, fingerprint and its rank."""
     in_doc = Window.partitionBy(*KEY)
-    before = F.sum("words").over(in_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    ahead = in_doc.orderBy("before").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct("h1", (-F.col("pos")).alias("back"))).over(ahead)
+    frames = {True: in_doc.orderBy("before").rangeBetween(0, min_words - 1), False: in_doc.orderBy("after").rangeBetween(1 - min_words, 0)}
+    least = F.struct("h1", (-F.col("rank")).alias("back"))
+
+    def window(ahead: bool):
+        over = frames[ahead]
+        first, last = (F.col("rank"), F.max("rank").over(over)) if ahead else (F.min("rank").over(over), F.col("rank"))
+        return F.struct(F.lit(ahead).alias("ahead"), first.alias("first"), last.alias("last"), F.sum("words").over(over).alias("total"), F.min(least).over(over).alias("least"))
+
+    placed = lines.withColumn("before", F.col("after") - F.col("words")).select(*KEY, window(True).alias("x"), window(False).alias("y"))
     return (
-        lines.withColumn("before", before)
-        .select(
-            *KEY,
-            "pos",
-            F.max("pos").over(ahead).alias("end"),
-            F.sum("words").over(ahead).alias("total"),
-            F.collect_list("h1").over(ahead).alias("l1"),
-            F.collect_list("h2").over(ahead).alias("l2"),
-            least.alias("least"),
-        )
-        .where(F.col("total") >= min_words)
-        .select(*KEY, "pos", "end", F.xxhash64("l1").alias("g1"), F.xxhash64("l2").alias("g2"), F.col("least.h1").alias("mark"), (-F.col("least.back")).alias("mark_pos"))
+        placed.select(*KEY, F.explode(F.array("x", "y")).alias("w"))
+        .where(F.col("w.total") >= min_words)
+        .select(*KEY, "w.ahead", "w.first", "w.last", F.col("w.least.h1").alias("mark"), (-F.col("w.least.back")).alias("mark_rank"))
     )
 
 
+def joined_windows(windows: DataFrame) -> DataFrame:
+    """The windows (saved) whose fingerprint stands at several positions."""
+    positions = windows.groupBy("mark", *KEY, "mark_rank").agg(F.lit(1).alias("one")).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+    positions = saved(positions, "fingerprint-positions")
+    hot = small(positions.where(F.col("n") > HOT_POSITIONS).select("mark"), 24)
+    rest = small(positions.where(F.col("n") <= HOT_POSITIONS).select("mark"), 24)
+    return windows.join(hot, "mark", "left_semi").unionByName(windows.join(hot, "mark", "left_anti").join(rest, "mark", "left_semi")).drop("mark", "mark_rank")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key and runs (array of struct(first, last), apart and in order) for the documents in which lines go."""
-    windows = saved(line_windows(docs, min_words), "line-windows")
-    joined = windows.select(*KEY, "mark", "mark_pos").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    extended = windows.join(joined, "mark", "left_semi").select(*KEY, "pos", "end", "g1", "g2")
-    earliest = extended.groupBy("g1", "g2").agg(F.min(F.struct(*KEY, "pos")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    later = extended.join(earliest, ["g1", "g2"]).where(F.struct(*KEY, "pos") != F.col("earliest")).select(*KEY, "pos", "end")
-    by_pos = Window.partitionBy(*KEY).orderBy("pos")
+    lines = saved(line_hashes(docs), "line-hashes")
+    windows = saved(fingerprints(lines, min_words), "line-windows")
+    asked = joined_windows(windows).groupBy(*KEY).agg(F.collect_list(F.struct("ahead", "first", "last")).alias("windows"))
+    whole = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "h1", "h2"))).alias("l"))
+    each = whole.join(asked, KEY).select(*KEY, F.col("l.pos").alias("p"), F.col("l.h1").alias("h1"), F.col("l.h2").alias("h2"), F.explode("windows").alias("w"))
+    part = lambda c: F.xxhash64(F.slice(c, F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1))
+    place = lambda c: F.element_at("p", F.col(f"w.{c}") + 1)
+    extended = saved(each.select(*KEY, place("first").alias("pos"), place("last").alias("end"), "w.ahead", part("h1").alias("g1"), part("h2").alias("g2")), "extended-windows")
+    equal = ["ahead", "g1", "g2"]
+    earliest = extended.groupBy(*equal).agg(F.min(F.struct(*KEY, "pos")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    later = extended.join(earliest, equal).where(F.struct(*KEY, "pos") != F.col("earliest")).select(*KEY, "pos", "end")
+    by_pos = Window.partitionBy(*KEY).orderBy("pos", "end")
     reach = F.max("end").over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
     return (
         later.withColumn("opens", F.when(F.col("pos") <= reach + 1, 0).otherwise(1))
@@ -117,7 +143,7 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: Brute force: every window by its whole text, without fingerprints or hashes.
+#: Brute force: every shortest run of 50 words from a line on or up to a line, by its whole text, without fingerprints or hashes.
 _RUNS_SQL = r"""
 lines as (
   select doc_id, pos - 1 as pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
@@ -126,11 +152,14 @@ lines as (
 placed as (
   select *, sum(words) over (partition by doc_id order by pos rows unbounded preceding) - words as before from lines where words > 0),
 windows as (
-  select doc_id, pos, max(pos) over ahead as last, sum(words) over ahead as total, list(trim(line, ' ' || chr(9) || chr(13))) over ahead as ls
-  from placed window ahead as (partition by doc_id order by before range between current row and 49 following)),
+  select true as way, doc_id, pos, max(pos) over ahead as last, sum(words) over ahead as total, list(trim(line, ' ' || chr(9) || chr(13))) over ahead as ls
+  from placed window ahead as (partition by doc_id order by before range between current row and 49 following)
+  union all
+  select false, doc_id, min(pos) over behind, pos, sum(words) over behind, list(trim(line, ' ' || chr(9) || chr(13))) over behind
+  from placed window behind as (partition by doc_id order by before + words range between 49 preceding and current row)),
 later as (
   select doc_id, pos, last from (
-    select *, row_number() over (partition by ls order by doc_id, pos) as copy from windows where total >= 50) where copy > 1),
+    select *, row_number() over (partition by way, ls order by doc_id, pos) as copy from windows where total >= 50) where copy > 1),
 gone as (
   select distinct l.doc_id, p.pos from later l join
     (select doc_id, pos - 1 as pos from (select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from docs)) p

@@ -89,6 +89,24 @@ def test_line_dedup_cuts_later_copies(spark, edge):
     assert PASSAGE in texts[1] and PASSAGE not in texts[2] and texts[2].startswith("other\nend") and texts[3] is None
 
 
+def test_line_dedup_deletes_maximal_runs(spark):
+    """Runs go to their first and last line, also where these are too short to fill a window of their own."""
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    a, b, c, d = words("a", 10), words("b", 45), words("c", 10), words("d", 20)
+    long, short = words("l", 100), words("s", 30)
+    rows = [
+        (1, "\n".join(["one", a, b, "", c, "two"])),
+        (2, "\n".join(["three", a, b, c, "four"])),
+        (3, "\n".join([long, short, "x"])),
+        (4, "\n".join(["y", long, short])),
+        (5, "\n".join([d, d, d, d])),
+        (6, "\n".join([d, "z", d])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in linededup.without_repeated_lines(docs).collect()}
+    assert kept == dict(rows) | {2: "three\nfour", 4: "y", 5: d}
+
+
 def test_tokens_match_the_library():
     e = tokens.Encoder(tokens.default_path())
     rng = np.random.default_rng(0)
