@@ -106,11 +106,14 @@ def text_classes(texts: DataFrame, shingle: int) -> DataFrame:
     def classes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
+        def described(body: bytes) -> tuple[bytes, int]:
+            words = body.lower().split()
+            return xxh3_128_digest(b" ".join(words)), sum_of_bits(shingle_set(words, shingle).astype(">i8").tobytes())
+
         for pdf in it:
-            words = [b.lower().split() for b in pdf.pop("body")]
-            halves = np.frombuffer(b"".join([xxh3_128_digest(b" ".join(w)) for w in words]), "<i8").reshape(-1, 2)
-            fp = np.array([sum_of_bits(shingle_set(w, shingle).astype(">i8").tobytes()) for w in words], np.uint64)
-            yield pdf.assign(n1=halves[:, 0], n2=halves[:, 1], fp=fp.view(np.int64))
+            found = [described(b) for b in pdf.pop("body")]  # text by text: the words of a batch are many times its bytes
+            halves = np.frombuffer(b"".join([d for d, _ in found]), "<i8").reshape(-1, 2)
+            yield pdf.assign(n1=halves[:, 0], n2=halves[:, 1], fp=np.array([f for _, f in found], np.uint64).view(np.int64))
 
     return texts.mapInPandas(classes, "row_id long, row_hash long, n1 long, n2 long, fp long")
 

@@ -18,8 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Runs and pieces that a worker keeps from task to task (some 60 MB and 15 MB), and the bytes that are cut at once.
-KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 80_000, 1 << 20, 2000
+#: Runs and pieces that a worker keeps from task to task (some 35 MB and 10 MB), and the bytes that are cut at once.
+KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 50_000, 1 << 20, 2000
 #: Bytes of a plain text: ASCII, and those of the letters U+00C0 to U+017F ...
 PLAIN = bytes(range(128)) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
 #: ... less special tokens, the signs among these letters, and the capital whose lower case has a mark.
@@ -122,8 +122,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self.parts = parts_early(self.tokenizer)
-        self.words = Tokenizer.from_file(path)  # for words that need no normalizer
-        self.words.normalizer = None
+        self.words = Tokenizer(self.tokenizer.model)  # for words that need no normalizer
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.runs = RunTable(KEPT_RUNS, self.kind)
         self.pieces: dict[bytes, bytes] = {}
