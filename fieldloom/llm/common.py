@@ -21,6 +21,8 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folders: dict[str, str] = {}
 
 
@@ -43,10 +45,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing. What it
+    shuffled is deleted once it is written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

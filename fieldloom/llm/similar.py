@@ -36,7 +36,7 @@ SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
 #: How much is worked out at once; these change the effort, never the result. One text of SAMPLE tells which shingles
 #: are frequent, at most FREQUENT of them are told apart; pairs are listed once they are PAIRS_A_ROW for each row (or
 #: LEAST_PAIRS), or after LEADER_ROUNDS; a row meets at most MEETINGS others in one task.
-SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS, MEETINGS = 16, 1 << 19, 16, 100_000, 8, 256
+SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS, MEETINGS = 16, 1 << 19, 4, 100_000, 8, 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ROW, OTHER = ["row_id", "row_hash"], ["other_id", "other_hash"]
 
@@ -118,23 +118,46 @@ def text_classes(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInPandas(classes, "row_id long, row_hash long, n1 long, n2 long, fp long")
 
 
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (saved) with n, shingles of the row and other_n, others of the other row, from sets (saved: row, n,
+    shingles). The set of a row that meets many is dealt to several tasks, so that none gets all of them."""
+    met = saved(pairs.groupBy(*OTHER).agg(F.ceil(F.count("*") / MEETINGS).cast("int").alias("tasks")), "candidate-others")
+    dealt = pairs.join(small(met, 32), OTHER).withColumn("task", F.pmod(F.xxhash64(*ROW), F.col("tasks")).cast("int"))
+    renamed = sets.withColumnsRenamed({**dict(zip(ROW, OTHER)), "n": "other_n", "shingles": "others"})
+    copies = renamed.join(small(met, 32), OTHER).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    return dealt.join(sets, ROW).join(copies, [*OTHER, "task"])
+
+
+def _rows_of(pairs: DataFrame) -> DataFrame:
+    return saved(pairs.select(*ROW).unionByName(pairs.select(*[F.col(o).alias(r) for o, r in zip(OTHER, ROW)])).distinct(), "candidate-rows")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (row_id, row_hash, other_id, other_hash) whose sets resemble; saved. The set of a row that meets many
-    is dealt to several tasks, so that none gets all of them."""
+    """The pairs (saved: row_id, row_hash, other_id, other_hash) whose whole sets resemble; saved."""
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pdf.assign(shingles=[shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")])
+            found = [shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")]
+            yield pdf.assign(n=[len(f) for f in found], shingles=found)
 
-    pairs = saved(pairs.select(*ROW, *OTHER).distinct(), "candidates")
-    met = saved(pairs.groupBy(*OTHER).agg(F.ceil(F.count("*") / MEETINGS).cast("int").alias("tasks")), "candidate-others")
-    ids = saved(pairs.select(*ROW).unionByName(met.select(*[F.col(o).alias(r) for o, r in zip(OTHER, ROW)])).distinct(), "candidate-rows")
-    known = saved(texts.join(small(ids, 24), ROW, "left_semi").mapInPandas(sets, "row_id long, row_hash long, shingles array<long>").dropDuplicates(ROW), "shingle-sets")
-    dealt = pairs.join(small(met, 32), OTHER).withColumn("task", F.pmod(F.xxhash64(*ROW), F.col("tasks")).cast("int"))
-    others = known.withColumnsRenamed({**dict(zip(ROW, OTHER)), "shingles": "others"}).join(small(met, 32), OTHER).select(*OTHER, "others", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    asked = texts.join(small(_rows_of(pairs), 24), ROW, "left_semi")
+    known = saved(asked.mapInPandas(sets, "row_id long, row_hash long, n int, shingles array<long>").dropDuplicates(ROW), "shingle-sets")
     both = F.size(F.array_intersect("shingles", "others"))
-    alike = both >= similarity * (F.size("shingles") + F.size("others") - both) - 1e-9
-    return saved(dealt.join(known, ROW).join(others, [*OTHER, "task"]).where(alike).select(*ROW, *OTHER), "links")
+    alike = both >= similarity * (F.col("n") + F.col("other_n") - both) - 1e-9
+    out = saved(_met(pairs, known).where(alike).select(*ROW, *OTHER), "links")
+    discard(known)
+    return out
+
+
+def possible(pairs: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that share enough of their prefixes to resemble; saved. What two prefixes share stands in the index, and
+    beyond the prefix that ends first two texts share at most what is left of the one or of the other."""
+    pairs = saved(pairs.select(*ROW, *OTHER).distinct(), "candidates")
+    held = index.join(small(_rows_of(pairs), 24), ROW, "left_semi").groupBy(*ROW).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"))
+    rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+    common = F.size(F.array_intersect("shingles", "others"))
+    enough = common + F.greatest(rest("n"), rest("other_n")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-6
+    return saved(_met(pairs, saved(held, "shared-prefixes")).where(enough).select(*ROW, *OTHER), "possible-pairs")
 
 
 def _joined(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -171,8 +194,8 @@ def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
                 yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), **{c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}, "n": np.repeat([len(s) for s in sets], many), "short": np.concatenate([s for _, s in found])})
 
     every = saved(texts.mapInPandas(prefixes, "shingle long, row_id long, row_hash long, n int, short boolean"), "prefixes")
-    crowded = every.groupBy("shingle").agg(F.count("*").alias("rows"), F.max("short").alias("any")).where("rows > 1 and any").select("shingle")
-    index = saved(every.join(saved(crowded, "crowded-shingles"), "shingle", "left_semi"), "prefix-index")
+    crowded = every.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")
+    index = saved(every.join(small(saved(crowded, "crowded-shingles"), 12), "shingle", "left_semi"), "prefix-index")
     discard(every)
     return index
 
@@ -184,7 +207,7 @@ def _could_be(first: str, second: str, similarity: float) -> Column:
     return stands & (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6)
 
 
-def linked_by_prefixes(index: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, root: the groups, joined by all links that the index holds."""
     here = F.struct(*ROW, "n", "short")
     pair = lambda a, b: [F.col(f"{a}.{r}").alias(r) for r in ROW] + [F.col(f"{b}.{r}").alias(o) for r, o in zip(ROW, OTHER)]
@@ -200,6 +223,7 @@ def linked_by_prefixes(index: DataFrame, groups: DataFrame, texts: DataFrame, sh
         met = saved(met.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.col("first.row").alias("lead"), F.col("first.group").alias("lead_group")), "open-shingles")
         return placed, met
 
+    index = whole
     for round_no in range(LEADER_ROUNDS + 1):
         placed, met = opened(index)
         held = met.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
@@ -208,14 +232,14 @@ def linked_by_prefixes(index: DataFrame, groups: DataFrame, texts: DataFrame, sh
         led = placed.join(met, "shingle").withColumn("here", here)
         index = saved(led.where("here != lead").select("shingle", *ROW, "n", "short"), "prefix-index")
         found = led.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*pair("here", "lead"))
-        groups = _joined(groups, verified(found, texts, shingle, similarity))
+        groups = _joined(groups, verified(possible(found, whole, similarity), texts, shingle, similarity))
         discard(placed)
     rows = placed.join(met.select("shingle"), "shingle", "left_semi").select("shingle", here.alias("x"), F.col("group").alias("x_group"))
     both = rows.where("x.short").join(rows.withColumnsRenamed({"x": "y", "x_group": "y_group"}), "shingle")
     # x is the shorter one; of equal lengths the pair may come twice, and is one after sorting
     longer = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("x") != F.col("y")))
     across = both.where((F.col("x_group") != F.col("y_group")) & longer & _could_be("x", "y", similarity))
-    return _joined(groups, verified(across.select(*pair("y", "x")), texts, shingle, similarity))
+    return _joined(groups, verified(possible(across.select(*pair("y", "x")), whole, similarity), texts, shingle, similarity))
 
 
 def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
@@ -227,7 +251,7 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     repeated = reps.where("copies > 1").select("n1", "n2", F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash"))
     equal = saved(rows.join(small(saved(repeated, "repeated-classes"), 48), ["n1", "n2"]).where("row_id != first_id or row_hash != first_hash").select(*ROW, "first_id", "first_hash").distinct(), "equal-rows")
     texts = texts.join(small(equal.select(*ROW), 24), ROW, "left_anti")
-    groups = _joined(None, verified(by_fingerprint(reps, max_bits), texts, shingle, similarity))
+    groups = _joined(None, verified(saved(by_fingerprint(reps, max_bits), "fingerprint-pairs"), texts, shingle, similarity))
     groups = linked_by_prefixes(prefix_index(texts, shingle, similarity), groups, texts, shingle, similarity)
     groups = saved(groups.select(F.col("node.id").alias("first_id"), F.col("node.hash").alias("first_hash"), "root"), "similar-groups")
     far = groups.select(F.col("first_id").alias("row_id"), F.col("first_hash").alias("row_hash"), F.col("root.id").alias("first_id"), F.col("root.hash").alias("first_hash"))
