@@ -7,6 +7,7 @@ rows that agree in both have the same text and so the same result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="fieldloom-"))
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the machine. Workers live on and share it with the other stages."""
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another libc
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

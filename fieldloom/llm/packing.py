@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import give_back, saved, table
 from .tokens import default_path, encoder
 
 LENGTH, END_ID, GROUP_ROWS, ROUNDS = 4096, 1, 8192, 8
@@ -41,13 +41,14 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         end = np.array([end_id], tokens.kind).tobytes()
         for pdf in it:
             out: list[tuple] = []
-            for doc_id, known, found in zip(pdf["row_id"], pdf["known"], tokens.many(pdf["body"].tolist())):
+            for doc_id, known, found in zip(pdf["row_id"], pdf["known"], tokens.each(pdf["body"])):
                 ids = np.frombuffer(found + end, tokens.kind).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     out.append((doc_id if known else None, k, start, len(part), zlib.crc32(part.tobytes())))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
+        give_back()
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     doc_id = F.col("doc_id").cast("long")

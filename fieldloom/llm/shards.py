@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, new_path, saved, small, table
+from .common import give_back, keyed, new_path, saved, small, table
 from .tokens import default_path, encoder
 
 MAGIC = b"FLTOKID1"
@@ -151,7 +151,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pd.DataFrame({"value": [pack_shard(k[:, 0], k[:, 1].astype(np.uint8), k[:, 2].astype(np.uint32), ids, tokens.kind, end_id)]})
 
         for pdf in it:
-            for known, doc_id, found in zip(pdf["known"], pdf["row_id"], tokens.many(pdf["body"].tolist())):
+            for known, doc_id, found in zip(pdf["known"], pdf["row_id"], tokens.each(pdf["body"])):
                 key = (int(doc_id) if known else 0, int(not known))
                 occurrence = occurrence + 1 if key == last else 0
                 last = key
@@ -163,6 +163,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     ids, keys, size = [], [], 0
         if ids:
             yield shard()
+        give_back()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs, F.col("doc_id").isNotNull().alias("known")).select("known", "row_id", "row_hash", F.col("text").cast("binary").alias("body"))

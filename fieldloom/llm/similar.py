@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small, text_rows, without_rows
+from .common import discard, give_back, saved, small, text_rows, without_rows
 from .simhash import components, links, sum_of_bits
 
 SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
@@ -114,6 +114,7 @@ def text_classes(texts: DataFrame, shingle: int) -> DataFrame:
             found = [described(b) for b in pdf.pop("body")]  # text by text: the words of a batch are many times its bytes
             halves = np.frombuffer(b"".join([d for d, _ in found]), "<i8").reshape(-1, 2)
             yield pdf.assign(n1=halves[:, 0], n2=halves[:, 1], fp=np.array([f for _, f in found], np.uint64).view(np.int64))
+        give_back()
 
     return texts.mapInPandas(classes, "row_id long, row_hash long, n1 long, n2 long, fp long")
 
@@ -139,6 +140,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
         for pdf in it:
             found = [shingle_set(b.lower().split(), shingle) for b in pdf.pop("body")]
             yield pdf.assign(n=[len(f) for f in found], shingles=found)
+        give_back()
 
     asked = texts.join(small(_rows_of(pairs), 24), ROW, "left_semi")
     known = saved(asked.mapInPandas(sets, "row_id long, row_hash long, n int, shingles array<long>").dropDuplicates(ROW), "shingle-sets")
@@ -192,6 +194,7 @@ def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
             if found:
                 many = [len(p) for p, _ in found]
                 yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), **{c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}, "n": np.repeat([len(s) for s in sets], many), "short": np.concatenate([s for _, s in found])})
+        give_back()
 
     every = saved(texts.mapInPandas(prefixes, "shingle long, row_id long, row_hash long, n int, short boolean"), "prefixes")
     crowded = every.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")

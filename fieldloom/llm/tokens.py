@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Runs and pieces that a worker keeps from task to task (some 35 MB and 10 MB), and the bytes that are cut at once.
-KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 50_000, 1 << 20, 2000
+#: Runs and pieces that a worker keeps from task to task (some 20 MB and 10 MB), and the bytes that are cut at once.
+KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, TEXTS_AT_ONCE, WORDS_AT_ONCE = 1 << 18, 50_000, 1 << 20, 512, 2000
 #: Bytes of a plain text: ASCII, and those of the letters U+00C0 to U+017F ...
 PLAIN = bytes(range(128)) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
 #: ... less special tokens, the signs among these letters, and the capital whose lower case has a mark.
@@ -38,10 +38,10 @@ FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 def parts_early(tokenizer) -> bool:
     """Whether the file normalises and splits in the known way."""
-    said = json.loads(tokenizer.to_str())
-    steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
-    splits = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    return steps == NORMALIZERS and splits[0].get("pattern") == {"Regex": PATTERN} and said["model"].get("end_of_word_suffix") == END_OF_WORD
+    said = lambda part: json.loads(part.__getstate__()) if part else {}
+    steps = [n["type"] for n in said(tokenizer.normalizer).get("normalizers", [])]
+    splits = said(tokenizer.pre_tokenizer).get("pretokenizers", [{}])
+    return steps == NORMALIZERS and splits[0].get("pattern") == {"Regex": PATTERN} and getattr(tokenizer.model, "end_of_word_suffix", None) == END_OF_WORD
 
 
 class RunTable:
@@ -216,6 +216,11 @@ class Encoder:
                     out[i] = ids
         return out
 
+    def each(self, texts: Sequence[bytes]) -> Iterator[bytes]:
+        """The ids of text after text, some texts ahead."""
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            yield from self.many(list(texts[i : i + TEXTS_AT_ONCE]))
+
     def __call__(self, text: bytes) -> bytes:
         return self.many([text])[0]
 

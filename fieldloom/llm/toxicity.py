@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, saved, table, without_rows
+from .common import NULL_ID, give_back, saved, table, without_rows
 from .samples import class_counts, crc_fold, labelled_sample
 
 PER_CLASS, MAX_TERMS, MAX_CHARS = 2500, 1024, 100_000
@@ -139,7 +139,7 @@ class Model:
         if key not in self.seen:
             near = self.index.nearest(self.vector(counts), NEIGHBOURS)
             p = 1 / (1 + np.exp(-(self.slope * self.vote(near) + self.shift)))
-            if len(self.seen) >= 20_000:
+            if len(self.seen) >= 5_000:
                 self.seen.clear()
             self.seen[key] = (float(p), near)
         return self.seen[key]
@@ -202,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
                 for t in vocabulary.counts(text):
                     df[t] += 1
             yield pd.DataFrame({"term": np.arange(len(df)), "n": df})
+        give_back()
 
     def examples(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(terms)
@@ -232,6 +233,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             out = [m.score(t) for t in pdf.pop("text")]
             evidence = [",".join(f"{m.ids[i]}:{s:.4f}:{m.y[i]:g}" for i, s in near[:5]) for _, near in out]
             yield pdf.assign(score=[p for p, _ in out], evidence=evidence)
+        m.vocabulary, m.seen = None, {}
+        give_back()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
