@@ -77,23 +77,30 @@ def draft_type(data_type: Column) -> Column:
     return F.when(known.isin(*SIMPLE_TYPES), known).otherwise(F.raise_error(F.concat(F.lit("not a scalar type: "), known)))
 
 
+#: The simple types that a selected node or attribute may have; an element may also be null.
+XSD_TYPES = (
+    "string boolean decimal float double duration dateTime time date gYearMonth gYear gMonthDay gDay gMonth hexBinary base64Binary anyURI QName "
+    "normalizedString token language NMTOKEN NMTOKENS Name NCName ID IDREF IDREFS ENTITY ENTITIES integer nonPositiveInteger negativeInteger long int "
+    "short byte nonNegativeInteger unsignedLong unsignedInt unsignedShort unsignedByte positiveInteger anySimpleType"
+).split()
 LOCAL_NAME = r"^[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_.-]*$"
 
 
 def selection_violations(nodes):
     """check, id of selected schema nodes that don't hold. nodes: id, parent_id, name, kind (scalar, object, attribute),
     type, min_occurs (long), max_occurs (string: a number or unbounded)."""
+    type_ = F.coalesce(F.col("type"), F.lit(""))
     most = F.col("max_occurs").try_cast("long")
     parents = nodes.select(F.col("parent_id").alias("id"), F.lit(True).alias("has_children")).where("id is not null").distinct()
     rows = nodes.join(parents, "id", "left")
     checks = F.filter(
         F.array(
             F.when(~F.coalesce(F.col("name"), F.lit("")).rlike(LOCAL_NAME), "bad_name"),
-            F.when((F.col("kind") != "object") & ~F.coalesce(F.col("type"), F.lit("")).isin(*SIMPLE_TYPES), "bad_type"),
+            F.when((F.col("kind") != "object") & ~(type_.isin(*XSD_TYPES) | ((type_ == "null") & (F.col("kind") == "scalar"))), "bad_type"),
             F.when(~(F.coalesce(F.col("min_occurs"), F.lit(-1)) >= 0), "bad_min_occurs"),
             F.when((F.col("max_occurs") != "unbounded") & ~(F.coalesce(most, F.lit(-1)) >= F.col("min_occurs")), "bad_max_occurs"),
             F.when((F.col("kind") != "object") & F.col("has_children"), "scalar_with_children"),
-            F.when((F.col("kind") == "attribute") & ((F.col("max_occurs") != "1") | F.col("parent_id").isNull()), "bad_attribute"),
+            F.when((F.col("kind") == "attribute") & ((F.col("max_occurs") != "1") | F.col("parent_id").isNull() | (F.col("name") == "xmlns")), "bad_attribute"),
         ),
         lambda c: c.isNotNull(),
     )

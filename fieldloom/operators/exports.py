@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import selection_violations
 from ..plans.space import Space, roots
 
 #: Type names that the expression format has under another name.
 EXPORT_TYPES = {"null": "empty", "number": "double"}
 XS = "http://www.w3.org/2001/XMLSchema"
-#: XSD names of selected scalar types.
-XSD_TYPES = {"null": "string", "datetime": "dateTime", "number": "double"}
 
 
 def type_shares(distributions: DataFrame) -> DataFrame:
@@ -88,44 +87,42 @@ def alternatives(expressed: DataFrame) -> DataFrame:
 
 
 def xsd(selections: DataFrame) -> DataFrame:
-    """schema_id, xsd text. selections: schema_id, id, parent_id, position, name, kind (object, scalar, attribute),
-    type, min_occurs, max_occurs; one group of rows a schema."""
-    return selections.groupBy("schema_id").applyInPandas(_xsd, "schema_id long, xsd string")
+    """schema_id, xsd text of the schemas that hold (see scalars.selection_violations). selections: schema_id, id (unique
+    over all schemas), parent_id, position, name, kind (object, scalar, attribute), type, min_occurs, max_occurs; one
+    group of rows a schema."""
+    wrong = selection_violations(selections).select("id").distinct()
+    bad = selections.join(wrong, "id").select("schema_id").distinct()
+    return selections.join(bad, "schema_id", "left_anti").groupBy("schema_id").applyInPandas(_xsd, "schema_id long, xsd string")
 
 
 def _xsd(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["position", "id"])
-    below = {p: g for p, g in rows[rows["parent_id"].notna()].groupby("parent_id")}
+    rows = pdf.sort_values(["position", "id"]).to_dict("records")
+    below: dict[str | None, list[dict]] = {}
+    for r in rows:
+        below.setdefault(r["parent_id"] if isinstance(r["parent_id"], str) else None, []).append(r)
     tag = lambda name: f"{{{XS}}}{name}"
+    typed = lambda r: "xs:" + ("string" if r["type"] == "null" else r["type"])
 
-    def typed(e: ElementTree.Element, kind: str) -> None:
-        e.set("type", "xs:" + XSD_TYPES.get(kind, kind))
-        if kind == "null":
-            e.set("nillable", "true")
-
-    def element(under: ElementTree.Element, r, top: bool) -> None:
-        e = ElementTree.SubElement(under, tag("element"), name=r["name"])
-        if not top:
-            e.set("minOccurs", str(int(r["min_occurs"])))
-            e.set("maxOccurs", str(r["max_occurs"]))
-        inside = below.get(r["id"])
-        attributes = [] if inside is None else [c for _, c in inside.iterrows() if c["kind"] == "attribute"]
-        elements = [] if inside is None else [c for _, c in inside.iterrows() if c["kind"] != "attribute"]
+    def write(under: ElementTree.Element, r: dict, bounds: dict[str, str]) -> None:
+        e = ElementTree.SubElement(under, tag("element"), {"name": r["name"]} | ({"nillable": "true"} if r["type"] == "null" else {}) | bounds)
+        inside = below.get(r["id"], [])
+        attributes = [c for c in inside if c["kind"] == "attribute"]
+        elements = [c for c in inside if c["kind"] != "attribute"]
         if r["kind"] == "scalar" and not attributes:
-            return typed(e, r["type"])
-        body = ElementTree.SubElement(e, tag("complexType"))
-        holder = body
+            e.set("type", typed(r))
+            return
+        holder = ElementTree.SubElement(e, tag("complexType"))
         if r["kind"] == "scalar":
-            holder = ElementTree.SubElement(ElementTree.SubElement(body, tag("simpleContent")), tag("extension"), base="xs:" + XSD_TYPES.get(r["type"], r["type"]))
-        elif elements:
-            sequence = ElementTree.SubElement(body, tag("sequence"))
+            holder = ElementTree.SubElement(ElementTree.SubElement(holder, tag("simpleContent")), tag("extension"), base=typed(r))
+        if elements:
+            sequence = ElementTree.SubElement(holder, tag("sequence"))
             for c in elements:
-                element(sequence, c, False)
+                write(sequence, c, {"minOccurs": str(int(c["min_occurs"])), "maxOccurs": str(c["max_occurs"])})
         for c in attributes:
-            ElementTree.SubElement(holder, tag("attribute"), name=c["name"], type="xs:" + XSD_TYPES.get(c["type"], c["type"]), use="required" if c["min_occurs"] else "optional")
+            ElementTree.SubElement(holder, tag("attribute"), name=c["name"], type=typed(c), use="required")
 
     ElementTree.register_namespace("xs", XS)
-    root = ElementTree.Element(tag("schema"))
-    for _, r in rows[rows["parent_id"].isna()].iterrows():
-        element(root, r, True)
+    root = ElementTree.Element(tag("schema"), elementFormDefault="qualified", attributeFormDefault="unqualified")
+    for r in below.get(None, []):
+        write(root, r, {})
     return pd.DataFrame({"schema_id": [int(pdf["schema_id"].iloc[0])], "xsd": [ElementTree.tostring(root, encoding="unicode")]})

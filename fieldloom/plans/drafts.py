@@ -1,9 +1,16 @@
-"""Schema drafts: one graph a document, counted by digest; graphs as tables of nodes, collections and members."""
+"""Schema drafts: one graph a document, counted by digest; graphs as tables of nodes, collections and members.
+
+A document is first a tree of parts, each with what it says, the parts that it points to and its ordered members; one
+walk then numbers parts, members and collections, those below before those above. Names keep the order of the
+document, so documents that differ in it have different drafts."""
 
 from __future__ import annotations
 
+import base64
+import binascii
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -11,113 +18,158 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from ..sources.documents import XSI, BadDocument, _no_constant, _one_of_each, _plain, xml_type
+from ..sources.documents import MAX_DEPTH, XSI, BadDocument, _YAML_TAG, _YAML_TYPES, _no_constant, _one_of_each, _plain, nil_and_mixed, read_yaml, xml_type
 
-#: Node kind to the field of its member collection and the kind of its members.
+#: Fixed values of the graph format: node kind to the field of its member collection and the kind of its members ...
 COLLECTIONS = {"object": ("properties", "property"), "union": ("options", "option"), "xmlComplex": ("attributes", "xmlAttribute"), "xmlGroup": ("particles", "xmlParticle")}
-PROFILES = {"json": "json-schema-2020-12", "yaml": "json-schema-2020-12", "xml": "xsd-1.0"}
+#: ... fields that name another node, in the order in which they are followed ...
+LINKS = ("contentNodeId", "particleNodeId", "simpleContentNodeId", "itemsNodeId")
+#: ... dialects, and scalar types that are called otherwise.
+DIALECTS = {"json": "json-schema-2020-12", "yaml": "json-schema-2020-12", "xml": "xsd-1.0"}
 TYPE_NAMES = {"double": "number", "dateTime": "datetime"}
+MAX_NODES = 1_000_000
+
+
+@dataclass
+class _Part:
+    kind: str
+    says: dict = field(default_factory=dict)
+    points: dict[str, "_Part | None"] = field(default_factory=dict)
+    members: list[tuple[dict, "_Part"]] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class _Scalar:
+    type: str
+
+
+def _scalar(kind: str) -> _Part:
+    return _Part("scalar", {"scalarType": TYPE_NAMES.get(kind, kind), "constraints": {}})
+
+
+def _numbered(top: _Part, syntax: str) -> str:
+    """The graph of a tree of parts as canonical JSON."""
+    nodes: dict[str, dict] = {}
+    collections: dict[str, list[dict]] = {}
+    made = 0
+
+    def member(kind: str, values: dict, node: str) -> dict:
+        nonlocal made
+        made += 1
+        return {"id": f"member-{made}", "kind": kind, "valueNodeId": node} | values
+
+    def place(part: _Part) -> str:
+        entry: dict = {"kind": part.kind} | part.says
+        rows, kind = [], ""
+        if part.kind in COLLECTIONS:
+            name, kind = COLLECTIONS[part.kind]
+            if part.kind == "union":  # options are numbered after all that stands below them
+                below = [place(p) for _, p in part.members]
+                rows = [member(kind, values, node) for (values, _), node in zip(part.members, below)]
+            else:
+                for values, p in part.members:
+                    node = place(p)
+                    rows.append(member(kind, values, node))
+        entry |= {link: p and place(p) for link, p in part.points.items()}
+        if kind:
+            at = f"collection-{len(collections) + 1}"
+            collections[at] = rows
+            entry[name] = {"id": at, "totalItems": len(rows)}
+        at = f"node-{len(nodes) + 1}"
+        nodes[at] = {"id": at} | entry
+        return at
 
+    root = place(top)
+    whole = {"rootNodeId": root, "profile": {"syntax": syntax, "dialect": DIALECTS[syntax]}, "nodes": nodes, "collections": collections}
+    return json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-class _Graph:
-    """Nodes and ordered member collections with ids in the order in which they are made."""
 
-    def __init__(self, profile: str):
-        self.profile, self.nodes, self.collections, self.members = profile, {}, {}, 0
+class _Budget:
+    """Nodes of the source that are left, and how deep they may stand."""
 
-    def node(self, kind: str, **values) -> str:
-        at = f"node-{len(self.nodes) + 1}"
-        self.nodes[at] = {"id": at, "kind": kind} | values
-        return at
+    def __init__(self, nodes: int = MAX_NODES, depth: int = MAX_DEPTH):
+        self.nodes, self.depth = nodes, depth
 
-    def collection(self, owner: str, members: Iterator[dict]) -> None:
-        """The collection's id comes before those below its members, which are made as they are asked for."""
-        at = f"collection-{len(self.collections) + 1}"
-        field, kind = COLLECTIONS[self.nodes[owner]["kind"]]
-        self.collections[at] = out = []
-        for m in members:
-            self.members += 1
-            out.append({"id": f"member-{self.members}", "kind": kind} | m)
-        self.nodes[owner][field] = {"id": at, "totalItems": len(out)}
-
-    def text(self, root: str) -> str:
-        whole = {"rootNodeId": root, "profile": self.profile, "nodes": self.nodes, "collections": self.collections}
-        return json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    def take(self, depth: int) -> None:
+        self.nodes -= 1
+        if self.nodes < 0 or depth >= self.depth:
+            raise BadDocument("too large or too deep for a draft")
 
 
 def _shape(value) -> tuple:
     """Equal for values of one shape: names without order, item shapes as a set, scalars by type."""
     if isinstance(value, dict):
-        return ("object", tuple(sorted((k, _shape(v)) for k, v in value.items())))
+        return ("object", frozenset((k, _shape(v)) for k, v in value.items()))
     if isinstance(value, list):
-        return ("array", frozenset(_shape(v) for v in value))
-    return ("scalar", _plain(value)[0])
+        return ("array", frozenset(map(_shape, value)))
+    return ("scalar", TYPE_NAMES.get(value.type, value.type))
 
 
-def _value_node(g: _Graph, value) -> str:
+def _typed(value):
+    """A JSON value with its scalars replaced by their types."""
     if isinstance(value, dict):
-        at = g.node("object")
-        g.collection(at, ({"name": k, "required": True, "valueNodeId": _value_node(g, v)} for k, v in sorted(value.items())))
-        return at
-    if isinstance(value, list):
-        at = g.node("array")
-        first: dict[tuple, object] = {}
-        for v in value:
-            first.setdefault(_shape(v), v)
-        items = list(first.values())
-        if not items:
-            g.nodes[at] |= {"itemNodeId": None, "maxItems": 0}
-        elif len(items) == 1:
-            g.nodes[at]["itemNodeId"] = _value_node(g, items[0])
-        else:
-            union = g.node("union", mode="anyOf")
-            g.nodes[at]["itemNodeId"] = union
-            g.collection(union, ({"valueNodeId": _value_node(g, v)} for v in items))
-        return at
-    kind = _plain(value)[0]
-    return g.node("scalar", scalarType=TYPE_NAMES.get(kind, kind))
+        return {k: _typed(v) for k, v in value.items()}
+    return [_typed(v) for v in value] if isinstance(value, list) else _Scalar(_plain(value)[0])
+
+
+def _data_part(value, budget: _Budget, depth: int = 0) -> _Part:
+    """An object, array or scalar of JSON or YAML. Items of one shape are one alternative."""
+    budget.take(depth)
+    if isinstance(value, dict):
+        return _Part("object", {"additionalProperties": False}, {}, [({"name": k, "required": True}, _data_part(v, budget, depth + 1)) for k, v in value.items()])
+    if not isinstance(value, list):
+        return _scalar(value.type)
+    ways = {_shape(v): v for v in reversed(value)}  # of each shape the first item
+    kept = [v for v in value if ways[_shape(v)] is v]
+    parts = [_data_part(v, budget, depth + 1) for v in kept]
+    items = _scalar("null") if not parts else parts[0] if len(parts) == 1 else _Part("union", {"mode": "anyOf"}, {}, [({"title": f"Variant {i}"}, p) for i, p in enumerate(parts, 1)])
+    return _Part("array", {"minItems": 0, "maxItems": None if parts else 0}, {"itemsNodeId": items})
 
 
 def _name(tag: str) -> dict:
     uri, _, local = tag.rpartition("}")
-    return {"namespaceUri": uri.lstrip("{"), "localName": local}
+    return {"namespaceUri": uri[1:] or None, "localName": local}
 
 
-def _element_node(g: _Graph, e: ElementTree.Element) -> str:
-    nil = e.attrib.get(XSI + "nil", "false").strip() in ("true", "1")
-    text, below = e.text or "", list(e)
-    mixed = bool(below) and (bool(text.strip()) or any((c.tail or "").strip() for c in below))
-    if nil and (below or text.strip()):
+def _element_part(e: ElementTree.Element, budget: _Budget, depth: int = 0) -> _Part:
+    budget.take(depth)
+    nil, mixed = nil_and_mixed(e)
+    if nil and (len(e) or (e.text or "").strip()):
         raise BadDocument("a nil element has content")
-    at = g.node("xmlElement", name=_name(e.tag), nillable=nil)
-    attributes = [(k, v) for k, v in sorted(e.attrib.items()) if not k.startswith(XSI)]
-    scalar = lambda t: g.node("scalar", scalarType=TYPE_NAMES.get(t, t))
-    if not below and not attributes:
-        g.nodes[at]["contentNodeId"] = scalar(xml_type(text))
-        return at
-    content = g.node("xmlComplex", mixed=mixed)
-    g.nodes[at]["contentNodeId"] = content
-    g.collection(content, ({"name": _name(k), "required": True, "valueNodeId": scalar(xml_type(v))} for k, v in attributes))
-    if below:
-        group = g.node("xmlGroup", compositor="sequence")
-        g.nodes[content]["particleNodeId"] = group
-        g.collection(group, ({"minOccurs": 1, "maxOccurs": 1, "valueNodeId": _element_node(g, c)} for c in below))
-    else:
-        g.nodes[content]["simpleNodeId"] = scalar(xml_type(text))
-    return at
+    named = sorted((k, v) for k, v in e.attrib.items() if not k.startswith(XSI))
+    content = text = _scalar("null" if nil else xml_type(e.text or ""))
+    if named or len(e):
+        attributes = [({"name": _name(k), "required": True}, _scalar(xml_type(v))) for k, v in named]
+        group = _Part("xmlGroup", {"compositor": "sequence"}, {}, [({"minOccurs": 1, "maxOccurs": 1}, _element_part(c, budget, depth + 1)) for c in e]) if len(e) else None
+        content = _Part("xmlComplex", {"mixed": mixed}, {"particleNodeId": group, "simpleContentNodeId": None if group else text}, attributes)
+    return _Part("xmlElement", {"name": _name(e.tag), "nillable": nil}, {"contentNodeId": content})
 
 
 def draft_json(content: str) -> str:
-    g = _Graph(PROFILES["json"])
-    return g.text(_value_node(g, json.loads(content, object_pairs_hook=_one_of_each, parse_constant=_no_constant)))
+    return _numbered(_data_part(_typed(json.loads(content, object_pairs_hook=_one_of_each, parse_constant=_no_constant)), _Budget()), "json")
+
+
+def draft_yaml(content: str) -> str:
+    import yaml
+
+    read_yaml(content, preserve_root=True)  # rejects what the reader rejects: aliases, tags, names, limits
+
+    def typed(node):
+        if isinstance(node, yaml.MappingNode):
+            return {k.value: typed(v) for k, v in node.value}
+        if isinstance(node, yaml.SequenceNode):
+            return [typed(v) for v in node.value]
+        kind = _YAML_TYPES[node.tag.removeprefix(_YAML_TAG)]
+        return _Scalar("null" if kind == "string" and not node.value.strip() else kind)
+
+    return _numbered(_data_part(typed(yaml.compose(content, Loader=yaml.SafeLoader)), _Budget()), "yaml")
 
 
 def draft_xml(content: str) -> str:
-    g = _Graph(PROFILES["xml"])
-    return g.text(_element_node(g, ElementTree.fromstring(content)))
+    return _numbered(_element_part(ElementTree.fromstring(content), _Budget()), "xml")
 
 
-WRITERS: dict[str, Callable[[str], str]] = {"json": draft_json, "xml": draft_xml}
+WRITERS: dict[str, Callable[[str], str]] = {"json": draft_json, "yaml": draft_yaml, "xml": draft_xml}
 
 
 def drafts(docs: DataFrame, writers: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
@@ -185,51 +237,90 @@ def repeated_names(members: DataFrame) -> DataFrame:
 def edges(tables: dict[str, DataFrame]) -> DataFrame:
     """schema_id, parent, child: nodes by their members and by direct references."""
     nodes = tables["nodes"]
-    direct = F.explode(F.filter(F.array(*[F.get_json_object("data", f"$.{f}") for f in ("itemNodeId", "contentNodeId", "particleNodeId", "simpleNodeId")]), lambda x: x.isNotNull()))
-    owners = F.explode(F.filter(F.array(*[F.get_json_object("data", f"$.{f}.id") for f, _ in COLLECTIONS.values()]), lambda x: x.isNotNull()))
-    of = nodes.select("schema_id", F.col("id").alias("parent"), owners.alias("collection_id"))
-    through = tables["members"].join(of, ["schema_id", "collection_id"]).select("schema_id", "parent", F.get_json_object("data", "$.valueNodeId").alias("child"))
-    return nodes.select("schema_id", F.col("id").alias("parent"), direct.alias("child")).unionByName(through)
-
-
-def contained(found: DataFrame, max_depth: int = 128) -> DataFrame:
-    """schema_id, ancestor, node: every pair in which a subtree contains a node, itself included."""
-    pairs = found.select("schema_id", F.col("parent").alias("ancestor"), F.col("child").alias("node"))
-    every = pairs
-    for _ in range(max_depth.bit_length()):  # each round doubles the reach
-        longer = every.select("schema_id", "ancestor", F.col("node").alias("via")).join(every.select("schema_id", F.col("ancestor").alias("via"), "node"), ["schema_id", "via"]).select("schema_id", "ancestor", "node")
-        grown = every.unionByName(longer).distinct()
-        grown = stored(grown, "contained")
-        if grown.count() == every.count():
+    named = lambda paths: F.explode(F.filter(F.array(*[F.get_json_object("data", p) for p in paths]), lambda x: x.isNotNull()))
+    direct = nodes.select("schema_id", F.col("id").alias("parent"), named([f"$.{f}" for f in LINKS]).alias("child"))
+    of = nodes.select("schema_id", F.col("id").alias("parent"), named([f"$.{f}.id" for f, _ in COLLECTIONS.values()]).alias("collection_id"))
+    value = F.get_json_object("data", "$.valueNodeId").alias("child")
+    return direct.unionByName(tables["members"].join(of, ["schema_id", "collection_id"]).select("schema_id", "parent", value))
+
+
+def contained(found: DataFrame, tops: DataFrame, max_depth: int = 3 * MAX_DEPTH) -> DataFrame:
+    """schema_id, ancestor, node: what the subtree of each asked node (tops: schema_id, ancestor) contains, itself
+    included. Level by level from the asked nodes down; a level holds only nodes that were not met before."""
+    step = found.select("schema_id", F.col("parent").alias("node"), "child")
+    level = stored(tops.select("schema_id", "ancestor", F.col("ancestor").alias("node")).distinct(), "contained")
+    met = level
+    for _ in range(max_depth):
+        below = level.join(step, ["schema_id", "node"]).select("schema_id", "ancestor", F.col("child").alias("node")).distinct()
+        level = stored(below.join(met, ["schema_id", "ancestor", "node"], "left_anti"), "contained")
+        if level.isEmpty():
             break
-        every = grown
-    selves = found.select("schema_id", F.explode(F.array("parent", "child")).alias("ancestor")).distinct().withColumn("node", F.col("ancestor"))
-    return every.unionByName(selves).distinct()
+        met = met.unionByName(level)
+    return met
+
 
+def read_cursor(cursor: str, schema: int, revision: str, collection: str, limit: int) -> int:
+    """The offset of a cursor that belongs to this page."""
+    try:
+        said = json.loads(base64.urlsafe_b64decode(cursor))
+    except (ValueError, binascii.Error) as e:
+        raise ValueError("invalid cursor") from e
+    if not isinstance(said, list) or said[:-1] != [schema, revision, collection, limit] or type(said[-1]) is not int or said[-1] < 0:
+        raise ValueError("invalid cursor")
+    return said[-1]
 
-def page(members: DataFrame, nodes: DataFrame, collection: str, after: int = 0, limit: int = 50) -> DataFrame:
+
+def page(members: DataFrame, nodes: DataFrame, collection: str, after: int = 0, limit: int = 50, revision: str = "s1") -> DataFrame:
     """One page of a collection in every schema: members from position after on, with the value node's kind and label,
-    the total and the cursor of the next page (null on the last)."""
+    the total and the cursor of the next page (null on the last; see read_cursor)."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must be from 1 to 200")
+    get = lambda p: F.get_json_object("data", p)
     here = members.where(F.col("collection_id") == collection)
     totals = here.groupBy("schema_id").agg(F.count("*").alias("total"))
-    value = nodes.select("schema_id", F.col("id").alias("value_id"), F.get_json_object("data", "$.kind").alias("value_kind"), F.coalesce(F.get_json_object("data", "$.scalarType"), F.get_json_object("data", "$.kind")).alias("label"))
-    rows = here.where(F.col("position").between(after, after + limit - 1)).withColumn("value_id", F.get_json_object("data", "$.valueNodeId")).join(value, ["schema_id", "value_id"], "left").join(totals, "schema_id")
+    label = F.coalesce(get("$.name.localName"), get("$.scalarType"), get("$.kind"))
+    value = nodes.select("schema_id", F.col("id").alias("value_id"), get("$.kind").alias("value_kind"), label.alias("label"))
+    rows = here.where(F.col("position").between(after, after + limit - 1)).withColumn("value_id", get("$.valueNodeId"))
+    rows = rows.join(value, ["schema_id", "value_id"], "left").join(totals, "schema_id")
+    said = F.concat(F.lit("["), F.col("schema_id").cast("string"), F.lit(f', "{revision}", "{collection}", {limit}, {after + limit}]'))
+    cursor = F.translate(F.base64(said.cast("binary")), "+/", "-_")
     more = F.col("total") > after + limit
-    cursor = F.base64(F.to_json(F.struct(F.lit(collection).alias("collection"), F.lit(limit).alias("limit"), F.lit(after + limit).alias("offset"), F.col("schema_id").alias("schema"))).cast("binary"))
     return rows.select("schema_id", "position", "id", "value_kind", "label", "total", F.when(more, cursor).alias("next"))
 
 
-def member_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """schema_id, id, members: direct members of each node, looked up behind its wrappers (element, complex content)."""
-    nodes = tables["nodes"].select("schema_id", "id", F.coalesce(*[F.get_json_object("data", f"$.{f}") for f in ("contentNodeId", "particleNodeId", "itemNodeId", "simpleNodeId")]).alias("behind"), *[F.coalesce(F.get_json_object("data", f"$.{f}.totalItems").cast("long"), F.lit(0)).alias(f) for f, _ in COLLECTIONS.values()])
-    own = nodes.select("schema_id", "id", "behind", sum((F.col(f) for f, _ in COLLECTIONS.values()), F.lit(0)).alias("own"))
-    step = own.select("schema_id", F.col("id").alias("behind"), F.col("own").alias("more"), F.col("behind").alias("further"))
-    out = own
-    for _ in range(3):  # element, content, particle
-        out = out.join(step, ["schema_id", "behind"], "left").select("schema_id", "id", F.col("further").alias("behind"), (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"))
-    return out.select("schema_id", "id", F.col("own").alias("members"))
+def member_counts(tables: dict[str, DataFrame], max_steps: int = 128) -> DataFrame:
+    """schema_id, id, members: direct members of each node and of the nodes behind it (content, particle, simple content
+    or items, the first that there is), up to max_steps nodes or to one that was met before."""
+    get = lambda p: F.get_json_object("data", p)
+    behind = F.coalesce(*[get(f"$.{f}") for f in LINKS])
+    own = sum((F.coalesce(get(f"$.{f}.totalItems").cast("long"), F.lit(0)) for f, _ in COLLECTIONS.values()), F.lit(0))
+    nodes = stored(tables["nodes"].select("schema_id", "id", behind.alias("behind"), own.cast("long").alias("members")), "member-counts")
+    step = nodes.select("schema_id", F.col("id").alias("behind"), F.col("behind").alias("further"), F.col("members").alias("more"))
+    left = nodes.withColumn("met", F.array("id"))
+    done = []
+    for _ in range(max_steps - 1):
+        goes_on = F.col("behind").isNotNull() & ~F.array_contains("met", F.col("behind"))
+        done.append(left.where(~F.coalesce(goes_on, F.lit(False))).select("schema_id", "id", "members"))
+        further = left.where(goes_on).join(step, ["schema_id", "behind"])
+        left = stored(further.select("schema_id", "id", F.col("further").alias("behind"), (F.col("members") + F.col("more")).alias("members"), F.concat("met", F.array("behind")).alias("met")), "member-counts")
+        if left.isEmpty():
+            break
+    out = left.select("schema_id", "id", "members")
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def created(requests: DataFrame, found: DataFrame, drafted: DataFrame) -> DataFrame:
+    """Drafts of analysis alternatives (requests: schema_id, alternative_id, title): schema_id, title, outcome (created or
+    not_found) and, of those created, revision s1, syntax, dialect, root_node_id and graph."""
+    graphs = graphs_of(found, drafted).select(F.col("id").alias("alternative_id"), "graph")
+    rows = requests.join(graphs, "alternative_id", "left")
+    there, get = F.col("graph").isNotNull(), lambda p: F.get_json_object("graph", p)
+    return rows.select(
+        "schema_id", "title", F.when(there, "created").otherwise("not_found").alias("outcome"), F.when(there, F.lit("s1")).alias("revision"),
+        get("$.profile.syntax").alias("syntax"), get("$.profile.dialect").alias("dialect"), get("$.rootNodeId").alias("root_node_id"), "graph",
+    )
 
 
 def newest(listing: DataFrame, owner: str | None = None, limit: int = 50) -> DataFrame:

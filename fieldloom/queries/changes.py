@@ -51,18 +51,23 @@ def c5_replays(spark, sf_dir: str) -> DataFrame:
 
 
 def _selections(spark, sf_dir: str) -> DataFrame:
-    """A selection a nation: an object with an attribute and scalar elements, some of which don't hold."""
-    n = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    row = lambda at, parent, name, kind, type_, low, high: F.struct(F.lit(at).alias("n"), F.lit(parent).cast("string").alias("parent"), name.alias("name"), F.lit(kind).alias("kind"), F.lit(type_).cast("string").alias("type"), low.cast("long").alias("min_occurs"), high.alias("max_occurs"))
-    one = F.lit(1)
+    """A selection a part: an object with an attribute and two scalar elements, of which some don't hold."""
+    k = F.col("p_partkey")
+
+    def row(n: int, name, kind: str, type_, low, high, parent: int | None = None):
+        at = lambda i: F.concat(k.cast("string"), F.lit(f"/{i}"))
+        return F.struct(
+            at(n).alias("id"), (F.lit(None).cast("string") if parent is None else at(parent)).alias("parent_id"), F.lit(n).alias("position"), name.alias("name"),
+            F.lit(kind).alias("kind"), type_.cast("string").alias("type"), low.cast("long").alias("min_occurs"), high.alias("max_occurs"),
+        )
+
+    one = F.lit("1")
+    size = F.when(k % 4 == 0, "dateTime").when(k % 4 == 1, "anyURI").when(k % 11 == 2, "number").otherwise("decimal")
     rows = F.array(
-        row("0", None, F.lit("nation"), "object", None, one, F.lit("1")), row("1", "0", F.lit("key"), "attribute", "integer", one, F.lit("1")),
-        row("2", "0", F.when(k % 5 == 0, "2nd").otherwise("name"), "scalar", "string", one, F.lit("1")), row("3", "0", F.lit("region"), "scalar", "null", F.lit(0), F.when(k % 7 == 0, "-1").otherwise("unbounded")),
+        row(0, F.lit("part"), "object", F.lit(None), F.lit(1), one), row(1, F.lit("key"), "attribute", F.lit("integer"), F.lit(1), one, 0),
+        row(2, F.when(k % 5 == 0, "2nd").otherwise("name"), "scalar", size, F.lit(1), one, 0), row(3, F.lit("brand"), "scalar", F.lit("null"), F.lit(0), F.when(k % 7 == 0, "-1").otherwise("unbounded"), 0),
     )
-    each = n.select(k.cast("long").alias("schema_id"), F.explode(rows).alias("r"))
-    at = lambda c: F.concat(F.col("schema_id").cast("string"), F.lit("/"), F.col(f"r.{c}"))
-    return each.select("schema_id", at("n").alias("id"), at("parent").alias("parent_id"), F.col("r.n").cast("int").alias("position"), "r.name", "r.kind", "r.type", "r.min_occurs", "r.max_occurs")
+    return table(spark, sf_dir, "part").select(k.cast("long").alias("schema_id"), F.explode(rows).alias("r")).select("schema_id", "r.*")
 
 
 def n11_violations(spark, sf_dir: str) -> DataFrame:
@@ -76,6 +81,19 @@ def e4_xsd(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"c4_receipts": c4_receipts, "c5_replays": c5_replays, "c6_revisions": c6_revisions, "n11_violations": n11_violations, "e4_xsd": e4_xsd}
 
 _XS = "http://www.w3.org/2001/XMLSchema"
+#: The log, entry by entry: the revision so far (v) and what was accepted under the id that repeats (a).
+_REPLAY = """
+with recursive o as (select o_custkey as schema_id, o_orderkey as seq, row_number() over (partition by o_custkey order by o_orderkey) as i, c_custkey is null as lost
+  from orders left join customer on c_custkey = o_custkey),
+l as (select schema_id, i, seq % 7 = 0 as again, case when seq % 5 = 0 then 1 else i end as base, case when seq % 5 = 0 then 1 else i end || '/' || seq % 4 as d, lost from o),
+r as (
+  select distinct schema_id, cast(0 as bigint) as i, cast(1 as bigint) as v, cast(null as varchar) as a, cast(null as varchar) as outcome from l
+  union all
+  select schema_id, i, v + (outcome = 'accepted')::int, case when outcome = 'accepted' and again then d else a end, outcome from (
+    select l.schema_id, l.i, r.v, r.a, l.d, l.again,
+      case when l.again and r.a = l.d then 'replayed' when l.again and r.a is not null then 'idempotency_conflict' when l.lost then 'no_schema' when l.base = r.v then 'accepted' else 'revision_conflict' end as outcome
+    from r join l on l.schema_id = r.schema_id and l.i = r.i + 1))
+"""
 ORACLE = {
     "c5_replays": """
 with o as (select o_custkey as schema_id, o_orderkey as seq, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
@@ -83,10 +101,20 @@ l as (select *, case when seq % 7 = 0 then 'again' else cast(seq as varchar) end
 r as (select *, row_number() over w as i, first_value(d) over w as f from l window w as (partition by schema_id, m order by seq))
 select schema_id, case when i = 1 then 'first' when d = f then 'replayed' else 'idempotency_conflict' end as outcome, count(*) as n from r group by all
 """,
-    "n11_violations": "select 'bad_name' as \"check\", n_nationkey || '/2' as id from nation where n_nationkey % 5 = 0 union all select 'bad_max_occurs', n_nationkey || '/3' from nation where n_nationkey % 7 = 0",
+    "n11_violations": """
+select 'bad_name' as "check", p_partkey || '/2' as id from part where p_partkey % 5 = 0 union all select 'bad_max_occurs', p_partkey || '/3' from part where p_partkey % 7 = 0
+union all select 'bad_type', p_partkey || '/2' from part where p_partkey % 4 > 1 and p_partkey % 11 = 2
+""",
     "e4_xsd": f"""
-select cast(n_nationkey as bigint) as schema_id, '<xs:schema xmlns:xs="{_XS}"><xs:element name="nation"><xs:complexType><xs:sequence><xs:element name="' || case when n_nationkey % 5 = 0 then '2nd' else 'name' end
-  || '" minOccurs="1" maxOccurs="1" type="xs:string" /><xs:element name="region" minOccurs="0" maxOccurs="' || case when n_nationkey % 7 = 0 then '-1' else 'unbounded' end
-  || '" type="xs:string" nillable="true" /></xs:sequence><xs:attribute name="key" type="xs:integer" use="required" /></xs:complexType></xs:element></xs:schema>' as xsd from nation
+select cast(p_partkey as bigint) as schema_id, '<xs:schema xmlns:xs="{_XS}" elementFormDefault="qualified" attributeFormDefault="unqualified"><xs:element name="part"><xs:complexType><xs:sequence>'
+  || '<xs:element name="name" minOccurs="1" maxOccurs="1" type="xs:' || case p_partkey % 4 when 0 then 'dateTime' when 1 then 'anyURI' else 'decimal' end
+  || '" /><xs:element name="brand" nillable="true" minOccurs="0" maxOccurs="unbounded" type="xs:string" /></xs:sequence>'
+  || '<xs:attribute name="key" type="xs:integer" use="required" /></xs:complexType></xs:element></xs:schema>' as xsd
+from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0 and not (p_partkey % 4 > 1 and p_partkey % 11 = 2)
+""",
+    "c4_receipts": f"{_REPLAY} select outcome, count(*) as n from r where i > 0 group by outcome",
+    "c6_revisions": f"""{_REPLAY}
+select c_custkey as schema_id, 's' || (1 + count(*) filter (outcome = 'accepted')) as revision, count(*) filter (outcome = 'accepted') as accepted
+from customer left join r on schema_id = c_custkey group by c_custkey
 """,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import drafts, space
 from ..sources import documents as sources
-from .rendered import conversation_json, order_xml, table
+from ..plans.storage import stored
+from .rendered import conversation_json, customer_yaml, order_xml, table
 
 
 def _schemas(spark, sf_dir: str) -> dict[str, DataFrame]:
@@ -39,12 +40,48 @@ def d6_rebuilt(spark, sf_dir: str) -> DataFrame:
 
 
 def j7_contained(spark, sf_dir: str) -> DataFrame:
-    c = drafts.contained(drafts.edges(_schemas(spark, sf_dir)))
-    return c.where("ancestor = 'node-1'").groupBy("schema_id").agg(F.count("*").alias("nodes"))
+    graphs = drafts.drafts(conversation_json(spark, sf_dir)).select(F.col("doc_id").alias("schema_id"), "graph")
+    roots = graphs.select("schema_id", F.get_json_object("graph", "$.rootNodeId").alias("ancestor"))
+    return drafts.contained(drafts.edges(drafts.exploded(graphs)), roots).groupBy("schema_id").agg(F.count("*").alias("nodes"))
 
 
 def j8_member_counts(spark, sf_dir: str) -> DataFrame:
-    return drafts.member_counts(_schemas(spark, sf_dir)).where("id = 'node-1'").select("schema_id", "members")
+    return drafts.member_counts(_schemas(spark, sf_dir)).groupBy("schema_id", "members").agg(F.count("*").alias("nodes"))
+
+
+def _nested(spark, sf_dir: str) -> DataFrame:
+    """Customers as objects of three fields below up to six arrays."""
+    depth = (F.col("c_custkey") % 7).cast("int")
+    body = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
+    content = F.concat(F.repeat(F.lit("["), depth), body, F.repeat(F.lit("]"), depth))
+    return drafts.drafts(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("json").alias("format"), content.alias("content")))
+
+
+def d2_graph(spark, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir).select(F.col("doc_id").alias("schema_id"), "graph")
+
+
+def d2_yaml(spark, sf_dir: str) -> DataFrame:
+    """Kinds and types of the nodes of YAML drafts."""
+    graphs = drafts.drafts(customer_yaml(spark, sf_dir)).select(F.col("doc_id").alias("schema_id"), "graph")
+    nodes = drafts.exploded(graphs)["nodes"]
+    kind = F.coalesce(F.get_json_object("data", "$.scalarType"), F.get_json_object("data", "$.kind"))
+    return nodes.groupBy("schema_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def j8_nested(spark, sf_dir: str) -> DataFrame:
+    graphs = _nested(spark, sf_dir).select(F.col("doc_id").alias("schema_id"), "graph")
+    return drafts.member_counts(drafts.exploded(graphs)).groupBy("schema_id", "members").agg(F.count("*").alias("nodes"))
+
+
+def c7_drafts(spark, sf_dir: str) -> DataFrame:
+    """A draft of each alternative of the conversations, and of one that there isn't."""
+    made = drafts.drafts(conversation_json(spark, sf_dir))
+    found = stored(drafts.alternatives(made), "alternatives")
+    title = F.concat(F.lit("draft of "), F.col("count").cast("string"))
+    asked = found.select(F.col("doc_id").alias("schema_id"), F.col("id").alias("alternative_id"), title.alias("title"))
+    unknown = found.groupBy().agg(F.lit(-1).cast("long").alias("schema_id"), F.lit("alternative-none").alias("alternative_id"), F.lit("unknown").alias("title"))
+    return drafts.created(asked.unionByName(unknown), found, made).drop("graph")
 
 
 def j9_repeated_names(spark, sf_dir: str) -> DataFrame:
@@ -57,7 +94,7 @@ def j9_repeated_names(spark, sf_dir: str) -> DataFrame:
 def k2_page(spark, sf_dir: str) -> DataFrame:
     t = _schemas(spark, sf_dir)
     p = drafts.page(t["members"], t["nodes"], "collection-1", 0, 1)
-    return p.select("schema_id", "position", "value_kind", "label", "total", F.get_json_object(F.unbase64("next").cast("string"), "$.offset").cast("long").alias("next_offset"))
+    return p.select("schema_id", "position", "value_kind", "label", "total", F.get_json_object(F.unbase64(F.translate("next", "-_", "+/")).cast("string"), "$[4]").cast("long").alias("next_offset"))
 
 
 def k1_suggested(spark, sf_dir: str) -> DataFrame:
@@ -71,6 +108,10 @@ def k3_listing(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "c7_drafts": c7_drafts,
+    "d2_graph": d2_graph,
+    "d2_yaml": d2_yaml,
+    "j8_nested": j8_nested,
     "d4_alternatives": d4_alternatives,
     "d5_manifest": d5_manifest,
     "d6_members": d6_members,
@@ -103,9 +144,42 @@ select conv_id as schema_id, cast(1 + u::int + o::int + (u and o)::int as bigint
        cast(2 + case when u then 3 else 0 end + case when o then 2 else 0 end + case when u and o then 2 else 0 end as bigint) as members from c
 """,
     "j7_contained": f"{_KINDS} select conv_id as schema_id, cast(3 + u::int + o::int + (u and o)::int + case when u then 3 else 0 end + case when o then 2 else 0 end as bigint) as nodes from c",
-    "j8_member_counts": "select distinct conv_id as schema_id, cast(2 as bigint) as members from conversations",
+    "j8_member_counts": f"""{_KINDS}, n as (
+  select conv_id, 2 as m, 1 as k from c union all select conv_id, case when u and not o then 3 else 2 end, 1 from c union all select conv_id, 2, 1 from c where u and o
+  union all select conv_id, 3, 1 from c where u union all select conv_id, 2, 1 from c where o
+  union all select conv_id, 0, 1 + case when u then 3 else 0 end + case when o then 2 else 0 end from c)
+select conv_id as schema_id, cast(m as bigint) as members, cast(sum(k) as bigint) as nodes from n group by all
+""",
+    "j8_nested": """
+select c_custkey as schema_id, cast(m as bigint) as members, cast(case when m = 3 then c_custkey % 7 + 1 else 3 end as bigint) as nodes from customer, (values (0), (3)) v(m)
+""",
+    "d2_graph": """
+with k as (select c_custkey as schema_id, c_custkey % 7 as depth from customer),
+n as (
+  select schema_id, 'node-' || i as id, '{"constraints":{},"id":"node-' || i || '","kind":"scalar","scalarType":"' || t || '"}' as body from k, (values (1, 'integer'), (2, 'string'), (3, 'integer')) v(i, t)
+  union all select schema_id, 'node-4', '{"additionalProperties":false,"id":"node-4","kind":"object","properties":{"id":"collection-1","totalItems":3}}' from k
+  union all select schema_id, 'node-' || (4 + i), '{"id":"node-' || (4 + i) || '","itemsNodeId":"node-' || (3 + i) || '","kind":"array","maxItems":null,"minItems":0}'
+  from (select schema_id, unnest(range(1, depth + 1)) as i from k)),
+m as (select string_agg('{"id":"member-' || i || '","kind":"property","name":"' || name || '","required":true,"valueNodeId":"node-' || i || '"}', ',' order by i) as body
+      from (values (1, 'key'), (2, 'name'), (3, 'nation')) v(i, name))
+select k.schema_id, '{"collections":{"collection-1":[' || any_value(m.body) || ']},"nodes":{' || string_agg('"' || n.id || '":' || n.body, ',' order by n.id)
+  || '},"profile":{"dialect":"json-schema-2020-12","syntax":"json"},"rootNodeId":"node-' || (4 + any_value(depth)) || '"}' as graph
+from k join n using (schema_id), m group by k.schema_id
+""",
+    "d2_yaml": """
+with c as (select c_custkey as schema_id, c_custkey % 4 = 0 as t from customer)
+select schema_id, kind, cast(n as bigint) as n from (
+  select schema_id, 'object' as kind, 2 as n from c union all select schema_id, 'integer', 1 + t::int from c union all select schema_id, 'string', 1 + t::int from c
+  union all select schema_id, 'boolean', 1 from c union all select schema_id, 'date', 1 from c union all select schema_id, 'null', 1 from c
+  union all select schema_id, 'array', 1 from c where t union all select schema_id, 'union', 1 from c where t)
+""",
+    "c7_drafts": f"""{_KINDS}, a as (select u, o, f, count(*) as n, min(conv_id) as first from c group by u, o, f)
+select first as schema_id, 'draft of ' || n as title, 'created' as outcome, 's1' as revision, 'json' as syntax, 'json-schema-2020-12' as dialect,
+  'node-' || (3 + u::int + o::int + (u and o)::int + case when u then 3 else 0 end + case when o then 2 else 0 end) as root_node_id from a
+union all select -1, 'unknown', 'not_found', null, null, null, null
+""",
     "j9_repeated_names": f"{_KINDS} select 'same' as name, cast(sum(u::int + o::int) as bigint) as collections from c",
     "k1_suggested": "with s as (select o_orderkey % 5 < 3 as n, o_orderkey % 7 = 0 as p, count(*) as c from orders group by all) select max(c) as count, (select count(*) from orders) as total from s",
-    "k2_page": "select distinct conv_id as schema_id, cast(0 as bigint) as position, 'scalar' as value_kind, 'integer' as label, cast(2 as bigint) as total, cast(1 as bigint) as next_offset from conversations",
+    "k2_page": f"{_KINDS} select conv_id as schema_id, cast(0 as bigint) as position, 'scalar' as value_kind, 'integer' as label, cast(case when f then 3 else 2 end as bigint) as total, cast(1 as bigint) as next_offset from c",
     "k3_listing": "select o_orderkey as id, o_orderpriority as owner, o_orderdate as created from orders where o_orderpriority = '1-URGENT' order by o_orderdate desc, o_orderkey limit 50",
 }

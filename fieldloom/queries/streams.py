@@ -30,7 +30,7 @@ def st2_feed(spark, sf_dir: str) -> DataFrame:
 
 def st3_rate(spark, sf_dir: str) -> DataFrame:
     logs = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
-    return jobs.latest(rollups.request_rate(logs, "event_type", watermark="10 minutes")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return jobs.latest(rollups.request_rate(logs, "event_type", watermark="10 minutes"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 QUERIES = {"st1_fields": st1_fields, "st2_feed": st2_feed, "st3_rate": st3_rate}

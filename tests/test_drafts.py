@@ -1,7 +1,9 @@
 """Drafts, their tables, and ordered edits."""
 
+import base64
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import changes, exports
@@ -17,12 +19,53 @@ def test_json_graph():
     g = graph('{"b": [1, "x", 2], "a": [], "c": {"d": null}}')
     root = g["nodes"][g["rootNodeId"]]
     members = g["collections"][root["properties"]["id"]]
-    assert [m["name"] for m in members] == ["a", "b", "c"] and root["properties"]["totalItems"] == 3
+    assert [m["name"] for m in members] == ["b", "a", "c"] and root["properties"]["totalItems"] == 3
     kinds = [g["nodes"][m["valueNodeId"]] for m in members]
-    assert kinds[0]["maxItems"] == 0 and kinds[0]["itemNodeId"] is None
-    union = g["nodes"][kinds[1]["itemNodeId"]]
+    assert kinds[1]["maxItems"] == 0 and g["nodes"][kinds[1]["itemsNodeId"]]["scalarType"] == "null"
+    union = g["nodes"][kinds[0]["itemsNodeId"]]
+    assert [m["title"] for m in g["collections"][union["options"]["id"]]] == ["Variant 1", "Variant 2"]
     assert union["kind"] == "union" and union["options"]["totalItems"] == 2
-    assert drafts.draft_json('{"a":1,"b":2}') == drafts.draft_json('{"b":5,"a":7}')
+    assert root["id"] == f"node-{len(g['nodes'])}" and g["profile"] == {"syntax": "json", "dialect": "json-schema-2020-12"}
+    assert drafts.draft_json('{"a":1,"b":2}') == drafts.draft_json('{"a":5,"b":7}') != drafts.draft_json('{"b":5,"a":7}')
+
+
+def test_yaml_graph():
+    y, j = json.loads(drafts.draft_yaml("a: {b: [1, x], c: ' ', d: 2024-01-02}")), graph('{"a": {"b": [1, "x"], "c": " ", "d": "t"}}')
+    types = lambda g: [n.get("scalarType") for n in g["nodes"].values()]
+    assert y["collections"] == j["collections"] and types(y) == ["date" if t == "string" and i == 5 else t for i, t in enumerate(types(j))]
+    for bad in ("a: &x [1]\nb: *x", "1: a", ""):
+        with pytest.raises(ValueError):
+            drafts.draft_yaml(bad)
+
+
+def test_draft_limits():
+    with pytest.raises(ValueError):
+        drafts.draft_json("[" * 130 + "]" * 130)
+    with pytest.raises(ValueError):
+        drafts.draft_xml('<a xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="maybe"/>')
+
+
+def test_cursors():
+    text = base64.urlsafe_b64encode(b'[7, "s1", "collection-1", 5, 10]').decode()
+    assert drafts.read_cursor(text, 7, "s1", "collection-1", 5) == 10
+    for bad in ((text, 7, "s2", "collection-1", 5), (text, 8, "s1", "collection-1", 5), ("?", 7, "s1", "collection-1", 5)):
+        with pytest.raises(ValueError):
+            drafts.read_cursor(*bad)
+
+
+def test_xml_rename_and_undo():
+    g = graph('<o a="1" b="2"><p/><q/></o>', "xml")
+    e = changes.Editor(g)
+    before = json.dumps(g, sort_keys=True)
+    name = lambda n: {"namespaceUri": None, "localName": n}
+    ids = {m["name"]["localName"]: m["id"] for rows in g["collections"].values() for m in rows if "name" in m}
+    renames = lambda to: {"kind": "renameXmlName", "target": {"kind": "member", "id": ids["a"]}, "name": name(to)}
+    for bad in ([renames("c"), renames("b")], [renames("c"), renames("1x")], [renames("c"), {"kind": "moveMember", "memberId": ids["a"], "targetCollectionId": "collection-9"}]):
+        with pytest.raises(changes.Rejected):
+            e.apply(bad)
+        assert json.dumps(g, sort_keys=True) == before
+    e.apply([renames("c"), {"kind": "renameXmlName", "target": {"kind": "node", "id": g["rootNodeId"]}, "name": name("r")}])
+    assert g["nodes"][g["rootNodeId"]]["name"]["localName"] == "r"
 
 
 def test_xml_graph():
@@ -84,8 +127,9 @@ def test_tables_round_trip(spark):
     tables = drafts.exploded(spark.createDataFrame([(1, text)], "schema_id long, graph string"))
     back = {r.collection_id: [json.loads(x) for x in r["items"]] for r in drafts.rebuilt(tables).collect()}
     assert back == json.loads(text)["collections"]
-    inside = {(r.ancestor, r.node) for r in drafts.contained(drafts.edges(tables)).collect()}
-    assert {n for a, n in inside if a == "node-1"} == set(json.loads(text)["nodes"])
+    root = json.loads(text)["rootNodeId"]
+    inside = {(r.ancestor, r.node) for r in drafts.contained(drafts.edges(tables), spark.createDataFrame([(1, root), (1, "node-1")], "schema_id long, ancestor string")).collect()}
+    assert {n for a, n in inside if a == root} == set(json.loads(text)["nodes"]) and {n for a, n in inside if a == "node-1"} == {"node-1"}
 
 
 def test_expressions(spark):

@@ -9,7 +9,7 @@ from fieldloom.plans import space
 from fieldloom.sources import documents as sources
 
 TERM = 1e6
-LEXICON = Lexicon(dict.fromkeys(["order", "price", "customer", "client", "buyer", "market", "value"], TERM), {w: frozenset({"p"}) for w in ("customer", "client", "buyer")} | {"price": frozenset({"v"}), "market value": frozenset({"v"})}, {}, {"cust": ("customer",)}, frozenset())
+LEXICON = Lexicon(dict.fromkeys(["crate", "weight", "painter", "artist", "maker", "gross", "mass"], TERM), {w: frozenset({"p"}) for w in ("painter", "artist", "maker")} | {"weight": frozenset({"v"}), "gross mass": frozenset({"v"})}, {}, {"pntr": ("painter",)}, frozenset())
 
 
 def build(spark, contents, kind="xml", lexicon=LEXICON):
@@ -32,17 +32,17 @@ def outcomes(s, path, dimension):
 
 
 def test_typo_and_alias_merge(spark):
-    s = build(spark, ["<order><price>100</price></order>", "<order><pirce>100</pirce></order>"])
-    assert outcomes(s, "order/price", "name") == {("price", "original", 1), ("pirce", "typo", 1)}
+    s = build(spark, ["<crate><weight>100</weight></crate>", "<crate><wieght>100</wieght></crate>"])
+    assert outcomes(s, "crate/weight", "name") == {("weight", "original", 1), ("wieght", "typo", 1)}
     assert s.variants.where(F.size("path") == 1).count() == 1
-    s = build(spark, ["<order><price>1</price></order>", "<order><marketvalue>1</marketvalue></order>"])
-    assert {(v, n) for v, _, n in outcomes(s, "order/price", "name")} == {("price", 1), ("marketvalue", 1)}
+    s = build(spark, ["<crate><weight>1</weight></crate>", "<crate><grossmass>1</grossmass></crate>"])
+    assert {(v, n) for v, _, n in outcomes(s, "crate/weight", "name")} == {("weight", 1), ("grossmass", 1)}
 
 
 def test_presence_repeats_and_attributes(spark):
-    s = build(spark, ['<order id="1"><item/><item/></order>', "<order><id>2</id><item/></order>"])
-    assert field(s, "order/item") == (3, 2, 2)
-    assert outcomes(s, "order/id", "representation") == {("attribute", None, 1), ("element", None, 1)}
+    s = build(spark, ['<crate id="1"><item/><item/></crate>', "<crate><id>2</id><item/></crate>"])
+    assert field(s, "crate/item") == (3, 2, 2)
+    assert outcomes(s, "crate/id", "representation") == {("attribute", None, 1), ("element", None, 1)}
     assert s.variants.where(F.size("path") == 1).count() == 1
 
 
@@ -56,7 +56,7 @@ def test_null_nil_mixed(spark):
 
 
 def test_branches_keep_their_correlation(spark):
-    s = build(spark, ["<r><left><aa/></left><right><bb/></right></r>", "<r><left><cc/></left><right><dd/></right></r>"], lexicon=None)
+    s = build(spark, ["<r><north><pp/></north><south><qq/></south></r>", "<r><north><rr/></north><south><ss/></south></r>"], lexicon=None)
     assert s.variants.where(F.size("path") == 1).count() == 2
 
 
@@ -67,33 +67,33 @@ def test_order_of_documents_is_immaterial(spark):
 
 
 def test_matcher_vetoes_ambiguous_names():
-    counts = {"customer": 5, "client": 2, "buyer": 1, "cust": 1, "custmoer": 1}
+    counts = {"painter": 5, "artist": 2, "maker": 1, "pntr": 1, "paitner": 1}
     out = match_context(counts, set(), LEXICON)
-    assert out["customer"] == ("customer", "original") and out["cust"] == ("cust", "original") and out["custmoer"] == ("custmoer", "original")
-    assert out["buyer"] == ("client", "alias")
-    assert match_context({"customer": 5, "cust": 1, "custmoer": 1}, set(), LEXICON) == {"customer": ("customer", "original"), "cust": ("customer", "alias"), "custmoer": ("customer", "typo")}
-    assert match_context({"client": 1, "buyer": 1}, {("buyer", "client")}, LEXICON)["client"] == ("client", "original")
+    assert out["painter"] == ("painter", "original") and out["pntr"] == ("pntr", "original") and out["paitner"] == ("paitner", "original")
+    assert out["maker"] == ("artist", "alias")
+    assert match_context({"painter": 5, "pntr": 1, "paitner": 1}, set(), LEXICON) == {"painter": ("painter", "original"), "pntr": ("painter", "alias"), "paitner": ("painter", "typo")}
+    assert match_context({"artist": 1, "maker": 1}, {("artist", "maker")}, LEXICON)["artist"] == ("artist", "original")
 
 
 def test_tokens_and_edits(spark):
-    assert tokens("{urn:x}custName", LEXICON) == ("customer", "name")
-    assert split_chunk("marketvalue", LEXICON.unigrams) == ("market", "value")
-    pairs = [("price", "pirce", True), ("price", "price", False), ("price", "prices", True), ("abc", "abd", False), ("price", "prixe", True), ("price", "eprice", True), ("price", "prcei", False), ("aaaa", "aaaaa", True)]
+    assert tokens("{urn:x}pntrName", LEXICON) == ("painter", "name")
+    assert split_chunk("grossmass", LEXICON.unigrams) == ("gross", "mass")
+    pairs = [("weight", "wieght", True), ("weight", "weight", False), ("weight", "weights", True), ("abc", "abd", False), ("weight", "weixht", True), ("weight", "eweight", True), ("weight", "wiehgt", False), ("aaaa", "aaaaa", True)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert all(r.got == r.want for r in df.select("want", one_edit_column(F.col("a"), F.col("b")).alias("got")).collect())
     assert all(one_edit(a, b) == w for a, b, w in pairs)
 
 
 def test_name_limit_keeps_all_names(spark):
-    docs = ["<order><price>1</price></order>", "<order><pirce>1</pirce></order>", "<order><other/></order>"]
+    docs = ["<crate><weight>1</weight></crate>", "<crate><wieght>1</wieght></crate>", "<crate><other/></crate>"]
     d = spark.createDataFrame([(i, "xml", c) for i, c in enumerate(docs)], "doc_id long, format string, content string")
     s = space.build(sources.summaries(d), LEXICON, max_names=2)
-    assert field(s, "order/pirce") == (1, 3, 1)
-    assert s.summary.first().warnings == ["name_comparison_limit_reached:order"]
+    assert field(s, "crate/wieght") == (1, 3, 1)
+    assert s.summary.first().warnings == ["name_comparison_limit_reached:crate"]
 
 
 @pytest.mark.parametrize(
-    "kind, content", [("json", '{"x":1,"x":2}'), ("json", "[NaN]"), ("json", "[1e999]"), ("json", '{"":1}'), ("xml", "<unclosed>"), ("yaml", "x: &self [*self]"), ("yaml", "1: x"), ("yaml", ""), ("txt", "x"), ("json", None)]
+    "kind, content", [("json", '{"x":1,"x":2}'), ("json", "[NaN]"), ("json", "[1e999]"), ("json", '{"":1}'), ("xml", "<unclosed>"), ("yaml", "x: &here [1, *here]"), ("yaml", "1: x"), ("yaml", ""), ("txt", "x"), ("json", None)]
 )
 def test_bad_documents(spark, kind, content):
     docs = spark.createDataFrame([(1, kind, content), (2, "json", "{}")], "doc_id long, format string, content string")
