@@ -261,6 +261,13 @@ def reconcile(spans: Counter) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+def drawn(docs: DataFrame, share: float) -> DataFrame:
+    """That share of the documents, by 40 bits of a hash, so that it stays above 0 for some 10^12 documents."""
+    h = F.xxhash64("doc_id", "text")
+    place = F.pmod(h, F.lit(1 << 20)) * (1 << 20) + F.pmod(F.shiftright(h, 20), F.lit(1 << 20))
+    return docs.where(place < int(share * (1 << 40)))
+
+
 def training_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> list[tuple[str, list[int]]]:
     """At most limit windows with their tags, those of smallest hash."""
 
@@ -284,8 +291,7 @@ def training_windows(docs: DataFrame, limit: int = TRAIN_WINDOWS) -> list[tuple[
     # about SAMPLED documents for each window wanted, by hash, so that what is sorted stays bounded
     share = min(1.0, SAMPLED * limit / max(1, docs.count()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    some = drawn.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).mapInPandas(windows, "text string, tags array<int>")
+    some = drawn(docs, share).select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).mapInPandas(windows, "text string, tags array<int>")
     rows = some.orderBy(F.xxhash64("text"), "text").limit(limit).collect()
     return [(r[0], list(r[1])) for r in rows]
 

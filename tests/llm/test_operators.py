@@ -296,6 +296,13 @@ def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
     assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == kept
 
 
+def test_pii_draws_even_tiny_shares(spark):
+    docs = spark.range(1 << 23).selectExpr("id as doc_id", "'x' as text")
+    few, some = pii.drawn(docs, 1e-6).count(), pii.drawn(docs, 1 / 64).count()
+    assert 1 <= few <= 30 and abs(some / (1 << 17) - 1) < 0.05
+    assert pii.drawn(docs.limit(100), 5e-10).count() <= 1 and pii.drawn(docs.limit(100), 1.0).count() == 100
+
+
 def test_pii(spark, sf_dir, given):
     t = pii.Tagger()
     rng = np.random.default_rng(0)
