@@ -112,12 +112,12 @@ def train(rows: list[tuple[int, str, float]]) -> Classifier:
         if slots:
             where, n = np.unique(np.concatenate(slots), return_inverse=True)
             value = np.bincount(n, weights=np.concatenate([np.full(len(s), 1 / len(s)) for s in slots]))
-            data.append((doc_id, where, value, float(y > 0.5), slots))
+            held = zlib.crc32(str(doc_id).encode()) % 5 == 1  # for calibration, which alone needs the slots as they stand
+            data.append((held, where.astype(np.int32), value, float(y > 0.5), slots if held else None))
     weights, bias = np.zeros(1 << BITS), 0.0
     if len({d[3] for d in data}) < 2:
         return Classifier(weights.astype(np.float32), 0.0, 0.0, 30.0)
-    fold = [zlib.crc32(str(d[0]).encode()) % 5 == 1 for d in data]
-    squares, order = np.full(1 << BITS, 1e-8), [i for i, f in enumerate(fold) if not f]
+    squares, order = np.full(1 << BITS, 1e-8), [i for i, d in enumerate(data) if not d[0]]
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in rng.permutation(order):
@@ -128,7 +128,7 @@ def train(rows: list[tuple[int, str, float]]) -> Classifier:
             weights[where] -= RATE * g / np.sqrt(squares[where])
             bias -= 0.02 * (p - y)
     model = Classifier(weights.astype(np.float32), bias, 1.0, 0.0)
-    check = [d for d, f in zip(data, fold) if f]
+    check = [d for d in data if d[0]]
     if len({d[3] for d in check}) == 2:
         y = np.array([d[3] for d in check])
         model.slope, model.shift = logistic(np.array([model.margin(d[4]) for d in check]), y, np.ones(len(y)))

@@ -389,6 +389,25 @@ def test_quality_counts():
     assert (n, chars, symbols, again, repeated) == (11, 11, 2, 1, 6)
 
 
+def test_quality_base_columns(spark, sf_dir, given):
+    query = next(f for n, f in entry.queries().items() if n.startswith("op6_"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = query(spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        at = defaultdict(list)
+        for i in range(len(words) - 2):
+            at[tuple(words[i : i + 3])].append(i)
+        repeated = len({j for places in at.values() if len(places) > 1 for i in places for j in (i, i + 1, i + 2)})
+        lines = text.split("\n")
+        again = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (again, repeated)
+        assert r.base_failed == (len(words) < 50 or 100 * repeated > 50 * len(words)) and not (r.base_failed and r.kept)
+
+
 def test_decontamination_keeps_columns(spark, edge):
     docs, items = spark.read.parquet(f"{edge}/documents.parquet"), spark.read.parquet(f"{edge}/benchmark.parquet")
     kept = decontaminate.decontaminated(docs, items)
