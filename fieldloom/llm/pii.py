@@ -6,10 +6,10 @@ fails the check (a mistyped card number or an impossible address is personal dat
 so it finds such spans from their form and surroundings.
 
 A span of any kind holds a digit or an @. Stretches without either are all outside, so only windows around these
-characters are decoded (Viterbi over CRF transitions). Windows overlap by half. A span that touches an inner edge of
-its window is left to the neighbour that sees all of it; all others of a text meet in one weighted interval
-scheduling, which keeps the set of disjoint spans with the most votes. Base spans stay; a decoded span that overlaps
-one is dropped.
+characters are decoded (Viterbi over CRF transitions). Windows overlap by half. Spans that touch an inner edge of their
+window are pieces: overlapping ones of a kind are joined, so a span may be longer than a window, and the joined span
+counts if pieces saw both its ends. All spans of a text meet in one weighted interval scheduling, which keeps the set of
+disjoint spans with the most votes. Base spans stay; a decoded span that overlaps one is dropped.
 
 Nulls: a null text is empty and has no spans; a null doc_id stays null; repeated rows get equal results. With no
 training window only base spans are returned.
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 TRAIN_WINDOWS, SAMPLED, EPOCHS, BATCH, RATE = 1200, 20, 8, 32, 0.01
 EMBED, HIDDEN = 10, 16
+LEAST_SPAN = 6  # the shortest span that the network may add
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -241,13 +244,11 @@ def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 def reconcile(spans: Counter) -> list[tuple[int, int, int]]:
     """Of (start, end, kind) with votes, the disjoint ones of the largest sum of votes times length."""
-    import bisect
-
     order = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
     ends = [s[1] for s in order]
     best: list[tuple[int, int]] = [(0, -1)]  # value, chosen span or -1 for none at this place
     for i, s in enumerate(order):
-        before = bisect.bisect_right(ends, s[0], 0, i)
+        before = bisect_right(ends, s[0], 0, i)
         take = best[before][0] + spans[s] * (s[1] - s[0])
         best.append((take, i) if take > best[-1][0] else (best[-1][0], -1))
     out, i = [], len(order)
@@ -255,12 +256,34 @@ def reconcile(spans: Counter) -> list[tuple[int, int, int]]:
         if best[i][1] >= 0:
             s = order[best[i][1]]
             out.append(s)
-            i = bisect.bisect_right(ends, s[0], 0, best[i][1])
+            i = bisect_right(ends, s[0], 0, best[i][1])
         else:
             i -= 1
     return out[::-1]
 
 
+def joined(pieces: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, kind) from pieces (start, end, kind, goes on to the left, to the right) of a text.
+
+    Pieces of one kind that overlap are one span; it counts if a piece saw its start and one its end.
+    """
+    out: list[tuple[int, int, int]] = []
+    for kind in sorted({p[2] for p in pieces}):
+        start = end = None
+        left = right = False
+        for a, z, _, l, r in sorted(p[:2] + (0,) + p[3:] for p in pieces if p[2] == kind):
+            if end is None or a >= end:
+                if end is not None and not (left or right):
+                    out.append((start, end, kind))
+                start, end, left, right = a, z, l, r
+            else:
+                left = left and (a > start or l)
+                end, right = (z, r) if z > end else (end, right and (z < end or r))
+        if end is not None and not (left or right):
+            out.append((start, end, kind))
+    return out
+
+
 def drawn(docs: DataFrame, share: float) -> DataFrame:
     """That share of the documents, by 40 bits of a hash, so that it stays above 0 for some 10^12 documents."""
     h = F.xxhash64("doc_id", "text")
@@ -309,18 +332,28 @@ def decoded(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]
     """The network's spans of each text."""
     where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
     votes: list[Counter] = [Counter() for _ in texts]
+    pieces: list[list] = [[] for _ in texts]
+
+    def vote(i: int, a: int, z: int, k: int) -> None:
+        piece = texts[i][a:z]
+        a, z = a + len(piece) - len(piece.lstrip()), z - len(piece) + len(piece.rstrip())
+        if z - a >= LEAST_SPAN and re.search("[0-9@]", piece):
+            votes[i][a, z, k] += 1
+
     for a in range(0, len(where), 512):
         some = where[a : a + 512]
         tags = tagger.decode(padded([texts[i][s : s + WINDOW] for i, s in some]))
         for (i, s), row in zip(some, tags):
             text = texts[i]
             for x, z, k in tagged_spans(row[: len(text) - s]):
-                if (x == 0 and s > 0) or (z == WINDOW and s + WINDOW < len(text)):
-                    continue
-                piece = text[s + x : s + z]
-                x, z = x + len(piece) - len(piece.lstrip()), z - len(piece) + len(piece.rstrip())
-                if z - x >= 6 and re.search("[0-9@]", piece):
-                    votes[i][s + x, s + z, k] += 1
+                left, right = x == 0 and s > 0, z == WINDOW and s + WINDOW < len(text)
+                if left or right:
+                    pieces[i].append((s + x, s + z, k, left, right))
+                else:
+                    vote(i, s + x, s + z, k)
+    for i, cut in enumerate(pieces):
+        for a, z, k in joined(cut):
+            vote(i, a, z, k)
     return [reconcile(v) for v in votes]
 
 
@@ -335,7 +368,7 @@ def found(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             more = decoded(texts, sent.value) if sent.value else [[] for _ in texts]
             out = []
             for b, m in zip(base, more):
-                fresh = [(a, z, KINDS[k]) for a, z, k in m if not overlaps(b, a, z)]
+                fresh = [(a, z, KINDS[k]) for a, z, k in without_overlaps(m, b)]
                 spans = [(a, z, k, True) for a, z, k in b] + [(a, z, k, False) for a, z, k in fresh]
                 out.append([{"start": a, "end": z, "kind": k, "base": s} for a, z, k, s in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))])
             yield pd.DataFrame({"doc_id": pdf["row_id"].where(pdf["known"]).astype("Int64"), "spans": out})
@@ -345,8 +378,10 @@ def found(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     return rows.mapInPandas(find, "doc_id long, spans array<struct<start:long,end:long,kind:string,base:boolean>>")
 
 
-def overlaps(spans: list[tuple[int, int, str]], start: int, end: int) -> bool:
-    return any(a < end and start < z for a, z, _ in spans)
+def without_overlaps(spans: list[tuple[int, int, int]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of base, which are sorted by start."""
+    starts, reach = [a for a, _, _ in base], list(accumulate((z for _, z, _ in base), max))
+    return [s for s in spans if not (n := bisect_left(starts, s[1])) or reach[n - 1] <= s[0]]
 
 
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:
