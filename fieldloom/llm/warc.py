@@ -31,6 +31,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 RECORDS_PER_FILE, CHUNK = 20_000, 4096
+#: Pages don't tell when they were fetched, so by default archives have a fixed date.
+DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NO_ID = -(1 << 63)
 
 
@@ -50,7 +53,8 @@ def _payloads(pages: DataFrame) -> DataFrame:
     return pages.select(page_id.alias("id"), F.col("url").alias("url"), html.alias("payload")).withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = DATE) -> None:
+    """Archives of the pages under path; date is the WARC-Date of their records."""
     every = _payloads(pages)
     ids = saved(every.where(F.octet_length("payload") >= least_bytes).select("id", "digest"), "page-digests")
     shared = ids.groupBy("digest").agg(F.max("id").alias("first"), F.min("id").alias("last")).where("first != last").select("digest", "first")
@@ -63,6 +67,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
         F.lit(VERSION),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), known("id"), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Profile", F.when(again, PROFILE)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), known("first"), F.lit(">"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -83,13 +89,13 @@ def _pieces(spark, path: str) -> DataFrame:
 def candidates(spark, path: str) -> DataFrame:
     """A row for each piece: its offset, the record that would begin there, and its successor's offset."""
     head = F.substring_index("value", END, 1)
-    field = lambda name: F.regexp_extract(F.col("head"), rf"(?m)^{name}: *([^\r\n]*)", 1)
+    field = lambda name: F.regexp_extract(F.col("head"), rf"(?:^|\r\n){name}: *([^\r\n]*)", 1)
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     parsed = (
         _pieces(spark, path)
         .withColumn("bytes", F.octet_length("value").cast("long"))
         .withColumn("head", F.when(F.instr("value", END) > 0, head))
-        .withColumn("length", number("regexp_extract(head, '(?m)^Content-Length: *([0-9]+)', 1)"))
+        .withColumn("length", number("regexp_extract(head, '(?:^|\r\n)Content-Length: *([0-9]+)', 1)"))
         .withColumn("body", F.octet_length("head") + F.lit(len(END)))
         .withColumn("whole", F.col("bytes") >= F.col("body") + F.col("length") + len(END))
         .withColumn("payload", F.expr("substring(cast(value as binary), cast(body as int) + 1, cast(length as int))"))
@@ -101,12 +107,12 @@ def candidates(spark, path: str) -> DataFrame:
             "body",
             "length",
             "whole",
-            number("regexp_extract(head, '(?m)^WARC-Record-ID: *<urn:page:(-?[0-9]+)>', 1)").alias("page_id"),
-            number("regexp_extract(head, '(?m)^WARC-Refers-To: *<urn:page:(-?[0-9]+)>', 1)").alias("refers_to"),
+            number("regexp_extract(head, '(?:^|\r\n)WARC-Record-ID: *<urn:page:(-?[0-9]+)>', 1)").alias("page_id"),
+            number("regexp_extract(head, '(?:^|\r\n)WARC-Refers-To: *<urn:page:(-?[0-9]+)>', 1)").alias("refers_to"),
             field("WARC-Type").alias("record_type"),
             field("WARC-Target-URI").alias("url"),
-            F.regexp_extract("head", r"(?m)^WARC-Payload-Digest: *sha1:([A-Z2-7]+)", 1).alias("said_digest"),
-            number("regexp_extract(head, '(?m)^X-Payload-Length: *([0-9]+)', 1)").alias("said_bytes"),
+            F.regexp_extract("head", r"(?:^|\r\n)WARC-Payload-Digest: *sha1:([A-Z2-7]+)", 1).alias("said_digest"),
+            number("regexp_extract(head, '(?:^|\r\n)X-Payload-Length: *([0-9]+)', 1)").alias("said_bytes"),
             F.when(F.col("whole"), sha1_base32(F.col("payload"))).alias("digest"),
         )
     )
