@@ -82,9 +82,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A saved table, marked for broadcast if it proves to be small; else it is left to a shuffled join."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
+def small(df: DataFrame, bytes_per_row: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A saved table, marked for broadcast if it proves to be small; else it is left to a shuffled join.
+
+    bytes_per_row is what the columns of fixed width take, more what strings and arrays of a row add: both are summed up
+    over the whole table.
+    """
+    added = F.coalesce(F.sum(more), F.lit(0)) if more is not None else F.lit(0)
+    rows, held = df.agg(F.count("*"), added.cast("long")).first()
+    return F.broadcast(df) if rows * bytes_per_row + held <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:

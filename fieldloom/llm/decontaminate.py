@@ -50,9 +50,9 @@ def rarest_words(docs: DataFrame, windows: DataFrame, prefix: int = PREFIX) -> D
     need is the number of these rows. A window with a word that no document has is in no document and left out.
     """
     tokens = windows.dropDuplicates(["span"]).select("span_id", "length", F.posexplode("words").alias("place", "word"))
-    vocabulary = small(saved(tokens.select("word").distinct(), "vocabulary"), 64)
+    vocabulary = small(saved(tokens.select("word").distinct(), "vocabulary"), 48, F.octet_length("word"))
     counted = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    counts = small(saved(counted, "word-counts"), 64)
+    counts = small(saved(counted, "word-counts"), 56, F.octet_length("word"))
     ordered = tokens.join(counts, "word", "left").groupBy("span_id", "length").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place"))).alias("by_rarity"))
     return (
         ordered.where("by_rarity[0].n > 0")
@@ -65,9 +65,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """row_id, row_hash, doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row a document row."""
     rows = keyed(docs, F.col("doc_id"))
     windows = saved(item_windows(benchmark, window), "item-windows")
-    index = small(saved(rarest_words(rows, windows), "prefix-index"), 128)
+    index = small(saved(rarest_words(rows, windows), "prefix-index"), 96, F.octet_length("word"))
     placed = rows.select("row_id", "row_hash", words_of(F.col("text")).alias("words"))
-    spans = small(saved(windows.dropDuplicates(["span"]).select("span_id", "length", "span"), "spans"), 256)
+    spans = small(saved(windows.dropDuplicates(["span"]).select("span_id", "length", "span"), "spans"), 64, F.octet_length("span"))
     found = (
         placed.select("row_id", "row_hash", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
         .join(index, "word")
@@ -81,8 +81,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .agg(F.array_sort(F.collect_set(F.struct("start", "length", "span"))).alias("candidates"))
     )
     candidates = saved(found, "window-candidates")
+    held = F.expr("aggregate(candidates, 0L, (n, c) -> n + 48 + octet_length(c.span))")
     verified = (
-        rows.join(small(candidates, 512), ["row_id", "row_hash"], "left")
+        rows.join(small(candidates, 64, held), ["row_id", "row_hash"], "left")
         .withColumn("words", words_of(F.col("text")))
         .select(
             "row_id",

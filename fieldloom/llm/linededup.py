@@ -111,7 +111,7 @@ _KEPT = """flatten(transform(sequence(0, size(__runs)), i -> slice(__lines,
 
 def _cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs with __lines, __runs (empty if nothing goes) and __kept."""
-    runs = small(saved(runs, "line-runs"), 120).withColumnsRenamed({"row_id": "__row_id", "row_hash": "__row_hash", "runs": "__runs"})
+    runs = small(saved(runs, "line-runs"), 64, 24 * F.size("runs")).withColumnsRenamed({"row_id": "__row_id", "row_hash": "__row_hash", "runs": "__runs"})
     nothing = F.expr("cast(array() as array<struct<first:int,last:int>>)")
     return (
         with_row_key(docs)
