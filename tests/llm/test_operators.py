@@ -303,6 +303,29 @@ def test_pii_draws_even_tiny_shares(spark):
     assert pii.drawn(docs.limit(100), 5e-10).count() <= 1 and pii.drawn(docs.limit(100), 1.0).count() == 100
 
 
+def test_pii_joins_pieces_of_long_spans():
+    """A span longer than a window is one span, wherever it lies; one without a seen end is none."""
+    assert pii.joined([(20, 64, 2, False, True), (32, 96, 2, True, True), (64, 110, 2, True, False)]) == [(20, 110, 2)]
+    assert pii.joined([(32, 40, 2, True, False), (50, 64, 2, False, True), (60, 64, 1, False, True)]) == []
+    assert pii.joined([(50, 64, 1, False, True), (32, 70, 3, True, False), (32, 70, 1, True, False)]) == []
+
+    class Digits:
+        def decode(self, chars):
+            digit = (chars >= ord("0") - 31) & (chars <= ord("9") - 31)
+            begins = digit & ~np.c_[np.zeros(len(chars), bool), digit[:, :-1]]
+            return np.where(begins, 5, np.where(digit, 6, 0)).astype(np.int8)
+
+    rng = np.random.default_rng(6)
+    for n in [*range(6, 40), 55, 63, 64, 65, 100, 500]:
+        for before in rng.integers(0, 70, 6).tolist():
+            text = "x" * before + "7" * n + "y" * int(rng.integers(0, 70))
+            assert pii.decoded([text], Digits()) == [[(before, before + n, 2)]]
+    base = sorted((int(a), int(a + k), "ip") for a, k in zip(rng.integers(0, 900, 60), rng.integers(1, 60, 60)))
+    spans = [(int(a), int(a + k), 0) for a, k in zip(rng.integers(0, 900, 300), rng.integers(1, 9, 300))]
+    assert pii.without_overlaps(spans, base) == [s for s in spans if not any(a < s[1] and s[0] < z for a, z, _ in base)]
+    assert pii.without_overlaps(spans, []) == spans
+
+
 def test_pii(spark, sf_dir, given):
     t = pii.Tagger()
     rng = np.random.default_rng(0)
@@ -342,8 +365,32 @@ def test_secrets(spark, edge, sf_dir, given):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_secret_links(spark, given):
+    """Parts and links against every pair of parts of a text; tokens whose first digit comes late; a text of some MB."""
+    rng = np.random.default_rng(8)
+    some = ["user=bob", "client_id: c-77", "https://h.example/p?q", "redis://cache", "password = hunter2222", "token:'abc'", "AKIA" + "Q7" * 9, "0f" * 13, "Ab1" * 9, "x" * 90 + "Z" + "y" * 70 + "4", "login: x@y.example", "é😀", "\n"]
+    texts = ["".join(rng.choice(some) + " " + "w " * int(rng.integers(0, 160)) for _ in range(rng.integers(1, 14))) for _ in range(150)]
+    texts += [t or "" for _, t in given[:300]] + [" ".join(some) + " filler" * 400_000 + " ".join(some)]
+    want = {}
+    for i, s in enumerate(texts):
+        found = [(k, m.start(), m.end(), role) for k, (_, p, g, least, role) in enumerate(secrets.PATTERNS) for m in re.finditer(p, s, re.ASCII) if len(m[g]) >= least]
+        spans = [(a, k, z) for k, a, z, _ in found if k < 3]
+        for k, a, z, role in found:
+            near = [(k2, a2, z2, r2) for k2, a2, z2, r2 in found if k >= 3 and (k2, a2) != (k, a) and a2 < z + secrets.REACH and a < z2 + secrets.REACH]
+            over = [n for n in near if n[1] < z and a < n[2]]
+            has = {n[3] for n in near if n not in over}
+            needs = {"secret": has & {"identifier", "endpoint"}, "identifier": has & {"secret"}, "endpoint": {"secret", "identifier"} <= has}[role]
+            if k >= 3 and needs and not any(n[0] < 3 or n[0] < k for n in over):
+                spans.append((a, k, z))
+        want[i] = sorted(spans)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.spans(docs).collect()}
+    assert got == {i: s for i, s in want.items() if s}
+    assert {k for s in want.values() for _, k, _ in s} == set(range(len(secrets.KINDS))) and any(z - a > 150 for s in want.values() for a, k, z in s if k == 4)
+
+
 def test_warc_rejects_magic_in_payloads(spark, tmp_path):
-    rows = [(i, "http://é/\r\n" if i % 3 else None, None if i % 9 == 0 else f"<p>é{i % 40}</p>" * (i % 17) + ("WARC/1.0\r\nContent-Length: 5\r\n\r\nabcdefWARC/1.0\r\nx" if i % 5 == 0 else "")) for i in range(120)]
+    rows = [(i, ("http://é/\r\n", "http://x/\u2028Content-Length: 3\u0085WARC-Type: x")[i % 2] if i % 3 else None, None if i % 9 == 0 else f"<p>é{i % 40}</p>" * (i % 17) + ("WARC/1.0\r\nContent-Length: 5\r\n\r\nabcdefWARC/1.0\r\nx" if i % 5 == 0 else "")) for i in range(120)]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     before, chunk = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc.CHUNK
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
@@ -414,6 +461,13 @@ def test_decontamination_keeps_columns(spark, edge):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 6, 7, 8, None}  # 9 has the one-word item, x
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = folder_of(spark, tmp_path / "t", rows=[], benchmark=[])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_pipeline(spark, edge, sf_dir):
     import corpus_pipeline
 
