@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, merkle, packing, periodic, pii, quality, secrets, shards, simhash, toxicity, warc
+from . import decontaminate, linededup, merkle, neighbours, packing, periodic, pii, quality, secrets, shards, simhash, toxicity, warc
 
-MODULES = (linededup, shards, pii, warc, toxicity, quality, secrets, packing, simhash, decontaminate, periodic, merkle)
+MODULES = (linededup, shards, pii, warc, toxicity, quality, secrets, packing, simhash, decontaminate, periodic, merkle, neighbours)
 
 
 def queries() -> dict:

@@ -36,11 +36,13 @@ ROWS = [
 
 
 def folder_of(spark, tmp, rows=ROWS, benchmark=((1, PASSAGE), (2, None), (None, "no id here"), (3, "x"))):
-    docs = spark.createDataFrame([(i, t, g, "clash", 0, 1, "s", 7) for i, t, g in rows], "doc_id long, text string, lang string, word string, n long, pos int, spans string, n_chars long")
+    docs = spark.createDataFrame([(i, t, g, "clash", 0, 1, "s", 7, None) for i, t, g in rows], "doc_id long, text string, lang string, word string, n long, pos int, spans string, n_chars long, source string")
     docs.write.parquet(f"{tmp}/documents.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{tmp}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (6, None, None), (99, 1, 1), (7, 1, 0), (4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
     spark.createDataFrame([(i, "u", t, "x") for i, t, _ in rows], "page_id long, url string, html string, payload string").write.parquet(f"{tmp}/pages.parquet")
+    vectors = [(i, None if t is None else [float(len(t)), float(len(t.split())), 1.0], "x") for i, t, _ in rows]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, page string").write.parquet(f"{tmp}/embeddings.parquet")
     return str(tmp)
 
 
@@ -54,13 +56,13 @@ def given(spark, sf_dir):
     return sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.queries().keys() - {"op13_nearest"}))
 def test_edge_rows(spark, edge, name):
     """One row an input row (op8: a piece), equal rows have equal results, nothing crashes."""
     rows = entry.queries()[name](spark, edge).collect()
     ids = sorted((r["page_id" if name == "op4_warc" else "doc_id"] for r in rows), key=str)
     assert ids == sorted((i for i, _, _ in ROWS), key=str) if name != "op8_packing" else set(ids) == {i for i, _, _ in ROWS}
-    drop = {"start", "sequence_id", "offset", "record_type", "refers_to"}
+    drop = {"start", "sequence_id", "offset", "record_type", "refers_to", "proof_sha256"}
     twice = [{k: v for k, v in r.asDict().items() if k not in drop} for r in rows if r[0] == 2 or r.asDict().get("doc_id") == 2]
     assert len(twice) < 2 or all(t == twice[0] for t in twice)
 
