@@ -15,6 +15,8 @@ from ..operators.names import Lexicon, matched_names
 from .storage import stored
 
 PATHS = "array<string>"
+#: Of a dictionary that is joined with observations: broadcast up to so many bytes; else keys that are hot, and their parts.
+BROADCAST_BYTES, HOT_KEYS, SALTS = 24 << 20, 2000, 64
 
 
 @dataclass
@@ -146,10 +148,24 @@ def roots(space: Space) -> DataFrame:
     return space.variants.where(F.size("path") == 1).withColumn("total", documents).withColumn("probability", F.col("count") / documents)
 
 
-def sources(observed: DataFrame, space: Space) -> DataFrame:
-    """Provenance: path, doc_id, position, name, representation, variant_id; one row an observation."""
-    at = space.shapes.select("raw_path", "raw_shape", "path", "variant_id")
-    return observed.join(at, ["raw_path", "raw_shape"]).select("path", "doc_id", "position", "name", "representation", "variant_id")
+def sources(observed: DataFrame, space: Space, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Provenance: path, doc_id, position, name, representation, variant_id; one row an observation.
+
+    The dictionary of raw shapes is broadcast if its size, summed up, allows it. Else both sides are dealt by raw shape,
+    and the shapes of more than a HOT_KEYS-th of all rows (so HOT_KEYS at most) into SALTS parts."""
+    keys = ["raw_path", "raw_shape"]
+    at = stored(space.shapes.select(*keys, "path", "variant_id", "n"), "dictionary")
+    texts = sum((F.length(joined(F.col(c))) for c in ("raw_path", "path")), F.length("raw_shape") + F.length("variant_id"))
+    held, rows = at.agg(F.coalesce(F.sum(texts + 64), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if held <= broadcast_bytes:
+        found = observed.join(F.broadcast(at), keys)
+    else:
+        hot = F.col("n") * HOT_KEYS > rows
+        asked = observed.join(F.broadcast(at.where(hot).select(*keys, F.lit(SALTS).alias("parts"))), keys, "left")
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("doc_id", "obs_id"), F.coalesce("parts", F.lit(1)).cast("long"))).drop("parts")
+        parts = F.sequence(F.lit(0).cast("long"), F.when(hot, SALTS - 1).otherwise(0).cast("long"))
+        found = asked.join(at.withColumn("part", F.explode(parts)), [*keys, "part"])
+    return found.select("path", "doc_id", "position", "name", "representation", "variant_id")
 
 
 def suggested(variants: DataFrame, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Queries over the given tables, one or more for each operator, and the SQL that they are compared with."""
 
-from . import changes, documents, drafts, names, rollups, streams
+from . import changes, collections, documents, drafts, names, rollups, streams
 
-MODULES = (documents, names, drafts, changes, rollups, streams)
+MODULES = (documents, names, collections, drafts, changes, rollups, streams)
 
 
 def queries() -> dict:

@@ -11,12 +11,12 @@ from ..sources import documents as sources
 from .rendered import order_xml, party_xml, table
 
 #: A small domain lexicon: words, a synonym group, an abbreviation, opposite words.
-WORDS = ("order", "who", "pay", "price", "amount", "customer", "client", "buyer", "seller")
+WORDS = ("order", "who", "pay", "tariff", "charge", "customer", "client", "buyer", "seller")
 PARTIES = ("customer", "client", "buyer")
 
 
 def domain_lexicon() -> names.Lexicon:
-    return names.Lexicon(dict.fromkeys(WORDS, names.TERM_FLOOR), {w: frozenset({"party"}) for w in PARTIES}, {}, {"amt": ("amount",)}, frozenset({("buyer", "seller")}))
+    return names.Lexicon(dict.fromkeys(WORDS, names.TERM_FLOOR), {w: frozenset({"party"}) for w in PARTIES}, {}, {"chg": ("charge",)}, frozenset({("buyer", "seller")}))
 
 
 def _party_space(spark, sf_dir: str) -> space.Space:
@@ -108,7 +108,7 @@ def j2_forbidden(spark, sf_dir: str) -> DataFrame:
     s = space.build(sources.summaries(docs), domain_lexicon())
     src = space.sources(sources.errors(sources.observations(docs))[0], s)
     matched = src.select("path", F.col("name").alias("role"))
-    rules = spark.createDataFrame([("price", "pirce"), ("price", "amount"), ("client", "buyer")], "left string, right string")
+    rules = spark.createDataFrame([("tariff", "tarfif"), ("tariff", "charge"), ("client", "buyer")], "left string, right string")
     return checks.forbidden_merges(matched, rules).select(F.array_join(F.slice("path", 1, 2), "/").alias("parent"), "left", "right")
 
 
@@ -120,7 +120,7 @@ def e1_shares(spark, sf_dir: str) -> DataFrame:
 
 def e3_expressions(spark, sf_dir: str) -> DataFrame:
     s = space.build(sources.summaries(order_xml(spark, sf_dir)))
-    return exports.alternatives(exports.expressions(s)).select("field", "variants", "type", F.round("probability", 9).alias("probability"))
+    return exports.alternatives(s).select("field", "variants", "type", F.round("probability", 9).alias("probability"))
 
 
 QUERIES = {
@@ -139,18 +139,18 @@ QUERIES = {
 
 _PARTY = """
 with o as (select case o_custkey % 3 when 0 then 'customer' when 1 then 'client' else 'buyer' end as who,
-                  case o_custkey % 6 when 0 then 'pirce' when 1 then 'amt' when 2 then 'amount' else 'price' end as pay from orders),
+                  case o_custkey % 6 when 0 then 'tarfif' when 1 then 'chg' when 2 then 'charge' else 'tariff' end as pay from orders),
 w as (select 'order/who/' as up, 'party' as grp, who as value, count(*) as n from o group by 3),
-p as (select 'order/pay/' as up, case when pay in ('amt', 'amount') then 'amount' else 'price' end as grp, pay as value, count(*) as n from o group by 2, 3),
+p as (select 'order/pay/' as up, case when pay in ('chg', 'charge') then 'charge' else 'tariff' end as grp, pay as value, count(*) as n from o group by 2, 3),
 m as (select * from w union all select * from p),
-c as (select *, first_value(value) over (partition by up, grp order by value = 'pirce', n desc, value) as canonical from m)
+c as (select *, first_value(value) over (partition by up, grp order by value = 'tarfif', n desc, value) as canonical from m)
 """
 
 ORACLE = {
     "a6_names": _PARTY
     + """
 select path, value, relation, count, cast(sum(count) over (partition by path) as bigint) as total from (
-  select up || canonical as path, value, case when value = canonical then 'original' when value = 'pirce' then 'typo' else 'alias' end as relation, n as count from c
+  select up || canonical as path, value, case when value = canonical then 'original' when value = 'tarfif' then 'typo' else 'alias' end as relation, n as count from c
   union all select p, v, 'original', (select count(*) from orders) from (values ('order', 'order'), ('order/who', 'who'), ('order/pay', 'pay')) x(p, v))
 """,
     "a9_merged_variants": _PARTY + "select cast(sum(n) as bigint) as count, cast(2 as bigint) as children, (select count(*) from orders) as total from p group by grp",
@@ -181,7 +181,7 @@ select word, round(max(freq), 2) as freq from e where word <> '' group by 1
 select 'met' as outcome, r as role, count(*) as n from orders, unnest(['identity', 'price']) u(r) group by 2
 union all select 'normalised', 'stress', count(*) from orders where o_orderkey % 5 = 2
 """,
-    "j2_forbidden": "select * from (values ('order/pay', 'price', 'pirce'), ('order/who', 'client', 'buyer')) v(parent, \"left\", \"right\")",
+    "j2_forbidden": "select * from (values ('order/pay', 'tariff', 'tarfif'), ('order/who', 'client', 'buyer')) v(parent, \"left\", \"right\")",
     "j3_violations": "select cast(0 as bigint) as violations, count(*) as documents from orders",
     "e1_shares": """
 with n as (select count(*) as n from orders), t as (

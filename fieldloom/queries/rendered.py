@@ -73,7 +73,7 @@ def party_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renamed fields: a synonym (by customer key) in one element, a typo and an abbreviation in another."""
     key = F.col("o_custkey")
     party = F.when(key % 3 == 0, "customer").when(key % 3 == 1, "client").otherwise("buyer")
-    other = F.when(key % 6 == 0, "pirce").when(key % 6 == 1, "amt").when(key % 6 == 2, "amount").otherwise("price")
+    other = F.when(key % 6 == 0, "tarfif").when(key % 6 == 1, "chg").when(key % 6 == 2, "charge").otherwise("tariff")
     element = lambda name, value: F.concat(F.lit("<"), name, F.lit(">"), value, F.lit("</"), name, F.lit(">"))
     content = F.concat(F.lit("<order><who>"), element(party, key.cast("string")), F.lit("</who><pay>"), element(other, (key % 100).cast("string")), F.lit("</pay></order>"))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("xml").alias("format"), content.alias("content"))
