@@ -6,9 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import changes, exports
-from fieldloom.plans import drafts, space
-from fieldloom.sources import documents as sources
+from fieldloom.operators import changes
+from fieldloom.plans import drafts
 
 
 def graph(text, kind="json"):
@@ -130,14 +129,3 @@ def test_tables_round_trip(spark):
     root = json.loads(text)["rootNodeId"]
     inside = {(r.ancestor, r.node) for r in drafts.contained(drafts.edges(tables), spark.createDataFrame([(1, root), (1, "node-1")], "schema_id long, ancestor string")).collect()}
     assert {n for a, n in inside if a == root} == set(json.loads(text)["nodes"]) and {n for a, n in inside if a == "node-1"} == {"node-1"}
-
-
-def test_expressions(spark):
-    docs = spark.createDataFrame([(1, "xml", "<o><p>1</p></o>"), (2, "xml", "<o><p/></o>"), (3, "xml", "<o><q>1</q></o>")], "doc_id long, format string, content string")
-    s = space.build(sources.summaries(docs))
-    found = exports.expressions(s).collect()
-    assert sorted(round(r.probability, 6) for r in found) == [0.333333, 0.666667]
-    entry = json.loads(next(r.expression for r in found if r.probability > 0.5))
-    assert entry["begin-c/o-c"]["expression"]["type"] == "AND" and entry["context1-c/p-s"]["XSDTypes"] == {"integer": 0.5, "empty": 0.5}
-    assert exports.alternatives(exports.expressions(s)).first().type == "OR"
-    assert space.serialized(s).where(F.get_json_object("json", "$.version") == 1).count() == 3
