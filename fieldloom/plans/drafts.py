@@ -244,11 +244,59 @@ def edges(tables: dict[str, DataFrame]) -> DataFrame:
     return direct.unionByName(tables["members"].join(of, ["schema_id", "collection_id"]).select("schema_id", "parent", value))
 
 
+def subtrees(found: DataFrame) -> DataFrame:
+    """schema_id, ids, sizes: the nodes of each graph (edges: schema_id, parent, child) in preorder and how many nodes the
+    subtree of each has, so that a subtree is a stretch of ids; null if the graph is no forest."""
+
+    @F.pandas_udf("struct<ids:array<string>,sizes:array<int>>")
+    def labels(graphs: pd.Series) -> pd.DataFrame:
+        rows = [_preorder([(e["parent"], e["child"]) for e in g]) for g in graphs]
+        return pd.DataFrame({"ids": [r and r[0] for r in rows], "sizes": [r and r[1] for r in rows]})
+
+    graphs = found.groupBy("schema_id").agg(F.array_sort(F.collect_list(F.struct("parent", "child"))).alias("edges"))
+    return graphs.select("schema_id", labels("edges").alias("l")).select("schema_id", "l.ids", "l.sizes")
+
+
+def _preorder(pairs: list[tuple[str, str]]) -> tuple[list[str], list[int]] | None:
+    below: dict[str, list[str]] = {}
+    for parent, child in pairs:
+        below.setdefault(parent, []).append(child)
+    children = {c for _, c in pairs}
+    if len(children) < len(pairs):
+        return None  # a node below two others
+    ids: list[str] = []
+    sizes: dict[str, int] = {}
+    pending = [(top, False) for top in sorted(below.keys() - children, reverse=True)]
+    while pending:
+        node, done = pending.pop()
+        if done:
+            sizes[node] = 1 + sum(sizes[c] for c in below.get(node, ()))
+            continue
+        ids.append(node)
+        pending.append((node, True))
+        pending += [(c, False) for c in reversed(below.get(node, ()))]
+    return (ids, [sizes[i] for i in ids]) if len(ids) == len(below.keys() | children) else None  # else there is a cycle
+
+
 def contained(found: DataFrame, tops: DataFrame, max_depth: int = 3 * MAX_DEPTH) -> DataFrame:
     """schema_id, ancestor, node: what the subtree of each asked node (tops: schema_id, ancestor) contains, itself
-    included. Level by level from the asked nodes down; a level holds only nodes that were not met before."""
+    included. Of a tree it is a stretch of its nodes in preorder, whatever its depth; graphs that are no trees are gone
+    through level by level."""
+    tops = tops.select("schema_id", "ancestor").distinct()
+    labelled = stored(subtrees(found), "subtrees")
+    asked = tops.join(labelled, "schema_id", "left").withColumn("at", F.array_position("ids", F.col("ancestor")))
+    inside = F.when(F.col("at") > 0, F.slice("ids", F.col("at").cast("int"), F.element_at("sizes", F.col("at").cast("int")))).otherwise(F.array("ancestor"))
+    strange = labelled.where("ids is null").select("schema_id")
+    simple = asked.join(strange, "schema_id", "left_anti").select("schema_id", "ancestor", F.explode(inside).alias("node"))
+    if strange.isEmpty():
+        return simple
+    return simple.unionByName(_reached(found.join(strange, "schema_id", "left_semi"), tops.join(strange, "schema_id", "left_semi"), max_depth))
+
+
+def _reached(found: DataFrame, tops: DataFrame, max_depth: int) -> DataFrame:
+    """contained() of any graph: level by level from the asked nodes down; a level holds only nodes that were not met before."""
     step = found.select("schema_id", F.col("parent").alias("node"), "child")
-    level = stored(tops.select("schema_id", "ancestor", F.col("ancestor").alias("node")).distinct(), "contained")
+    level = stored(tops.select("schema_id", "ancestor", F.col("ancestor").alias("node")), "contained")
     met = level
     for _ in range(max_depth):
         below = level.join(step, ["schema_id", "node"]).select("schema_id", "ancestor", F.col("child").alias("node")).distinct()
@@ -288,15 +336,33 @@ def page(members: DataFrame, nodes: DataFrame, collection: str, after: int = 0,
     return rows.select("schema_id", "position", "id", "value_kind", "label", "total", F.when(more, cursor).alias("next"))
 
 
-def member_counts(tables: dict[str, DataFrame], max_steps: int = 128) -> DataFrame:
+def member_counts(tables: dict[str, DataFrame], rounds: int = 7) -> DataFrame:
     """schema_id, id, members: direct members of each node and of the nodes behind it (content, particle, simple content
-    or items, the first that there is), up to max_steps nodes or to one that was met before."""
+    or items, the first that there is), up to 2 ** rounds nodes or to one that was met before.
+
+    Pointer jumping: after k rounds a node knows the members of the 2 ** k nodes from it on and the node after them. Chains
+    that have no end then are cycles or longer than asked for; only these are followed node by node."""
     get = lambda p: F.get_json_object("data", p)
     behind = F.coalesce(*[get(f"$.{f}") for f in LINKS])
     own = sum((F.coalesce(get(f"$.{f}.totalItems").cast("long"), F.lit(0)) for f, _ in COLLECTIONS.values()), F.lit(0))
     nodes = stored(tables["nodes"].select("schema_id", "id", behind.alias("behind"), own.cast("long").alias("members")), "member-counts")
+    jumps = nodes
+    for _ in range(rounds):
+        if jumps.where("behind is not null").isEmpty():
+            return jumps.select("schema_id", "id", "members")
+        there = jumps.select("schema_id", F.col("id").alias("behind"), F.col("behind").alias("further"), F.col("members").alias("more"))
+        # a reference to a node that there isn't ends its chain
+        jumped = jumps.join(there, ["schema_id", "behind"], "left")
+        jumps = stored(jumped.select("schema_id", "id", F.col("further").alias("behind"), (F.col("members") + F.coalesce("more", F.lit(0))).alias("members")), "member-counts")
+    endless = jumps.where("behind is not null").select("schema_id", "id")
+    ended = jumps.where("behind is null").select("schema_id", "id", "members")
+    return ended if endless.isEmpty() else ended.unionByName(_followed(nodes, endless, 2**rounds))
+
+
+def _followed(nodes: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
+    """member_counts of some nodes, node by node, up to max_steps or to one that was met before."""
     step = nodes.select("schema_id", F.col("id").alias("behind"), F.col("behind").alias("further"), F.col("members").alias("more"))
-    left = nodes.withColumn("met", F.array("id"))
+    left = nodes.join(starts, ["schema_id", "id"], "left_semi").withColumn("met", F.array("id"))
     done = []
     for _ in range(max_steps - 1):
         goes_on = F.col("behind").isNotNull() & ~F.array_contains("met", F.col("behind"))

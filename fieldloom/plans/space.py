@@ -195,13 +195,3 @@ def serialized(space: Space) -> DataFrame:
         "typos", "alternative_names", "data_types", "representations", F.struct("alternatives").alias("content"),
     )
     return whole.select("field_id", F.to_json(body).alias("json"))
-
-
-def within_limits(summary: DataFrame, max_documents: int | None = None, max_nodes: int | None = None) -> DataFrame:
-    """The summaries, or an error if the collection as a whole is over a limit."""
-    n = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
-    got = summary.agg(n("documents").alias("documents"), n("field").alias("nodes")).first()
-    for most, have, name in ((max_documents, got["documents"], "documents"), (max_nodes, got["nodes"], "nodes")):
-        if most is not None and have > most:
-            raise ValueError(f"the collection has {have} {name}; the limit is {most}")
-    return summary

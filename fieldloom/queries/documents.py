@@ -66,6 +66,22 @@ def s5_bad_documents(spark, sf_dir: str) -> DataFrame:
     return counted(good, "read").unionByName(counted(bad, "error"))
 
 
+def n8_budgets(spark, sf_dir: str) -> DataFrame:
+    """Orders under limits that they just meet, and under each limit less one: the collection is rejected as a whole."""
+    docs = order_xml(spark, sf_dir)
+    sums = sources.budgeted_summaries(docs, sources.Limits(None, None, None))
+    have = sums.agg(*[F.sum(F.when(F.col("what") == what, F.col("n"))).alias(what) for what in ("documents", "nodes")], F.max(F.when(F.col("what") == "levels", F.col("a").cast("int"))).alias("levels")).first().asDict()
+    rows = []
+    for less in (None, *have):
+        limits = sources.Limits(**{what: n - (what == less) for what, n in have.items()})
+        try:
+            found = sources.budgeted_summaries(docs, limits)
+            rows.append(("kept", None, found.where("what = 'documents'").first()["n"]))
+        except sources.OverBudget as e:
+            rows += [("rejected", what, n) for what, n in e.exceeded.items()]
+    return spark.createDataFrame(rows, "outcome string, exceeded string, n long")
+
+
 def s6_intake(spark, sf_dir: str) -> DataFrame:
     """Web pages by thousands as collections: sizes, names and formats that don't hold."""
     p = table(spark, sf_dir, "pages")
@@ -181,6 +197,7 @@ QUERIES = {
     "a12_summary": a12_summary,
     "s5_bad_documents": s5_bad_documents,
     "s6_intake": s6_intake,
+    "n8_budgets": n8_budgets,
     "s7_serialized": s7_serialized,
     "n1_types": n1_types,
     "a2_event_fields": fields(event_json),
@@ -225,6 +242,10 @@ with t as ({_JSON_TYPES}), first as (select path, min(value) as value, arg_min(c
 select f.name, 'document-probability-space' as format, f.occurrences, first.value as first_type, first.n as first_count from ({_ORDER_FIELDS}) f join first using (path)
 """,
     "n1_types": _N1,
+    "n8_budgets": """
+with n as (select count(*) as docs, sum(4 + (o_orderkey % 7 = 0)::int + case o_orderkey % 5 when 2 then 2 when 0 then 1 when 1 then 1 else 0 end)::bigint as nodes, 2 + bool_or(o_orderkey % 7 = 0 or o_orderkey % 5 = 2)::int as levels from orders)
+select 'kept' as outcome, null as exceeded, docs as n from n union all select 'rejected', 'documents', docs from n union all select 'rejected', 'nodes', nodes from n union all select 'rejected', 'levels', levels from n
+""",
     "a2_event_fields": """
 with e as (select count(*) as n, count(value) as v from events), f as (
   select '$document' as path, '$document' as name, n as occ, n as par from e union all select '$document/type', 'type', n, n from e union all select '$document/value', 'value', v, n from e where v > 0

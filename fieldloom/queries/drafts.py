@@ -49,9 +49,9 @@ def j8_member_counts(spark, sf_dir: str) -> DataFrame:
     return drafts.member_counts(_schemas(spark, sf_dir)).groupBy("schema_id", "members").agg(F.count("*").alias("nodes"))
 
 
-def _nested(spark, sf_dir: str) -> DataFrame:
-    """Customers as objects of three fields below up to six arrays."""
-    depth = (F.col("c_custkey") % 7).cast("int")
+def _nested(spark, sf_dir: str, more: int = 0) -> DataFrame:
+    """Customers as objects of three fields below up to six arrays, and more."""
+    depth = (F.col("c_custkey") % 7).cast("int") + more
     body = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
     content = F.concat(F.repeat(F.lit("["), depth), body, F.repeat(F.lit("]"), depth))
     return drafts.drafts(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("json").alias("format"), content.alias("content")))
@@ -74,6 +74,18 @@ def j8_nested(spark, sf_dir: str) -> DataFrame:
     return drafts.member_counts(drafts.exploded(graphs)).groupBy("schema_id", "members").agg(F.count("*").alias("nodes"))
 
 
+def j7_pairs(spark, sf_dir: str) -> DataFrame:
+    """What each node of the nested customers contains."""
+    tables = drafts.exploded(_nested(spark, sf_dir).select(F.col("doc_id").alias("schema_id"), "graph"))
+    return drafts.contained(drafts.edges(tables), tables["nodes"].select("schema_id", F.col("id").alias("ancestor")))
+
+
+def j8_deep(spark, sf_dir: str) -> DataFrame:
+    """The members behind a hundred arrays and more."""
+    graphs = _nested(spark, sf_dir, 100).select(F.col("doc_id").alias("schema_id"), "graph")
+    return drafts.member_counts(drafts.exploded(graphs)).groupBy("schema_id", "members").agg(F.count("*").alias("nodes"))
+
+
 def c7_drafts(spark, sf_dir: str) -> DataFrame:
     """A draft of each alternative of the conversations, and of one that there isn't."""
     made = drafts.drafts(conversation_json(spark, sf_dir))
@@ -112,6 +124,8 @@ QUERIES = {
     "d2_graph": d2_graph,
     "d2_yaml": d2_yaml,
     "j8_nested": j8_nested,
+    "j8_deep": j8_deep,
+    "j7_pairs": j7_pairs,
     "d4_alternatives": d4_alternatives,
     "d5_manifest": d5_manifest,
     "d6_members": d6_members,
@@ -152,6 +166,13 @@ select conv_id as schema_id, cast(m as bigint) as members, cast(sum(k) as bigint
 """,
     "j8_nested": """
 select c_custkey as schema_id, cast(m as bigint) as members, cast(case when m = 3 then c_custkey % 7 + 1 else 3 end as bigint) as nodes from customer, (values (0), (3)) v(m)
+""",
+    "j8_deep": """
+select c_custkey as schema_id, cast(m as bigint) as members, cast(case when m = 3 then c_custkey % 7 + 101 else 3 end as bigint) as nodes from customer, (values (0), (3)) v(m)
+""",
+    "j7_pairs": """
+with n as (select c_custkey as schema_id, unnest(range(1, c_custkey % 7 + 5)) as a from customer)
+select schema_id, 'node-' || a as ancestor, 'node-' || unnest(case when a < 4 then [a] else range(1, a + 1) end) as node from n
 """,
     "d2_graph": """
 with k as (select c_custkey as schema_id, c_custkey % 7 as depth from customer),

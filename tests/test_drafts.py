@@ -129,3 +129,55 @@ def test_tables_round_trip(spark):
     root = json.loads(text)["rootNodeId"]
     inside = {(r.ancestor, r.node) for r in drafts.contained(drafts.edges(tables), spark.createDataFrame([(1, root), (1, "node-1")], "schema_id long, ancestor string")).collect()}
     assert {n for a, n in inside if a == root} == set(json.loads(text)["nodes"]) and {n for a, n in inside if a == "node-1"} == {"node-1"}
+
+
+def test_subtrees_of_trees_and_other_graphs(spark):
+    """Nodes below two others, cycles, chains of a thousand; nodes without edges."""
+    pairs = [(1, "a", "b"), (1, "a", "c"), (1, "c", "d"), (2, "a", "b"), (2, "a", "c"), (2, "b", "d"), (2, "c", "d"), (3, "a", "b"), (3, "b", "c"), (3, "c", "b"), (5, "x", "y"), (5, "u", "v")]
+    pairs += [(4, f"n{i}", f"n{i + 1}") for i in range(1000)]
+    tops = [(1, "a"), (1, "c"), (1, "c"), (1, "none"), (2, "a"), (2, "c"), (3, "a"), (3, "c"), (4, "n0"), (4, "n990"), (5, "u"), (6, "alone")]
+    got = {}
+    for r in drafts.contained(spark.createDataFrame(pairs, "schema_id long, parent string, child string"), spark.createDataFrame(tops, "schema_id long, ancestor string")).collect():
+        got.setdefault((r.schema_id, r.ancestor), []).append(r.node)
+    below = {}
+    for g, a, b in pairs:
+        below.setdefault((g, a), set()).add(b)
+
+    def reach(g, node):
+        seen, pending = {node}, [node]
+        while pending:
+            for c in below.get((g, pending.pop()), ()):
+                if c not in seen:
+                    seen.add(c)
+                    pending.append(c)
+        return sorted(seen)
+
+    assert {k: sorted(v) for k, v in got.items()} == {t: reach(*t) for t in tops}
+
+
+def test_members_behind_chains_and_cycles(spark):
+    """Chains of many lengths around powers of two, cycles with a way into them, references to nodes that there aren't."""
+    link, size = {}, {}
+    for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 40):
+        for i in range(n):
+            link[f"c{n}-{i}"] = f"c{n}-{i + 1}" if i + 1 < n else None
+    for n in (1, 3, 8):
+        for i in range(n):
+            link[f"r{n}-{i}"] = f"r{n}-{(i + 1) % n}"
+        link[f"in{n}"] = f"r{n}-0"
+    link["lost"] = "nowhere"
+    for i, k in enumerate(sorted(link)):
+        size[k] = i % 5 + 1
+    rows = [(1, k, json.dumps({"kind": "array", "itemsNodeId": to, "properties": {"id": "c", "totalItems": size[k]}})) for k, to in link.items()]
+    nodes = spark.createDataFrame(rows, "schema_id long, id string, data string")
+
+    def total(node, steps):
+        seen = []
+        while node in link and node not in seen and len(seen) < steps:
+            seen.append(node)
+            node = link[node]
+        return sum(size[n] for n in seen)
+
+    for rounds in (3, 4):
+        got = {r.id: r.members for r in drafts.member_counts({"nodes": nodes}, rounds).collect()}
+        assert got == {k: total(k, 2**rounds) for k in link}

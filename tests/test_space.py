@@ -325,11 +325,20 @@ def test_no_documents(spark):
 
 
 def test_limits(spark):
-    sums = sources.summaries(collection(spark, [("json", "[1, 2]")] * 3))
-    assert space.within_limits(sums, max_documents=3, max_nodes=9).count() == sums.count()
-    for limits in ({"max_documents": 2}, {"max_nodes": 8}):
+    """Nodes inside nil and mixed fields count, but give no fields."""
+    xml = f'<a x="1"><b xmlns:i="{sources.XSI[1:-1]}" i:nil="1"><c y="2"/></b><d>t<e><f/></e></d></a>'
+    docs = collection(spark, [("xml", xml), ("json", "[[1]]"), ("json", "[")])
+    have = {"documents": 3, "nodes": 11, "levels": 4}
+    sums = sources.budgeted_summaries(docs, sources.Limits(**have))
+    assert sorted(map(str, sums.collect())) == sorted(map(str, sources.summaries(docs).collect()))
+    assert sources.budgeted_summaries(docs, sources.Limits(None, None, None)).count() == sums.count()
+    for what, n in have.items():
+        with pytest.raises(sources.OverBudget) as e:
+            sources.budgeted_summaries(docs, sources.Limits(**{**have, what: n - 1}))
+        assert e.value.exceeded == {what: n}
+    for bad in (0, -1, 1.5, True):
         with pytest.raises(ValueError):
-            space.within_limits(sums, **limits)
+            sources.Limits(documents=bad)
 
 
 def test_provenance_of_hot_shapes(spark):
