@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks, exports, names
@@ -68,6 +68,30 @@ def m11_lexicon(spark, sf_dir: str) -> DataFrame:
     return tables["unigrams"].select("word", F.round("freq", 2).alias("freq"))
 
 
+def _glued(part: str = "p_name") -> Column:
+    """A part's words and type as one chunk; every fifth with a number, which no word covers."""
+    return F.concat(F.regexp_replace(part, " ", ""), F.lower("p_type"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_size").cast("string")).otherwise(""))
+
+
+def _part_lexicon(spark, sf_dir: str) -> names.Lexicon:
+    """Words of parts by how often they come, and their first two letters and what follows as seldom words; phrases of a
+    whole part for every seventh size."""
+    p = table(spark, sf_dir, "part")
+    word = p.select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("word")).groupBy("word").agg((1000 * F.count("*")).cast("double").alias("freq"))
+    piece = word.select(F.explode(F.array(F.substring("word", 1, 2), F.expr("substring(word, 3)"))).alias("word"), (F.col("freq") / 1000).alias("freq")).where("length(word) > 1")
+    every = word.unionByName(piece).groupBy("word").agg(F.max("freq").alias("freq"))
+    phrase = p.where("p_size % 7 = 0").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("phrase"), F.lit("weekly part").alias("canonical")).distinct()
+    empty = lambda *c: spark.createDataFrame([], ", ".join(f"{x} string" for x in c))
+    found = {"unigrams": every, "synonyms": empty("word", "group"), "phrases": phrase, "abbreviations": empty("word", "expansion"), "opposites": empty("a", "b")}
+    return names.lexicon_of(found)
+
+
+def m3_splits(spark, sf_dir: str) -> DataFrame:
+    """Glued names of parts and the words that they are split into (M3), whole parts by their phrase (M4)."""
+    named = table(spark, sf_dir, "part").select(_glued().alias("name"))
+    return names.tokenised(named, _part_lexicon(spark, sf_dir)).select("name", F.array_join("tokens", " ").alias("tokens"))
+
+
 def j3_violations(spark, sf_dir: str) -> DataFrame:
     """All checks over a merged space and its sources; a sound space has none."""
     docs = party_xml(spark, sf_dir)
@@ -129,6 +153,7 @@ QUERIES = {
     "m1_tokens": m1_tokens,
     "m5_single_edits": m5_single_edits,
     "m7_together": m7_together,
+    "m3_splits": m3_splits,
     "m11_lexicon": m11_lexicon,
     "j1_annotations": j1_annotations,
     "j2_forbidden": j2_forbidden,
@@ -163,6 +188,19 @@ f as (
   select a, 0 as form, a[:i-1] || a[i+1:i+1] || a[i:i] || a[i+2:] as b from p union all select a, 1, a[:i-1] || a[i+1:i+1] || a[i+2:] from p
   union all select a, 2, a[:i-1] || '#' || a[i+1:] from p union all select a, 3, a[:i-1] || a[i:i] || a[i:] from p union all select a, 4, a[:i-1] || '##' || a[i+2:] from p union all select a, 5, a from p)
 select form, damerau_levenshtein(a, b) = 1 and least(length(a), length(b)) >= 4 as edit, count(*) as n from f group by all
+""",
+    "m3_splits": """
+with recursive word as (select w, 1000.0 * count(*) as f from (select unnest(string_split(p_name || ' ' || lower(p_type), ' ')) as w from part) group by w),
+known as (select w, max(f) as f from (select w, f from word union all select w[:2], f / 1000 from word union all select w[3:], f / 1000 from word) where length(w) > 1 group by w),
+name as (select distinct replace(p_name, ' ', '') || lower(p_type) || case when p_partkey % 5 = 0 then p_size::varchar else '' end as name from part),
+phrase as (select distinct p_name || ' ' || lower(p_type) as phrase from part where p_size % 7 = 0),
+way as (
+  select name, 0 as pos, 0.0::double as score, ''::varchar as words from name
+  union all
+  select way.name, pos + length(w), score + ln(1 + f) - 18, words || case when pos = 0 then '' else ' ' end || w from way join known on way.name[pos + 1:pos + length(w)] = w where pos < length(way.name)
+), best as (select name, max({'s': round(score, 9), 'w': string_split(words, ' ')}) as b from way where pos = length(name) group by name)
+select name, coalesce(case when phrase is not null then 'weekly part' end, array_to_string(b.w, ' '), name) as tokens
+from name left join best using (name) left join phrase on array_to_string(b.w, ' ') = phrase
 """,
     "m7_together": """
 with o as (select o_orderkey as k from orders), e as (
