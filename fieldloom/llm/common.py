@@ -10,6 +10,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +62,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of saved() in the innermost temporaries().
+_open_scope: ContextVar[list[str] | None] = ContextVar("open_scope", default=None)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables saved inside are deleted at the end, but for those that the frames put into the list read; these belong to
+    the scope around this one, if there is one."""
+    outer, mine, kept = _open_scope.get(), [], []
+    token = _open_scope.set(mine)
+    try:
+        yield kept
+    finally:
+        _open_scope.reset(token)
+        read = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()}
+        for path in mine:
+            if path.rpartition("/")[2] not in read:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing. What it
     shuffled is deleted once it is written."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if (scope := _open_scope.get()) is not None:
+        scope.append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -75,11 +107,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that saved() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
 
 
 def small(df: DataFrame, bytes_per_row: int, more: Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:

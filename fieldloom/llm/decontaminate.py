@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, saved, small, table, without_rows
+from .common import ascii_lower, keyed, saved, small, table, temporaries, without_rows
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, PREFIX = 13, 2
@@ -130,7 +130,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    return without_rows(docs, saved(contamination(docs, benchmark, window, share).where("contaminated").select("row_id", "row_hash"), "contaminated"))
+    with temporaries(docs.sparkSession) as kept:
+        gone = saved(contamination(docs, benchmark, window, share).where("contaminated").select("row_id", "row_hash"), "contaminated")
+        kept.append(gone)
+    return without_rows(docs, gone)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, small, table, with_row_key
+from .common import keyed, saved, small, table, temporaries, with_row_key
 
 MIN_WORDS = 50
 KEY = ["row_id", "row_hash"]
@@ -109,9 +109,12 @@ _KEPT = """flatten(transform(sequence(0, size(__runs)), i -> slice(__lines,
     if(i = size(__runs), size(__lines), __runs[i].first) - if(i = 0, 0, __runs[i - 1].last + 1))))"""
 
 
-def _cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
+def _cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with __lines, __runs (empty if nothing goes) and __kept."""
-    runs = small(saved(runs, "line-runs"), 64, 24 * F.size("runs")).withColumnsRenamed({"row_id": "__row_id", "row_hash": "__row_hash", "runs": "__runs"})
+    with temporaries(docs.sparkSession) as kept:
+        runs = saved(repeated_runs(docs, min_words), "line-runs")
+        kept.append(runs)
+    runs = small(runs, 64, 24 * F.size("runs")).withColumnsRenamed({"row_id": "__row_id", "row_hash": "__row_hash", "runs": "__runs"})
     nothing = F.expr("cast(array() as array<struct<first:int,last:int>>)")
     return (
         with_row_key(docs)
@@ -124,7 +127,7 @@ def _cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, every row and column, with the later copies of repeated runs cut out of text (and n_chars set to match)."""
-    cut = _cut(docs, repeated_runs(docs, min_words))
+    cut = _cut(docs, min_words)
     text = F.when(F.size("__runs") == 0, F.col("text")).otherwise(F.array_join("__kept", "\n"))
     changed = {"text": text, "n_chars": F.when(F.size("__runs") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
     return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
@@ -133,7 +136,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (first-last,...; from 0), kept_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = _cut(docs, repeated_runs(docs))
+    cut = _cut(docs)
     return cut.select(
         "doc_id",
         F.size("__lines").cast("long").alias("n_lines"),

@@ -9,9 +9,11 @@ first row (by id, then text hash) stands for it. The steps are
    (see simhash) and compared by their sets; what is linked makes the first groups, large groups of copies above all;
 3. what SimHash misses is found by prefix filtering, exactly. Each class is indexed under the first fifth of its
    shingles in one global order, seldom ones first. Of two texts that resemble, the shorter one's first ninth and the
-   longer one's first fifth have a shingle in common. Only pairs across groups are compared. While the index holds too
-   many such pairs to list, one row of each shingle (the same rows at all shingles) meets the others there, which
-   joins groups, and is then settled; the pairs that are left are listed.
+   longer one's first fifth have a shingle in common. Only pairs across groups are compared, each where its rows first
+   meet. While the index holds too many such pairs to list, one row of each shingle (the same rows at all shingles)
+   meets the others there, which joins groups, and is then settled. Where that leaves many pairs, as between the pages
+   of one template, a shingle's rows are divided by the shingles that are seldom among them, again and again, so that
+   only texts that have several seldom shingles in common are listed.
 
 Every link is checked by the whole sets, and groups are joined by star rounds, so no group is ever held in one task
 and no pairs are made within a group. The global order comes from a sample; it sets the effort, never the result.
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, saved, small, text_rows, without_rows
+from .common import discard, give_back, saved, small, temporaries, text_rows, without_rows
 from .simhash import components, links, sum_of_bits
 
 SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
@@ -37,6 +39,9 @@ SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
 #: are frequent, at most FREQUENT of them are told apart; pairs are listed once they are PAIRS_A_ROW for each row (or
 #: LEAST_PAIRS), or after LEADER_ROUNDS; a row meets at most MEETINGS others in one task.
 SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS, MEETINGS = 16, 1 << 19, 4, 100_000, 8, 256
+#: Leader rounds end when one leaves over LEAST_GAIN of the pairs; then shingles of over CELL_PAIRS pairs (and PAIRS_A_ROW
+#: for each row) are divided, DIVISIONS times at most, in an order that CELL_SAMPLE of their rows tell.
+LEAST_GAIN, CELL_PAIRS, DIVISIONS, CELL_SAMPLE = 0.7, 2_000, 6, 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ROW, OTHER = ["row_id", "row_hash"], ["other_id", "other_hash"]
 
@@ -133,8 +138,8 @@ def _rows_of(pairs: DataFrame) -> DataFrame:
     return saved(pairs.select(*ROW).unionByName(pairs.select(*[F.col(o).alias(r) for o, r in zip(OTHER, ROW)])).distinct(), "candidate-rows")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (saved: row_id, row_hash, other_id, other_hash) whose whole sets resemble; saved."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """row_id, row_hash, n, shingles of the texts; rows that repeat are one."""
 
     def sets(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -142,24 +147,33 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield pdf.assign(n=[len(f) for f in found], shingles=found)
         give_back()
 
-    asked = texts.join(small(_rows_of(pairs), 24), ROW, "left_semi")
-    known = saved(asked.mapInPandas(sets, "row_id long, row_hash long, n int, shingles array<long>").dropDuplicates(ROW), "shingle-sets")
-    both = F.size(F.array_intersect("shingles", "others"))
-    alike = both >= similarity * (F.col("n") + F.col("other_n") - both) - 1e-9
-    out = saved(_met(pairs, known).where(alike).select(*ROW, *OTHER), "links")
-    discard(known)
+    return texts.mapInPandas(sets, "row_id long, row_hash long, n int, shingles array<long>").dropDuplicates(ROW)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (saved: row_id, row_hash, other_id, other_hash) whose whole sets resemble; saved."""
+    with temporaries(texts.sparkSession) as kept:
+        asked = texts.join(small(_rows_of(pairs), 24), ROW, "left_semi")
+        known = saved(shingle_sets(asked, shingle), "shingle-sets")
+        both = F.size(F.array_intersect("shingles", "others"))
+        alike = both >= similarity * (F.col("n") + F.col("other_n") - both) - 1e-9
+        out = saved(_met(pairs, known).where(alike).select(*ROW, *OTHER), "links")
+        kept.append(out)
     return out
 
 
 def possible(pairs: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
     """The pairs that share enough of their prefixes to resemble; saved. What two prefixes share stands in the index, and
     beyond the prefix that ends first two texts share at most what is left of the one or of the other."""
-    pairs = saved(pairs.select(*ROW, *OTHER).distinct(), "candidates")
-    held = index.join(small(_rows_of(pairs), 24), ROW, "left_semi").groupBy(*ROW).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"))
-    rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
-    common = F.size(F.array_intersect("shingles", "others"))
-    enough = common + F.greatest(rest("n"), rest("other_n")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-6
-    return saved(_met(pairs, saved(held, "shared-prefixes")).where(enough).select(*ROW, *OTHER), "possible-pairs")
+    with temporaries(index.sparkSession) as kept:
+        pairs = saved(pairs.select(*ROW, *OTHER).distinct(), "candidates")
+        held = index.join(small(_rows_of(pairs), 24), ROW, "left_semi").groupBy(*ROW).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"))
+        rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
+        common = F.size(F.array_intersect("shingles", "others"))
+        enough = common + F.greatest(rest("n"), rest("other_n")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-6
+        out = saved(_met(pairs, saved(held, "shared-prefixes")).where(enough).select(*ROW, *OTHER), "possible-pairs")
+        kept.append(out)
+    return out
 
 
 def _joined(groups: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -182,8 +196,8 @@ def by_fingerprint(reps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """shingle, row_id, row_hash, n (shingles of the text), short (stands for it against longer texts), at shingles of
-    several rows; saved."""
+    """shingle, prev (the shingle before it in the text's prefix; itself, if it is the first), row_id, row_hash, n (shingles of
+    the text), short (stands for it against longer texts), at shingles of several rows; saved."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))  # 8 MB at most
 
     def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,10 +207,12 @@ def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
             found = [prefix(s, known, times, similarity) for s in sets]
             if found:
                 many = [len(p) for p, _ in found]
-                yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), **{c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}, "n": np.repeat([len(s) for s in sets], many), "short": np.concatenate([s for _, s in found])})
+                before = [np.concatenate([p[:1], p[:-1]]) for p, _ in found]
+                rows = {c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}
+                yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), "prev": np.concatenate(before), **rows, "n": np.repeat([len(s) for s in sets], many), "short": np.concatenate([s for _, s in found])})
         give_back()
 
-    every = saved(texts.mapInPandas(prefixes, "shingle long, row_id long, row_hash long, n int, short boolean"), "prefixes")
+    every = saved(texts.mapInPandas(prefixes, "shingle long, prev long, row_id long, row_hash long, n int, short boolean"), "prefixes")
     crowded = every.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")
     index = saved(every.join(small(saved(crowded, "crowded-shingles"), 12), "shingle", "left_semi"), "prefix-index")
     discard(every)
@@ -210,39 +226,98 @@ def _could_be(first: str, second: str, similarity: float) -> Column:
     return stands & (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6)
 
 
-def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, root: the groups, joined by all links that the index holds."""
-    here = F.struct(*ROW, "n", "short")
-    pair = lambda a, b: [F.col(f"{a}.{r}").alias(r) for r in ROW] + [F.col(f"{b}.{r}").alias(o) for r, o in zip(ROW, OTHER)]
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{r}").alias(r) for r in ROW] + [F.col(f"{b}.{r}").alias(o) for r, o in zip(ROW, OTHER)]
 
-    def opened(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The index with the group of each row, at shingles where several groups meet; and these shingles with the
-        row that leads there and the number of pairs across groups."""
+
+def opened(index: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index with the group of each row; and its open shingles, where rows of different groups meet that have not met
+    at the shingle before: how many rows and pairs, and the row that leads there."""
+    with temporaries(index.sparkSession) as kept:
         placed = index.drop("group").withColumn("node", _row()).join(small(groups, 40), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("node", "root")
         placed = saved(placed, "placed-index")
-        order = F.struct(F.xxhash64(*ROW).alias("o"), here.alias("row"), F.col("group"))
-        members = placed.groupBy("shingle", "group").agg(F.count("*").alias("c"), F.min(order).alias("first"), F.max("short").alias("any"))
-        met = members.groupBy("shingle").agg(F.sum("c").alias("rows"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.min("first").alias("first"), F.max("any").alias("any"))
-        met = saved(met.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.col("first.row").alias("lead"), F.col("first.group").alias("lead_group")), "open-shingles")
-        return placed, met
+        order = F.struct(F.xxhash64(*ROW).alias("o"), F.struct(*ROW, "n", "short").alias("row"), F.col("group"))
+        cells = saved(placed.groupBy("shingle", "group", "prev").agg(F.count("*").alias("c"), F.min(order).alias("first"), F.max("short").alias("any")), "open-cells")
+        square = lambda c: F.sum(F.col(c) * F.col(c))
+        members = cells.groupBy("shingle", "group").agg(F.sum("c").alias("c"), F.min("first").alias("first"), F.max("any").alias("any"))
+        met = members.groupBy("shingle").agg(F.sum("c").alias("rows"), square("c").alias("own"), F.min("first").alias("first"), F.max("any").alias("any"))
+        # pairs of one group or of one shingle before, without counting pairs of both twice
+        before = cells.where("prev != shingle").groupBy("shingle", "prev").agg(F.sum("c").alias("c"), square("c").alias("both")).groupBy("shingle").agg((square("c") - F.sum("both")).alias("before"))
+        found = met.join(before, "shingle", "left").withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("own") - F.coalesce("before", F.lit(0))) / 2)
+        met = saved(found.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.col("first.row").alias("lead"), F.col("first.group").alias("lead_group")), "open-shingles")
+        kept += [placed, met]
+    return placed, met
+
+
+def listed(placed: DataFrame, at: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of rows of different groups at the shingles in at, each where its rows first meet."""
+    rows = placed.join(at.select("shingle"), "shingle", "left_semi").select("shingle", "prev", F.struct(*ROW, "n", "short").alias("x"), F.col("group").alias("x_group"))
+    both = rows.where("x.short").join(rows.withColumnsRenamed({"prev": "y_prev", "x": "y", "x_group": "y_group"}), "shingle")
+    # x is the shorter one; of equal lengths the pair may come twice, and is one after sorting
+    longer = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("x") != F.col("y")))
+    first = (F.col("prev") != F.col("y_prev")) | (F.col("prev") == F.col("shingle"))
+    return both.where((F.col("x_group") != F.col("y_group")) & longer & first & _could_be("x", "y", similarity)).select(*_pair("y", "x"))
+
+
+def divided(placed: DataFrame, hot: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """An index of the rows at hot shingles (hot: shingle, rows), each shingle divided by another one.
+
+    All rows of a hot shingle have it in common, so it tells nothing there. Two of them that resemble still share one of
+    their first shingles in any other order; here it is that of the hot shingle's own rows, those that few of them have
+    first, as a sample of CELL_SAMPLE of these rows tells. A new shingle stands for the hot one and the one that divides it."""
+    rows = placed.join(small(hot, 16), "shingle").select("shingle", *ROW, "group", F.ceil(F.col("rows") / CELL_SAMPLE).alias("parts"))
+    each = rows.join(sets, ROW).select("shingle", *ROW, "n", "group", "parts", F.explode("shingles").alias("inner"))
+    drawn = F.pmod(F.xxhash64(*ROW, "shingle"), F.col("parts")) == 0
+    times = saved(each.where(drawn).groupBy("shingle", "inner").agg(F.count("*").alias("times")).where("times > 1"), "inner-times")
+    of_row = Window.partitionBy("shingle", *ROW).orderBy("times", "inner")
+    known = each.join(small(times, 24), ["shingle", "inner"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    probe, index = (F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1 for s in (similarity, 2 * similarity / (1 + similarity)))
+    placed = known.withColumn("i", F.row_number().over(of_row)).withColumn("before", F.coalesce(F.lag("inner").over(of_row), F.col("inner"))).where(F.col("i") <= probe)
+    new = lambda c: F.xxhash64("shingle", c)
+    return placed.select(new("inner").alias("shingle"), new("before").alias("prev"), *ROW, "n", (F.col("i") <= index).alias("short"), "group")
+
 
-    index = whole
+def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: the groups, joined by all links that the index holds.
+
+    While there are too many pairs to list, one row of each shingle meets the others. That settles copies of one page;
+    when it no longer helps, unlike texts with much in common are left (pages of one template), and shingles of too many
+    pairs are divided. Then all pairs are listed."""
+    spark = whole.sparkSession
+    index, last = whole, None
     for round_no in range(LEADER_ROUNDS + 1):
-        placed, met = opened(index)
+        placed, met = opened(index, groups)
         held = met.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
-        if (held.pairs or 0) <= PAIRS_A_ROW * (held.rows or 0) + LEAST_PAIRS or round_no == LEADER_ROUNDS:
+        few = (held.pairs or 0) <= PAIRS_A_ROW * (held.rows or 0) + LEAST_PAIRS
+        if few or round_no == LEADER_ROUNDS or (last is not None and held.pairs > LEAST_GAIN * last):
             break
-        led = placed.join(met, "shingle").withColumn("here", here)
-        index = saved(led.where("here != lead").select("shingle", *ROW, "n", "short"), "prefix-index")
-        found = led.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*pair("here", "lead"))
-        groups = _joined(groups, verified(possible(found, whole, similarity), texts, shingle, similarity))
-        discard(placed)
-    rows = placed.join(met.select("shingle"), "shingle", "left_semi").select("shingle", here.alias("x"), F.col("group").alias("x_group"))
-    both = rows.where("x.short").join(rows.withColumnsRenamed({"x": "y", "x_group": "y_group"}), "shingle")
-    # x is the shorter one; of equal lengths the pair may come twice, and is one after sorting
-    longer = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("x") != F.col("y")))
-    across = both.where((F.col("x_group") != F.col("y_group")) & longer & _could_be("x", "y", similarity))
-    return _joined(groups, verified(possible(across.select(*pair("y", "x")), whole, similarity), texts, shingle, similarity))
+        last = held.pairs
+        with temporaries(spark) as kept:
+            led = placed.join(met, "shingle").withColumn("here", F.struct(*ROW, "n", "short"))
+            left = saved(led.where("here != lead").select("shingle", "prev", *ROW, "n", "short"), "prefix-index")
+            found = led.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*_pair("here", "lead"))
+            joined = _joined(groups, verified(possible(found, whole, similarity), texts, shingle, similarity))
+            kept += [left, joined]
+        for old in (placed, met, groups, *([index] if round_no else [])):
+            discard(old)
+        index, groups = left, joined
+    crowded = F.col("pairs") > PAIRS_A_ROW * F.col("rows") + CELL_PAIRS
+    pairs, sets = listed(placed, met if few else met.where(~crowded), similarity), None
+    for _ in range(0 if few else DIVISIONS):
+        hot = saved(met.where(crowded).select("shingle", "rows"), "hot-shingles")
+        if hot.isEmpty():
+            break
+        if sets is None:
+            asked = saved(placed.join(small(hot, 16), "shingle", "left_semi").select(*ROW).distinct(), "hot-rows")
+            sets = saved(shingle_sets(texts.join(small(asked, 24), ROW, "left_semi"), shingle), "hot-sets")
+        with temporaries(spark) as kept:
+            placed, met = opened(divided(placed, hot, sets, similarity), groups)
+            kept += [placed, met]
+        pairs = pairs.unionByName(listed(placed, met.where(~crowded), similarity))
+    else:
+        if not few:  # what can't be divided further
+            pairs = pairs.unionByName(listed(placed, met.where(crowded), similarity))
+    return _joined(groups, verified(possible(pairs, whole, similarity), texts, shingle, similarity))
 
 
 def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
@@ -255,7 +330,9 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     equal = saved(rows.join(small(saved(repeated, "repeated-classes"), 48), ["n1", "n2"]).where("row_id != first_id or row_hash != first_hash").select(*ROW, "first_id", "first_hash").distinct(), "equal-rows")
     texts = texts.join(small(equal.select(*ROW), 24), ROW, "left_anti")
     groups = _joined(None, verified(saved(by_fingerprint(reps, max_bits), "fingerprint-pairs"), texts, shingle, similarity))
-    groups = linked_by_prefixes(prefix_index(texts, shingle, similarity), groups, texts, shingle, similarity)
+    with temporaries(docs.sparkSession) as kept:
+        groups = linked_by_prefixes(prefix_index(texts, shingle, similarity), groups, texts, shingle, similarity)
+        kept.append(groups)
     groups = saved(groups.select(F.col("node.id").alias("first_id"), F.col("node.hash").alias("first_hash"), "root"), "similar-groups")
     far = groups.select(F.col("first_id").alias("row_id"), F.col("first_hash").alias("row_hash"), F.col("root.id").alias("first_id"), F.col("root.hash").alias("first_hash"))
     moved = equal.join(small(groups, 48), ["first_id", "first_hash"], "left").select(*ROW, F.coalesce("root.id", "first_id").alias("first_id"), F.coalesce("root.hash", "first_hash").alias("first_hash"))
@@ -264,7 +341,10 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
 
 def without_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns, that are the first of their group."""
-    return _one_each(without_rows(docs, saved(similar_rows(docs, shingle, similarity), "similar-rows")))
+    with temporaries(docs.sparkSession) as kept:
+        gone = saved(similar_rows(docs, shingle, similarity), "similar-rows")
+        kept.append(gone)
+    return _one_each(without_rows(docs, gone))
 
 
 def _one_each(docs: DataFrame) -> DataFrame:

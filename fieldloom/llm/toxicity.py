@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, give_back, saved, table, without_rows
+from .common import NULL_ID, give_back, saved, table, temporaries, without_rows
 from .samples import class_counts, crc_fold, labelled_sample
 
 PER_CLASS, MAX_TERMS, MAX_CHARS = 2500, 1024, 100_000
@@ -244,8 +244,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with their columns, that score below the threshold."""
-    toxic = scores(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("row_id", "row_hash")
-    return without_rows(docs, saved(toxic, "toxic-rows"))
+    with temporaries(docs.sparkSession) as kept:
+        toxic = saved(scores(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("row_id", "row_hash"), "toxic-rows")
+        kept.append(toxic)
+    return without_rows(docs, toxic)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -273,12 +273,18 @@ def test_similar_documents(spark):
     assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == [1, 4, 5, 6]
 
 
-@pytest.mark.parametrize("by_leaders", [False, True])
-def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
+LIMITS_OF_PAIRS = {
+    "listed": {},
+    "leaders": {"PAIRS_A_ROW": 0, "LEAST_PAIRS": 0, "LEADER_ROUNDS": 3, "MEETINGS": 3, "LEAST_GAIN": 1, "CELL_PAIRS": 10**9},
+    "divided": {"PAIRS_A_ROW": 0, "LEAST_PAIRS": 0, "LEADER_ROUNDS": 0, "CELL_PAIRS": 0, "DIVISIONS": 2, "CELL_SAMPLE": 4},
+}
+
+
+@pytest.mark.parametrize("way", sorted(LIMITS_OF_PAIRS))
+def test_similar_documents_are_all_found(spark, given, monkeypatch, way):
     """Truncated, extended and edited copies, copies of copies and common lines, against every pair."""
-    if by_leaders:
-        for name, value in (("PAIRS_A_ROW", 0), ("LEAST_PAIRS", 0), ("LEADER_ROUNDS", 3), ("MEETINGS", 3)):
-            monkeypatch.setattr(similar, name, value)
+    for name, value in LIMITS_OF_PAIRS[way].items():
+        monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(3)
     texts = [t.lower().split() for _, t in given if t and 60 <= len(t.split()) <= 400][:50]
     common = [f"c{i}" for i in range(40)]
@@ -298,6 +304,55 @@ def test_similar_documents_are_all_found(spark, given, monkeypatch, by_leaders):
     assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == kept
 
 
+def test_temporaries_go_but_for_what_is_read(spark):
+    from pathlib import Path
+
+    from fieldloom.llm.common import saved, shared_folder, temporaries
+
+    there = lambda: {p.name.partition("-")[0] for p in Path(shared_folder(spark)).glob("scope*")}
+    with temporaries(spark) as outer:
+        a = saved(spark.range(5), "scopea-1")
+        with temporaries(spark) as inner:
+            b, c = saved(spark.range(6), "scopeb-1"), saved(spark.range(7), "scopec-1")
+            kept = b.join(a, "id").select((a["id"] + 1).alias("x"))
+            inner.append(kept)
+            saved(spark.range(0), "scoped-1")
+        assert there() == {"scopea", "scopeb"} and kept.count() == 5
+        outer.append(a.where("id > 1"))
+    assert there() == {"scopea"} and a.count() == 5
+    with pytest.raises(ZeroDivisionError), temporaries(spark):
+        saved(spark.range(5), "scopee-1")
+        raise ZeroDivisionError
+    assert there() == {"scopea"}
+
+
+def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
+    """Pages of 5 out of 50 paragraphs: unlike, but each shares a paragraph with a tenth of all. Pairs that are looked at
+    grow with the pages, not with their square; two copies among them are found."""
+    for name, value in (("LEAST_PAIRS", 500), ("CELL_PAIRS", 20)):
+        monkeypatch.setattr(similar, name, value)
+    looked, possible = [], similar.possible
+
+    def counting(pairs, *more):
+        looked[-1] += pairs.distinct().count()
+        return possible(pairs, *more)
+
+    monkeypatch.setattr(similar, "possible", counting)
+    rng = np.random.default_rng(1)
+    paragraphs = [" ".join(f"p{i}w{rng.integers(10**6)}" for _ in range(40)) for i in range(50)]
+    for n in (400, 1600):
+        looked.append(0)
+        texts = ["\n".join(paragraphs[i] for i in rng.choice(50, 5, False)) for _ in range(n)]
+        texts[n // 2] = texts[1].replace(" ", "  ")[:-3]
+        rows = list(enumerate(texts))
+        sets = [frozenset(t.split("\n")) for t in texts]
+        first = {}
+        kept = [first.setdefault(s if i != n // 2 else sets[1], i) for i, s in enumerate(sets)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == sorted(set(kept))
+    assert looked[1] < 8 * looked[0] and looked[1] < 1600**2 / 80  # four times the pages
+
+
 def test_pii_draws_even_tiny_shares(spark):
     docs = spark.range(1 << 23).selectExpr("id as doc_id", "'x' as text")
     few, some = pii.drawn(docs, 1e-6).count(), pii.drawn(docs, 1 / 64).count()
