@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.files import write_document
 from .space import Space, joined, roots
 
+#: Fixed value of the format: by which rules drafts are made.
+RECIPE = "observed-document-v1"
 #: How the rows of a section are ordered.
 ORDER = ["path", "rank", "after", "variant_id"]
 #: What opens and closes statistics, roots, nodes and warnings.
@@ -115,6 +117,22 @@ def write_sources(sources: DataFrame, folder: str) -> None:
     rows.write.json(folder)
 
 
+def write_manifest(path: str, title: str, snapshot: dict, found: DataFrame, drafted: DataFrame, space: Space) -> None:
+    """The manifest of an analysis as one JSON document: formats, profile, statistics, the suggested draft, and all root
+    alternatives, most frequent first, a line each. found, drafted: see drafts.alternatives; snapshot: resource, id, revision."""
+    from .drafts import DIALECTS, manifest
+
+    facts = manifest(found, drafted).first()
+    profile = {"syntax": facts["syntax"], "dialect": DIALECTS[facts["syntax"]]}
+    head = {
+        "contractVersion": 2, "format": "schema-analysis", "title": title, "snapshot": snapshot, "inputFormats": facts["formats"], "profile": profile,
+        "statistics": space.summary.select("documents", "fields").first().asDict(), "recipeVersion": RECIPE,
+        "suggestedDraft": {"seedId": RECIPE, "suggestedRootAlternativeId": facts["suggested"]},
+    }
+    frame = [(json.dumps(head, ensure_ascii=False)[:-1] + ',\n"rootAlternatives":[\n', "\n]}\n")]
+    write_document(_rows(found.select("id", "count", F.col("id").alias("variant_id")), 0, _json("id", "count"), after=-F.col("count")), path, frame, *ORDER)
+
+
 #: The lists of an evaluation, in order.
 LISTS = ("forbidden_field_merges", "missing_annotations", "normalized_annotations", "invalid_distributions")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import changes, exports
 from ..plans import drafts
+from ..plans.storage import stored
 from .rendered import table
 
 
@@ -50,6 +53,53 @@ def c5_replays(spark, sf_dir: str) -> DataFrame:
     return changes.deduplicated(log).groupBy("schema_id", "outcome").agg(F.count("*").alias("n"))
 
 
+def _members(after: DataFrame) -> DataFrame:
+    """schema_id, members: collections in order, each with the names of its members in order."""
+    rows = drafts.rebuilt(drafts.exploded(after.select("schema_id", "graph")))
+    names = F.array_join(F.transform("items", lambda m: F.get_json_object(m, "$.name")), ",")
+    return rows.groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("collection_id", F.lit(":"), names))), " ").alias("members"))
+
+
+def c3_moves(spark, sf_dir: str) -> DataFrame:
+    """One batch a customer: moves out of an object and into it, below itself, before itself; a name that is taken; a batch
+    whose second operation fails, so its first is undone."""
+    move = lambda member, to, before=None: {"kind": "moveMember", "memberId": member, "targetCollectionId": to, "beforeMemberId": before}
+    rename = lambda member, name: {"kind": "renameProperty", "memberId": member, "name": name}
+    batches = [
+        [move("member-4", "collection-2", "member-1")], [move("member-1", "collection-1")], [move("member-5", "collection-1")],
+        [rename("member-1", "name")], [rename("member-1", "id"), move("member-2", "collection-9")], [move("member-3", "collection-2", "member-3"), rename("member-2", "title")],
+    ]
+    key = F.col("c_custkey")
+    chosen = F.get(F.array(*[F.lit(json.dumps(b)) for b in batches]), (key % len(batches)).cast("int"))
+    log = table(spark, sf_dir, "customer").select(key.alias("schema_id"), key.alias("seq"), F.lit("m").alias("mutation_id"), F.lit("s1").alias("base_revision"), chosen.alias("operations"))
+    receipts, after = changes.replayed(_graphs(spark, sf_dir), log)
+    return receipts.select("schema_id", "outcome").join(_members(after), "schema_id").join(after.select("schema_id", "revision"), "schema_id")
+
+
+def c2_xml_names(spark, sf_dir: str) -> DataFrame:
+    """Parts as XML drafts, in which an element or an attribute gets another name, or one that it may not have."""
+    key = F.col("p_partkey")
+    content = F.concat(F.lit('<part size="'), F.col("p_size").cast("string"), F.lit('"><name>'), F.col("p_name"), F.lit("</name><brand/></part>"))
+    made = drafts.drafts(table(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit("xml").alias("format"), content.alias("content")))
+    graphs = stored(made.select(F.col("doc_id").alias("schema_id"), "graph"), "xml-drafts")
+    tables = drafts.exploded(graphs)
+    get = lambda path: F.get_json_object("data", path)
+    element = tables["nodes"].where((get("$.kind") == "xmlElement") & (get("$.name.localName") == "name")).select("schema_id", F.lit("node").alias("kind"), "id", F.lit(0).alias("which"))
+    attribute = tables["members"].where(get("$.kind") == "xmlAttribute").select("schema_id", F.lit("member").alias("kind"), "id", F.lit(1).alias("which"))
+    target = F.struct(F.col("kind"), F.col("id"))
+    way = F.col("schema_id") % 4
+    local = F.when(way == 0, "title").when(way == 1, "weight").when(way == 2, "2nd").otherwise("xmlns")
+    uri = F.when(way == 3, "http://www.w3.org/2000/xmlns/")
+    name = F.struct(uri.alias("namespaceUri"), local.alias("localName"))
+    operation = F.to_json(F.array(F.struct(F.lit("renameXmlName").alias("kind"), target.alias("target"), name.alias("name"))), {"ignoreNullFields": "false"})
+    log = element.unionByName(attribute).where(F.col("which") == way % 2).select("schema_id", F.lit(1).cast("long").alias("seq"), F.lit("m").alias("mutation_id"), F.lit("s1").alias("base_revision"), operation.alias("operations"))
+    receipts, after = changes.replayed(graphs, log)
+    after = drafts.exploded(after.select("schema_id", "graph"))
+    named = after["nodes"].where(get("$.kind") == "xmlElement").select("schema_id", get("$.name.localName").alias("n")).unionByName(after["members"].where(get("$.kind") == "xmlAttribute").select("schema_id", F.concat(F.lit("@"), get("$.name.localName")).alias("n")))
+    names = named.groupBy("schema_id").agg(F.array_join(F.array_sort(F.collect_list("n")), ",").alias("names"))
+    return receipts.select("schema_id", "outcome").join(names, "schema_id")
+
+
 def _selections(spark, sf_dir: str) -> DataFrame:
     """A selection a part: an object with an attribute and two scalar elements, of which some don't hold."""
     k = F.col("p_partkey")
@@ -78,7 +128,7 @@ def e4_xsd(spark, sf_dir: str) -> DataFrame:
     return exports.xsd(_selections(spark, sf_dir))
 
 
-QUERIES = {"c4_receipts": c4_receipts, "c5_replays": c5_replays, "c6_revisions": c6_revisions, "n11_violations": n11_violations, "e4_xsd": e4_xsd}
+QUERIES = {"c2_xml_names": c2_xml_names, "c3_moves": c3_moves, "c4_receipts": c4_receipts, "c5_replays": c5_replays, "c6_revisions": c6_revisions, "n11_violations": n11_violations, "e4_xsd": e4_xsd}
 
 _XS = "http://www.w3.org/2001/XMLSchema"
 #: The log, entry by entry: the revision so far (v) and what was accepted under the id that repeats (a).
@@ -95,6 +145,15 @@ r as (
     from r join l on l.schema_id = r.schema_id and l.i = r.i + 1))
 """
 ORACLE = {
+    "c2_xml_names": """
+select p_partkey as schema_id, case when p_partkey % 4 < 2 then 'accepted' else 'rejected' end as outcome,
+  case p_partkey % 4 when 0 then '@size,brand,part,title' when 1 then '@weight,brand,name,part' else '@size,brand,name,part' end as names from part
+""",
+    "c3_moves": """
+select c_custkey as schema_id, case when c_custkey % 6 in (0, 1, 5) then 'accepted' else 'rejected' end as outcome, case when c_custkey % 6 in (0, 1, 5) then 's2' else 's1' end as revision,
+  case c_custkey % 6 when 0 then 'collection-1: collection-2:nation,key,name,segment,home' when 1 then 'collection-1:nation,key collection-2:name,segment,home'
+  when 5 then 'collection-1:nation collection-2:key,title,segment,home' else 'collection-1:nation collection-2:key,name,segment,home' end as members from customer
+""",
     "c5_replays": """
 with o as (select o_custkey as schema_id, o_orderkey as seq, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
 l as (select *, case when seq % 7 = 0 then 'again' else cast(seq as varchar) end as m, (case when seq % 5 = 0 then 1 else n end, seq % 4) as d from o),

@@ -112,6 +112,36 @@ def n1_types(spark, sf_dir: str) -> DataFrame:
     return text.groupBy("form", scalars.xml_type(F.col("text")).alias("type")).agg(F.count("*").alias("n"))
 
 
+def _text_forms(spark, sf_dir: str) -> DataFrame:
+    """Types and values of pages' texts: blanks of several kinds, words, numbers."""
+    blank = F.when(F.col("page_id") % 4 == 0, F.lit("")).when(F.col("page_id") % 4 == 1, F.lit(" \n\u00a0\u2003")).when(F.col("page_id") % 4 == 2, F.col("url"))
+    kind = F.when(F.col("page_id") % 3 == 0, "integer").otherwise("string")
+    return table(spark, sf_dir, "pages").select(kind.alias("data_type"), blank.alias("value"))
+
+
+def n2_blanks(spark, sf_dir: str) -> DataFrame:
+    kind, value = scalars.empty_to_null(F.col("data_type"), F.col("value"))
+    return _text_forms(spark, sf_dir).groupBy(kind.alias("data_type"), value.isNull().alias("nothing")).agg(F.count("*").alias("n"))
+
+
+def n4_attributes(spark, sf_dir: str) -> DataFrame:
+    """Attributes of customers, those of the schema-instance namespace dropped."""
+    nil = F.lit(sources.XSI + "nil")
+    rows = table(spark, sf_dir, "customer").select(F.map_from_arrays(F.array(F.lit("key"), nil, F.col("c_mktsegment")), F.array(F.col("c_custkey").cast("string"), F.lit("1"), F.lit("x"))).alias("attributes"))
+    return rows.select(F.explode(scalars.plain_attributes(F.col("attributes"))).alias("name", "value")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def n9_names(spark, sf_dir: str) -> DataFrame:
+    """Names of parts by namespace and local name."""
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("{urn:"), F.lower("p_type"), F.lit("}"))).otherwise(""), F.regexp_replace("p_name", " ", "-"))
+    return table(spark, sf_dir, "part").groupBy(scalars.namespace(name).alias("namespace"), scalars.local(name).alias("local")).agg(F.count("*").alias("n"))
+
+
+def n10_draft_types(spark, sf_dir: str) -> DataFrame:
+    """The types of n1_types as the scalar types of drafts."""
+    return n1_types(spark, sf_dir).select("form", "n", scalars.draft_type(F.col("type")).alias("scalar"))
+
+
 _DAY = "'2024-' || lpad(cast(k % 14 as varchar), 2, '0') || '-' || lpad(cast(k % 33 as varchar), 2, '0')"
 _N1 = f"""
 with t as (select o_orderkey as k, o_orderpriority as p from orders),
@@ -200,6 +230,10 @@ QUERIES = {
     "n8_budgets": n8_budgets,
     "s7_serialized": s7_serialized,
     "n1_types": n1_types,
+    "n2_blanks": n2_blanks,
+    "n4_attributes": n4_attributes,
+    "n9_names": n9_names,
+    "n10_draft_types": n10_draft_types,
     "a2_event_fields": fields(event_json),
 }
 
@@ -242,6 +276,13 @@ with t as ({_JSON_TYPES}), first as (select path, min(value) as value, arg_min(c
 select f.name, 'document-probability-space' as format, f.occurrences, first.value as first_type, first.n as first_count from ({_ORDER_FIELDS}) f join first using (path)
 """,
     "n1_types": _N1,
+    "n2_blanks": """
+with t as (select case when page_id % 3 = 0 then 'integer' else 'string' end as k, page_id % 4 as f, url from pages), b as (select *, k = 'string' and (f <> 2 or trim(url) = '') as blank from t)
+select case when blank then 'null' else k end as data_type, blank or f = 3 as nothing, count(*) as n from b group by all
+""",
+    "n4_attributes": "select name, count(*) as n from (select 'key' as name from customer union all select c_mktsegment from customer) group by 1",
+    "n9_names": "select case when p_partkey % 2 = 0 then 'urn:' || lower(p_type) else '' end as namespace, replace(p_name, ' ', '-') as \"local\", count(*) as n from part group by all",
+    "n10_draft_types": f"select form, n, case type when 'double' then 'number' when 'dateTime' then 'datetime' else type end as scalar from ({_N1})",
     "n8_budgets": """
 with n as (select count(*) as docs, sum(4 + (o_orderkey % 7 = 0)::int + case o_orderkey % 5 when 2 then 2 when 0 then 1 when 1 then 1 else 0 end)::bigint as nodes, 2 + bool_or(o_orderkey % 7 = 0 or o_orderkey % 5 = 2)::int as levels from orders)
 select 'kept' as outcome, null as exceeded, docs as n from n union all select 'rejected', 'documents', docs from n union all select 'rejected', 'nodes', nodes from n union all select 'rejected', 'levels', levels from n

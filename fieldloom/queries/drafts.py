@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import drafts, space
+from ..plans import artefacts, drafts, space
 from ..sources import documents as sources
-from ..plans.storage import stored
+from ..plans.storage import shared_folder, stored
 from .rendered import conversation_json, customer_yaml, order_xml, table
 
 
@@ -26,6 +28,23 @@ def d5_manifest(spark, sf_dir: str) -> DataFrame:
     return m.select(F.array_join("formats", ",").alias("formats"), "syntax", "documents", "errors", "alternatives", "suggested_count")
 
 
+def d5_analysis(spark, sf_dir: str) -> DataFrame:
+    """The whole manifest of the orders' analysis, read back: its head, and its root alternatives by their counts."""
+    path = f"{shared_folder(spark)}/analysis-{uuid.uuid4().hex}/orders.manifest.json"
+    docs = order_xml(spark, sf_dir)
+    made = stored(drafts.drafts(docs), "drafted")
+    found = stored(drafts.alternatives(made), "alternatives")
+    artefacts.write_manifest(path, "orders", {"resource": "analysis", "id": "a1", "revision": "1"}, found, made, space.build(sources.summaries(docs)))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    head = lines.where("value like '{\"contractVersion\"%'").select(F.concat(F.regexp_replace("value", ",$", ""), F.lit("}")).alias("j"))
+    get = lambda p: F.get_json_object("j", p)
+    rows = lines.where("value like '{\"id\":%'").select(F.regexp_replace("value", ",$", "").alias("j")).select(get("$.id").alias("id"), get("$.count").cast("long").alias("count"))
+    top = head.select(get("$.suggestedDraft.suggestedRootAlternativeId").alias("id"), F.lit(True).alias("suggested"))
+    said = head.select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), get(p).alias("value")) for n, p in (("formats", "$.inputFormats"), ("dialect", "$.profile.dialect"), ("documents", "$.statistics.documents"), ("fields", "$.statistics.fields"))])).alias("s")).select("s.*", F.lit(1).cast("long").alias("n"))
+    counted = rows.join(top, "id", "left").groupBy(F.when(F.col("suggested"), "suggested").otherwise("alternative").alias("what"), F.col("count").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return said.unionByName(counted)
+
+
 def d6_members(spark, sf_dir: str) -> DataFrame:
     t = _schemas(spark, sf_dir)
     kind = lambda c: F.get_json_object("data", f"$.{c}")
@@ -34,6 +53,14 @@ def d6_members(spark, sf_dir: str) -> DataFrame:
     return nodes.unionByName(members)
 
 
+def d6_rows(spark, sf_dir: str) -> DataFrame:
+    """The nodes and members of the nested customers, with all that they say."""
+    tables = drafts.exploded(_nested(spark, sf_dir).select(F.col("doc_id").alias("schema_id"), "graph"))
+    none = F.lit(None)
+    nodes = tables["nodes"].select("schema_id", "id", none.cast("string").alias("collection_id"), none.cast("long").alias("position"), "data")
+    return nodes.unionByName(tables["members"].select("schema_id", "id", "collection_id", "position", "data"))
+
+
 def d6_rebuilt(spark, sf_dir: str) -> DataFrame:
     back = drafts.rebuilt(_schemas(spark, sf_dir))
     return back.select("schema_id", F.size("items").cast("long").alias("n")).groupBy("schema_id").agg(F.count("*").alias("collections"), F.sum("n").alias("members"))
@@ -128,8 +155,10 @@ QUERIES = {
     "j7_pairs": j7_pairs,
     "d4_alternatives": d4_alternatives,
     "d5_manifest": d5_manifest,
+    "d5_analysis": d5_analysis,
     "d6_members": d6_members,
     "d6_rebuilt": d6_rebuilt,
+    "d6_rows": d6_rows,
     "j7_contained": j7_contained,
     "j8_member_counts": j8_member_counts,
     "j9_repeated_names": j9_repeated_names,
@@ -146,6 +175,12 @@ ORACLE = {
     "d5_manifest": """
 with s as (select o_orderkey % 2 as a, case when o_orderkey % 5 < 3 then o_orderkey % 5 else 9 end as n, o_orderkey % 7 = 0 as p, o_orderstatus is null as z, count(*) as c from orders group by all)
 select 'xml' as formats, 'xml' as syntax, (select count(*) from orders) as documents, cast(0 as bigint) as errors, count(*) as alternatives, max(c) as suggested_count from s
+""",
+    "d5_analysis": """
+with s as (select o_orderkey % 2 as a, case when o_orderkey % 5 < 3 then o_orderkey % 5 else 9 end as n, o_orderkey % 7 = 0 as p, o_orderstatus is null as z, count(*) as c from orders group by all)
+select 'formats' as what, '["xml"]' as value, 1 as n union all select 'dialect', 'xsd-1.0', 1 union all select 'documents', count(*)::varchar, 1 from orders union all select 'fields', '6', 1
+union all select 'suggested', max(c)::varchar, 1 from s
+union all select 'alternative', c::varchar, count(*) - (c = (select max(c) from s))::int from s group by c having count(*) > (c = (select max(c) from s))::int
 """,
     "d6_members": f"""{_KINDS}, n as (
   select conv_id, 'object' as kind, 1 + u::int + o::int as n from c union all select conv_id, 'array', 1 from c union all select conv_id, 'union', 1 from c where u and o
@@ -173,6 +208,13 @@ select c_custkey as schema_id, cast(m as bigint) as members, cast(case when m =
     "j7_pairs": """
 with n as (select c_custkey as schema_id, unnest(range(1, c_custkey % 7 + 5)) as a from customer)
 select schema_id, 'node-' || a as ancestor, 'node-' || unnest(case when a < 4 then [a] else range(1, a + 1) end) as node from n
+""",
+    "d6_rows": """
+with k as (select c_custkey as schema_id, c_custkey % 7 as depth from customer)
+select schema_id, 'node-' || i as id, null as collection_id, null::bigint as position, '{"constraints":{},"id":"node-' || i || '","kind":"scalar","scalarType":"' || t || '"}' as data from k, (values (1, 'integer'), (2, 'string'), (3, 'integer')) v(i, t)
+union all select schema_id, 'node-4', null, null, '{"additionalProperties":false,"id":"node-4","kind":"object","properties":{"id":"collection-1","totalItems":3}}' from k
+union all select schema_id, 'node-' || (4 + i), null, null, '{"id":"node-' || (4 + i) || '","itemsNodeId":"node-' || (3 + i) || '","kind":"array","maxItems":null,"minItems":0}' from (select schema_id, unnest(range(1, depth + 1)) as i from k)
+union all select schema_id, 'member-' || i, 'collection-1', i - 1, '{"id":"member-' || i || '","kind":"property","name":"' || n || '","required":true,"valueNodeId":"node-' || i || '"}' from k, (values (1, 'key'), (2, 'name'), (3, 'nation')) v(i, n)
 """,
     "d2_graph": """
 with k as (select c_custkey as schema_id, c_custkey % 7 as depth from customer),

@@ -106,6 +106,14 @@ def j3_violations(spark, sf_dir: str) -> DataFrame:
     return both.agg(F.sum("violations").alias("violations"), F.sum("documents").alias("documents"))
 
 
+def j3_broken(spark, sf_dir: str) -> DataFrame:
+    """A space with a wrong name, a share over one and a count too many in each field: what the checks say of it."""
+    s = space.build(sources.summaries(order_xml(spark, sf_dir)))
+    wrong = s.fields.withColumns({"name": F.concat("name", F.lit("?")), "presence_probability": F.lit(1.5), "occurrences": F.col("occurrences") + 1})
+    found = checks.field_violations(wrong, s.distributions).unionByName(checks.space_violations(s.fields.where(F.size("path") > 1), s.variants, 1))
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
 def j1_annotations(spark, sf_dir: str) -> DataFrame:
     """Expected roles of orders (id, price, note text) met with the fields found; below notes they were normalised."""
     docs = order_xml(spark, sf_dir)
@@ -142,6 +150,30 @@ def e1_shares(spark, sf_dir: str) -> DataFrame:
     return each
 
 
+def e2_spellings(spark, sf_dir: str) -> DataFrame:
+    maps = exports.spelling_maps(_party_space(spark, sf_dir).distributions).select(F.array_join("path", "/").alias("path"), "typos", "alternative_names")
+    each = lambda c: maps.select("path", F.lit(c).alias("map"), F.explode(c).alias("value", "share"))
+    return each("typos").unionByName(each("alternative_names"))
+
+
+def m8_veto(spark, sf_dir: str) -> DataFrame:
+    """A spelling one edit from two words that have nothing to do with each other stays a field of its own."""
+    name = F.when(F.col("o_orderkey") % 3 == 0, "mallet").when(F.col("o_orderkey") % 3 == 1, "ballet").otherwise("wallet")
+    content = F.to_json(F.map_from_arrays(F.array(name), F.array(F.col("o_custkey"))))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("json").alias("format"), content.alias("content"))
+    known = names.Lexicon(dict.fromkeys(("mallet", "ballet"), names.TERM_FLOOR), {}, {}, {}, frozenset())
+    d = space.build(sources.summaries(docs), known).distributions.where("dimension = 'name' and size(path) = 2")
+    return d.select(F.array_join("path", "/").alias("path"), "value", "relation", "count")
+
+
+def m10_overflow(spark, sf_dir: str) -> DataFrame:
+    """Contexts of more names than may be compared: all names stay, and the space says so."""
+    s = space.build(sources.summaries(party_xml(spark, sf_dir)), domain_lexicon(), max_names=3)
+    d = s.distributions.where("dimension = 'name' and size(path) = 3").select(F.array_join("path", "/").alias("item"), F.col("relation"), "count")
+    warned = s.summary.select(F.explode("warnings").alias("item"), F.lit("warning").alias("relation"), F.lit(1).cast("long").alias("count"))
+    return d.unionByName(warned)
+
+
 def e3_expressions(spark, sf_dir: str) -> DataFrame:
     s = space.build(sources.summaries(order_xml(spark, sf_dir)))
     return exports.alternatives(s).select("field", "variants", "type", F.round("probability", 9).alias("probability"))
@@ -158,7 +190,11 @@ QUERIES = {
     "j1_annotations": j1_annotations,
     "j2_forbidden": j2_forbidden,
     "j3_violations": j3_violations,
+    "j3_broken": j3_broken,
     "e1_shares": e1_shares,
+    "e2_spellings": e2_spellings,
+    "m8_veto": m8_veto,
+    "m10_overflow": m10_overflow,
     "e3_expressions": e3_expressions,
 }
 
@@ -219,7 +255,16 @@ select word, round(max(freq), 2) as freq from e where word <> '' group by 1
 select 'met' as outcome, r as role, count(*) as n from orders, unnest(['identity', 'price']) u(r) group by 2
 union all select 'normalised', 'stress', count(*) from orders where o_orderkey % 5 = 2
 """,
-    "j2_forbidden": "select * from (values ('order/pay', 'tariff', 'tarfif'), ('order/who', 'client', 'buyer')) v(parent, \"left\", \"right\")",
+    "j2_forbidden": _PARTY
+    + """
+select x.up[:-2] as parent, l as "left", r as "right" from (values ('tariff', 'tarfif'), ('tariff', 'charge'), ('client', 'buyer')) v(l, r)
+join c x on x.value = l join c y on y.value = r and y.up = x.up and y.canonical = x.canonical
+""",
+    "j3_broken": """
+with f as (select 5 + bool_or(o_orderkey % 7 = 0)::int as n, 4 as dimensions from orders)
+select "check", n * k as n from f, (values ('path_ends_elsewhere', 1), ('presence_not_a_share', 1), ('distribution_sum', 4), ('distribution_total', 4)) v("check", k)
+union all select 'no_parent', n - 1 - (n = 6)::int from f union all select 'roots_cover_documents', 1
+""",
     "j3_violations": "select cast(0 as bigint) as violations, count(*) as documents from orders",
     "e1_shares": """
 with n as (select count(*) as n from orders), t as (
@@ -227,6 +272,18 @@ with n as (select count(*) as n from orders), t as (
   union all select 'order/price/amount', 'decimal', 1.0 from n
   union all select 'order/note', case when o_orderkey % 5 < 2 then 'empty' else 'string' end, count(*) / (select count(*) from orders where o_orderkey % 5 < 3) from orders where o_orderkey % 5 < 3 group by 2)
 select path, type, cast(share as double) as share from t
+""",
+    "e2_spellings": _PARTY
+    + """
+select up || canonical as path, case when value = 'tarfif' then 'typos' else 'alternative_names' end as map, value, n / sum(n) over (partition by up, canonical) as share from c qualify value <> canonical
+""",
+    "m8_veto": """
+select '$document/' || n as path, n as value, 'original' as relation, count(*) as count from (select case o_orderkey % 3 when 0 then 'mallet' when 1 then 'ballet' else 'wallet' end as n from orders) group by n
+""",
+    "m10_overflow": _PARTY
+    + """
+select up || canonical as item, case when value = canonical then 'original' else 'alias' end as relation, n as count from c where up = 'order/who/'
+union all select up || value, 'original', n from m where up = 'order/pay/' union all select 'name_comparison_limit_reached:order/pay', 'warning', 1
 """,
     "e3_expressions": "select 'order' as field, count(distinct (o_orderkey % 5 < 3, o_orderkey % 7 = 0)) as variants, 'OR' as type, 1.0::double as probability from orders",
 }
