@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents; the last returns the packed pieces.
+
+In every stage a null text is an empty one (and stays null), a null doc_id is as good as any and comes last, very long texts
+are worked on whole, an empty table gives no rows, and columns of other names pass untouched. Rows that repeat doc_id and
+text share their fate in toxicity, line dedup and decontamination; near dedup keeps one of them, packing packs each. Of
+documents that resemble each other the first by doc_id, then by the hash of its text, stays.
 """
 
 from __future__ import annotations

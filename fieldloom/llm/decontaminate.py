@@ -11,7 +11,8 @@ its words are a necessary prefix; the ``PREFIX`` rarest are taken. The steps are
 4. compare the remaining candidates with the document word by word, and merge their intervals.
 
 Nulls: a null text has no words; a null item text gives no window; a window of an item with null id marks words but
-counts for no item. Repeated rows each get the (same) result; an empty table gives no rows or no hits.
+counts for no item. Repeated rows each get the (same) result; an empty table gives no rows or no hits. Very long texts are searched whole.
+Words that are equally rare are ordered bytewise. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

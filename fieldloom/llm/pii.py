@@ -12,7 +12,8 @@ counts if pieces saw both its ends. All spans of a text meet in one weighted int
 disjoint spans with the most votes. Base spans stay; a decoded span that overlaps one is dropped.
 
 Nulls: a null text is empty and has no spans; a null doc_id stays null; repeated rows get equal results. With no
-training window only base spans are returned.
+training window only base spans are returned; an empty table gives no rows. Very long texts go through the network window
+by window. Spans that begin together are ordered as the kinds are listed. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ is averaged over the text. Logistic regression is trained by numpy on at most ``
 each class, and a logistic fit on a fifth of them, which training doesn't see, calibrates it.
 
 Nulls: a null or empty text has no words and fails; a null doc_id stays null; repeated rows get equal results. With
-labels of one class only, or none, the classifier passes everything.
+labels of one class only, or none, the classifier passes everything. An empty table gives no rows. Very long texts are
+scored whole. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Parts join by buckets of BUCKET code points. Parts of one kind don't overlap and
 holds a bounded number of parts and the join stays in proportion to the parts, whatever a document holds.
 
 Offsets are code points, end exclusive. Nulls: a null text is empty and has no spans; a null doc_id stays null;
-repeated rows get equal results; a table without any part gives its rows with no spans.
+repeated rows get equal results; a table without any part gives its rows with no spans, an empty one no rows.
+Very long texts are searched whole. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

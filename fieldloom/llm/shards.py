@@ -12,7 +12,7 @@ a key that is not in the shard is told by the fingerprint and the stored key.
 
 Nulls: a null text is empty (only the end id); a null doc_id is stored as such, after all others. Rows that repeat a
 doc_id are kept, in order of their text hash, under (doc_id, occurrence). Invalid UTF-8 is read with U+FFFD. An empty
-table gives no shards and no rows.
+table gives no shards and no rows. A very long text fills a shard alone. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

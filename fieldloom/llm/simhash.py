@@ -19,7 +19,8 @@ proportion to the input. From each range only links that span its local componen
 rounds join them.
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other and is never a component_id. Equal and
-repeated rows share a component. An empty table gives no rows.
+repeated rows share a component. An empty table gives no rows. Very long texts are hashed whole, text by text. Columns
+of any name pass untouched.
 """
 
 from __future__ import annotations
@@ -167,6 +168,9 @@ def _search(max_bits: int):
         turned, fp = rows["turned"].to_numpy().view(np.uint64), rows["fp"].to_numpy().view(np.uint64)
         codes = (turned >> width) | (turned << left)  # the block on top, then the bits by which hot values are parted
         own, guests = np.flatnonzero(~visits), np.flatnonzero(visits)
+        # one visit of each: all parts are looked at together, so those who are at home here meet them anyway
+        guests = guests[np.unique(fp[guests], return_index=True)[1]]
+        guests = guests[~np.isin(fp[guests], fp[own])]
         tree = GrayTree(codes[own])
         a, b, _ = near_pairs(tree, tree, max_bits, top)
         c, d, _ = near_pairs(GrayTree(codes[guests]), tree, max_bits, top)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, saved, small, temporaries, text_rows, without_rows
+from .common import discard, give_back, saved, small, temporaries, text_rows, with_row_key, without_rows
 from .simhash import components, links, sum_of_bits
 
 SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
@@ -348,9 +348,15 @@ def without_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 
 def _one_each(docs: DataFrame) -> DataFrame:
-    """docs with one of the rows that repeat both doc_id and text; which one, if their other columns differ, is open."""
+    """docs with one of the rows that repeat both doc_id and text: the first in the order of their other columns' hash."""
     keys = text_rows(docs).drop("body")
-    if saved(keys.groupBy("row_id", "row_hash").count().where("count > 1"), "repeated-rows").isEmpty():
+    twice = saved(keys.groupBy("row_id", "row_hash").count().where("count > 1"), "repeated-rows")
+    if twice.isEmpty():
         return docs
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("__row_hash", text).dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
+    hashed = with_row_key(docs)
+    again = small(twice.select(F.col("row_id").alias("__row_id"), F.col("row_hash").alias("__row_hash")), 24)
+    keys = ["__row_id", "__row_hash"]
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # these have a hash
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*plain)))
+    one = hashed.join(again, keys, "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
+    return hashed.join(again, keys, "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,7 +15,8 @@ Labels are learnt only from rows outside the held-out fold (crc32 of the id, mod
 
 Nulls: a null text is empty; an empty text (or one without any term) has no neighbour and gets the calibrated prior;
 a null doc_id is not held out. Repeated rows get equal scores. Labels of one class only, or none, tell nothing: then
-every score is (nearly) 0.
+every score is (nearly) 0. An empty table gives no rows. Very long texts are scored whole (as examples only texts of up to
+max_chars serve). Of equally near examples the one with the smaller number counts. Columns of any name pass untouched.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ are computed anew and compared; a broken chain or payload is an error.
 
 Nulls: a null html is an empty payload; a null page_id is smaller than any other and stays null (null referred ids
 too); a null url gives no target. Rows that repeat page_id and payload are the same page, so all of them are responses
-if one is. An empty table gives no archives and no rows.
+if one is. An empty table gives no archives and no rows. Very long payloads are read block by block. Columns of any name
+pass untouched.
 """
 
 from __future__ import annotations
