@@ -36,6 +36,23 @@ def test_query(spark, con, sf_dir, name):
     assert plain(rows) == plain(tuple(r[i] for i in order) for r in cur.fetchall())
 
 
+def test_pages_that_are_no_documents(spark, con, sf_dir):
+    """s5_bad_documents against another parser."""
+    from xml.dom import minidom
+    from xml.parsers.expat import ExpatError
+
+    def reads(text):
+        try:
+            return bool(minidom.parseString((text or "").encode()))
+        except ExpatError:
+            return False
+
+    pages = [reads(h) for (h,) in con.execute("select html from pages").fetchall()]
+    orders = con.execute("select count(*) from orders").fetchone()[0]
+    want = {("read", True): sum(pages), ("error", True): len(pages) - sum(pages), ("read", False): orders}
+    assert {(r.outcome, r.page): r.documents for r in QUERIES["s5_bad_documents"](spark, sf_dir).collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_streams_add_up(spark, sf_dir):
     """Two batches of a stream give what one batch gives."""
     from fieldloom.sources import documents
