@@ -39,9 +39,10 @@ SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
 #: are frequent, at most FREQUENT of them are told apart; pairs are listed once they are PAIRS_A_ROW for each row (or
 #: LEAST_PAIRS), or after LEADER_ROUNDS; a row meets at most MEETINGS others in one task.
 SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS, MEETINGS = 16, 1 << 19, 4, 100_000, 8, 256
-#: Leader rounds end when one leaves over LEAST_GAIN of the pairs; then shingles of over CELL_PAIRS pairs (and PAIRS_A_ROW
-#: for each row) are divided, DIVISIONS times at most, in an order that CELL_SAMPLE of their rows tell.
-LEAST_GAIN, CELL_PAIRS, DIVISIONS, CELL_SAMPLE = 0.7, 2_000, 6, 256
+#: Leader rounds end when one leaves over LEAST_GAIN of the pairs. Over LISTED_A_ROW pairs for each row are not listed then:
+#: shingles of over CELL_PAIRS pairs (and PAIRS_A_ROW for each row) are divided, in an order that CELL_SAMPLE of their rows
+#: tell, DIVISIONS times at most and as long as that leaves half of their pairs or fewer.
+LEAST_GAIN, LISTED_A_ROW, CELL_PAIRS, DIVISIONS, CELL_SAMPLE = 0.95, 32, 2_000, 6, 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ROW, OTHER = ["row_id", "row_hash"], ["other_id", "other_hash"]
 
@@ -265,7 +266,7 @@ def divided(placed: DataFrame, hot: DataFrame, sets: DataFrame, similarity: floa
     All rows of a hot shingle have it in common, so it tells nothing there. Two of them that resemble still share one of
     their first shingles in any other order; here it is that of the hot shingle's own rows, those that few of them have
     first, as a sample of CELL_SAMPLE of these rows tells. A new shingle stands for the hot one and the one that divides it."""
-    rows = placed.join(small(hot, 16), "shingle").select("shingle", *ROW, "group", F.ceil(F.col("rows") / CELL_SAMPLE).alias("parts"))
+    rows = placed.join(small(hot, 24), "shingle").select("shingle", *ROW, "group", F.ceil(F.col("rows") / CELL_SAMPLE).alias("parts"))
     each = rows.join(sets, ROW).select("shingle", *ROW, "n", "group", "parts", F.explode("shingles").alias("inner"))
     drawn = F.pmod(F.xxhash64(*ROW, "shingle"), F.col("parts")) == 0
     times = saved(each.where(drawn).groupBy("shingle", "inner").agg(F.count("*").alias("times")).where("times > 1"), "inner-times")
@@ -301,18 +302,24 @@ def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, sh
         for old in (placed, met, groups, *([index] if round_no else [])):
             discard(old)
         index, groups = left, joined
+    few = few or held.pairs <= LISTED_A_ROW * held.rows
     crowded = F.col("pairs") > PAIRS_A_ROW * F.col("rows") + CELL_PAIRS
     pairs, sets = listed(placed, met if few else met.where(~crowded), similarity), None
     for _ in range(0 if few else DIVISIONS):
-        hot = saved(met.where(crowded).select("shingle", "rows"), "hot-shingles")
-        if hot.isEmpty():
+        hot = saved(met.where(crowded).select("shingle", "rows", "pairs"), "hot-shingles")
+        before = hot.agg(F.sum("pairs")).first()[0]
+        if not before:
             break
         if sets is None:
-            asked = saved(placed.join(small(hot, 16), "shingle", "left_semi").select(*ROW).distinct(), "hot-rows")
+            asked = saved(placed.join(small(hot, 24), "shingle", "left_semi").select(*ROW).distinct(), "hot-rows")
             sets = saved(shingle_sets(texts.join(small(asked, 24), ROW, "left_semi"), shingle), "hot-sets")
         with temporaries(spark) as kept:
-            placed, met = opened(divided(placed, hot, sets, similarity), groups)
-            kept += [placed, met]
+            parts, inner = opened(divided(placed, hot, sets, similarity), groups)
+            kept += [parts, inner]
+        if (inner.agg(F.sum("pairs")).first()[0] or 0) > before / 2:  # copies of one text, which nothing divides
+            pairs = pairs.unionByName(listed(placed, hot, similarity))
+            break
+        placed, met = parts, inner
         pairs = pairs.unionByName(listed(placed, met.where(~crowded), similarity))
     else:
         if not few:  # what can't be divided further

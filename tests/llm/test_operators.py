@@ -276,7 +276,7 @@ def test_similar_documents(spark):
 LIMITS_OF_PAIRS = {
     "listed": {},
     "leaders": {"PAIRS_A_ROW": 0, "LEAST_PAIRS": 0, "LEADER_ROUNDS": 3, "MEETINGS": 3, "LEAST_GAIN": 1, "CELL_PAIRS": 10**9},
-    "divided": {"PAIRS_A_ROW": 0, "LEAST_PAIRS": 0, "LEADER_ROUNDS": 0, "CELL_PAIRS": 0, "DIVISIONS": 2, "CELL_SAMPLE": 4},
+    "divided": {"PAIRS_A_ROW": 0, "LEAST_PAIRS": 0, "LEADER_ROUNDS": 0, "LISTED_A_ROW": 0, "CELL_PAIRS": 0, "DIVISIONS": 2, "CELL_SAMPLE": 4},
 }
 
 
@@ -329,7 +329,7 @@ def test_temporaries_go_but_for_what_is_read(spark):
 def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
     """Pages of 5 out of 50 paragraphs: unlike, but each shares a paragraph with a tenth of all. Pairs that are looked at
     grow with the pages, not with their square; two copies among them are found."""
-    for name, value in (("LEAST_PAIRS", 500), ("CELL_PAIRS", 20)):
+    for name, value in (("LEAST_PAIRS", 500), ("CELL_PAIRS", 20), ("LISTED_A_ROW", 0), ("LEAST_GAIN", 0.7)):
         monkeypatch.setattr(similar, name, value)
     looked, possible = [], similar.possible
 
