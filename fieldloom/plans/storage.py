@@ -1,4 +1,4 @@
-"""Intermediate tables in a folder that all executors share; lineage ends there."""
+"""Intermediate tables in a folder that all executors share; lineage ends there. Rows dealt to all cores."""
 
 from __future__ import annotations
 
@@ -24,3 +24,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt to tasks row by row, for work that takes long a row: a few megabytes of documents are one task of a scan, and
+    small partitions of a shuffle are joined to one. A number of tasks that is given is kept as it is."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
