@@ -92,7 +92,7 @@ def s8_artefacts(spark, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "artefacts")
     docs = party_xml(spark, sf_dir)
     s = space.build(sources.summaries(docs), domain_lexicon())
-    src = space.sources(sources.errors(sources.observations(docs))[0], s)
+    src = space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s)
     role = F.struct(F.array(F.lit(0), F.lit(0)).alias("position"), F.lit("payer").alias("role"))
     lost = F.struct(F.array(F.lit(7)).alias("position"), F.lit("nobody").alias("role"))
     expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(role, lost)).alias("r")).select("doc_id", "r.*", F.lit("").alias("attribute"))
@@ -152,7 +152,7 @@ def e3_one_variant(spark, sf_dir: str) -> DataFrame:
 
 def a11_provenance(spark, sf_dir: str) -> DataFrame:
     docs = conversation_json(spark, sf_dir)
-    observed = sources.errors(sources.observations(docs))[0]
+    observed = sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0]
     found = space.sources(observed, space.build(sources.summaries(docs)))
     return found.select(F.array_join("path", "/").alias("path"), "doc_id", F.array_join("position", ".").alias("position"), "name", "representation", "variant_id")
 

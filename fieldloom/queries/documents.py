@@ -49,7 +49,7 @@ def a10_roots(spark, sf_dir: str) -> DataFrame:
 
 def a11_sources(spark, sf_dir: str) -> DataFrame:
     docs = order_json(spark, sf_dir)
-    observed = sources.errors(sources.observations(docs))[0]
+    observed = sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0]
     return space.sources(observed, _space(docs)).select(_path(), "doc_id", F.array_join("position", ".").alias("position"), "name", "representation")
 
 
@@ -60,7 +60,7 @@ def a12_summary(spark, sf_dir: str) -> DataFrame:
 def s5_bad_documents(spark, sf_dir: str) -> DataFrame:
     """Raw web pages, read as XML, among orders: pages that aren't well-formed go to the errors."""
     pages = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.lit("xml").alias("format"), F.col("html").alias("content"))
-    both = sources.observations(order_xml(spark, sf_dir).unionByName(pages))
+    both = sources.observations(order_xml(spark, sf_dir).unionByName(pages), columns=("doc_id",))
     good, bad = sources.errors(both)
     counted = lambda df, what: df.select("doc_id", (F.col("doc_id") < 0).alias("page")).distinct().groupBy("page").count().select(F.lit(what).alias("outcome"), "page", F.col("count").alias("documents"))
     return counted(good, "read").unionByName(counted(bad, "error"))
