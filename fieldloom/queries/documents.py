@@ -68,15 +68,12 @@ def s5_bad_documents(spark, sf_dir: str) -> DataFrame:
 
 def n8_budgets(spark, sf_dir: str) -> DataFrame:
     """Orders under limits that they just meet, and under each limit less one: the collection is rejected as a whole."""
-    docs = order_xml(spark, sf_dir)
-    sums = sources.budgeted_summaries(docs, sources.Limits(None, None, None))
-    have = sums.agg(*[F.sum(F.when(F.col("what") == what, F.col("n"))).alias(what) for what in ("documents", "nodes")], F.max(F.when(F.col("what") == "levels", F.col("a").cast("int"))).alias("levels")).first().asDict()
+    have = sources.held(sources.budgeted_summaries(order_xml(spark, sf_dir), sources.Limits(None, None, None)))
     rows = []
     for less in (None, *have):
-        limits = sources.Limits(**{what: n - (what == less) for what, n in have.items()})
         try:
-            found = sources.budgeted_summaries(docs, limits)
-            rows.append(("kept", None, found.where("what = 'documents'").first()["n"]))
+            sources.Limits(**{what: n - (what == less) for what, n in have.items()}).hold(have)
+            rows.append(("kept", None, have["documents"]))
         except sources.OverBudget as e:
             rows += [("rejected", what, n) for what, n in e.exceeded.items()]
     return spark.createDataFrame(rows, "outcome string, exceeded string, n long")
