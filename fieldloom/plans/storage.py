@@ -26,8 +26,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work that takes long a row is dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df dealt to tasks row by row, for work that takes long a row: a few megabytes of documents are one task of a scan, and
     small partitions of a shuffle are joined to one. A number of tasks that is given is kept as it is."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks(df.sparkSession))

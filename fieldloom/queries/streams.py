@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans import space
@@ -39,17 +40,18 @@ def st2_dispatch(spark, sf_dir: str) -> DataFrame:
     changes = stream.select(F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("kind"), F.floor(F.col("c_custkey") / 5).alias("resource_id"), (F.col("c_nationkey") % 2 == 0).alias("deleted"))
     failing = {"now": True}
 
-    def sink(batch: DataFrame, name: str) -> None:
+    def sink(given: list[Row], name: str) -> None:
         if failing["now"] and name.endswith("2"):
             raise ConnectionError("the sink is away")
-        batch.withColumn("part", F.lit(int(name.rpartition("-")[2])).cast("long")).write.mode("errorifexists").parquet(f"{folder}/got/{name}")
+        lines = [json.dumps(r.asDict() | {"part": int(name.rpartition("-")[2])}) for r in given]
+        jobs.write_file(spark, f"{folder}/got/{name}.json", "\n".join(lines).encode())
 
     try:
-        jobs.dispatched(changes, sink, folder)
+        jobs.dispatched(changes, sink, folder, rows=True)
     except StreamingQueryException:
         failing["now"] = False
-        jobs.dispatched(changes, sink, folder)
-    got = spark.read.option("recursiveFileLookup", True).schema("kind string, resource_id long, deleted boolean, seq long, part long").parquet(f"{folder}/got")
+        jobs.dispatched(changes, sink, folder, rows=True)
+    got = spark.read.option("recursiveFileLookup", True).schema("kind string, resource_id long, deleted boolean, seq long, part long").json(f"{folder}/got")
     return got.groupBy("part").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
