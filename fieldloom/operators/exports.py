@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import selection_violations
 from ..plans.numbering import numbered
 from ..plans.space import Space, roots
+from ..plans.storage import tasks
 from ..sources.files import write_document
 
 #: Type names that the expression format has under another name.
@@ -147,15 +148,33 @@ def alternatives(space: Space) -> DataFrame:
 
 def xsd(selections: DataFrame) -> DataFrame:
     """schema_id, xsd text of the schemas that hold (see scalars.selection_violations). selections: schema_id, id (unique
-    over all schemas), parent_id, position, name, kind (object, scalar, attribute), type, min_occurs, max_occurs; one
-    group of rows a schema."""
+    over all schemas), parent_id, position, name, kind (object, scalar, attribute), type, min_occurs, max_occurs. A task
+    goes through the rows of its schemas in order and holds those of one."""
     wrong = selection_violations(selections).select("id").distinct()
     bad = selections.join(wrong, "id").select("schema_id").distinct()
-    return selections.join(bad, "schema_id", "left_anti").groupBy("schema_id").applyInPandas(_xsd, "schema_id long, xsd string")
-
-
-def _xsd(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = pdf.sort_values(["position", "id"]).to_dict("records")
+    columns = ["schema_id", "id", "parent_id", "name", "kind", "type", "min_occurs", "max_occurs"]
+
+    def write(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
+        for pdf in it:
+            made = []
+            for values in zip(*[pdf[c].tolist() for c in columns]):
+                r = dict(zip(columns, values))
+                if rows and rows[0]["schema_id"] != r["schema_id"]:
+                    made.append((int(rows[0]["schema_id"]), _xsd(rows)))
+                    rows = []
+                rows.append(r)
+            yield pd.DataFrame(made, columns=["schema_id", "xsd"])
+        if rows:
+            yield pd.DataFrame([(int(rows[0]["schema_id"]), _xsd(rows))], columns=["schema_id", "xsd"])
+
+    good = selections.join(bad, "schema_id", "left_anti").repartition(tasks(selections.sparkSession), "schema_id")
+    in_order = good.sortWithinPartitions("schema_id", F.asc_nulls_last("position"), F.asc_nulls_last("id"))
+    return in_order.select(*columns).mapInPandas(write, "schema_id long, xsd string")
+
+
+def _xsd(rows: list[dict]) -> str:
+    """The text of one schema, whose rows come in order."""
     below: dict[str | None, list[dict]] = {}
     for r in rows:
         below.setdefault(r["parent_id"] if isinstance(r["parent_id"], str) else None, []).append(r)
@@ -184,4 +203,4 @@ def _xsd(pdf: pd.DataFrame) -> pd.DataFrame:
     root = ElementTree.Element(tag("schema"), elementFormDefault="qualified", attributeFormDefault="unqualified")
     for r in below.get(None, []):
         write(root, r, {})
-    return pd.DataFrame({"schema_id": [int(pdf["schema_id"].iloc[0])], "xsd": [ElementTree.tostring(root, encoding="unicode")]})
+    return ElementTree.tostring(root, encoding="unicode")
