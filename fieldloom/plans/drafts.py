@@ -9,16 +9,19 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
-from ..sources.documents import MAX_DEPTH, XSI, BadDocument, _YAML_TAG, _YAML_TYPES, _no_constant, _one_of_each, _plain, nil_and_mixed, read_yaml, xml_type
+from .storage import dealt, stored
+from ..sources.documents import MAX_DEPTH, XSI, BadDocument, _YAML_TAG, _YAML_TYPES, _no_constant, _one_of_each, _plain, composed_yaml, nil_and_mixed, xml_type
 
 #: Fixed values of the graph format: node kind to the field of its member collection and the kind of its members ...
 COLLECTIONS = {"object": ("properties", "property"), "union": ("options", "option"), "xmlComplex": ("attributes", "xmlAttribute"), "xmlGroup": ("particles", "xmlParticle")}
@@ -28,6 +31,8 @@ LINKS = ("contentNodeId", "particleNodeId", "simpleContentNodeId", "itemsNodeId"
 DIALECTS = {"json": "json-schema-2020-12", "yaml": "json-schema-2020-12", "xml": "xsd-1.0"}
 TYPE_NAMES = {"double": "number", "dateTime": "datetime"}
 MAX_NODES = 1_000_000
+#: Characters of graphs that a worker holds, to give them again to documents that differ in values alone.
+HELD_CHARS = 1 << 23
 
 
 @dataclass
@@ -96,13 +101,24 @@ class _Budget:
             raise BadDocument("too large or too deep for a draft")
 
 
-def _shape(value) -> tuple:
-    """Equal for values of one shape: names without order, item shapes as a set, scalars by type."""
-    if isinstance(value, dict):
-        return ("object", frozenset((k, _shape(v)) for k, v in value.items()))
-    if isinstance(value, list):
-        return ("array", frozenset(map(_shape, value)))
-    return ("scalar", TYPE_NAMES.get(value.type, value.type))
+class _Shapes:
+    """A number for each value, equal for values of one shape: names without order, item shapes as a set, scalars by type.
+    Each value is looked at once, however deep it stands."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.known: dict[int, int] = {}
+
+    def of(self, value) -> int:
+        if id(value) not in self.known:
+            if isinstance(value, dict):
+                shape = ("object", frozenset((k, self.of(v)) for k, v in value.items()))
+            elif isinstance(value, list):
+                shape = ("array", frozenset(map(self.of, value)))
+            else:
+                shape = ("scalar", TYPE_NAMES.get(value.type, value.type))
+            self.known[id(value)] = self.numbers.setdefault(shape, len(self.numbers))
+        return self.known[id(value)]
 
 
 def _typed(value):
@@ -112,16 +128,17 @@ def _typed(value):
     return [_typed(v) for v in value] if isinstance(value, list) else _Scalar(_plain(value)[0])
 
 
-def _data_part(value, budget: _Budget, depth: int = 0) -> _Part:
+def _data_part(value, budget: _Budget, depth: int = 0, shapes: _Shapes | None = None) -> _Part:
     """An object, array or scalar of JSON or YAML. Items of one shape are one alternative."""
     budget.take(depth)
+    shapes = shapes or _Shapes()
     if isinstance(value, dict):
-        return _Part("object", {"additionalProperties": False}, {}, [({"name": k, "required": True}, _data_part(v, budget, depth + 1)) for k, v in value.items()])
+        return _Part("object", {"additionalProperties": False}, {}, [({"name": k, "required": True}, _data_part(v, budget, depth + 1, shapes)) for k, v in value.items()])
     if not isinstance(value, list):
         return _scalar(value.type)
-    ways = {_shape(v): v for v in reversed(value)}  # of each shape the first item
-    kept = [v for v in value if ways[_shape(v)] is v]
-    parts = [_data_part(v, budget, depth + 1) for v in kept]
+    ways = {shapes.of(v): v for v in reversed(value)}  # of each shape the first item
+    kept = [v for v in value if ways[shapes.of(v)] is v]
+    parts = [_data_part(v, budget, depth + 1, shapes) for v in kept]
     items = _scalar("null") if not parts else parts[0] if len(parts) == 1 else _Part("union", {"mode": "anyOf"}, {}, [({"title": f"Variant {i}"}, p) for i, p in enumerate(parts, 1)])
     return _Part("array", {"minItems": 0, "maxItems": None if parts else 0}, {"itemsNodeId": items})
 
@@ -145,14 +162,50 @@ def _element_part(e: ElementTree.Element, budget: _Budget, depth: int = 0) -> _P
     return _Part("xmlElement", {"name": _name(e.tag), "nillable": nil}, {"contentNodeId": content})
 
 
+#: Graphs by syntax and skeleton.
+_written: dict[tuple, str] = {}
+_held_chars = 0
+
+
+def _once(key: tuple, write: Callable[[], str]) -> str:
+    """What write gives, taken from the held graphs if one of this key is there."""
+    global _held_chars
+    if key in _written:
+        return _written[key]
+    text = write()
+    if _held_chars + len(text) > HELD_CHARS:
+        _written.clear()
+        _held_chars = 0
+    if len(text) <= HELD_CHARS // 16:
+        _written[key] = text
+        _held_chars += len(text)
+    return text
+
+
+def _data_key(value) -> tuple | str:
+    """All of a typed value."""
+    if isinstance(value, dict):
+        return ("object", *[(k, _data_key(v)) for k, v in value.items()])
+    return ("array", *[_data_key(v) for v in value]) if isinstance(value, list) else value.type
+
+
+def _element_key(e: ElementTree.Element, depth: int = 0) -> tuple:
+    """All of an element but its texts and values, of which only the types count."""
+    if depth > MAX_DEPTH:
+        raise BadDocument("too large or too deep for a draft")
+    named = sorted((k, xml_type(v)) for k, v in e.attrib.items() if not k.startswith(XSI))
+    return (e.tag, *nil_and_mixed(e), xml_type(e.text or ""), tuple(named), *[_element_key(c, depth + 1) for c in e])
+
+
 def draft_json(content: str) -> str:
-    return _numbered(_data_part(_typed(json.loads(content, object_pairs_hook=_one_of_each, parse_constant=_no_constant)), _Budget()), "json")
+    value = _typed(json.loads(content, object_pairs_hook=_one_of_each, parse_constant=_no_constant))
+    return _once(("json", _data_key(value)), lambda: _numbered(_data_part(value, _Budget()), "json"))
 
 
 def draft_yaml(content: str) -> str:
     import yaml
 
-    read_yaml(content, preserve_root=True)  # rejects what the reader rejects: aliases, tags, names, limits
+    _, root = composed_yaml(content, preserve_root=True)  # rejects what the reader rejects: aliases, tags, names, limits
 
     def typed(node):
         if isinstance(node, yaml.MappingNode):
@@ -162,11 +215,18 @@ def draft_yaml(content: str) -> str:
         kind = _YAML_TYPES[node.tag.removeprefix(_YAML_TAG)]
         return _Scalar("null" if kind == "string" and not node.value.strip() else kind)
 
-    return _numbered(_data_part(typed(yaml.compose(content, Loader=yaml.SafeLoader)), _Budget()), "yaml")
+    value = typed(root)
+    return _once(("yaml", _data_key(value)), lambda: _numbered(_data_part(value, _Budget()), "yaml"))
 
 
 def draft_xml(content: str) -> str:
-    return _numbered(_element_part(ElementTree.fromstring(content), _Budget()), "xml")
+    root = ElementTree.fromstring(content)
+    write = lambda: _numbered(_element_part(root, _Budget()), "xml")
+    try:
+        key = ("xml", _element_key(root))
+    except BadDocument:
+        return write()  # what is wrong is said in the order of the elements
+    return _once(key, write)
 
 
 WRITERS: dict[str, Callable[[str], str]] = {"json": draft_json, "yaml": draft_yaml, "xml": draft_xml}
@@ -186,7 +246,7 @@ def drafts(docs: DataFrame, writers: dict[str, Callable[[str], str]] | None = No
                     out.append((doc_id, kind, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["doc_id", "format", "graph", "error"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "format", "content").mapInPandas(write, "doc_id long, format string, graph string, error string")
+    rows = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "format", "content")).mapInPandas(write, "doc_id long, format string, graph string, error string")
     return rows.withColumn("digest", F.sha2("graph", 256))
 
 
@@ -213,7 +273,8 @@ def manifest(found: DataFrame, drafted: DataFrame) -> DataFrame:
 
 def exploded(graphs: DataFrame) -> dict[str, DataFrame]:
     """nodes (schema_id, id, data), collections (schema_id, id) and members (schema_id, collection_id, position, id,
-    data) of graphs (schema_id, graph)."""
+    data) of graphs (schema_id, graph), which are written first: each table is made out of them anew when it is read."""
+    graphs = stored(graphs.select("schema_id", "graph"), "graphs")
     nodes = graphs.select("schema_id", F.explode(F.from_json(F.get_json_object("graph", "$.nodes"), "map<string,string>")).alias("id", "data"))
     every = graphs.select("schema_id", F.explode(F.from_json(F.get_json_object("graph", "$.collections"), "map<string,string>")).alias("id", "items"))
     members = every.select("schema_id", F.col("id").alias("collection_id"), F.posexplode(F.from_json("items", "array<string>")).alias("position", "data"))
@@ -340,41 +401,52 @@ def member_counts(tables: dict[str, DataFrame], rounds: int = 7) -> DataFrame:
     """schema_id, id, members: direct members of each node and of the nodes behind it (content, particle, simple content
     or items, the first that there is), up to 2 ** rounds nodes or to one that was met before.
 
-    Pointer jumping: after k rounds a node knows the members of the 2 ** k nodes from it on and the node after them. Chains
-    that have no end then are cycles or longer than asked for; only these are followed node by node."""
-    get = lambda p: F.get_json_object("data", p)
-    behind = F.coalesce(*[get(f"$.{f}") for f in LINKS])
-    own = sum((F.coalesce(get(f"$.{f}.totalItems").cast("long"), F.lit(0)) for f, _ in COLLECTIONS.values()), F.lit(0))
-    nodes = stored(tables["nodes"].select("schema_id", "id", behind.alias("behind"), own.cast("long").alias("members")), "member-counts")
-    jumps = nodes
-    for _ in range(rounds):
-        if jumps.where("behind is not null").isEmpty():
-            return jumps.select("schema_id", "id", "members")
-        there = jumps.select("schema_id", F.col("id").alias("behind"), F.col("behind").alias("further"), F.col("members").alias("more"))
-        # a reference to a node that there isn't ends its chain
-        jumped = jumps.join(there, ["schema_id", "behind"], "left")
-        jumps = stored(jumped.select("schema_id", "id", F.col("further").alias("behind"), (F.col("members") + F.coalesce("more", F.lit(0))).alias("members")), "member-counts")
-    endless = jumps.where("behind is not null").select("schema_id", "id")
-    ended = jumps.where("behind is null").select("schema_id", "id", "members")
-    return ended if endless.isEmpty() else ended.unionByName(_followed(nodes, endless, 2**rounds))
-
-
-def _followed(nodes: DataFrame, starts: DataFrame, max_steps: int) -> DataFrame:
-    """member_counts of some nodes, node by node, up to max_steps or to one that was met before."""
-    step = nodes.select("schema_id", F.col("id").alias("behind"), F.col("behind").alias("further"), F.col("members").alias("more"))
-    left = nodes.join(starts, ["schema_id", "id"], "left_semi").withColumn("met", F.array("id"))
-    done = []
-    for _ in range(max_steps - 1):
-        goes_on = F.col("behind").isNotNull() & ~F.array_contains("met", F.col("behind"))
-        done.append(left.where(~F.coalesce(goes_on, F.lit(False))).select("schema_id", "id", "members"))
-        further = left.where(goes_on).join(step, ["schema_id", "behind"])
-        left = stored(further.select("schema_id", "id", F.col("further").alias("behind"), (F.col("members") + F.col("more")).alias("members"), F.concat("met", F.array("behind")).alias("met")), "member-counts")
-        if left.isEmpty():
-            break
-    out = left.select("schema_id", "id", "members")
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    A chain never leaves its graph, so the links of a graph meet in one row and each is followed once."""
+    own = [f for f, _ in COLLECTIONS.values()]
+    said = F.from_json("data", ", ".join([*(f"{f} string" for f in LINKS), *(f"{f} struct<totalItems: string>" for f in own)]))
+    counted = sum((F.coalesce(F.col(f"said.{f}.totalItems").cast("long"), F.lit(0)) for f in own), F.lit(0)).cast("long")
+    links = F.struct("id", F.coalesce(*[F.col(f"said.{f}") for f in LINKS]).alias("behind"), counted.alias("members"))
+    nodes = tables["nodes"].withColumn("said", said).groupBy("schema_id").agg(F.collect_list(links).alias("links"))
+
+    def follow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            graphs, lists = batch.column("schema_id"), batch.column("links")
+            ends, links = lists.offsets.to_pylist(), [lists.values.field(c) for c in ("id", "behind", "members")]
+            found: list[int] = []
+            for start, end in zip(ends, ends[1:]):
+                found += _followed(*[c.slice(start, end - start).to_pylist() for c in links], 2**rounds)
+            each = pa.array(np.repeat(np.arange(len(graphs)), np.diff(ends)))
+            columns = [graphs.take(each), links[0].slice(ends[0], ends[-1] - ends[0]), pa.array(found, pa.int64())]
+            yield pa.record_batch(columns, names=["schema_id", "id", "members"])
+
+    return nodes.mapInArrow(follow, f"schema_id {nodes.schema['schema_id'].dataType.simpleString()}, id string, members long")
+
+
+def _followed(ids: list[str], behind: list[str | None], members: list[int], most: int) -> list[int]:
+    """The members of each node and of those behind it, of most nodes and up to one that was met before."""
+    at = dict(zip(ids, range(len(ids))))
+    after = [at.get(b, -1) for b in behind]
+    length: list[float] = [0] * len(ids)  # of the chain from a node on; endless: it runs into a cycle; -1: being followed
+    total = [0] * len(ids)
+    for i in range(len(ids)):
+        way = []
+        while i >= 0 and not length[i]:
+            length[i] = -1
+            way.append(i)
+            i = after[i]
+        n, held = (0, 0) if i < 0 else (math.inf, 0) if length[i] < 0 else (length[i], total[i])
+        for k in reversed(way):
+            n, held = n + 1, held + members[k]
+            length[k], total[k] = n, held
+    for i in range(len(ids)):
+        if length[i] > most:
+            met: dict[int, int] = {}
+            k = i
+            while k >= 0 and k not in met and len(met) < most:
+                met[k] = members[k]
+                k = after[k]
+            total[i] = sum(met.values())
+    return total
 
 
 def created(requests: DataFrame, found: DataFrame, drafted: DataFrame) -> DataFrame:

@@ -1,11 +1,19 @@
 """Work that must be spread over tasks, or must not grow faster than its input."""
 
 import json
+import os
+import sys
+import uuid
 
+import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from fieldloom.operators import changes, exports
+from fieldloom.plans import drafts
 from fieldloom.sources import documents as sources
+from fieldloom.streaming import jobs
 
 
 def naming_reader():
@@ -59,3 +67,90 @@ def test_limits_of_a_summary_need_no_other_pass(spark):
             raise AssertionError(what)
         except sources.OverBudget as e:
             assert e.exceeded == {what: n}
+
+
+def test_drafts_are_made_by_many_tasks_and_once(spark, tmp_path):
+    """A graph is written once, however many of its tables are read."""
+    folder = str(tmp_path)
+
+    def write(content):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(TaskContext.get().partitionId()))
+        return drafts.draft_json(content)
+
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.lit("any").alias("format"), F.lit('{"a": [1]}').alias("content"))
+    tables = drafts.exploded(drafts.drafts(docs, {"any": write}).select(F.col("doc_id").alias("schema_id"), "graph"))
+    assert drafts.edges(tables).count() == 400 and tables["nodes"].count() == 600
+    at = [open(f"{folder}/{name}").read() for name in os.listdir(folder)]
+    assert len(at) == 200 and len(set(at)) >= 4
+
+
+def calls_of(work):
+    n = [0]
+    sys.setprofile(lambda frame, event, arg: n.__setitem__(0, n[0] + (event == "call" and frame.f_code.co_filename == drafts.__file__)))
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n[0]
+
+
+def test_deep_drafts_take_no_more_than_their_nodes():
+    deep = lambda n: "[" * n + '{"a": 1}' + "]" * n
+    assert calls_of(lambda: drafts.draft_json(deep(120))) < 2.5 * calls_of(lambda: drafts.draft_json(deep(60)))
+
+
+def test_drafts_of_one_skeleton():
+    """Values, but not types, names, their order, marks or texts of another type, may differ."""
+    yaml = ["a: [1, x]\nb: 2", "a: [3, y]\nb: 4", "a: [3, 4]\nb: 4", "b: 4\na: [3, y]"]
+    xml = ['<a k="1">x<b/></a>', '<a k="2">y<b/></a>', '<a k="z">y<b/></a>', '<a k="2"><b/></a>', '<a k="2">y<b>1</b></a>']
+    for make, texts in ((drafts.draft_yaml, yaml), (drafts.draft_xml, xml)):
+        drafts._written.clear()
+        made = [make(t) for t in texts]
+        assert made[0] == made[1] and len(set(made)) == len(made) - 1
+        for text, graph in zip(texts, made):
+            drafts._written.clear()
+            assert make(text) == graph
+
+
+def test_chains_need_no_round_of_jobs(spark):
+    text = drafts.draft_json("[" * 100 + '{"a": 1, "b": 2}' + "]" * 100)
+    tables = drafts.exploded(spark.createDataFrame([(k, text) for k in range(3)], "schema_id long, graph string"))
+    sc = spark.sparkContext
+    sc.setJobGroup("chains", "")
+    found = drafts.member_counts(tables)
+    sc.setJobGroup("others", "")
+    assert len(sc.statusTracker().getJobIdsForGroup("chains")) == 0
+    assert sorted((r.schema_id, r.members, r.n) for r in found.groupBy("schema_id", "members").agg(F.count("*").alias("n")).collect()) == sorted(x for k in range(3) for x in [(k, 0, 2), (k, 2, 101)])
+
+
+def test_a_log_is_replayed_once(spark):
+    graphs = spark.createDataFrame([(1, drafts.draft_json('{"a": 1}'))], "schema_id long, graph string")
+    log = spark.createDataFrame([(1, 1, "m", "s1", '[{"kind": "renameProperty", "memberId": "member-1", "name": "b"}]')], "schema_id long, seq long, mutation_id string, base_revision string, operations string")
+    receipts, after = changes.replayed(graphs, log)
+    assert not any("MapInPandas" in df._jdf.queryExecution().toString() for df in (receipts, after))
+    assert receipts.first().outcome == "accepted" and after.first().revision == "s2"
+
+
+def test_schemas_take_no_group_each(spark):
+    one = lambda k, n, up, name, kind, type_: (k, f"{k}/{n}", up and f"{k}/{up - 1}", n, name, kind, type_, 1, "1")
+    rows = [r for k in range(40) for r in (one(k, 2, 1, "z", "scalar", "null"), one(k, 0, None, f"e{k}", "object", None), one(k, 1, 1, "a", "scalar", "date"))]
+    found = exports.xsd(spark.createDataFrame(rows, "schema_id long, id string, parent_id string, position int, name string, kind string, type string, min_occurs long, max_occurs string"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = {r.schema_id: r.xsd for r in found.collect()}
+    assert len(got) == 40 and all(f'name="e{k}"' in x and x.index('name="a"') < x.index('name="z"') for k, x in got.items())
+
+
+def test_hand_overs_are_fetched_by_many(spark, tmp_path, monkeypatch):
+    """As rows and as tables the same."""
+    monkeypatch.setattr(jobs, "HELD_CHANGES", 100)
+    schema = "seq long, kind string, resource_id long, deleted boolean"
+    spark.createDataFrame([(i, "k", i, False) for i in range(995, -1, -1)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = {True: [], False: []}
+    for rows in (True, False):
+        sink = lambda given, name, rows=rows: got[rows].append((name, [r.seq for r in (given if rows else given.collect())]))
+        jobs.dispatched(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), sink, f"{tmp_path}/state-{rows}", limit=10, rows=rows)
+    assert got[True] == got[False] and [s for _, part in got[True] for s in part] == list(range(996)) and len(got[True]) == 100
+    jobs.write_file(spark, f"{tmp_path}/file", b"x")
+    with pytest.raises(Py4JJavaError):
+        jobs.write_file(spark, f"{tmp_path}/file", b"y")
