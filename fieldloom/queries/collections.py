@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, exports
 from ..plans import artefacts, space
-from ..plans.storage import shared_folder
+from ..plans.storage import shared_folder, stored
 from ..sources import documents as sources
 from ..sources import files
 from .documents import _ORDER_FIELDS, _JSON_TYPES
@@ -92,7 +92,7 @@ def s8_artefacts(spark, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "artefacts")
     docs = party_xml(spark, sf_dir)
     s = space.build(sources.summaries(docs), domain_lexicon())
-    src = space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s)
+    src = stored(space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s), "sources")
     role = F.struct(F.array(F.lit(0), F.lit(0)).alias("position"), F.lit("payer").alias("role"))
     lost = F.struct(F.array(F.lit(7)).alias("position"), F.lit("nobody").alias("role"))
     expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(role, lost)).alias("r")).select("doc_id", "r.*", F.lit("").alias("attribute"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, exports, names
 from ..plans import space
+from ..plans.storage import stored
 from ..sources import documents as sources
 from .rendered import order_xml, party_xml, table
 
@@ -96,7 +97,7 @@ def j3_violations(spark, sf_dir: str) -> DataFrame:
     """All checks over a merged space and its sources; a sound space has none."""
     docs = party_xml(spark, sf_dir)
     s = space.build(sources.summaries(docs), domain_lexicon())
-    src = space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s)
+    src = stored(space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s), "sources")
     found = checks.field_violations(s.fields, s.distributions).unionByName(checks.source_violations(src, s.distributions))
     found = found.unionByName(checks.space_violations(s.fields, s.variants, docs.count(), src))
     lost = checks.unreachable_variants(s.variants).select(F.lit("unreachable").alias("check"), F.array_join("path", "/").alias("key"), F.col("variant_id").alias("detail"))
@@ -118,7 +119,7 @@ def j1_annotations(spark, sf_dir: str) -> DataFrame:
     """Expected roles of orders (id, price, note text) met with the fields found; below notes they were normalised."""
     docs = order_xml(spark, sf_dir)
     s = space.build(sources.summaries(docs))
-    src = space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s)
+    src = stored(space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s), "sources")
     key = F.col("o_orderkey")
     even = key % 2 == 0
     at = lambda n: F.array(F.when(even, n).otherwise(n + 1))
@@ -138,7 +139,7 @@ def j2_forbidden(spark, sf_dir: str) -> DataFrame:
     """Roles of the payment elements: merged typos hold two roles, which a rule may forbid."""
     docs = party_xml(spark, sf_dir)
     s = space.build(sources.summaries(docs), domain_lexicon())
-    src = space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s)
+    src = stored(space.sources(sources.errors(sources.observations(docs, columns=sources.PROVENANCE))[0], s), "sources")
     matched = src.select("path", F.col("name").alias("role"))
     rules = spark.createDataFrame([("tariff", "tarfif"), ("tariff", "charge"), ("client", "buyer")], "left string, right string")
     return checks.forbidden_merges(matched, rules).select(F.array_join(F.slice("path", 1, 2), "/").alias("parent"), "left", "right")
