@@ -25,7 +25,12 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While saved() writes. An Arrow batch of texts is held by the JVM and the Python worker of each task, in several copies, so
+#: it is smaller than Spark's 64 MB; batches of narrow rows are bounded by their number of rows, as before.
+WHILE_SAVED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+}
 
 _local_folders: dict[str, str] = {}
 
@@ -96,12 +101,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     if (scope := _open_scope.get()) is not None:
         scope.append(path)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WHILE_SAVED}
+    for key, value in WHILE_SAVED.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Runs and pieces that a worker keeps from task to task (some 20 MB and 10 MB), and the bytes that are cut at once.
-KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, TEXTS_AT_ONCE, WORDS_AT_ONCE = 1 << 18, 50_000, 1 << 20, 512, 2000
+KEPT_RUNS, KEPT_PIECES, BYTES_AT_ONCE, TEXTS_AT_ONCE, WORDS_AT_ONCE = 1 << 18, 50_000, 1 << 18, 512, 2000
 #: Bytes of a plain text: ASCII, and those of the letters U+00C0 to U+017F ...
 PLAIN = bytes(range(128)) + b"\xc3\xc4\xc5" + bytes(range(0x80, 0xC0))
 #: ... less special tokens, the signs among these letters, and the capital whose lower case has a mark.

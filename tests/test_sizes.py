@@ -177,3 +177,18 @@ def test_hand_overs_are_fetched_by_many(spark, tmp_path, monkeypatch):
     jobs.write_file(spark, f"{tmp_path}/file", b"x")
     with pytest.raises(Py4JJavaError):
         jobs.write_file(spark, f"{tmp_path}/file", b"y")
+
+
+def test_texts_go_to_python_in_small_batches_while_a_table_is_saved(spark):
+    """32 MB of texts in one task; the session's settings stay as they were."""
+    from fieldloom.llm import common
+
+    def sizes(it):
+        for pdf in it:
+            yield pdf[["n"]].assign(n=len(pdf)).head(1)
+
+    wide = spark.range(0, 8000, 1, 1).select(F.lit(1).cast("long").alias("n"), F.repeat(F.lit("word "), 800).alias("text"))
+    before = {key: spark.conf.get(key, None) for key in common.WHILE_SAVED}
+    rows = [r.n for r in common.saved(wide.mapInPandas(sizes, "n long"), "sizes").collect()]
+    assert sum(rows) == 8000 and max(rows) <= 1000
+    assert {key: spark.conf.get(key, None) for key in common.WHILE_SAVED} == before
