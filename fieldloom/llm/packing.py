@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, saved, table
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, forget
 
 LENGTH, END_ID, GROUP_ROWS, ROUNDS = 4096, 1, 8192, 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,6 +49,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
                     out.append((doc_id if known else None, k, start, len(part), zlib.crc32(part.tobytes())))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
+        del tokens
+        forget()
         give_back()
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")

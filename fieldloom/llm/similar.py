@@ -10,8 +10,8 @@ first row (by id, then text hash) stands for it. The steps are
 3. what SimHash misses is found by prefix filtering, exactly. Each class is indexed under the first fifth of its
    shingles in one global order, seldom ones first. Of two texts that resemble, the shorter one's first ninth and the
    longer one's first fifth have a shingle in common. Only pairs across groups are compared, each where its rows first
-   meet. While the index holds too many such pairs to list, one row of each shingle (the same rows at all shingles)
-   meets the others there, which joins groups, and is then settled. Where that leaves many pairs, as between the pages
+   meet. While the index holds too many such pairs to list, LEADERS rows of each shingle (the same rows at all
+   shingles) meet the others there, which joins groups, and are then settled. Where that leaves many pairs, as between the pages
    of one template, a shingle's rows are divided by the shingles that are seldom among them, again and again, so that
    only texts that have several seldom shingles in common are listed.
 
@@ -39,6 +39,8 @@ SIMILARITY, SHINGLE, MAX_BITS, SEED = 0.8, 5, 3, 42
 #: are frequent, at most FREQUENT of them are told apart; pairs are listed once they are PAIRS_A_ROW for each row (or
 #: LEAST_PAIRS), or after LEADER_ROUNDS; a row meets at most MEETINGS others in one task.
 SAMPLE, FREQUENT, PAIRS_A_ROW, LEAST_PAIRS, LEADER_ROUNDS, MEETINGS = 16, 1 << 19, 4, 100_000, 8, 256
+#: The most rows of a shingle that meet all others there in one leader round.
+LEADERS = 4
 #: Leader rounds end when one leaves over LEAST_GAIN of the pairs. Over LISTED_A_ROW pairs for each row are not listed then:
 #: shingles of over CELL_PAIRS pairs (and PAIRS_A_ROW for each row) are divided, in an order that CELL_SAMPLE of their rows
 #: tell, DIVISIONS times at most and as long as that leaves half of their pairs or fewer.
@@ -233,19 +235,21 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def opened(index: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index with the group of each row; and its open shingles, where rows of different groups meet that have not met
-    at the shingle before: how many rows and pairs, and the row that leads there."""
+    at the shingle before: how many rows and pairs, and the rows that lead there (the first of each of LEADERS parts)."""
     with temporaries(index.sparkSession) as kept:
         placed = index.drop("group").withColumn("node", _row()).join(small(groups, 40), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("node", "root")
         placed = saved(placed, "placed-index")
         order = F.struct(F.xxhash64(*ROW).alias("o"), F.struct(*ROW, "n", "short").alias("row"), F.col("group"))
-        cells = saved(placed.groupBy("shingle", "group", "prev").agg(F.count("*").alias("c"), F.min(order).alias("first"), F.max("short").alias("any")), "open-cells")
+        leads = [f"lead{i}" for i in range(LEADERS)]
+        least = [F.min(F.when(F.pmod(F.xxhash64(*ROW), F.lit(LEADERS)) == i, order)).alias(c) for i, c in enumerate(leads)]
+        cells = saved(placed.groupBy("shingle", "group", "prev").agg(F.count("*").alias("c"), *least, F.max("short").alias("any")), "open-cells")
         square = lambda c: F.sum(F.col(c) * F.col(c))
-        members = cells.groupBy("shingle", "group").agg(F.sum("c").alias("c"), F.min("first").alias("first"), F.max("any").alias("any"))
-        met = members.groupBy("shingle").agg(F.sum("c").alias("rows"), square("c").alias("own"), F.min("first").alias("first"), F.max("any").alias("any"))
+        members = cells.groupBy("shingle", "group").agg(F.sum("c").alias("c"), *[F.min(c).alias(c) for c in leads], F.max("any").alias("any"))
+        met = members.groupBy("shingle").agg(F.sum("c").alias("rows"), square("c").alias("own"), *[F.min(c).alias(c) for c in leads], F.max("any").alias("any"))
         # pairs of one group or of one shingle before, without counting pairs of both twice
         before = cells.where("prev != shingle").groupBy("shingle", "prev").agg(F.sum("c").alias("c"), square("c").alias("both")).groupBy("shingle").agg((square("c") - F.sum("both")).alias("before"))
         found = met.join(before, "shingle", "left").withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("own") - F.coalesce("before", F.lit(0))) / 2)
-        met = saved(found.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.col("first.row").alias("lead"), F.col("first.group").alias("lead_group")), "open-shingles")
+        met = saved(found.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.array_compact(F.array(*leads)).alias("leads")), "open-shingles")
         kept += [placed, met]
     return placed, met
 
@@ -281,7 +285,7 @@ def divided(placed: DataFrame, hot: DataFrame, sets: DataFrame, similarity: floa
 def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, root: the groups, joined by all links that the index holds.
 
-    While there are too many pairs to list, one row of each shingle meets the others. That settles copies of one page;
+    While there are too many pairs to list, LEADERS rows of each shingle meet the others. That settles copies of one page;
     when it no longer helps, unlike texts with much in common are left (pages of one template), and shingles of too many
     pairs are divided. Then all pairs are listed."""
     spark = whole.sparkSession
@@ -295,8 +299,9 @@ def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, sh
         last = held.pairs
         with temporaries(spark) as kept:
             led = placed.join(met, "shingle").withColumn("here", F.struct(*ROW, "n", "short"))
-            left = saved(led.where("here != lead").select("shingle", "prev", *ROW, "n", "short"), "prefix-index")
-            found = led.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*_pair("here", "lead"))
+            left = saved(led.where("not array_contains(leads.row, here)").select("shingle", "prev", *ROW, "n", "short"), "prefix-index")
+            each = led.select("here", "group", F.explode("leads").alias("l")).select("here", "group", F.col("l.row").alias("lead"), F.col("l.group").alias("lead_group"))
+            found = each.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*_pair("here", "lead"))
             joined = _joined(groups, verified(possible(found, whole, similarity), texts, shingle, similarity))
             kept += [left, joined]
         for old in (placed, met, groups, *([index] if round_no else [])):
@@ -335,10 +340,11 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     reps = reps.select(F.col("first.id").alias("row_id"), F.col("first.hash").alias("row_hash"), "n1", "n2", "fp", "copies")
     repeated = reps.where("copies > 1").select("n1", "n2", F.col("row_id").alias("first_id"), F.col("row_hash").alias("first_hash"))
     equal = saved(rows.join(small(saved(repeated, "repeated-classes"), 48), ["n1", "n2"]).where("row_id != first_id or row_hash != first_hash").select(*ROW, "first_id", "first_hash").distinct(), "equal-rows")
-    texts = texts.join(small(equal.select(*ROW), 24), ROW, "left_anti")
+    # pairs are of first rows alone: comparing them needs no join that takes the equal rows out of all texts
     groups = _joined(None, verified(saved(by_fingerprint(reps, max_bits), "fingerprint-pairs"), texts, shingle, similarity))
     with temporaries(docs.sparkSession) as kept:
-        groups = linked_by_prefixes(prefix_index(texts, shingle, similarity), groups, texts, shingle, similarity)
+        firsts = texts.join(small(equal.select(*ROW), 24), ROW, "left_anti")
+        groups = linked_by_prefixes(prefix_index(firsts, shingle, similarity), groups, texts, shingle, similarity)
         kept.append(groups)
     groups = saved(groups.select(F.col("node.id").alias("first_id"), F.col("node.hash").alias("first_hash"), "root"), "similar-groups")
     far = groups.select(F.col("first_id").alias("row_id"), F.col("first_hash").alias("row_hash"), F.col("root.id").alias("first_id"), F.col("root.hash").alias("first_hash"))

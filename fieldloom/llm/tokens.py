@@ -283,6 +283,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker, which lives on beside the tasks of other stages."""
+    _encoders.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

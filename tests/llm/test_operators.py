@@ -353,6 +353,36 @@ def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
     assert looked[1] < 8 * looked[0] and looked[1] < 1600**2 / 80  # four times the pages
 
 
+def test_similar_rows_are_compared_without_passes_over_all_texts(spark, monkeypatch):
+    """Near copies in many rounds: no comparison takes the equal rows out of all texts again, and few rounds do."""
+    for name, value in (("LEAST_PAIRS", 0), ("PAIRS_A_ROW", 0), ("LEAST_GAIN", 1)):
+        monkeypatch.setattr(similar, name, value)
+    plans, rounds, verified, opened = [], [], similar.verified, similar.opened
+    monkeypatch.setattr(similar, "verified", lambda pairs, texts, *more: plans.append(texts._jdf.queryExecution().analyzed().toString()) or verified(pairs, texts, *more))
+    monkeypatch.setattr(similar, "opened", lambda *more: rounds.append(1) or opened(*more))
+    words = [f"t{i}" for i in range(60)]
+    rows = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(12)] + [(50, " ".join(words)), (51, " ".join(words)), (52, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in similar.without_similar(docs).collect())
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    alike = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert kept == sorted(set(groups(list(sets), alike).values()))
+    assert len(plans) > 1 and not any("LeftAnti" in p for p in plans)
+    assert len(rounds) <= 4
+
+
+def test_packing_leaves_no_encoder_in_a_worker(spark):
+    packing.packed(spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string"), tokens.default_path()).collect()
+
+    def held(it):
+        from fieldloom.llm.tokens import _encoders
+
+        for pdf in it:
+            yield pdf.assign(id=len(_encoders))
+
+    assert {r.id for r in spark.range(0, 64, 1, 16).mapInPandas(held, "id long").collect()} == {0}
+
+
 def test_pii_draws_even_tiny_shares(spark):
     docs = spark.range(1 << 23).selectExpr("id as doc_id", "'x' as text")
     few, some = pii.drawn(docs, 1e-6).count(), pii.drawn(docs, 1 / 64).count()
