@@ -33,13 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, discard, saved, small, table, text_rows
+from .common import BROADCAST_BYTES, NULL_ID, discard, saved, small, table, text_rows
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 GROUP_LIMIT = 2048
 FAN_OUT = 2
 #: Fingerprints that share a tree, and pairs of nodes that are looked at at once.
 RANGE_ROWS, PAIRS_AT_ONCE = 1 << 16, 1 << 18
+#: Of a node and its root, two longs each.
+EDGE_BYTES = 64
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -260,24 +262,28 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROU
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b): the smallest node that can be reached. Star rounds, each written."""
+    """node, root for every node of the edges (a, b): the smallest node that can be reached. Star rounds, each written, until
+    every node has one edge, to a node that has none to a smaller one."""
     edges = saved(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    size = None
-    while True:
+    rows = edges.count()
+    while rows:
+        few = (lambda df: F.broadcast(df)) if rows * 2 * EDGE_BYTES <= BROADCAST_BYTES else (lambda df: df)  # a row for each node
         # large star: larger neighbours are tied to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # small star: smaller neighbours and the node itself are tied to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined = large.join(few(low), "a")
         after = saved(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "star")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges)
         edges = after
-        if now == size:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        size = now
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        rows, open_ends = nodes.agg(F.sum("up"), F.count_if(F.expr("up > 1 or up = 1 and down = 1"))).first()
+        if not open_ends:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -9,9 +9,13 @@ first row (by id, then text hash) stands for it. The steps are
    (see simhash) and compared by their sets; what is linked makes the first groups, large groups of copies above all;
 3. what SimHash misses is found by prefix filtering, exactly. Each class is indexed under the first fifth of its
    shingles in one global order, seldom ones first. Of two texts that resemble, the shorter one's first ninth and the
-   longer one's first fifth have a shingle in common. Only pairs across groups are compared, each where its rows first
+   longer one's first fifth have a shingle in common. What stands before that shingle is not shared, so the place of a
+   shingle tells the longest text that may still resemble (its reach). Each shingle is kept apart for classes of lengths, and
+   a text stands only in those that it reaches: a copy with many changes has its own shingles first and meets no copy of
+   its length. Only pairs across groups are compared, each where its rows first
    meet. While the index holds too many such pairs to list, LEADERS rows of each shingle (the same rows at all
-   shingles) meet the others there, which joins groups, and are then settled. Where that leaves many pairs, as between the pages
+   shingles, those with the fewest shingles of their own first) meet the others there, which joins groups, and are then
+   settled. Where that leaves many pairs, as between the pages
    of one template, a shingle's rows are divided by the shingles that are seldom among them, again and again, so that
    only texts that have several seldom shingles in common are listed.
 
@@ -24,6 +28,7 @@ doc_id and text are one row, of which one stays. An empty table gives no rows. C
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +50,8 @@ LEADERS = 4
 #: shingles of over CELL_PAIRS pairs (and PAIRS_A_ROW for each row) are divided, in an order that CELL_SAMPLE of their rows
 #: tell, DIVISIONS times at most and as long as that leaves half of their pairs or fewer.
 LEAST_GAIN, LISTED_A_ROW, CELL_PAIRS, DIVISIONS, CELL_SAMPLE = 0.95, 32, 2_000, 6, 256
+#: The least of a class of lengths by the least of the next one; 1.0 divided by it is how much longer the next class is.
+LENGTHS = 0.9
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ROW, OTHER = ["row_id", "row_hash"], ["other_id", "other_hash"]
 
@@ -71,14 +78,20 @@ def prefix_sizes(n, similarity: float):
     return probe, index
 
 
-def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles in the order (times, shingle), and which of them stand for the text against longer ones."""
-    probe, index = prefix_sizes(np.array(len(shingles)), similarity)
+def reach(n, place, similarity: float):
+    """Of a text of n shingles and one of them, with place others before it that the other text lacks: how many shingles the
+    other text may have if it resembles. At the places of the first prefix it is n or more."""
+    return np.floor((n - place) * (1 + similarity) / similarity - n + 1e-6).astype(np.int32)
+
+
+def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles in the order (times, shingle), and how many of them aren't known."""
+    probe, _ = prefix_sizes(np.array(len(shingles)), similarity)
     often = np.zeros(len(shingles), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
         often = np.where(known[at] == shingles, times[at], 0)
-    return shingles[np.argsort(often, kind="stable")[: int(probe)]], np.arange(int(probe)) < index
+    return shingles[np.argsort(often, kind="stable")[: int(probe)]], min(int(probe), int((often == 0).sum()))
 
 
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +178,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return out
 
 
-def possible(pairs: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that share enough of their prefixes to resemble; saved. What two prefixes share stands in the index, and
-    beyond the prefix that ends first two texts share at most what is left of the one or of the other."""
-    with temporaries(index.sparkSession) as kept:
+def possible(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that share enough of their prefixes (saved: row, n, shingles that several rows have) to resemble; saved.
+    Beyond the prefix that ends first two texts share at most what is left of the one or of the other."""
+    with temporaries(prefixes.sparkSession) as kept:
         pairs = saved(pairs.select(*ROW, *OTHER).distinct(), "candidates")
-        held = index.join(small(_rows_of(pairs), 24), ROW, "left_semi").groupBy(*ROW).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"))
         rest = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1
         common = F.size(F.array_intersect("shingles", "others"))
         enough = common + F.greatest(rest("n"), rest("other_n")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - 1e-6
-        out = saved(_met(pairs, saved(held, "shared-prefixes")).where(enough).select(*ROW, *OTHER), "possible-pairs")
+        out = saved(_met(pairs, prefixes).where(enough).select(*ROW, *OTHER), "possible-pairs")
         kept.append(out)
     return out
 
@@ -198,9 +210,28 @@ def by_fingerprint(reps: DataFrame, max_bits: int) -> DataFrame:
     return equal.unionByName(near)
 
 
-def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """shingle, prev (the shingle before it in the text's prefix; itself, if it is the first), row_id, row_hash, n (shingles of
-    the text), short (stands for it against longer texts), at shingles of several rows; saved."""
+def _class(n: Column) -> Column:
+    """The class of lengths of texts of n shingles."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 / LENGTHS) + 1e-9).cast("int")
+
+
+def _classes(similarity: float) -> tuple[Column, Column]:
+    """The first and the last class of the texts, as long as itself or shorter, that a row (n, reach) may resemble at a shingle."""
+    return _class(F.ceil(F.lit(similarity) * F.col("n") - 1e-9)), _class(F.least("n", "reach"))
+
+
+def _home() -> Column:
+    """The row stands for itself: it is met by those that are as long or longer."""
+    return (F.col("reach") >= F.col("n")) & (F.col("length") == _class(F.col("n")))
+
+
+def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Two saved tables: an index, and row_id, row_hash, n, shingles (those of the row's prefix that several rows have).
+
+    The index has shingle (of one class of lengths), prev (the shingle before it in the text's prefix; itself, if it is the
+    first), row_id, row_hash, n (shingles of the text), reach, length (the class), home (it stands for itself against texts as
+    long or longer; others meet only those at home), lone (shingles of its prefix that the sample doesn't repeat), where
+    rows may meet."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, shingle))  # 8 MB at most
 
     def prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,21 +243,29 @@ def prefix_index(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
                 many = [len(p) for p, _ in found]
                 before = [np.concatenate([p[:1], p[:-1]]) for p, _ in found]
                 rows = {c: np.repeat(pdf[c].to_numpy(), many) for c in ROW}
-                yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), "prev": np.concatenate(before), **rows, "n": np.repeat([len(s) for s in sets], many), "short": np.concatenate([s for _, s in found])})
+                n = np.repeat([len(s) for s in sets], many)
+                far = reach(n, np.concatenate([np.arange(m) for m in many]), similarity)
+                yield pd.DataFrame({"shingle": np.concatenate([p for p, _ in found]), "prev": np.concatenate(before), **rows, "n": n, "reach": far, "lone": np.repeat([k for _, k in found], many)})
         give_back()
 
-    every = saved(texts.mapInPandas(prefixes, "shingle long, prev long, row_id long, row_hash long, n int, short boolean"), "prefixes")
+    every = saved(texts.mapInPandas(prefixes, "shingle long, prev long, row_id long, row_hash long, n int, reach int, lone int"), "prefixes")
     crowded = every.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle")
-    index = saved(every.join(small(saved(crowded, "crowded-shingles"), 12), "shingle", "left_semi"), "prefix-index")
+    shared = saved(every.join(small(saved(crowded, "crowded-shingles"), 12), "shingle", "left_semi"), "shared-shingles")
     discard(every)
-    return index
+    held = saved(shared.groupBy(*ROW).agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles")), "shared-prefixes")
+    placed = shared.withColumn("length", F.explode(F.sequence(*_classes(similarity)))).withColumn("home", _home())
+    placed = placed.withColumns({c: F.xxhash64(c, "length") for c in ("shingle", "prev")})
+    meet = placed.groupBy("shingle").agg(F.count("*").alias("rows"), F.max("home").alias("any")).where("rows > 1 and any").select("shingle")
+    index = saved(placed.join(small(saved(meet, "meeting-shingles"), 12), "shingle", "left_semi"), "prefix-index")
+    discard(shared)
+    return index, held
 
 
 def _could_be(first: str, second: str, similarity: float) -> Column:
-    """Of two rows at a shingle (structs with n, short): the shorter one stands there for itself, and is long enough."""
+    """Of two rows at a shingle (structs with n, reach): each is within the other's reach, and the shorter one is long enough."""
     a, b = F.col(f"{first}.n"), F.col(f"{second}.n")
-    stands = ((a <= b) & F.col(f"{first}.short")) | ((b <= a) & F.col(f"{second}.short"))
-    return stands & (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6)
+    reached = (b <= F.col(f"{first}.reach")) & (a <= F.col(f"{second}.reach"))
+    return reached & (F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-6)
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -239,27 +278,29 @@ def opened(index: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     with temporaries(index.sparkSession) as kept:
         placed = index.drop("group").withColumn("node", _row()).join(small(groups, 40), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("node", "root")
         placed = saved(placed, "placed-index")
-        order = F.struct(F.xxhash64(*ROW).alias("o"), F.struct(*ROW, "n", "short").alias("row"), F.col("group"))
+        order = F.struct("lone", F.xxhash64(*ROW).alias("o"), F.struct(*ROW, "n", "reach").alias("row"), F.col("group"))
         leads = [f"lead{i}" for i in range(LEADERS)]
-        least = [F.min(F.when(F.pmod(F.xxhash64(*ROW), F.lit(LEADERS)) == i, order)).alias(c) for i, c in enumerate(leads)]
-        cells = saved(placed.groupBy("shingle", "group", "prev").agg(F.count("*").alias("c"), *least, F.max("short").alias("any")), "open-cells")
-        square = lambda c: F.sum(F.col(c) * F.col(c))
-        members = cells.groupBy("shingle", "group").agg(F.sum("c").alias("c"), *[F.min(c).alias(c) for c in leads], F.max("any").alias("any"))
-        met = members.groupBy("shingle").agg(F.sum("c").alias("rows"), square("c").alias("own"), *[F.min(c).alias(c) for c in leads], F.max("any").alias("any"))
+        least = [F.min(F.when(F.col("home") & (F.pmod(F.xxhash64(*ROW), F.lit(LEADERS)) == i), order)).alias(c) for i, c in enumerate(leads)]
+        cells = saved(placed.groupBy("shingle", "group", "prev").agg(F.count("*").alias("c"), F.count_if("home").alias("h"), *least), "open-cells")
+        twice = F.col("h") * (2 * F.col("c") - F.col("h"))  # pairs of c rows and h at home (which meet all), each row with itself too
+        counts = [F.sum(c).alias(c) for c in "ch"]
+        members = cells.groupBy("shingle", "group").agg(*counts, *[F.min(c).alias(c) for c in leads])
+        met = members.groupBy("shingle").agg(*counts, F.sum(twice).alias("own"), *[F.min(c).alias(c) for c in leads])
         # pairs of one group or of one shingle before, without counting pairs of both twice
-        before = cells.where("prev != shingle").groupBy("shingle", "prev").agg(F.sum("c").alias("c"), square("c").alias("both")).groupBy("shingle").agg((square("c") - F.sum("both")).alias("before"))
-        found = met.join(before, "shingle", "left").withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("own") - F.coalesce("before", F.lit(0))) / 2)
-        met = saved(found.where("pairs > 0 and any").select("shingle", "rows", "pairs", F.array_compact(F.array(*leads)).alias("leads")), "open-shingles")
+        both = cells.where("prev != shingle").withColumn("both", twice)
+        before = both.groupBy("shingle", "prev").agg(*counts, F.sum("both").alias("both")).groupBy("shingle").agg((F.sum(twice) - F.sum("both")).alias("before"))
+        found = met.join(before, "shingle", "left").withColumn("pairs", (twice - F.col("own") - F.coalesce("before", F.lit(0))) / 2)
+        met = saved(found.where("pairs > 0").select("shingle", F.col("c").alias("rows"), "pairs", F.array_compact(F.array(*leads)).alias("leads")), "open-shingles")
         kept += [placed, met]
     return placed, met
 
 
 def listed(placed: DataFrame, at: DataFrame, similarity: float) -> DataFrame:
     """The pairs of rows of different groups at the shingles in at, each where its rows first meet."""
-    rows = placed.join(at.select("shingle"), "shingle", "left_semi").select("shingle", "prev", F.struct(*ROW, "n", "short").alias("x"), F.col("group").alias("x_group"))
-    both = rows.where("x.short").join(rows.withColumnsRenamed({"prev": "y_prev", "x": "y", "x_group": "y_group"}), "shingle")
-    # x is the shorter one; of equal lengths the pair may come twice, and is one after sorting
-    longer = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("x") != F.col("y")))
+    rows = placed.join(at.select("shingle"), "shingle", "left_semi").select("shingle", "prev", "home", F.struct(*ROW, "n", "reach").alias("x"), F.col("group").alias("x_group"))
+    both = rows.where("home").drop("home").join(rows.drop("home").withColumnsRenamed({"prev": "y_prev", "x": "y", "x_group": "y_group"}), "shingle")
+    # x is the shorter one, or of equal lengths the first; then both are at home
+    longer = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (_row(["x.row_id", "x.row_hash"]) < _row(["y.row_id", "y.row_hash"])))
     first = (F.col("prev") != F.col("y_prev")) | (F.col("prev") == F.col("shingle"))
     return both.where((F.col("x_group") != F.col("y_group")) & longer & first & _could_be("x", "y", similarity)).select(*_pair("y", "x"))
 
@@ -270,19 +311,22 @@ def divided(placed: DataFrame, hot: DataFrame, sets: DataFrame, similarity: floa
     All rows of a hot shingle have it in common, so it tells nothing there. Two of them that resemble still share one of
     their first shingles in any other order; here it is that of the hot shingle's own rows, those that few of them have
     first, as a sample of CELL_SAMPLE of these rows tells. A new shingle stands for the hot one and the one that divides it."""
-    rows = placed.join(small(hot, 24), "shingle").select("shingle", *ROW, "group", F.ceil(F.col("rows") / CELL_SAMPLE).alias("parts"))
-    each = rows.join(sets, ROW).select("shingle", *ROW, "n", "group", "parts", F.explode("shingles").alias("inner"))
+    rows = placed.join(small(hot, 24), "shingle").select("shingle", *ROW, "group", "length", F.ceil(F.col("rows") / CELL_SAMPLE).alias("parts"))
+    each = rows.join(sets, ROW).select("shingle", *ROW, "n", "group", "length", "parts", F.explode("shingles").alias("inner"))
     drawn = F.pmod(F.xxhash64(*ROW, "shingle"), F.col("parts")) == 0
     times = saved(each.where(drawn).groupBy("shingle", "inner").agg(F.count("*").alias("times")).where("times > 1"), "inner-times")
     of_row = Window.partitionBy("shingle", *ROW).orderBy("times", "inner")
     known = each.join(small(times, 24), ["shingle", "inner"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    probe, index = (F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1 for s in (similarity, 2 * similarity / (1 + similarity)))
-    placed = known.withColumn("i", F.row_number().over(of_row)).withColumn("before", F.coalesce(F.lag("inner").over(of_row), F.col("inner"))).where(F.col("i") <= probe)
+    whole, place = Window.partitionBy("shingle", *ROW), F.row_number().over(of_row) - 1
+    far = F.floor((F.col("n") - F.col("place")) * F.lit((1 + similarity) / similarity) - F.col("n") + 1e-6).cast("int")
+    placed = known.withColumns({"place": place, "before": F.coalesce(F.lag("inner").over(of_row), F.col("inner")), "lone": F.count_if(F.col("times") == 0).over(whole).cast("int")})
+    placed = placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)).withColumn("reach", far)
+    placed = placed.where(F.col("length").between(*_classes(similarity))).withColumn("home", _home())
     new = lambda c: F.xxhash64("shingle", c)
-    return placed.select(new("inner").alias("shingle"), new("before").alias("prev"), *ROW, "n", (F.col("i") <= index).alias("short"), "group")
+    return placed.select(new("inner").alias("shingle"), new("before").alias("prev"), *ROW, "n", "reach", "length", "home", "lone", "group")
 
 
-def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def linked_by_prefixes(whole: DataFrame, prefixes: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node, root: the groups, joined by all links that the index holds.
 
     While there are too many pairs to list, LEADERS rows of each shingle meet the others. That settles copies of one page;
@@ -298,11 +342,11 @@ def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, sh
             break
         last = held.pairs
         with temporaries(spark) as kept:
-            led = placed.join(met, "shingle").withColumn("here", F.struct(*ROW, "n", "short"))
-            left = saved(led.where("not array_contains(leads.row, here)").select("shingle", "prev", *ROW, "n", "short"), "prefix-index")
+            led = placed.join(met, "shingle").withColumn("here", F.struct(*ROW, "n", "reach"))
+            left = saved(led.where("not array_contains(leads.row, here)").select(*[c for c in placed.columns if c != "group"]), "prefix-index")
             each = led.select("here", "group", F.explode("leads").alias("l")).select("here", "group", F.col("l.row").alias("lead"), F.col("l.group").alias("lead_group"))
             found = each.where((F.col("group") != F.col("lead_group")) & _could_be("here", "lead", similarity)).select(*_pair("here", "lead"))
-            joined = _joined(groups, verified(possible(found, whole, similarity), texts, shingle, similarity))
+            joined = _joined(groups, verified(possible(found, prefixes, similarity), texts, shingle, similarity))
             kept += [left, joined]
         for old in (placed, met, groups, *([index] if round_no else [])):
             discard(old)
@@ -329,7 +373,7 @@ def linked_by_prefixes(whole: DataFrame, groups: DataFrame, texts: DataFrame, sh
     else:
         if not few:  # what can't be divided further
             pairs = pairs.unionByName(listed(placed, met.where(crowded), similarity))
-    return _joined(groups, verified(possible(pairs, whole, similarity), texts, shingle, similarity))
+    return _joined(groups, verified(possible(pairs, prefixes, similarity), texts, shingle, similarity))
 
 
 def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
@@ -344,7 +388,7 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     groups = _joined(None, verified(saved(by_fingerprint(reps, max_bits), "fingerprint-pairs"), texts, shingle, similarity))
     with temporaries(docs.sparkSession) as kept:
         firsts = texts.join(small(equal.select(*ROW), 24), ROW, "left_anti")
-        groups = linked_by_prefixes(prefix_index(firsts, shingle, similarity), groups, texts, shingle, similarity)
+        groups = linked_by_prefixes(*prefix_index(firsts, shingle, similarity), groups, texts, shingle, similarity)
         kept.append(groups)
     groups = saved(groups.select(F.col("node.id").alias("first_id"), F.col("node.hash").alias("first_hash"), "root"), "similar-groups")
     far = groups.select(F.col("first_id").alias("row_id"), F.col("first_hash").alias("row_hash"), F.col("root.id").alias("first_id"), F.col("root.hash").alias("first_hash"))

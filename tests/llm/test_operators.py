@@ -371,6 +371,44 @@ def test_similar_rows_are_compared_without_passes_over_all_texts(spark, monkeypa
     assert len(rounds) <= 4
 
 
+def test_copies_with_many_changes_make_no_pairs(spark, monkeypatch):
+    """Copies of a page with 1 to 3 changed words are linked, those with 5 to nothing: these meet no copy of their length."""
+    for name, value in (("LEAST_PAIRS", 0), ("PAIRS_A_ROW", 0)):
+        monkeypatch.setattr(similar, name, value)
+    looked, possible = [], similar.possible
+
+    def counting(pairs, *more):
+        looked.append(pairs.distinct().count())
+        return possible(pairs, *more)
+
+    monkeypatch.setattr(similar, "possible", counting)
+    rng = np.random.default_rng(5)
+    rows = [(0, [f"t{i}" for i in range(150)])]
+    for k in range(1, 161):
+        words = list(rows[0][1])
+        for i in rng.choice(30, 5 if k % 2 else 1 + k % 3, False):
+            words[5 * int(i)] = f"x{k}y{i}"
+        rows.append((k, words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in rows]
+    alike = [(i, j) for i, s in enumerate(sets) for j in range(i) if len(s & sets[j]) >= 0.8 * len(s | sets[j])]
+    kept = sorted(set(groups(range(len(sets)), alike).values()))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.without_similar(docs).collect()) == kept
+    assert 80 <= len(kept) <= 85 and sum(looked) < 10 * len(rows)
+
+
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    written, saved = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, label: written.append(label) or saved(df, label))
+    edges = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 21)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(k, 1) for k in range(2, 9)} | {(21, 20)}
+    assert written == ["star"] * 2
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(1, 41)}
+    assert simhash.components(chain.limit(0)).count() == 0
+
+
 def test_packing_leaves_no_encoder_in_a_worker(spark):
     packing.packed(spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string"), tokens.default_path()).collect()
 
