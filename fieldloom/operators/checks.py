@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
+#: Of the places that annotations ask for (position and attribute, without documents): broadcast up to so many bytes.
+PLACES_BYTES = 24 << 20
+
 
 def _path(c: str = "path") -> Column:
     return F.array_join(c, "/")
@@ -93,18 +98,25 @@ def unreachable_variants(variants: DataFrame) -> DataFrame:
 def annotated(sources: DataFrame, expected: DataFrame) -> DataFrame:
     """expected (doc_id, position, attribute, role, name, kind) with the path of the field found there, or null.
 
-    attribute is '' for elements. A source that is an attribute is met by position and name."""
+    attribute is '' for elements. A source that is an attribute is met by position and name. Only sources at places that
+    are asked for in any document are shuffled. Both sides are as many rows as the collection has, but their files are small
+    (columns that repeat compress well), so Spark would take them for tables to broadcast; merge joins prevent that."""
+    place = ["position", "attribute"]
+    places = stored(expected.select(*place).distinct(), "places")
+    held = places.agg(F.sum(64 + F.coalesce(4 * F.size("position"), F.lit(0)) + F.coalesce(F.octet_length("attribute"), F.lit(0)))).first()[0] or 0
     name = F.when(F.col("representation") == "attribute", F.col("name")).otherwise("")
     found = sources.select("doc_id", "position", name.alias("attribute"), "path")
-    return expected.join(found, ["doc_id", "position", "attribute"], "left")
+    if held <= PLACES_BYTES:
+        found = found.join(F.broadcast(places), place, "left_semi")
+    return expected.join(found.hint("merge"), ["doc_id", *place], "left")
 
 
 def missing_annotations(matched: DataFrame, dropped: DataFrame) -> DataFrame:
     """Unmatched annotations as normalised (below a dropped position) or missing. dropped: doc_id, position."""
     lost = matched.where("path is null").select("doc_id", "position", "attribute", "role")
     roots = dropped.select("doc_id", F.col("position").alias("above")).distinct()
-    below = lost.join(roots, "doc_id").where(F.slice("position", 1, F.size("above")) == F.col("above")).select("doc_id", "position", "attribute").distinct().withColumn("outcome", F.lit("normalised"))
-    return lost.join(below, ["doc_id", "position", "attribute"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
+    below = lost.join(roots.hint("merge"), "doc_id").where(F.slice("position", 1, F.size("above")) == F.col("above")).select("doc_id", "position", "attribute").distinct().withColumn("outcome", F.lit("normalised"))
+    return lost.join(below.hint("merge"), ["doc_id", "position", "attribute"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
 
 
 def forbidden_merges(matched: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def j1_annotations(spark, sf_dir: str) -> DataFrame:
         F.struct(F.array(F.when(even, 2).otherwise(3), F.lit(0)).alias("position"), F.lit("").alias("attribute"), F.lit("stress").alias("role")),
     )
     expected = table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.explode(F.filter(rows, lambda r: (r["role"] != "stress") | (key % 5 == 2))).alias("r")).select("doc_id", "r.*")
-    matched = checks.annotated(src, expected)
+    matched = stored(checks.annotated(src, expected), "matched")
     dropped = src.where(F.element_at("path", -1) == "note").select("doc_id", "position")
     missing = checks.missing_annotations(matched, dropped).groupBy("outcome", "role").agg(F.count("*").alias("n"))
     return matched.where("path is not null").groupBy(F.lit("met").alias("outcome"), "role").agg(F.count("*").alias("n")).unionByName(missing)

@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from fieldloom.operators import changes, exports
+from fieldloom.operators import changes, checks, exports
 from fieldloom.plans import drafts
 from fieldloom.sources import documents as sources
 from fieldloom.streaming import jobs
@@ -192,3 +192,22 @@ def test_texts_go_to_python_in_small_batches_while_a_table_is_saved(spark):
     rows = [r.n for r in common.saved(wide.mapInPandas(sizes, "n long"), "sizes").collect()]
     assert sum(rows) == 8000 and max(rows) <= 1000
     assert {key: spark.conf.get(key, None) for key in common.WHILE_SAVED} == before
+
+
+def test_annotations_are_not_broadcast(spark, tmp_path):
+    """Files of many rows can be small: neither sources nor annotations go to the driver, and places that nobody asks for are not shuffled."""
+    spark.range(4000).select(
+        (F.col("id") / 4).cast("long").alias("doc_id"), F.array((F.col("id") % 4).cast("int")).alias("position"), F.lit("n").alias("name"),
+        F.when(F.col("id") % 4 == 3, "attribute").otherwise("element").alias("representation"), F.array(F.lit("n")).alias("path"),
+    ).write.parquet(f"{tmp_path}/sources")
+    role = lambda *at, attribute="": F.struct(F.array(*map(F.lit, at)).alias("position"), F.lit(attribute).alias("attribute"), F.lit(f"r{at}").alias("role"))
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.explode(F.array(role(0), role(3, attribute="n"), role(2, 5), role(9))).alias("r")).select("doc_id", "r.*").write.parquet(f"{tmp_path}/expected")
+    src, expected = spark.read.parquet(f"{tmp_path}/sources"), spark.read.parquet(f"{tmp_path}/expected")
+    matched = checks.annotated(src, expected)
+    found = checks.missing_annotations(matched, src.where("position = array(2)").select("doc_id", "position"))
+    assert {(r.outcome, r.role): r["count"] for r in found.groupBy("outcome", "role").count().collect()} == {("normalised", "r(2, 5)"): 1000, ("missing", "r(9,)"): 1000}
+    assert {r.role: r["count"] for r in matched.where("path is not null").groupBy("role").count().collect()} == {"r(0,)": 1000, "r(3,)": 1000}
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and joins and all("LeftSemi" in line for line in joins)
