@@ -4,7 +4,8 @@ A space is one JSON document (document-probability-space, version 1) with statis
 their paths, and warnings. It is written out of range-partitioned rows: one for the head of a node, one for each of its
 alternatives, one that closes it. So no row holds a whole node with many alternatives, let alone the document. Each of
 these rows is a line of the document, so Spark reads it back by lines. Sources are as many as observations; they stand
-beside the document, as JSON lines.
+beside the document, as JSON lines. A line has two hashes and is some 220 bytes long, so plain lines of a large collection take
+many times its own disk; compressed ones (gzip, which every reader of JSON lines opens) hold the same in a few bytes a line.
 """
 
 from __future__ import annotations
@@ -111,10 +112,11 @@ def read_space(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def write_sources(sources: DataFrame, folder: str) -> None:
-    """Provenance (see space.sources) as JSON lines: node, document, position, name, representation, variant."""
+def write_sources(sources: DataFrame, folder: str, compression: str = "none") -> None:
+    """Provenance (see space.sources) as JSON lines: node, document, position, name, representation, variant. compression:
+    none, or a codec of Spark's JSON writer (gzip)."""
     rows = sources.select(node_id(F.col("path")).alias("node"), F.col("doc_id").alias("document"), "position", "name", "representation", F.col("variant_id").alias("variant"))
-    rows.write.json(folder)
+    rows.write.json(folder, compression=compression)
 
 
 def write_manifest(path: str, title: str, snapshot: dict, found: DataFrame, drafted: DataFrame, space: Space) -> None:
@@ -157,8 +159,8 @@ def write_evaluation(path: str, scenario: str, space: Space, forbidden: DataFram
     write_document(reduce(DataFrame.unionByName, parts), path, frame, *ORDER)
 
 
-def write_artefacts(folder: str, name: str, space: Space, sources: DataFrame, forbidden: DataFrame, missing: DataFrame, invalid: DataFrame) -> None:
-    """<name>.space.json, <name>.sources (a folder of JSON lines) and <name>.evaluation.json."""
+def write_artefacts(folder: str, name: str, space: Space, sources: DataFrame, forbidden: DataFrame, missing: DataFrame, invalid: DataFrame, compression: str = "none") -> None:
+    """<name>.space.json, <name>.sources (a folder of JSON lines; see write_sources for their compression) and <name>.evaluation.json."""
     write_space(space, f"{folder}/{name}.space.json")
-    write_sources(sources, f"{folder}/{name}.sources")
+    write_sources(sources, f"{folder}/{name}.sources", compression)
     write_evaluation(f"{folder}/{name}.evaluation.json", name, space, forbidden, missing, invalid)

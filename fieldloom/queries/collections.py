@@ -99,7 +99,7 @@ def s8_artefacts(spark, sf_dir: str) -> DataFrame:
     matched = checks.annotated(src, expected)
     missing = checks.missing_annotations(matched, src.limit(0).select("doc_id", "position"))
     forbidden = checks.forbidden_merges(src.select("path", F.col("name").alias("role")), spark.createDataFrame([("tariff", "tarfif"), ("customer", "tariff")], "left string, right string"))
-    artefacts.write_artefacts(folder, "orders", s, src, forbidden, missing, checks.field_violations(s.fields, s.distributions))
+    artefacts.write_artefacts(folder, "orders", s, src, forbidden, missing, checks.field_violations(s.fields, s.distributions), compression="gzip")
     lines = lambda name: spark.read.option("lineSep", "\n").text(f"{folder}/{name}").select(F.regexp_replace("value", ",$", "").alias("value"))
     audit, written = lines("orders.evaluation.json"), spark.read.schema("node string, document long, position array<int>, name string, representation string, variant string").json(f"{folder}/orders.sources")
     get = lambda p: F.get_json_object("value", p)

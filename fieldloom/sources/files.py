@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..plans.storage import shuffles_dropped
 from .documents import FORMATS
 
 SCHEMA = "doc_id long, path string, name string, format string, size long, content string, error string"
@@ -197,7 +198,7 @@ class DocumentWriter(DataSourceWriter):
     its items with a separator between them, and its closing text. A row begins an item (``item``) or goes on with the one before, so
     an item may be of any number of rows and tasks. Each task writes a part of each section that it holds; when all are
     done the parts are copied behind each other, piece by piece, under a hidden name, and the document gets its name
-    last. Only parts of tasks that were committed are used, so a task may be run again."""
+    last. A part is deleted once it is copied, so that the disk never holds the document twice. Only parts of tasks that were committed are used, so a task may be run again."""
 
     SEPARATOR, PIECE = b",\n", 1 << 20
 
@@ -241,6 +242,7 @@ class DocumentWriter(DataSourceWriter):
                         f.read(skip)
                         while piece := f.read(self.PIECE):
                             yield piece
+                    store.delete_file(f"{m.folder}/{section}")
                     skip = 0
             yield closes.encode()
 
@@ -289,4 +291,5 @@ def write_document(rows: DataFrame, path: str, frame: list[tuple[str, str]], *or
     register(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "section", *order).sortWithinPartitions("section", *order).select("section", "item", "text")
-    dealt.write.format("ordered_document").option("frame", json.dumps(frame)).mode("append").save(path)
+    with shuffles_dropped(rows.sparkSession):
+        dealt.write.format("ordered_document").option("frame", json.dumps(frame)).mode("append").save(path)

@@ -11,8 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from fieldloom.operators import changes, checks, exports
-from fieldloom.plans import drafts
+from fieldloom.plans import artefacts, drafts
 from fieldloom.sources import documents as sources
+from fieldloom.sources import files
 from fieldloom.streaming import jobs
 
 
@@ -211,3 +212,35 @@ def test_annotations_are_not_broadcast(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert "SortMergeJoin" in plan and joins and all("LeftSemi" in line for line in joins)
+
+
+def test_sources_of_an_artefact_can_be_compressed(spark, tmp_path):
+    """The same lines, plain and compressed: plain ones are many times the table that they are written from."""
+    at = F.array((F.col("id") % 3).cast("int"))
+    src = spark.range(0, 20000, 1, 2).select(F.array(F.lit("a"), F.lit("b")).alias("path"), (F.col("id") / 3).cast("long").alias("doc_id"), at.alias("position"), F.lit("b").alias("name"), F.lit("element").alias("representation"), F.sha2(F.lit("v"), 256).alias("variant_id"))
+    artefacts.write_sources(src, f"{tmp_path}/plain")
+    artefacts.write_sources(src, f"{tmp_path}/packed", "gzip")
+    lines = lambda kind: sorted(r.value for r in spark.read.text(f"{tmp_path}/{kind}").collect())
+    size = lambda kind: sum(os.path.getsize(f"{tmp_path}/{kind}/{f}") for f in os.listdir(f"{tmp_path}/{kind}"))
+    assert lines("plain") == lines("packed") and len(lines("plain")) == 20000
+    assert 10 * size("packed") < size("plain")
+
+
+def test_parts_of_a_document_go_as_they_are_copied(tmp_path):
+    """So that the disk never holds a document twice."""
+    writer = files.DocumentWriter({"path": f"{tmp_path}/doc.txt", "frame": json.dumps([("[", "]"), ("(", ")")])})
+    messages = []
+    for task in range(4):
+        folder = f"{writer.parts}/{task}"
+        os.makedirs(folder)
+        for section in (0, 1):
+            with open(f"{folder}/{section}", "wb") as f:
+                f.write(writer.SEPARATOR + f"{section}{task}".encode())
+        messages.append(files.Parts(task, [0, 1], folder))
+    left = []
+    text = b""
+    for piece in writer._pieces(files.opened(str(tmp_path))[0], messages):
+        text += piece
+        left.append(sum(len(names) for _, _, names in os.walk(writer.parts)))
+    assert text == b"[00,\n01,\n02,\n03](10,\n11,\n12,\n13)"
+    assert left == [8, 8, 7, 6, 5, 4, 4, 4, 3, 2, 1, 0]
