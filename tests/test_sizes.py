@@ -2,12 +2,14 @@
 
 import json
 import os
+import pickle
 import sys
 import uuid
 
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fieldloom.operators import changes, checks, exports
@@ -244,3 +246,33 @@ def test_parts_of_a_document_go_as_they_are_copied(tmp_path):
         left.append(sum(len(names) for _, _, names in os.walk(writer.parts)))
     assert text == b"[00,\n01,\n02,\n03](10,\n11,\n12,\n13)"
     assert left == [8, 8, 7, 6, 5, 4, 4, 4, 3, 2, 1, 0]
+
+
+def test_a_folder_of_many_files_is_not_held_by_the_driver(tmp_path, monkeypatch):
+    """Neither what tasks tell the driver of files written, nor what it deals out, has a path a file; paths that repeat are still met."""
+    rows = [Row(path=f"part-{i % 16}/document-{i}.json", content="{}") for i in range(6000)]
+    writer = files.FileWriter({"path": f"{tmp_path}/out"}, ["path", "content"])
+    messages = [writer.write(iter(rows[i::5])) for i in range(5)]
+    assert len(pickle.dumps(messages)) < 2000
+    monkeypatch.setattr(files, "COMPARED", 500)
+    writer.commit(messages)
+    assert open(f"{tmp_path}/out/_SUCCESS").read() == "6000" and sorted(os.listdir(f"{tmp_path}/out")) == sorted(["_SUCCESS", *(f"part-{i}" for i in range(16))])
+    monkeypatch.setattr(files, "PACKED", 1000)
+    reader = files.FileReader({"path": f"{tmp_path}/out", "splitBytes": "5000"})
+    tasks = reader.partitions()
+    assert len(pickle.dumps(tasks)) < 6 * 6000 and 3 <= len(tasks) <= 5
+    assert sorted(p for t in tasks for p in t.paths) == sorted(r.path for r in rows) and sorted(x[1] for x in reader.read(tasks[0])) == sorted(tasks[0].paths)
+
+    twice = files.FileWriter({"path": f"{tmp_path}/twice"}, ["path", "content"])
+    messages = [twice.write(iter(rows[i::5])) for i in range(5)] + [None, twice.write(iter([])), twice.write(iter(rows[77:78]))]
+    with pytest.raises(ValueError, match="one path"):
+        twice.commit(messages)
+    twice.abort(messages)
+    assert not [n for _, _, names in os.walk(f"{tmp_path}/twice") for n in names]
+
+
+def test_rows_of_one_path_fail_a_write(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("f"), F.col("id") % 199, F.lit(".json")).alias("path"), F.lit("{}").alias("content"))
+    with pytest.raises(Exception, match="one path"):
+        files.write_files(rows.repartition(4, "content", "path"), f"{tmp_path}/out")
+    assert not [n for _, _, names in os.walk(tmp_path) for n in names if not n.endswith(".crc")]
